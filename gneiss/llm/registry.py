@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm import simhash
+from gneiss.llm import pieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_simhash"] = op1_simhash
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encode_decode(docs, model_path or public_tokenizers.path("piece_bpe_32k.model")))
+
+
+QUERIES["op8_sentencepiece"] = op8_sentencepiece
