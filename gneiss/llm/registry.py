@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gneiss.llm import pieces, simhash
+from gneiss.llm import langid, pieces, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,22 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
 
 
 QUERIES["op8_sentencepiece"] = op8_sentencepiece
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.is_held_out("doc_id")
+    model = langid.fit_languages(docs.where(F.col("doc_id").isNotNull() & ~held_out))
+    return langid.identify_language(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
+QUERIES["op7_langid"] = op7_langid
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model)
+
+
+QUERIES["op10_toxicity"] = op10_toxicity
