@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import langid, pieces, quality, simhash, toxicity
+from gneiss.llm import langid, pieces, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,34 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_quality"] = op5_quality
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, urls.junk_listing(pages))
+
+
+QUERIES["op4_url_filter"] = op4_url_filter
+ORACLES["op4_url_filter"] = r"""
+WITH rest AS (
+  SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) END AS r FROM pages
+), parts AS (
+  SELECT page_id, html,
+    coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM rest
+), canon AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '') || regexp_replace(path, '/$', '') END AS curl FROM parts
+), listed AS (
+  SELECT DISTINCT curl FROM canon WHERE curl IS NOT NULL AND contains(regexp_extract(html, '<title>([^<]*)</title>', 1, 's'), ' | ')
+), rules(rule, h, p, rule_verdict) AS (
+  VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'),
+    ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')
+), fits AS (
+  SELECT c.page_id, c.host, c.path, c.curl, r.rule, r.rule_verdict,
+    row_number() OVER (PARTITION BY c.page_id, c.host, c.path ORDER BY length(r.rule) DESC NULLS LAST) AS k
+  FROM canon c LEFT JOIN rules r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p)
+)
+SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.rule_verdict, CASE WHEN l.curl IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM fits f LEFT JOIN listed l ON f.curl = l.curl WHERE f.k = 1
+"""
