@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import langid, pieces, quality, simhash, toxicity, urls
+from gneiss.llm import embeddings, langid, pieces, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,31 @@ WITH rest AS (
 SELECT f.page_id, f.host, f.path, f.rule, coalesce(f.rule_verdict, CASE WHEN l.curl IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM fits f LEFT JOIN listed l ON f.curl = l.curl WHERE f.k = 1
 """
+
+
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op3_embeddings"] = op3_embeddings
+ORACLES["op3_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e,
+    embedding IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.usable AND b.usable AND len(a.e) = len(b.e)
+    AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), low AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+FROM v JOIN low USING (vec_id) LEFT JOIN degree d USING (vec_id)
+"""
