@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import embeddings, langid, pieces, quality, simhash, toxicity, urls
+from gneiss.llm import embeddings, langid, lines, pieces, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,14 @@ WITH RECURSIVE v AS (
 SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, low.component_id, v.vec_id = low.component_id AS kept
 FROM v JOIN low USING (vec_id) LEFT JOIN degree d USING (vec_id)
 """
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_duplicate_lines(docs, dropped_col="n_dropped")
+    blank = r"^\s*$"
+    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~x.rlike(blank))).cast("long")
+    return kept.select("doc_id", (left + F.col("n_dropped")).alias("n_lines"), "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES["op2_line_dedup"] = op2_line_dedup
