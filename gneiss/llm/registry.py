@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import embeddings, langid, lines, passages, pieces, quality, simhash, toxicity, urls
+from gneiss.llm import embeddings, langid, lines, mixing, passages, pieces, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +137,13 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_suffix_dedup"] = op6_suffix_dedup
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix_to_targets(docs, mixing.label_domains(_table(spark, sf_dir, "labels")), mixing.TARGETS)
+    shares = [F.round(F.col("posterior")[d], 6).alias(f"p_{d}") for d in sorted(mixing.TARGETS)]
+    return mixed.select("doc_id", "n_tokens", *shares, F.round("rate", 6).alias("rate"))
+
+
+QUERIES["op9_mixing"] = op9_mixing
