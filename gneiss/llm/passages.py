@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.bloom import fixed_bloom, passing
 from gneiss.llm.induced import Sorter
 from gneiss.llm.scratch import Scratch
 from gneiss.llm.texts import map_texts
@@ -123,33 +124,6 @@ def _found(texts: list, length: int) -> Iterator[tuple]:
         yield raws, own + first, at + shift, count, place + shift, anchor
 
 
-def _words_of(anchors: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    mixed = anchors.view(np.uint64) * _MIX
-    mask = np.zeros(len(mixed), np.uint64)
-    for k in range(4):
-        mask |= np.uint64(1) << ((mixed >> np.uint64(6 * k)) & np.uint64(63))
-    return ((mixed >> np.uint64(32)) % np.uint64(words)).astype(np.int64), mask
-
-
-def _bloom(repeated: DataFrame, words: int):
-    """A filter of ``words`` 64-bit words over the column anchor, as an array on the driver (fixed size)."""
-
-    def run(batches):
-        for batch in batches:
-            word, mask = _words_of(batch.column("anchor").to_numpy(zero_copy_only=False), words)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
-
-    table = repeated.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    bits = np.zeros(words, np.int64)
-    bits[table.column("word").to_numpy()] = table.column("mask").to_numpy()
-    return bits.view(np.uint64)
-
-
-def _passing(anchors: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    word, mask = _words_of(anchors, len(bits))
-    return (bits[word] & mask) == mask
-
-
 def _blocks(off: int, count: int) -> range:
     """Blocks of the windows that start ``off`` .. ``off + count - 1`` from the anchor."""
     return range(off // BLOCK, (off + count - 1) // BLOCK + 1)
@@ -160,7 +134,7 @@ def _segment_rows(length: int, bits):
         def rows(texts: list) -> list[list]:
             out: list[list] = [[] for _ in texts]
             for raws, own, at, count, place, anchor in _found(texts, length):
-                keep = _passing(anchor, bits.value)
+                keep = passing(anchor, bits.value)
                 held: dict = {}
                 for n, a, c, p, h in zip(own[keep].tolist(), at[keep].tolist(), count[keep].tolist(), place[keep].tolist(), anchor[keep].tolist()):
                     raw = raws[n]
@@ -200,7 +174,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_
 
     every = map_texts(docs.select("text"), "text", "anchors array<long>", anchors).select(F.explode("anchors").alias("anchor"))
     repeated = scratch.keep(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    bits = spark.sparkContext.broadcast(_bloom(repeated, bloom_words))
+    bits = spark.sparkContext.broadcast(fixed_bloom(repeated, bloom_words))
     kind = "array<struct<anchor:long,seg:long,off:int,count:int,places:array<int>,cores:array<long>>>"
     found = map_texts(docs.select("id", "h", "text"), "text", f"s {kind}", _segment_rows(length, bits))
     found = found.select("id", "h", F.explode("s").alias("s")).select("id", "h", "s.*")
