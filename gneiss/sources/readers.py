@@ -14,9 +14,10 @@ def coerce_token(token: Column) -> dict[str, Column]:
     """What a text token can be read as: bigint, double, boolean, else text; null tokens are null in all."""
     text = F.when(~token.isin(*NULL_TOKENS), token)
     whole = F.when(text.rlike(r"^-?\d+$"), text.try_cast("bigint"))
+    safe = F.when(F.abs(whole) <= 2**53 - 1, whole)  # larger integers stay text
     return {
-        "bigint": F.when(F.abs(whole) <= 2**53 - 1, whole),
-        "double": F.when(text.rlike(r"^-?\d+(\.\d+)?$"), text.try_cast("double")),
+        "bigint": safe,
+        "double": F.coalesce(F.when(text.rlike(r"^-?\d+\.\d+$"), text.try_cast("double")), safe.cast("double")),
         "boolean": F.when(text.isin("true", "True", "TRUE"), True).when(text.isin("false", "False", "FALSE"), False),
         "string": text,
     }
