@@ -141,3 +141,20 @@ def partial_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     inv = np.linalg.pinv(m)
     rows = [(columns[i], columns[j], float(-inv[i, j] / math.sqrt(inv[i, i] * inv[j, j]))) for i, j in combinations(range(len(columns)), 2)]
     return df.sparkSession.createDataFrame(rows, "a string, b string, partial double")
+
+
+def permutation_importance(df: DataFrame, y: str, xs: list[str], id_cols: list[str], seed: int = 1) -> DataFrame:
+    """Loss of R2 when one feature's values are dealt to other rows, by the fit on the real ones; with ranks."""
+    rows = df.dropna("any", subset=[y, *xs])
+    beta = {r.term: r.coefficient for r in ols(rows, y, xs).collect()}
+    line = F.lit(beta["intercept"]) + sum((F.lit(beta[x]) * F.col(x) for x in xs), F.lit(0.0))
+    total = rows.agg(F.var_pop(F.col(y)).alias("v")).first().v
+    base = 1 - rows.agg(F.avg((F.col(y) - line) ** 2).alias("e")).first().e / total
+    found = []
+    for k, x in enumerate(xs):
+        # neighbours in a hash order swap values, within as many groups as there are shuffle partitions or more
+        w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed + k), *id_cols), F.lit(4096))).orderBy(F.xxhash64(F.lit(seed + 50 + k), *id_cols))
+        moved = rows.withColumn(x, F.coalesce(F.lag(x).over(w), F.last(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+        found.append((x, base - (1 - moved.agg(F.avg((F.col(y) - line) ** 2).alias("e")).first().e / total)))
+    order = sorted(found, key=lambda f: (-f[1], f[0]))
+    return df.sparkSession.createDataFrame([(x, float(v), n + 1) for n, (x, v) in enumerate(order)], "feature string, importance double, rank int")

@@ -130,3 +130,24 @@ def valid_share(df: DataFrame, columns: list[str], patterns: dict[str, str]) ->
     row = df.agg(*[x.alias(f"{c}__{k}__{n}") for c, k, *pair in items for n, x in enumerate(pair)])
     cells = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("pattern"), F.round(F.col(f"{c}__{k}__0") * 100 / F.col(f"{c}__{k}__1"), 4).alias("valid_pct")) for c, k, *_ in items]
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+
+# Words that turn the sentiment of the next word.
+NEGATORS = "not no never none nobody nothing neither nor without hardly".split()
+
+
+def sentiment_negated(df: DataFrame, text_col: str, id_cols: list[str]) -> DataFrame:
+    """tanh(score / sqrt(words)) over word tokens; after a negator a positive word counts -0.75 and a negative one +0.5."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"(\w+)"), F.lit(1))
+
+    def worth(t: Column, k: Column) -> Column:
+        turned = (k > 0) & F.try_element_at("__t", k.cast("int")).isin(*NEGATORS)
+        up = F.when(turned, -0.75).otherwise(1.0)
+        down = F.when(turned, 0.5).otherwise(-1.0)
+        return F.when(t.isin(*POSITIVE), up).when(t.isin(*NEGATIVE), down).otherwise(0.0)
+
+    base = df.select(*id_cols, tokens.alias("__t"))
+    total = F.aggregate(F.transform("__t", worth), F.lit(0.0), lambda s, v: s + v)
+    score = F.when(F.size("__t") > 0, F.tanh(total / F.sqrt(F.size("__t")))).otherwise(0.0)
+    out = base.select(*id_cols, F.round(score, 6).alias("score"))
+    return out.withColumn("label", F.when(F.col("score") > 0.1, "positive").when(F.col("score") < -0.1, "negative").otherwise("neutral"))

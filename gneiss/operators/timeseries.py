@@ -183,3 +183,27 @@ def linear_seasonal_forecast(df: DataFrame, series: list[str], order: str, value
     ahead = line.select(*series, "a", "b", "n", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step")).withColumn("t", F.col("n") + F.col("step") - 1)
     ahead = ahead.withColumn("phase", F.col("t") % period)
     return ahead.join(phase, [*series, "phase"], "left").select(*series, "step", (F.col("a") + F.col("b") * F.col("t") + F.coalesce("s", F.lit(0.0))).alias("forecast"))
+
+
+def holdout_errors(df: DataFrame, series: list[str], order: str, value: str, share: float = 0.2, window: int = 7) -> DataFrame:
+    """RMSE and MAPE over the last share of each series, of the flat mean before it and of a least-squares line."""
+    w = Window.partitionBy(*series)
+    rows = df.select(*series, F.col(value).cast("double").alias("y"), F.row_number().over(_over(series, order)).alias("t"), F.count("*").over(w).alias("n"))
+    cut = F.floor(F.col("n") * (1 - share))
+    train, test = rows.where(F.col("t") <= cut), rows.where(F.col("t") > cut)
+    fit = train.groupBy(*series).agg(F.avg(F.when(F.col("t") > cut - window, F.col("y"))).alias("flat"), F.regr_slope("y", "t").alias("b"), F.regr_intercept("y", "t").alias("a"))
+    both = test.join(fit, series) if series else test.crossJoin(fit)  # fit has one row
+    models = F.array(F.struct(F.lit("flat").alias("model"), F.col("flat").alias("p")), F.struct(F.lit("linear").alias("model"), (F.col("a") + F.col("b") * F.col("t")).alias("p")))
+    told = both.select(*series, "y", F.explode(models).alias("m")).select(*series, "y", "m.model", "m.p")
+    miss = F.col("y") - F.col("p")
+    return told.groupBy(*series, "model").agg(F.sqrt(F.avg(miss * miss)).alias("rmse"), (F.avg(F.abs(miss / F.when(F.col("y") != 0, F.col("y")))) * 100).alias("mape"))
+
+
+def series_summary(df: DataFrame, series: list[str], order: str, value: str) -> DataFrame:
+    """Ends, days, points, extremes, mean, and direction with percent change from first to last."""
+    out = df.groupBy(*series).agg(
+        F.min(order).alias("start"), F.max(order).alias("end"), F.count(value).alias("points"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.median(value).alias("median"),
+        F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"),
+    )
+    change = F.when(F.col("first") != 0, (F.col("last") - F.col("first")) / F.abs("first") * 100)
+    return out.withColumns({"days": F.date_diff("end", "start"), "change_pct": change, "direction": F.when(F.col("last") > F.col("first"), "up").when(F.col("last") < F.col("first"), "down").otherwise("flat")})

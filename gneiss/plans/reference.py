@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats
-from gneiss.operators import clean, detect, graph, ml, profile, regress, report, text, timeseries
+from gneiss.operators import clean, detect, graph, ml, profile, quality, regress, report, synthetic, text, timeseries
 from gneiss.operators.relational import Query
 from gneiss.plans.catalog import query
 from gneiss.session import read_table
@@ -643,3 +643,86 @@ def top_mode_status(spark, d):
 @query("grades_customers", "SELECT c_custkey, CASE WHEN c_acctbal / 100 >= 90 THEN 'A' WHEN c_acctbal / 100 >= 80 THEN 'B' WHEN c_acctbal / 100 >= 70 THEN 'C' WHEN c_acctbal / 100 >= 60 THEN 'D' ELSE 'F' END AS grade FROM customer")
 def grades_customers(spark, d):
     return read_table(spark, d, "customer").select("c_custkey", stats.grade(F.col("c_acctbal") / 100).alias("grade"))
+
+
+@query("consistency_customer", """WITH c AS (SELECT CASE WHEN regexp_matches(b, '^-?[0-9]+$') THEN 'integer' WHEN regexp_matches(b, '^-?[0-9]+[.][0-9]+$') THEN 'float' ELSE 'text' END AS class, count(*) AS n
+FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE c_acctbal::DECIMAL(18, 2)::VARCHAR END AS b FROM customer) GROUP BY 1)
+SELECT 'balance' AS "column", arg_max(class, n) AS dominant, round(max(n) * 100.0 / sum(n), 4)::DOUBLE AS pct FROM c""")
+def consistency_customer(spark, d):
+    c = read_table(spark, d, "customer").select(F.when(F.col("c_custkey") % 5 == 0, "n/a").otherwise(F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("balance"))
+    return quality.consistency(c, ["balance"])
+
+
+@query("accuracy_orders", f"""WITH q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM {_SPIKED}), e AS (SELECT count_if(price < a - 3 * (b - a) OR price > b + 3 * (b - a)) AS x, count(price) AS n FROM {_SPIKED}, q)
+SELECT 'price' AS "column", x::BIGINT AS extreme, round(greatest(0, 100 - 500.0 * x / n), 4)::DOUBLE AS score FROM e""")
+def accuracy_orders(spark, d):
+    return quality.accuracy(_spiked(spark, d), ["price"]).withColumn("score", F.round("score", 4))
+
+
+@query("timeliness_events", "SELECT date_diff('day', max(ts)::DATE, DATE '2024-02-10')::INTEGER AS days, greatest(0, 100 - 0.5 * date_diff('day', max(ts)::DATE, DATE '2024-02-10'))::DOUBLE AS score FROM events")
+def timeliness_events(spark, d):
+    return quality.timeliness(read_table(spark, d, "events"), "ts", "2024-02-10")
+
+
+@query("roles_part", """SELECT * FROM (VALUES ('p_partkey', 'identifier'), ('p_brand', 'grouping'), ('p_retailprice', 'feature')) t("column", role)""")
+def roles_part(spark, d):
+    p = read_table(spark, d, "part").withColumn("p_retailprice", F.when(F.col("p_partkey") % 2 == 0, F.col("p_retailprice")))
+    cols = ["p_partkey", "p_brand", "p_retailprice"]
+    return quality.suggest_roles(profile.infer_schema(p, cols).join(profile.cardinality(p, cols), "column"))
+
+
+@query("cleaning_plan_orders", "SELECT * FROM (VALUES ('o_orderkey', 'keep'), ('price', 'impute')) t(\"column\", action)")
+def cleaning_plan_orders(spark, d):
+    return quality.cleaning_plan(profile.missing_values(_gappy(read_table(spark, d, "orders")), ["o_orderkey", "price"])).select("column", "action")
+
+
+@query("quality_overall")
+def quality_overall(spark, d):
+    o = _gappy(read_table(spark, d, "orders"))
+    parts = profile.quality_score(o).select(F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).cast("double").alias("score")) for k in ("completeness", "uniqueness")])).alias("x")).select("x.*")
+    more = quality.accuracy(o, ["price"]).select(F.lit("accuracy").alias("dimension"), "score")
+    return quality.overall(parts.union(more))
+
+
+@query("sentiment_negated_conversations")
+def sentiment_negated_conversations(spark, d):
+    return text.sentiment_negated(read_table(spark, d, "conversations"), "text", ["conv_id", "turn"])
+
+
+@query("series_summary_monthly", f"""SELECT o_orderstatus, count(total) AS points, round(min(total), 2) AS low, round(max(total), 2) AS high, round((arg_max(total, month) - arg_min(total, month)) / abs(arg_min(total, month)) * 100, 4) AS change_pct,
+CASE WHEN arg_max(total, month) > arg_min(total, month) THEN 'up' WHEN arg_max(total, month) < arg_min(total, month) THEN 'down' ELSE 'flat' END AS direction, date_diff('day', min(month), max(month))::INTEGER AS days FROM {_MONTHLY} GROUP BY 1""")
+def series_summary_monthly(spark, d):
+    r = timeseries.series_summary(_monthly(spark, d), ["o_orderstatus"], "month", "total")
+    return r.select("o_orderstatus", "points", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"), F.round("change_pct", 4).alias("change_pct"), "direction", "days")
+
+
+@query("holdout_monthly", f"""WITH r AS (SELECT o_orderstatus, total AS y, row_number() OVER (PARTITION BY o_orderstatus ORDER BY month) AS t, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM {_MONTHLY}),
+f AS (SELECT o_orderstatus, avg(y) FILTER (t > floor(n * 0.8) - 7) AS flat, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM r WHERE t <= floor(n * 0.8) GROUP BY 1),
+m AS (SELECT o_orderstatus, 'flat' AS model, y, flat AS p FROM r JOIN f USING (o_orderstatus) WHERE t > floor(n * 0.8) UNION ALL SELECT o_orderstatus, 'linear', y, a + b * t FROM r JOIN f USING (o_orderstatus) WHERE t > floor(n * 0.8))
+SELECT o_orderstatus, model, round(sqrt(avg((y - p) * (y - p))), 2) AS rmse, round(avg(abs((y - p) / nullif(y, 0))) * 100, 4) AS mape FROM m GROUP BY ALL""")
+def holdout_monthly(spark, d):
+    r = timeseries.holdout_errors(_monthly(spark, d), ["o_orderstatus"], "month", "total")
+    return r.select("o_orderstatus", "model", F.round("rmse", 2).alias("rmse"), F.round("mape", 4).alias("mape"))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    return regress.permutation_importance(read_table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber"])
+
+
+@query("synthetic_orders")
+def synthetic_orders(spark, d):
+    o = read_table(spark, d, "orders")
+    return synthetic.compare_numeric(o, synthetic.synthesize(o, ["o_totalprice"], ["o_orderstatus"], 5000), ["o_totalprice"])
+
+
+@query("synthetic_overlap", """WITH a AS (SELECT o_orderstatus AS v, count(*) / sum(count(*)) OVER () AS p FROM orders GROUP BY 1), b AS (SELECT o_orderstatus AS v, count(*) / sum(count(*)) OVER () AS q FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+SELECT round(sum(least(coalesce(p, 0), coalesce(q, 0))), 6)::DOUBLE AS overlap FROM a FULL JOIN b USING (v)""")
+def synthetic_overlap(spark, d):
+    o = read_table(spark, d, "orders")
+    return synthetic.compare_categorical(o, o.where("o_orderkey % 3 = 0"), "o_orderstatus").withColumn("overlap", F.round("overlap", 6))
+
+
+@query("sales_sample")
+def sales_sample(spark, d):
+    return synthetic.sales_sample(spark)
