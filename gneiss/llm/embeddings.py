@@ -7,10 +7,10 @@ in the cell of its nearest point and looks up that cell and those of the lattice
 points next to it that are nearest to its projection.  Pairs that meet in a cell
 of any table are verified by the cosine in double precision.
 
-The scale makes the projected distance of a pair at the threshold small against
-the lattice's packing radius, so a near pair shares a cell or a probed one in at
-least one table with high probability; ``recall`` in the tests is measured
-against brute force.  All rows are indexed; no sample is fitted and no cell is
+The scale makes the projected distance of a pair at the threshold about the
+lattice's packing radius, so a near pair shares a cell or a probed one in at
+least one table with high probability (measured against brute force in the
+tests), while unrelated vectors rarely meet.  All rows are indexed; no sample is fitted and no cell is
 capped.
 
 Only equal labels are compared and a null label never is.  A vector that is
@@ -107,8 +107,8 @@ def near_vectors(
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    if scale is None:  # a pair at the threshold lies about 0.35 apart in a lattice of packing radius 0.71, at 64 dimensions
-        scale = 0.35 / max(1e-3, (2 - 2 * least) ** 0.5 * (8 / 64) ** 0.5)
+    if scale is None:  # at 64 dimensions a pair at the threshold lies about 0.7 apart in a lattice of packing radius 0.71
+        scale = 0.7 / max(1e-3, (2 - 2 * least) ** 0.5 * (8 / 64) ** 0.5)
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(_usable(F.col("v")) & F.col("label").isNotNull(), F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))
