@@ -121,8 +121,8 @@ def fit_languages(
 
 def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs without the text, with lang_pred, score and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: languages x clusters x dims
-    return map_texts(docs, text_col, "lang_pred string, score double, rejected boolean", lambda: shared.value.predict)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded: languages x clusters x dims
+    return map_texts(docs, text_col, "lang_pred string, score double, rejected boolean", lambda: LanguageModel(**shared.value).predict)
 
 
 def is_held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):

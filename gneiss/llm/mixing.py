@@ -91,10 +91,11 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
 
 def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_tokens (runs without white space) and posterior (array, in the order of model.domains)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the vocabulary
 
     def make():
-        return lambda texts: [[len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts], shared.value.posteriors(texts).tolist()]
+        domain_model = DomainModel(**shared.value)
+        return lambda texts: [[len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts], domain_model.posteriors(texts).tolist()]
 
     return map_texts(docs, text_col, "n_tokens long, posterior array<double>", make)
 

@@ -377,13 +377,13 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
 
 def _mapped(docs: DataFrame, model_path: str, text_col: str, fields: list) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    model = spark.sparkContext.broadcast(load_model(model_path))  # bounded by the vocabulary
+    model = spark.sparkContext.broadcast(vars(load_model(model_path)))  # bounded by the vocabulary
     kept = [c for c in docs.columns if c != text_col]
     schema = T.StructType([docs.schema[c] for c in kept] + fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        encoder = Encoder(model.value)
+        encoder = Encoder(PieceModel(**model.value))
         for batch in batches:
             at = 0
             for part in _chunks(batch.column(text_col).to_pylist()):

@@ -188,12 +188,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 def judge_quality(docs: DataFrame, model: FlatTrees, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """docs without the text, with the base statistics, base_failed, p_good and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: trees x nodes
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded: trees x nodes
 
     def make():
+        trees = FlatTrees(**shared.value)
+
         def judge(texts):
             found = [statistics(t) for t in texts]
-            chance = shared.value.chance(np.array([f for _, f in found])).tolist() if found else []
+            chance = trees.chance(np.array([f for _, f in found])).tolist() if found else []
             return [*map(list, zip(*(b for b, _ in found))), chance] if found else [[]] * (len(BASE) + 1)
 
         return judge

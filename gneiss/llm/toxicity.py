@@ -106,5 +106,5 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """docs without the text, with severity, p_toxic, grade and toxic (p_toxic >= 0.5)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
-    return map_texts(docs, text_col, "severity double, p_toxic double, grade int, toxic boolean", lambda: shared.value.severity)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the vocabulary
+    return map_texts(docs, text_col, "severity double, p_toxic double, grade int, toxic boolean", lambda: OrdinalModel(**shared.value).severity)
