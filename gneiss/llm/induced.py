@@ -20,6 +20,7 @@ import heapq
 import os
 import tempfile
 from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -67,6 +68,64 @@ class DiskQueue:
         return heapq.heappop(self.heap)
 
 
+class BucketQueue:
+    """A priority queue of (symbol, position, common prefix), first in first out within a symbol.
+
+    Suffixes are induced into a symbol in their order, so a heap of the symbols
+    over a queue for each is enough.  Beyond ``memory`` entries all that is held
+    goes to disk as a run in symbol order; earlier runs come before later ones.
+    """
+
+    def __init__(self, folder: str, memory: int):
+        self.folder, self.memory, self.held = folder, max(2, memory), 0
+        self.queues: dict[int, deque] = {}
+        self.symbols: list[int] = []
+        self.heads: list[tuple] = []
+        self.runs: list[Iterator[tuple]] = []
+
+    def push(self, symbol: int, position: int, common: int) -> None:
+        queue = self.queues.get(symbol)
+        if queue is None:
+            queue = self.queues[symbol] = deque()
+            heapq.heappush(self.symbols, symbol)
+        queue.append((position, common))
+        self.held += 1
+        if self.held > self.memory:
+            self.spill()
+
+    def spill(self) -> None:
+        number, path = tempfile.mkstemp(dir=self.folder)
+        os.close(number)
+        rows = [(s, p, c) for s in sorted(self.queues) for p, c in self.queues[s]]
+        np.array(rows, np.int64).tofile(path)
+        self.queues, self.symbols, self.held = {}, [], 0
+        self.runs.append(_read(path, 3))
+        self.advance(len(self.runs) - 1)
+
+    def advance(self, run: int) -> None:
+        item = next(self.runs[run], None)
+        if item is not None:
+            heapq.heappush(self.heads, (item[0], run, item[1], item[2]))
+
+    def first(self) -> int | None:
+        """The smallest symbol held."""
+        if not self.heads:
+            return self.symbols[0] if self.symbols else None
+        return min(self.heads[0][0], self.symbols[0]) if self.symbols else self.heads[0][0]
+
+    def pop(self) -> tuple[int, int]:
+        if self.heads and (not self.symbols or self.heads[0][0] <= self.symbols[0]):
+            _, run, position, common = heapq.heappop(self.heads)
+            self.advance(run)
+            return position, common
+        queue = self.queues[self.symbols[0]]
+        item = queue.popleft()
+        self.held -= 1
+        if not queue:
+            del self.queues[heapq.heappop(self.symbols)]
+        return item
+
+
 def _read(path: str, width: int, backwards: bool = False) -> Iterator[tuple]:
     rows = os.path.getsize(path) // (8 * width)
     starts = range(0, rows, BLOCK)
@@ -172,9 +231,16 @@ class Sorter:
             yield from self._induce(text, small, seeds.read(), True)
             return
         order = DiskList(self.folder, self.memory, 1)  # largest first
-        for i, _ in self._induce(text, small, _drain(rough), False):
-            if is_seed(i):
+        if size <= self.memory:
+            starts = [i for i in range(1, size) if small[i] and not small[i - 1]]
+            # of two pieces one of which begins the other, the longer comes first
+            ends = dict(zip(starts, [*starts[1:], size - 1]))
+            for i in sorted(starts, key=lambda i: (*text[i : ends[i] + 1], float("inf")), reverse=True):
                 order.append((i,))
+        else:
+            for i, _ in self._induce(text, small, _drain(rough), False):
+                if is_seed(i):
+                    order.append((i,))
         name, last, named = 0, None, DiskQueue(self.folder, self.memory, 2)
         for (i,) in order.read(backwards=True):
             if last is not None and not self._same_piece(text, last, i, is_seed, size):
@@ -224,15 +290,16 @@ class Sorter:
         yield from self._back(text, small, larger.read(backwards=True), prefixes)
 
     def _pass(self, text, small, seeds, prefixes: bool, larger: DiskList) -> None:
-        queue = DiskQueue(self.folder, self.memory, 4)
+        queue = BucketQueue(self.folder, self.memory)
         passed, last_into = _Passed(), {}
         turn, before, seed = 0, None, next(seeds, None)
         while True:
-            top = queue.peek()
+            top = queue.first()
             if top is None and seed is None:
                 return
-            if seed is None or (top is not None and top[0] <= text[seed[0]]):
-                symbol, _, i, common = queue.pop()
+            if seed is None or (top is not None and top <= text[seed[0]]):
+                symbol = top
+                i, common = queue.pop()
                 larger.append((i, common))
                 kind = 0
             else:
@@ -251,20 +318,21 @@ class Sorter:
                 if prefixes:
                     shared = 1 + passed.least_since(last_into[into]) if into in last_into else 0
                     last_into[into] = turn
-                queue.push((into, turn, i - 1, shared))
+                queue.push(into, i - 1, shared)
 
     def _back(self, text, small, larger, prefixes: bool) -> Iterator[tuple[int, int]]:
-        queue = DiskQueue(self.folder, self.memory, 4)
+        queue = BucketQueue(self.folder, self.memory)  # of negated symbols: the largest first
         passed, last_into = _Passed(), {}
         turn, before, item = 0, None, next(larger, None)
         first = len(text) - 1  # the last suffix induces from nothing
-        queue.push((-int(text[first]), 0, first, 0)) if small[first] else None
+        if small[first]:
+            queue.push(-int(text[first]), first, 0)
         while True:
-            top = queue.peek()
+            top = queue.first()
             if top is None and item is None:
                 return
-            if item is None or (top is not None and -top[0] >= text[item[0]]):
-                symbol, _, i, common = queue.pop()
+            if item is None or (top is not None and -top >= text[item[0]]):
+                i, common = queue.pop()
                 kind, lower = 1, 0
             else:
                 i, lower = item
@@ -285,7 +353,7 @@ class Sorter:
                 if prefixes:
                     shared = 1 + passed.least_since(last_into[into]) if into in last_into else 0
                     last_into[into] = turn
-                queue.push((-into, turn, i - 1, shared))
+                queue.push(-into, i - 1, shared)
 
 
 def _drain(queue: DiskQueue) -> Iterator[tuple[int, int]]:

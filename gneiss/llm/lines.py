@@ -8,11 +8,12 @@ Jaccard similarity is verified on their whole shingle sets.  Linked classes form
 components by distributed union-find; of each component only the first line (by
 id, then position) stays.
 
-A band list is not expanded while it may hold one large group.  Rounds of pivots
-come first: every class of a list is compared with two pivots of the list, others
-in each round, and what is similar is united.  Lists that have become one
-component are done.  What pairs remain between different components of a list
-are then compared in full, so no link between components is lost.
+A band list of at most ``longest`` classes is compared pair by pair.  A longer one
+may hold one large group, so rounds of pivots come first: every class of a list is
+compared with a few pivots of the list, others in each round, and what is similar
+is united.  Lists that have become one component are done.  What pairs remain
+between different components of a list are then compared in full, so no link
+between components is lost.
 
 Edge cases: a null text has no lines and stays null; blank lines stay where they
 are; a line shorter than a shingle is one shingle; a text all of whose lines go
@@ -24,9 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.bloom import fixed_bloom, passing
 from gneiss.llm.components import connected_components
 from gneiss.llm.scratch import Scratch
 from gneiss.llm.texts import map_texts
@@ -34,73 +37,187 @@ from gneiss.llm.texts import map_texts
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_codes(line: str, width: int) -> np.ndarray:
-    """64-bit codes of the character shingles of a line, repeats included."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    count = max(1, len(codes) - width + 1)
-    mixed = np.zeros(count, np.uint64)
-    for k in range(min(width, len(codes))):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX + codes[k : k + count]
-    return mixed * _MIX
+def shingle_codes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the character shingles of all lines, repeats included, and where each line's begin.
+
+    A line shorter than a shingle is one shingle.
+    """
+    padded = [x if len(x) >= width else x + "\0" * (width - len(x)) for x in lines]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    mixed, size = (codes + np.uint64(1)) * _MIX, 1
+    whole, covered = None, 0
+    while True:  # codes of 1, 2, 4, ... characters; those in the binary form of the width are strung together
+        if width & size:
+            whole = mixed if whole is None else (whole[: len(mixed) - covered] ^ (whole[: len(mixed) - covered] >> np.uint64(31))) * _MIX + mixed[covered:]
+            covered += size
+        if covered == width:
+            break
+        mixed = (mixed[:-size] ^ (mixed[:-size] >> np.uint64(29))) * _MIX + mixed[size:]
+        size *= 2
+    sizes = np.array([len(x) for x in padded])
+    starts = np.cumsum(sizes) - sizes
+    inside = np.ones(len(codes), bool)
+    for k in range(1, width):
+        inside[starts + sizes - k] = False
+    whole = (whole ^ (whole >> np.uint64(32))) * _MIX
+    return whole[inside[: len(whole)]], np.cumsum(sizes - width + 1) - (sizes - width + 1)
 
 
 class Signer:
-    """Band keys of batches of lines."""
+    """Band keys of batches of lines.
+
+    Lines of fewer than SPLIT shingles are signed by independent hash functions,
+    longer ones by one hash function whose values are dealt into as many bins
+    (one-permutation hashing).  Lines near the split are signed in both ways, so
+    any two lines of the least similarity have a way in common.
+    """
 
-    def __init__(self, bands: int, rows: int, width: int, seed: int):
+    SPLIT = 400
+
+    def __init__(self, bands: int, rows: int, width: int, seed: int, least: float = 0.8):
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.width = bands, rows, width
+        self.bands, self.rows, self.width, self.least = bands, rows, width, least
         self.factors = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
         self.terms = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
 
-    def signatures(self, lines: list[str]) -> np.ndarray:
+    def minima(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """(lines, bands * rows) smallest values of each hash function."""
-        out = np.empty((len(lines), len(self.factors)), np.uint32)
-        at = 0
-        while at < len(lines):
-            parts, size, first = [], 0, at
-            while at < len(lines) and (size < 1 << 15 or not parts):
-                codes = shingle_codes(lines[at], self.width)
-                parts.append((codes >> np.uint64(32)).astype(np.uint32))
-                size += len(codes)
-                at += 1
-            flat = np.concatenate(parts)
-            starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-            for k, (a, b) in enumerate(zip(self.factors, self.terms)):
-                mixed = flat * a + b
-                mixed ^= mixed >> np.uint32(15)
-                out[first:at, k] = np.minimum.reduceat(mixed, starts)
+        flat = (codes >> np.uint64(32)).astype(np.uint32)
+        out = np.empty((len(starts), len(self.factors)), np.uint32)
+        mixed, moved = np.empty_like(flat), np.empty_like(flat)
+        for k, (a, b) in enumerate(zip(self.factors, self.terms)):
+            np.multiply(flat, a, out=mixed)
+            np.add(mixed, b, out=mixed)
+            np.right_shift(mixed, np.uint32(15), out=moved)
+            np.bitwise_xor(mixed, moved, out=mixed)
+            out[:, k] = np.minimum.reduceat(mixed, starts)
         return out
 
-    def keys(self, lines: list[str]) -> np.ndarray:
-        """(lines, bands) signed 64-bit keys, different for each band."""
-        sig = self.signatures(lines).astype(np.uint64).reshape(len(lines), self.bands, self.rows)
-        key = np.arange(self.bands, dtype=np.uint64) * _MIX + np.zeros((len(lines), 1), np.uint64)
+    def bins(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(lines, bands * rows) smallest value in each bin of one hash function; an empty bin takes the next one's."""
+        n = len(self.factors)
+        line = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(codes))))
+        value = (codes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+        place = line * np.uint64(n) + (codes >> np.uint64(48)) % np.uint64(n)
+        order = np.sort(place << np.uint64(32) | value)
+        first = np.append(True, (order[1:] >> np.uint64(32)) != (order[:-1] >> np.uint64(32)))
+        out = np.full(len(starts) * n, -1, np.int64)
+        out[(order[first] >> np.uint64(32)).astype(np.int64)] = (order[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        out = out.reshape(len(starts), n)
+        while (out < 0).any():
+            out = np.where(out < 0, np.roll(out, -1, axis=1), out)
+        return out.astype(np.uint32)
+
+    def banded(self, signature: np.ndarray, way: int) -> np.ndarray:
+        sig = signature.astype(np.uint64).reshape(len(signature), self.bands, self.rows)
+        key = (np.arange(self.bands, dtype=np.uint64) + np.uint64(way * self.bands)) * _MIX + np.zeros((len(sig), 1), np.uint64)
         for k in range(self.rows):
             key = (key ^ (key >> np.uint64(31))) * _MIX + sig[:, :, k]
         return (key * _MIX).view(np.int64)
 
+    def keys(self, lines: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[] for _ in lines]
+        size = np.array([max(1, len(x) - self.width + 1) for x in lines])
+        ways = [(self.minima, size < self.SPLIT / self.least), (self.bins, size >= self.SPLIT * self.least)]
+        for way, (sign, chosen) in enumerate(ways):
+            at = np.flatnonzero(chosen)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size[at]) >> 15)) + 1  # about 32,768 shingles at once
+            for part in np.split(at, cuts):
+                if len(part):
+                    found = self.banded(sign(*shingle_codes([lines[n] for n in part], self.width)), way)
+                    for n, row in zip(part.tolist(), found.tolist()):
+                        out[n].extend(row)
+        return out
+
 
-def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+def normal_line(line: str) -> str:
+    return " ".join(line.lower().split())
 
 
 def exact_jaccard(a: str, b: str, width: int) -> float:
-    x, y = np.unique(shingle_codes(a, width)), np.unique(shingle_codes(b, width))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+    return Verifier(width).jaccard(a, b)
+
 
+class Verifier:
+    """Jaccard similarity of whole shingle sets; remembers the sets of recent lines, such as pivots."""
 
-def _class_of(normal: Column) -> Column:
-    """16 bytes: two hashes with independent seeds."""
-    return F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in (F.xxhash64(normal), F.xxhash64(F.lit("second"), normal))])
+    def __init__(self, width: int, remembered: int = 4000):
+        self.width, self.remembered, self.known = width, remembered, {}
 
+    def shingles(self, line: str) -> np.ndarray:
+        found = self.known.get(line)
+        if found is None:
+            if len(self.known) >= self.remembered:
+                self.known.clear()
+            found = self.known[line] = np.unique(shingle_codes([line], self.width)[0])
+        return found
 
-def document_lines(known: DataFrame) -> DataFrame:
-    """(id, h, k, normal, class) of the lines that hold more than white space; known has (id, h, text), k counts from 0."""
-    lines = known.select("id", "h", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    lines = lines.select("id", "h", "k", normal_line(F.col("line")).alias("normal")).where("normal <> ''")
-    return lines.withColumn("class", _class_of(F.col("normal")))
+    def jaccard(self, a: str, b: str, least: float = 0.0) -> float:
+        """Exact, but 0 where the sizes of the sets already rule ``least`` out."""
+        x, y = self.shingles(a), self.shingles(b)
+        if min(len(x), len(y)) < least * max(len(x), len(y)):
+            return 0.0
+        both = np.sort(np.concatenate([x, y]))
+        shared = int((both[1:] == both[:-1]).sum())
+        return shared / (len(x) + len(y) - shared)
+
+
+def signed_lines(known: DataFrame, signer: Signer) -> DataFrame:
+    """(id, h, k, class, keys) of the lines that hold more than white space; known has (id, h, text), k counts from 0.
+
+    The class is a 128-bit hash of the normalised line.  Band keys stand only with
+    the first line of a class in each task.
+    """
+
+    def make():
+        seen: set = set()
+
+        def sign(texts: list) -> list[list]:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            out, fresh, places = [], [], []
+            for text in texts:
+                rows = []
+                for k, line in enumerate((text or "").split("\n")):
+                    normal = normal_line(line)
+                    if normal:
+                        name = xxhash.xxh3_128_digest(normal)
+                        rows.append([k, name, None])
+                        if name not in seen:
+                            seen.add(name)
+                            fresh.append(normal)
+                            places.append(rows[-1])
+                out.append(rows)
+            for row, keys in zip(places, signer.keys(fresh) if fresh else []):
+                row[2] = keys
+            return [[[{"k": k, "class": c, "keys": keys} for k, c, keys in rows] for rows in out]]
+
+        return sign
+
+    rows = map_texts(known, "text", "lines array<struct<k:int,class:binary,keys:array<long>>>", make)
+    return rows.select("id", "h", F.explode("lines").alias("x")).select("id", "h", "x.*")
+
+
+def line_texts(known: DataFrame, places: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(class, normal) of the lines at places (id, h, k, class); grouped by document, which bounds the lists."""
+    wanted = places.groupBy("id", "h").agg(F.collect_list(F.struct("k", "class")).alias("ks"))
+    size = places.count() * 64
+    wanted = wanted.withColumnsRenamed({"id": "__id", "h": "__h"})
+    wanted = F.broadcast(wanted) if size <= broadcast_bytes else wanted.hint("merge")
+    both = known.join(wanted, (F.col("id") == F.col("__id")) & (F.col("h") == F.col("__h"))).select(F.struct("text", "ks").alias("both"))
+
+    def make():
+        def pick(rows: list) -> list[list]:
+            out = []
+            for r in rows:
+                lines = r["text"].split("\n")
+                out.append([{"class": x["class"], "normal": normal_line(lines[x["k"]])} for x in r["ks"]])
+            return [out]
+
+        return pick
+
+    found = map_texts(both, "both", "found array<struct<class:binary,normal:string>>", make)
+    return found.select(F.explode("found").alias("x")).select("x.*").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
@@ -109,66 +226,93 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> D
     right = texts.select(F.col("class").alias("b"), F.col("normal").alias("tb"))
 
     def run(batches):
+        verifier = Verifier(width)
         for batch in batches:
-            keep = [exact_jaccard(x, y, width) >= least for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
+            keep = [verifier.jaccard(x, y, least) >= least for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def candidate_lists(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, class): the band lists that hold more than one class, each class once."""
+    postings = lines.where("keys is not null").select("class", "keys")
+    lists = scratch.keep(postings.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    bits = lines.sparkSession.sparkContext.broadcast(fixed_bloom(lists))
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, sizes = keys.flatten().to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy())
+            keep = passing(flat, bits.value)
+            owner = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(owner)), pa.array(flat[keep])], names=["class", "key"])
+
+    found = postings.mapInArrow(run, "class binary, key long").join(lists.hint("merge"), "key").distinct()
+    found = scratch.keep(found.select("key", "class"))
+    true = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return scratch.keep(found.join(true.hint("merge"), "key").select("key", "class"))
+
+
 def line_components(
-    lines: DataFrame, scratch: Scratch, least: float = 0.8, width: int = 9, bands: int = 10, rows: int = 4, seed: int = 5, rounds: int = 5
+    known: DataFrame, lines: DataFrame, scratch: Scratch, least: float = 0.8, width: int = 9, longest: int = 40, rounds: int = 2, broadcast_bytes: int = 32 << 20
 ) -> DataFrame:
-    """(class, root) of the classes that are linked to others; lines has (class, normal), classes may repeat."""
-    signer = Signer(bands, rows, width, seed)
-
-    def make():
-        return lambda texts: [signer.keys(texts).tolist() if texts else []]
-
-    signed = scratch.keep(map_texts(lines.select("class", "normal"), "normal", "keys array<long>", make).distinct())
-    postings = signed.select("class", F.explode("keys").alias("key"))
-    lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    listed = scratch.keep(postings.join(lists.hint("merge"), "key"))
-    scratch.drop(signed)
-    wanted = scratch.keep(listed.select("class").distinct())
-    texts = scratch.keep(lines.select("class", "normal").join(wanted.hint("merge"), "class", "left_semi").dropDuplicates(["class"]))
-    links, pending = None, listed.select("key", "class", F.col("class").alias("root"))
+    """(class, root) of the classes that are linked to others; lines comes from signed_lines(known)."""
+    listed = candidate_lists(lines, scratch)
+    wanted = listed.select("class").distinct()
+    first = lines.select("class", "id", "h", "k").join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("id", "h", "k")).alias("at"))
+    places = scratch.keep(first.select("class", "at.*"))
+    texts = scratch.keep(line_texts(known, places, broadcast_bytes))
+    sized = scratch.keep(listed.join(listed.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key"))
+    short = sized.where(F.col("n") <= longest)
+    pairs = short.select("key", F.col("class").alias("a")).join(short.select("key", F.col("class").alias("b")).hint("merge"), "key").where("a < b").select("a", "b")
+    long = scratch.keep(sized.where(F.col("n") > longest).select("key", "class"))
+    pending = long.withColumn("root", F.col("class"))
+    links = roots = None
     for turn in range(rounds):
-        order = [F.xxhash64("class", F.lit(2 * turn + k)) for k in (0, 1)]
-        chosen = pending.groupBy("key").agg(*[F.min_by(F.struct("class", "root"), o).alias(f"p{k}") for k, o in enumerate(order)])
-        chosen = chosen.select("key", F.explode(F.array("p0", "p1")).alias("p")).select("key", F.col("p.class").alias("pivot"), F.col("p.root").alias("other"))
-        pairs = pending.join(chosen.hint("merge"), "key").where("class <> pivot and (root <> other)")
-        pairs = pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-        found = scratch.keep(_verified(pairs, texts, least, width))
+        chosen = _pivots(pending, turn)
+        more = pending.join(chosen.hint("merge"), "key").where("class <> pivot and root <> other")
+        more = more.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
+        found = scratch.keep(_verified((pairs.union(more) if links is None else more).distinct(), texts, least, width))
         links = found if links is None else scratch.keep(links.union(found))
         roots = scratch.keep(connected_components(links, scratch))
-        fresh = listed.join(roots.hint("merge"), F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-        fresh = scratch.keep(fresh)
-        parts = fresh.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        parts = scratch.keep(parts.where("n > 2 and same < n * n"))  # both pairs of a list of two were compared
-        cross = parts.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if cross[0] is None:
+        pending = _split_lists(long, roots, scratch)
+        if pending.isEmpty():
             return roots.select(F.col("node").alias("class"), "root")
-        pending = scratch.keep(fresh.join(parts.select("key").hint("merge"), "key"))
-        if cross[0] <= 8 * cross[1]:
-            break
     left = pending.select("key", F.col("class").alias("a"), F.col("root").alias("ra"))
     right = pending.select("key", F.col("class").alias("b"), F.col("root").alias("rb"))
     rest = left.join(right.hint("merge"), "key").where("a < b and ra <> rb").select("a", "b").distinct()
     found = scratch.keep(_verified(rest, texts, least, width))
-    if found.isEmpty():
-        return roots.select(F.col("node").alias("class"), "root")
-    roots = connected_components(scratch.keep(links.union(found)), scratch)
+    if not found.isEmpty():
+        roots = connected_components(scratch.keep(links.union(found)), scratch)
     return roots.select(F.col("node").alias("class"), "root")
 
 
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, **how) -> DataFrame:
+def _pivots(pending: DataFrame, turn: int, count: int = 4) -> DataFrame:
+    """(key, pivot, other): some classes of each list in a hash order of the turn, with their roots."""
+    order = [F.xxhash64("class", F.lit(count * turn + k)) for k in range(count)]
+    chosen = pending.groupBy("key").agg(*[F.min_by(F.struct("class", "root"), o).alias(f"p{k}") for k, o in enumerate(order)])
+    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(count)]))).alias("p"))
+    return chosen.select("key", F.col("p.class").alias("pivot"), F.col("p.root").alias("other"))
+
+
+def _split_lists(long: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, class, root) of the lists whose classes are not all of one component yet."""
+    fresh = long.join(roots.hint("merge"), F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    fresh = scratch.keep(fresh)
+    parts = fresh.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
+    return scratch.keep(fresh.join(parts.hint("merge"), "key"))
+
+
+def duplicate_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, least: float = 0.8, width: int = 9, bands: int = 10, rows: int = 4, seed: int = 5, **how
+) -> DataFrame:
     """(id, h, k): the lines to drop; h tells rows with the same id apart by their text."""
     scratch = scratch or Scratch(docs.sparkSession)
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    lines = document_lines(known)
-    roots = line_components(lines.select("class", "normal"), scratch, **how)
-    places = scratch.keep(lines.select("id", "h", "k", "class"))
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    lines = scratch.keep(signed_lines(known, Signer(bands, rows, width, seed, least)))
+    roots = line_components(known, lines, scratch, least, width, **how)
+    places = lines.select("id", "h", "k", "class")
     first = places.groupBy("class").agg(F.min(F.struct("id", "h", "k")).alias("at"), F.count("*").alias("n"))
     grouped = first.join(roots.hint("merge"), "class", "left").select("class", "at", "n", F.coalesce("root", "class").alias("root"))
     grouped = scratch.keep(grouped)
@@ -187,7 +331,7 @@ def drop_duplicate_lines(
     broadcast_bytes, and joined by shuffle otherwise.
     """
     scratch = Scratch(docs.sparkSession)
-    gone = duplicate_lines(docs, id_col, text_col, scratch, **how)
+    gone = duplicate_lines(docs, id_col, text_col, scratch, broadcast_bytes=broadcast_bytes, **how)
     gone = gone.groupBy("id", "h").agg(F.collect_set("k").alias("__gone")).withColumnsRenamed({"id": "__id", "h": "__h"})
     gone = scratch.keep(gone)
     size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size("__gone")), F.lit(0))).first()[0]

@@ -13,11 +13,12 @@ is removed.  A string is known by the start of its window.
 4. Different segments of an anchor are cut at fixed offsets from the anchor into
    blocks of ``BLOCK`` windows.  All windows of a block share its core, so only
    blocks with equal cores can hold equal windows.
-5. Blocks that share a core are sorted: the bytes left of the core, one symbol
+5. Equal blocks are repeated as a whole. The different blocks of a core are
+   sorted: the bytes left of the core, one symbol
    for the core, the bytes right of it, as one text per shard, by external
    induced sorting with common prefixes.  Neighbours whose common prefix covers
-   a whole window are repeated.  A core with more than ``most_blocks`` blocks
-   takes another exact way, a count of its window hashes, which spreads over
+   a whole window are repeated.  A core with more than ``most_blocks`` different
+   blocks takes another exact way, a count of its window hashes, which spreads over
    tasks.
 
 Hashes that stand for contents are at least 128 bits together with their anchor.
@@ -45,7 +46,7 @@ from gneiss.llm.scratch import Scratch
 from gneiss.llm.texts import map_texts
 
 GRAM = 32
-BLOCK = 16
+BLOCK = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = 24  # bits of a position; longer texts are cut into overlapping parts
 _PART = (1 << _PLACE) - 1
@@ -95,7 +96,7 @@ def segments(raws: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return own, at - starts[own], count, anchor[at] - starts[own], grams[anchor[at]].view(np.int64)
 
 
-def _batches_of(raws: list[bytes], length: int, most: int = 1 << 22) -> Iterator[tuple[int, list[bytes], list[int]]]:
+def _batches_of(raws: list[bytes], length: int, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes], list[int]]]:
     """(number of the first text, parts, offset of each part) of bounded size; only very long texts are cut."""
     group: list[bytes] = []
     size = first = 0
@@ -191,16 +192,27 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_
     wanted = wanted.select("at.id", "at.h", F.struct("anchor", "seg", "core", "j", "n", "sharing", F.col("at.p").alias("p"), F.col("at.off").alias("off"), F.col("at.count").alias("count")).alias("w"))
     wanted = scratch.keep(wanted.groupBy("id", "h").agg(F.collect_list("w").alias("ws")))  # bounded by the document's own length
     bytes_of = _block_bytes(docs, wanted, length)
-    bytes_of = scratch.keep(bytes_of)
-    sorted_runs = _sorted_repeats(bytes_of.where(F.col("sharing") <= most_blocks), length)
-    hashed_runs = _hashed_repeats(bytes_of.where(F.col("sharing") > most_blocks), length)
-    part = sorted_runs.unionByName(hashed_runs).groupBy("anchor", "seg").agg(F.collect_set("off").alias("offs"))
-    part = scratch.keep(part)  # at most ``length`` offsets a segment
+    bytes_of = scratch.keep(bytes_of.withColumn("variant", F.xxhash64("core", "first", "left", "right")))
+    key = ["anchor", "core", "variant"]
+    variants = bytes_of.groupBy(*key).agg(F.count("*").alias("m"), F.min("first").alias("first"), F.min("left").alias("left"), F.min("right").alias("right"))
+    variants = scratch.keep(variants)  # equal blocks are repeated as a whole and go on once
+    kinds = variants.groupBy("anchor", "core").agg(F.count("*").alias("kinds"), F.min("m").alias("fewest")).where("kinds > 1 and fewest = 1")
+    open_ones = scratch.keep(variants.join(kinds.drop("fewest").hint("merge"), ["anchor", "core"]))
+    sorted_runs = _sorted_repeats(open_ones.where(F.col("kinds") <= most_blocks), length)
+    hashed_runs = _hashed_repeats(open_ones.where(F.col("kinds") > most_blocks), length)
+    equal = variants.where("m > 1").select(*key, F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + _last_start("left", "right")).cast("int"))).alias("off"))
+    told = sorted_runs.unionByName(hashed_runs).unionByName(equal).groupBy(*key).agg(F.collect_set("off").alias("offs"))
+    told = scratch.keep(told)  # at most BLOCK offsets each
+    part = bytes_of.select("anchor", "seg", "core", "variant").join(told.hint("merge"), key)
+    part = scratch.keep(part.groupBy("anchor", "seg").agg(F.array_distinct(F.flatten(F.collect_list("offs"))).alias("offs")))  # at most ``length`` offsets a segment
     places = found.select("anchor", "seg", "id", "h", "off", "count", "places")
     runs = places.join(whole.hint("merge"), ["anchor", "seg"]).select("id", "h", F.explode("places").alias("p"), "off", "count")
     runs = runs.select("id", "h", (F.col("p") + F.col("off")).alias("start"), "count")
-    some = places.drop("off", "count").join(part.hint("merge"), ["anchor", "seg"]).select("id", "h", F.explode("places").alias("p"), "offs")
-    some = some.select("id", "h", "p", F.explode("offs").alias("off")).select("id", "h", (F.col("p") + F.col("off")).alias("start"), F.lit(1).alias("count"))
+    firsts = F.array_sort(F.filter("offs", lambda x: ~F.array_contains("offs", x - 1)))
+    lasts = F.array_sort(F.filter("offs", lambda x: ~F.array_contains("offs", x + 1)))
+    part = part.select("anchor", "seg", F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("off"), (b - a + 1).alias("count"))).alias("runs"))
+    some = places.drop("off", "count").join(part.hint("merge"), ["anchor", "seg"]).select("id", "h", "places", F.explode("runs").alias("run"))
+    some = some.select("id", "h", F.explode("places").alias("p"), "run").select("id", "h", (F.col("p") + F.col("run.off")).alias("start"), "run.count")
     return runs.union(some)
 
 
@@ -228,22 +240,30 @@ def _block_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "anchor long, seg long, core long, n long, sharing long, first long, left binary, right binary")
 
 
+def _last_start(left: str, right: str):
+    """Offset of a block's last window from its first, as a column.
+
+    The first starts at the beginning of left; the last needs all of right.
+    """
+    return F.least(F.length(left), F.lit(1 - BLOCK) + F.length(left) + F.length(right))
+
+
 def _hashed_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """(anchor, seg, off) of repeated windows, by counting 128-bit hashes of what lies around the core."""
+    """(anchor, core, variant, off) of repeated windows, by counting 128-bit hashes of what lies around the core."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for a, s, c, f, left, right in zip(*(batch.column(k).to_pylist() for k in ("anchor", "seg", "core", "first", "left", "right"))):
+            for a, v, c, f, left, right in zip(*(batch.column(k).to_pylist() for k in ("anchor", "variant", "core", "first", "left", "right"))):
                 for x, need in _starts(left, right):
                     digest = xxhash.xxh3_128_digest(bytes([x - len(left) + BLOCK]) + left[x:] + right[:need])
-                    for into, v in zip(out, (a, s, c, f + x, digest)):
-                        into.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.binary())], names=["anchor", "seg", "core", "off", "digest"])
+                    for into, value in zip(out, (a, v, c, f + x, digest)):
+                        into.append(value)
+            yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.binary())], names=["anchor", "variant", "core", "off", "digest"])
 
-    windows = rows.mapInArrow(run, "anchor long, seg long, core long, off long, digest binary")
+    windows = rows.mapInArrow(run, "anchor long, variant long, core long, off long, digest binary")
     twice = windows.groupBy("anchor", "core", "digest").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return windows.join(twice.hint("merge"), ["anchor", "core", "digest"]).select("anchor", "seg", F.col("off").cast("int"))
+    return windows.join(twice.hint("merge"), ["anchor", "core", "digest"]).select("anchor", "core", "variant", F.col("off").cast("int").alias("off"))
 
 
 def _starts(left: bytes, right: bytes) -> list[tuple[int, int]]:
@@ -254,15 +274,16 @@ def _starts(left: bytes, right: bytes) -> list[tuple[int, int]]:
     return [(x, need) for x in range(len(left) + 1) if 0 <= (need := BLOCK - 1 - (len(left) - x)) <= len(right)]
 
 
-def _sorted_repeats(rows: DataFrame, length: int, memory: int = 1 << 18) -> DataFrame:
-    """(anchor, seg, off) of repeated windows, by suffix sorting the blocks of each shard (a partition by core)."""
+def _sorted_repeats(rows: DataFrame, length: int, memory: int = 1 << 18, blocks_per_shard: int = 12_000) -> DataFrame:
+    """(anchor, core, variant, off) of repeated windows, by suffix sorting the blocks of each shard (a partition by core)."""
 
     def run(batches):
         with tempfile.TemporaryDirectory() as folder:
             yield from _sort_shard(batches, folder, memory)
 
-    dealt = rows.repartition("anchor", "core").select("anchor", "seg", "core", "n", "first", "left", "right")
-    return dealt.mapInArrow(run, "anchor long, seg long, off int")
+    shards = -(-rows.count() // blocks_per_shard) or 1
+    dealt = rows.repartition(shards, "anchor", "core").select("anchor", "variant", "core", "first", "left", "right")
+    return dealt.mapInArrow(run, "anchor long, core long, variant long, off int")
 
 
 def _sort_shard(batches: Iterator[pa.RecordBatch], folder: str, memory: int) -> Iterator[pa.RecordBatch]:
@@ -272,18 +293,18 @@ def _sort_shard(batches: Iterator[pa.RecordBatch], folder: str, memory: int) ->
     blocks = symbols = 0
     with open(info_path, "wb") as info, open(text_path, "wb") as text:
         for batch in batches:
-            for a, s, c, f, left, right in zip(*(batch.column(k).to_pylist() for k in ("anchor", "seg", "core", "first", "left", "right"))):
+            for a, v, c, f, left, right in zip(*(batch.column(k).to_pylist() for k in ("anchor", "variant", "core", "first", "left", "right"))):
                 number = cores.setdefault((a, c), len(cores))
                 # a block reads: a mark of its own (negative), left, the core, right
                 part = [-2 - blocks, *left, 256 + number, *right]
                 np.array(part, np.int64).tofile(text)
-                np.array([a, s, f, symbols, len(left), len(right)], np.int64).tofile(info)
+                np.array([a, c, v, f, symbols, len(left), len(right)], np.int64).tofile(info)
                 symbols += len(part)
                 blocks += 1
     if blocks < 2:
         return
-    blocks_info = np.memmap(info_path, np.int64, "r").reshape(-1, 6)
-    firsts = np.ascontiguousarray(blocks_info[:, 3])
+    blocks_info = np.memmap(info_path, np.int64, "r").reshape(-1, 7)
+    firsts = np.ascontiguousarray(blocks_info[:, 4])
 
     def stream():
         whole = np.memmap(text_path, np.int64, "r")
@@ -297,13 +318,13 @@ def _sort_shard(batches: Iterator[pa.RecordBatch], folder: str, memory: int) ->
         n = int(np.searchsorted(firsts, position, side="right")) - 1 if position < symbols else -1
         here = None
         if n >= 0:
-            anchor, seg, first, start, left, right = blocks_info[n].tolist()
+            anchor, core, variant, first, start, left, right = blocks_info[n].tolist()
             x = position - start - 1
             need = BLOCK - 1 - (left - x)
             if 0 <= x <= left and 0 <= need <= right:
-                here = (anchor, seg, first + x, left - x + 1 + need)
-        if here is not None and last is not None and common >= here[3]:
-            out += [last[:3], here[:3]]
+                here = (anchor, core, variant, first + x, left - x + 1 + need)
+        if here is not None and last is not None and common >= here[4]:
+            out += [last[:4], here[:4]]
         last = here
         if len(out) > 20_000:
             yield _offsets(out)
@@ -312,8 +333,8 @@ def _sort_shard(batches: Iterator[pa.RecordBatch], folder: str, memory: int) ->
 
 
 def _offsets(rows: list[tuple]) -> pa.RecordBatch:
-    a, s, o = zip(*set(rows)) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(o, pa.int32())], names=["anchor", "seg", "off"])
+    *ids, offs = zip(*set(rows)) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([*(pa.array(i, pa.int64()) for i in ids), pa.array(offs, pa.int32())], names=["anchor", "core", "variant", "off"])
 
 
 def _cut(raw: bytes, runs: list | None, length: int) -> tuple[list, bytes]:

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows that are held as Python objects at once.
+ROWS = 1000
+
 
 def map_texts(rows: DataFrame, text_col: str, new: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """rows without text_col, with the columns of the DDL string ``new``.
 
     make() runs once per task; the function it returns takes the list of texts of
-    a batch (None for null) and returns one list per new column.
+    some rows (None for null) and returns one list per new column.
     """
     fields = T._parse_datatype_string(new).fields
     kept = [c for c in rows.columns if c != text_col]
@@ -24,9 +27,11 @@ def map_texts(rows: DataFrame, text_col: str, new: str, make: Callable[[], Calla
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            made = fn(batch.column(text_col).to_pylist())
-            columns = [batch.column(c).cast(arrow.field(c).type) for c in kept]
-            columns += [pa.array(v, arrow.field(f.name).type) for v, f in zip(made, fields)]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                made = fn(part.column(text_col).to_pylist())
+                columns = [part.column(c).cast(arrow.field(c).type) for c in kept]
+                columns += [pa.array(v, arrow.field(f.name).type) for v, f in zip(made, fields)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return rows.mapInArrow(run, schema)

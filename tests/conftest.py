@@ -5,7 +5,7 @@ from gneiss.session import get_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_session(cpus=4, shuffle_partitions=4)
+    session = get_session(cpus=3, shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

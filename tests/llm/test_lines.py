@@ -1,5 +1,4 @@
 import random
-import re
 
 import numpy as np
 import pytest
@@ -11,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def normal(line):
-    return re.sub(r"[ \t\n\x0b\f\r]+", " ", line.lower()).strip(" ")
+    return " ".join(line.lower().split())
 
 
 def shingles(line, width=9):
@@ -51,17 +50,17 @@ def variants(rnd, base, count):
         yield " ".join(w)
 
 
-@pytest.mark.parametrize("rounds", [1, 5])
-def test_matches_brute_force(spark, rounds):
+@pytest.mark.parametrize("longest", [2, 40])
+def test_matches_brute_force(spark, longest):
     rnd = random.Random(3)
     base = [" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n)) for n in (20, 40, 60)]
     made = [v for b in base for v in variants(rnd, b, 25)] + ["Short", "short ", "SHORT", "tiny", "a b", "A  b", "é", ""]
     rnd.shuffle(made)
     rows = [(i, "\n".join(made[3 * i : 3 * i + 3]) + rnd.choice(["", "\n", "\n \n"])) for i in range(len(made) // 3)] + [(90, None), (91, ""), (None, "short"), (92, "\n\n")]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, line string")
-    got = {r.doc_id: r.text for r in lines.drop_duplicate_lines(docs, rounds=rounds).collect()}
+    got = {r.doc_id: r.text for r in lines.drop_duplicate_lines(docs, longest=longest).collect()}
     assert got == {i: t for (i, _), t in zip(rows, slow(rows))}
-    far = {r.doc_id: r.text for r in lines.drop_duplicate_lines(docs, rounds=rounds, broadcast_bytes=0).collect()}
+    far = {r.doc_id: r.text for r in lines.drop_duplicate_lines(docs, longest=longest, broadcast_bytes=0).collect()}
     assert far == got
 
 
@@ -84,8 +83,30 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_signatures_estimate_similarity():
     rnd = random.Random(1)
-    base = " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(60))
-    other = next(variants(rnd, base, 1))
-    sig = lines.Signer(100, 4, 9, 1).signatures([base, other, "x"])
-    assert abs((sig[0] == sig[1]).mean() - lines.exact_jaccard(base, other, 9)) < 0.08
-    assert np.array_equal(sig[0], lines.Signer(100, 4, 9, 1).signatures([base])[0])
+    signer = lines.Signer(100, 4, 9, 1)
+    for n, sign in ((60, signer.minima), (900, signer.bins)):
+        base = " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(n))
+        words = base.split()
+        for k in range(0, n, 25):
+            words[k] = "other"
+        other = " ".join(words)
+        sig = sign(*lines.shingle_codes([base, other, base], 9))
+        assert abs((sig[0] == sig[1]).mean() - lines.exact_jaccard(base, other, 9)) < 0.08
+        assert np.array_equal(sig[0], sig[2])
+
+
+@pytest.mark.parametrize("width", [1, 3, 8, 9])
+def test_shingles_are_those_of_each_line(width):
+    made = ["abcdefghijkl", "abc", "xabcdefghijk", "é"]
+    codes, starts = lines.shingle_codes(made, width)
+    per = [c.tolist() for c in np.split(codes, starts[1:])]
+    sets = [[x[i : i + width] for i in range(max(1, len(x) - width + 1))] for x in made]
+    assert [len(c) for c in per] == [len(s) for s in sets]
+    pairs = {(a, b) for c, s in zip(per, sets) for a, b in zip(c, s)}
+    assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+
+def test_lines_near_the_split_share_a_way():
+    signer = lines.Signer(10, 4, 9, 5)
+    sizes = [len(k) for k in signer.keys(["x" * n for n in (100, 330, 450, 600)])]
+    assert sizes == [10, 20, 20, 10]

@@ -54,7 +54,7 @@ def test_matches_brute_force(spark, most_blocks, broadcast):
 
 
 def test_sorter_spills(spark, monkeypatch):
-    monkeypatch.setattr(passages._sorted_repeats, "__defaults__", (50,))
+    monkeypatch.setattr(passages._sorted_repeats, "__defaults__", (50, 10**9))
     texts = sample(random.Random(7))
     got, _ = run(spark, list(enumerate(texts)))
     assert {i: g for i, g in got.items()} == dict(enumerate(slow(texts, 200)))
