@@ -8,6 +8,11 @@ Jaccard similarity is verified on their whole shingle sets.  Linked classes form
 components by distributed union-find; of each component only the first line (by
 id, then position) stays.
 
+Each class in a list carries the number of its shingles and a parity sketch of
+them.  Two sketches differ in no more bits than the sets differ in shingles, so a
+pair whose sketches differ in too many bits is below the similarity for certain
+and is dropped inside the join; only the others meet their texts.
+
 A band list of at most ``longest`` classes is compared pair by pair.  A longer one
 may hold one large group, so rounds of pivots come first: every class of a list is
 compared with a few pivots of the list, others in each round, and what is similar
@@ -26,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.bloom import fixed_bloom, passing
@@ -198,8 +203,30 @@ def signed_lines(known: DataFrame, signer: Signer) -> DataFrame:
     return rows.select("id", "h", F.explode("lines").alias("x")).select("id", "h", "x.*")
 
 
-def line_texts(known: DataFrame, places: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """(class, normal) of the lines at places (id, h, k, class); grouped by document, which bounds the lists."""
+#: 64-bit words of a parity sketch.
+SKETCH_WORDS = 4
+
+
+def parity_sketch(shingles: np.ndarray) -> list[int]:
+    """Words of a bitmap with the parity of the number of distinct codes in each place."""
+    place = (shingles >> np.uint64(32)) % np.uint64(64 * SKETCH_WORDS)
+    odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def may_be_similar(x: str, y: str, least: float) -> Column:
+    """False only if the sketches of x and y rule a Jaccard similarity of least out.
+
+    Of sets with n shingles in all, of which d are in one set only, it is (n - d) / (n + d).
+    """
+    both = F.col(f"{x}.size") + F.col(f"{y}.size")
+    apart = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size"))
+    bits = sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    return F.greatest(bits, apart) <= both * F.lit((1 - least) / (1 + least) + 1e-9)
+
+
+def line_texts(known: DataFrame, places: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
+    """(class, normal, sketch) of the lines at places (id, h, k, class); grouped by document, which bounds the lists."""
     wanted = places.groupBy("id", "h").agg(F.collect_list(F.struct("k", "class")).alias("ks"))
     size = places.count() * 64
     wanted = wanted.withColumnsRenamed({"id": "__id", "h": "__h"})
@@ -211,12 +238,19 @@ def line_texts(known: DataFrame, places: DataFrame, broadcast_bytes: int) -> Dat
             out = []
             for r in rows:
                 lines = r["text"].split("\n")
-                out.append([{"class": x["class"], "normal": normal_line(lines[x["k"]])} for x in r["ks"]])
+                found = []
+                for x in r["ks"]:
+                    normal = normal_line(lines[x["k"]])
+                    shingles = np.unique(shingle_codes([normal], width)[0])
+                    sketch = {"size": len(shingles)} | {f"w{k}": w for k, w in enumerate(parity_sketch(shingles))}
+                    found.append({"class": x["class"], "normal": normal, "sketch": sketch})
+                out.append(found)
             return [out]
 
         return pick
 
-    found = map_texts(both, "both", "found array<struct<class:binary,normal:string>>", make)
+    sketch = ",".join(["size:int", *(f"w{k}:long" for k in range(SKETCH_WORDS))])
+    found = map_texts(both, "both", f"found array<struct<class:binary,normal:string,sketch:struct<{sketch}>>>", make)
     return found.select(F.explode("found").alias("x")).select("x.*").dropDuplicates(["class"])
 
 
@@ -262,43 +296,52 @@ def line_components(
     wanted = listed.select("class").distinct()
     first = lines.select("class", "id", "h", "k").join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("id", "h", "k")).alias("at"))
     places = scratch.keep(first.select("class", "at.*"))
-    texts = scratch.keep(line_texts(known, places, broadcast_bytes))
-    sized = scratch.keep(listed.join(listed.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key"))
-    short = sized.where(F.col("n") <= longest)
-    pairs = short.select("key", F.col("class").alias("a")).join(short.select("key", F.col("class").alias("b")).hint("merge"), "key").where("a < b").select("a", "b")
-    long = scratch.keep(sized.where(F.col("n") > longest).select("key", "class"))
+    texts = scratch.keep(line_texts(known, places, width, broadcast_bytes))
+    listed = scratch.keep(listed.join(texts.select("class", "sketch").hint("merge"), "class"))
+    counts = scratch.keep(listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > longest).select("key"))
+    short = listed.join(counts, "key", "left_anti")
+    left = short.select("key", F.col("class").alias("a"), F.col("sketch").alias("sa"))
+    right = short.select("key", F.col("class").alias("b"), F.col("sketch").alias("sb"))
+    pairs = left.join(right.hint("merge"), "key").where("a < b").where(may_be_similar("sa", "sb", least)).select("a", "b")
+    long = scratch.keep(listed.join(counts, "key", "left_semi").select("key", "class", "sketch"))
     pending = long.withColumn("root", F.col("class"))
     links = roots = None
     for turn in range(rounds):
         chosen = _pivots(pending, turn)
-        more = pending.join(chosen.hint("merge"), "key").where("class <> pivot and root <> other")
+        more = pending.join(chosen.hint("merge"), "key").where("class <> pivot and root <> other").where(may_be_similar("sketch", "pivot_sketch", least))
         more = more.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
-        found = scratch.keep(_verified((pairs.union(more) if links is None else more).distinct(), texts, least, width))
-        links = found if links is None else scratch.keep(links.union(found))
+        tried = scratch.keep((pairs.union(more) if roots is None else more).distinct())
+        found = scratch.keep(_verified(tried, texts, least, width))
+        links = found if roots is None else _united(roots, found)
         roots = scratch.keep(connected_components(links, scratch))
         pending = _split_lists(long, roots, scratch)
         if pending.isEmpty():
             return roots.select(F.col("node").alias("class"), "root")
-    left = pending.select("key", F.col("class").alias("a"), F.col("root").alias("ra"))
-    right = pending.select("key", F.col("class").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right.hint("merge"), "key").where("a < b and ra <> rb").select("a", "b").distinct()
-    found = scratch.keep(_verified(rest, texts, least, width))
+    left = pending.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
+    right = pending.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
+    rest = left.join(right.hint("merge"), "key").where("a < b and ra <> rb").where(may_be_similar("sa", "sb", least)).select("a", "b").distinct()
+    found = scratch.keep(_verified(scratch.keep(rest), texts, least, width))
     if not found.isEmpty():
-        roots = connected_components(scratch.keep(links.union(found)), scratch)
+        roots = connected_components(_united(roots, found), scratch)
     return roots.select(F.col("node").alias("class"), "root")
 
 
+def _united(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of roots, as stars, and the found links."""
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+
+
 def _pivots(pending: DataFrame, turn: int, count: int = 4) -> DataFrame:
-    """(key, pivot, other): some classes of each list in a hash order of the turn, with their roots."""
+    """(key, pivot, other, pivot_sketch): some classes of each list in a hash order of the turn, with their roots."""
     order = [F.xxhash64("class", F.lit(count * turn + k)) for k in range(count)]
-    chosen = pending.groupBy("key").agg(*[F.min_by(F.struct("class", "root"), o).alias(f"p{k}") for k, o in enumerate(order)])
+    chosen = pending.groupBy("key").agg(*[F.min_by(F.struct("class", "root", "sketch"), o).alias(f"p{k}") for k, o in enumerate(order)])
     chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(count)]))).alias("p"))
-    return chosen.select("key", F.col("p.class").alias("pivot"), F.col("p.root").alias("other"))
+    return chosen.select("key", F.col("p.class").alias("pivot"), F.col("p.root").alias("other"), F.col("p.sketch").alias("pivot_sketch"))
 
 
 def _split_lists(long: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, class, root) of the lists whose classes are not all of one component yet."""
-    fresh = long.join(roots.hint("merge"), F.col("class") == F.col("node"), "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+    """(key, class, sketch, root) of the lists whose classes are not all of one component yet."""
+    fresh = long.join(roots.hint("merge"), F.col("class") == F.col("node"), "left").select("key", "class", "sketch", F.coalesce("root", "class").alias("root"))
     fresh = scratch.keep(fresh)
     parts = fresh.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
     return scratch.keep(fresh.join(parts.hint("merge"), "key"))

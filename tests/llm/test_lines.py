@@ -110,3 +110,20 @@ def test_lines_near_the_split_share_a_way():
     signer = lines.Signer(10, 4, 9, 5)
     sizes = [len(k) for k in signer.keys(["x" * n for n in (100, 330, 450, 600)])]
     assert sizes == [10, 20, 20, 10]
+
+
+def test_sketches_drop_no_similar_pair():
+    rnd = random.Random(2)
+    base = " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(40))
+    made = [*variants(rnd, base, 10), *variants(rnd, " ".join(variants(rnd, base, 1)), 10), *(" ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(40)) for _ in range(20))]
+    sets = [np.unique(lines.shingle_codes([x], 9)[0]) for x in made]
+    words = [np.array(lines.parity_sketch(s)) for s in sets]
+    passed = similar = 0
+    for a in range(len(made)):
+        for b in range(a):
+            bits = sum(int(w).bit_count() for w in (words[a] ^ words[b]).view(np.uint64))
+            assert bits <= len(np.setxor1d(sets[a], sets[b]))
+            may, near = bits <= (len(sets[a]) + len(sets[b])) / 9, lines.exact_jaccard(made[a], made[b], 9) >= 0.8
+            assert may or not near
+            passed, similar = passed + may, similar + near
+    assert 0 < similar <= passed < 400
