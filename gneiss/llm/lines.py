@@ -204,7 +204,7 @@ def signed_lines(known: DataFrame, signer: Signer) -> DataFrame:
 
 
 #: 64-bit words of a parity sketch.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 16
 
 
 def parity_sketch(shingles: np.ndarray) -> list[int]:
