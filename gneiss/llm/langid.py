@@ -4,8 +4,11 @@ A text becomes a vector of hashed character n-grams (2 to 4 UTF-8 bytes of the
 lower-cased letters), weighted by square root of count times inverse document
 frequency and scaled to length one.  The vectors of each language are clustered
 into a few centroids (spherical k-means); a text takes the language of the
-centroid with the largest cosine.  A text is rejected when that cosine is far
-below what the training texts of the language reach.
+centroid with the largest cosine.  A text is rejected when that cosine is below
+what labelled texts of the language and about its length reach when they are left
+out of the centroids: the training texts are dealt into folds, the centroids of
+the other folds judge beginnings of several lengths of each, and a low quantile
+by language and length is the threshold, interpolated by the number of n-grams.
 
 Fitting uses about ``per_language`` labelled texts of each language (a bounded
 sample; there is one centroid set per distinct language).  Prediction reads
@@ -13,7 +16,9 @@ whole texts.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0 and
 rejected; rows with null labels are predicted and never learned from; without
-any labelled row every prediction is ``und``.
+any labelled row every prediction is ``und``.  Where a language has fewer than
+``LEAST_TEXTS`` texts of a length, those of all languages give its threshold; no
+threshold is below a quarter of the low quantile of the language's learned texts.
 """
 
 from __future__ import annotations
@@ -29,6 +34,10 @@ from gneiss.llm.texts import map_texts
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F))
 
+#: Characters of the beginnings that thresholds are learned on.
+LENGTHS = (8, 16, 40, 100, 250, 600, 1500, 4000)
+LEAST_TEXTS = 20
+
 
 def gram_counts(text: str, dims: int) -> np.ndarray:
     """Counts of hashed n-grams of 2 to 4 bytes."""
@@ -55,23 +64,25 @@ class LanguageModel:
     owner: np.ndarray  # index of the language of each centroid
     centroids: np.ndarray  # one row each
     idf: np.ndarray
-    least: np.ndarray  # by language: cosines below are rejected
+    least: list  # by language: (logs of numbers of n-grams, cosines below which a text of so many is rejected)
 
-    def vector(self, text: str) -> np.ndarray:
-        v = np.sqrt(gram_counts(text, len(self.idf)), dtype=np.float32) * self.idf
-        return v / max(float(np.linalg.norm(v)), 1e-12)
+    def vectors(self, counts: np.ndarray) -> np.ndarray:
+        v = np.sqrt(counts, dtype=np.float32) * self.idf
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def predict(self, texts: list) -> tuple[list, list, list]:
         names, scores, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
         todo = [n for n, t in enumerate(texts) if self.languages and has_letter(t)]
         for at in range(0, len(todo), 64):
             part = todo[at : at + 64]
-            cosines = np.stack([self.vector(texts[n]) for n in part]) @ self.centroids.T
+            counts = np.stack([gram_counts(texts[n], len(self.idf)) for n in part])
+            cosines = self.vectors(counts) @ self.centroids.T
             best = cosines.argmax(axis=1)
-            for n, k, cosine in zip(part, best, cosines[np.arange(len(part)), best]):
+            sizes = np.log(np.maximum(counts.sum(axis=1), 1))
+            for n, k, cosine, size in zip(part, best, cosines[np.arange(len(part)), best], sizes):
                 names[n] = self.languages[self.owner[k]]
                 scores[n] = float(min(1.0, max(0.0, cosine)))
-                rejected[n] = scores[n] < self.least[self.owner[k]]
+                rejected[n] = bool(scores[n] < np.interp(size, *self.least[self.owner[k]]))
         return names, scores, rejected
 
 
@@ -84,38 +95,78 @@ def _clusters(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     return centres
 
 
+def _centroids(counts: np.ndarray, of: np.ndarray, names: list, clusters: int, seed: int) -> LanguageModel:
+    """A model without thresholds of texts with these counts and languages."""
+    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
+    model = LanguageModel(names, np.zeros(0, int), np.zeros((0, len(idf)), np.float32), idf, [([0.0], [0.0])] * len(names))
+    x = model.vectors(counts)
+    rng = np.random.default_rng(seed)
+    parts = [_clusters(x[of == k], clusters, 12, rng) if (of == k).any() else x[:0] for k in range(len(names))]
+    model.owner = np.repeat(np.arange(len(names)), [len(p) for p in parts])
+    model.centroids = np.concatenate(parts).astype(np.float32)
+    return model
+
+
+def _thresholds(whole: LanguageModel, counts: np.ndarray, heads: list, of: np.ndarray, clusters: int, seed: int, folds: int, quantile: float, slack: float) -> list:
+    """By language the points of its threshold, from texts that the judging centroids have not seen."""
+    names = whole.languages
+    fold = np.random.default_rng(seed).permutation(len(of)) % folds
+    seen: dict = {}
+    for f in range(folds):
+        model = _centroids(counts[fold != f], of[fold != f], names, clusters, seed)
+        for size in LENGTHS:
+            at = [n for n in np.flatnonzero(fold == f) if len(heads[n]) >= size and has_letter(heads[n][:size])]
+            if at:
+                grams = np.stack([gram_counts(heads[n][:size], counts.shape[1]) for n in at])
+                cosines = model.vectors(grams) @ model.centroids.T
+                for n, row, total in zip(at, cosines, grams.sum(axis=1)):
+                    own = row[model.owner == of[n]]
+                    if len(own):
+                        seen.setdefault((of[n], size), []).append((np.log(max(total, 1)), own.max()))
+    out = []
+    for k in range(len(names)):
+        places, least = [0.0], [0.0]
+        for size in LENGTHS:
+            found = np.array(seen.get((k, size), []))
+            if len(found) < LEAST_TEXTS:
+                found = np.array([x for j in range(len(names)) for x in seen.get((j, size), [])])
+            if len(found) >= LEAST_TEXTS and np.median(found[:, 0]) > places[-1]:
+                places.append(float(np.median(found[:, 0])))
+                least.append(float(slack * np.quantile(found[:, 1], quantile)))
+        own = (whole.vectors(counts[of == k]) @ whole.centroids[whole.owner == k].T).max(axis=1)
+        floor = float(np.quantile(own, 0.005)) / 4  # all there is where too few texts could be left out
+        least = [max(x, floor) for x in least]
+        out.append((places, least))
+    return out
+
+
 def fit_languages(
-    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, clusters: int = 4, dims: int = 8192, slack: float = 0.25, seed: int = 7
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 400, clusters: int = 4, dims: int = 8192, slack: float = 0.8, seed: int = 7, quantile: float = 0.01, folds: int = 4
 ) -> LanguageModel:
     """A model learned from about per_language of the rows whose text and language are not null."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
+    nothing = LanguageModel([], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), [])
     if not totals:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros(0))
+        return nothing
     names = sorted(totals)
     share = F.lit(0.0)
     for name in names:
         share = F.when(F.col(lang_col) == F.lit(name), F.lit(min(1.0, per_language / totals[name]))).otherwise(share)
     dice = F.pmod(F.xxhash64(F.lit(seed), id_col, F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
-    few = rows.where(dice < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    few = rows.where(dice < share).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, LENGTHS[-1]).alias("head"), F.col(text_col).alias("text"))
 
     def make():
         return lambda texts: [[np.minimum(gram_counts(t, dims), 65535).astype(np.uint16).tobytes() if has_letter(t) else None for t in texts]]
 
-    found = map_texts(few, "text", "grams binary", make).where("grams is not null").orderBy("lang", "grams").collect()
+    found = map_texts(few, "text", "grams binary", make).where("grams is not null").orderBy("lang", "grams", "head").collect()
     names = sorted({r.lang for r in found})
     if not found:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), np.zeros(0))
+        return nothing
     counts = np.stack([np.frombuffer(r.grams, np.uint16) for r in found])
     of = np.array([names.index(r.lang) for r in found])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.05)
-    x = np.sqrt(counts, dtype=np.float32) * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    rng = np.random.default_rng(seed)
-    parts = [_clusters(x[of == k], clusters, 12, rng) for k in range(len(names))]
-    model = LanguageModel(names, np.repeat(np.arange(len(names)), [len(p) for p in parts]), np.concatenate(parts).astype(np.float32), idf, np.zeros(len(names)))
-    top = (x @ model.centroids.T).max(axis=1)
-    model.least = np.array([slack * np.quantile(top[of == k], 0.005) for k in range(len(names))])
+    model = _centroids(counts, of, names, clusters, seed)
+    model.least = _thresholds(model, counts, [r.head for r in found], of, clusters, seed, folds, quantile, slack)
     return model
 
 

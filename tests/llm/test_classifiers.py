@@ -1,3 +1,7 @@
+import base64
+import random
+import string
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -27,6 +31,26 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify_language(docs.select("doc_id", "text"), empty).collect()} == {"und"}
 
 
+def test_language_rejects_what_was_not_learned(spark):
+    rnd = random.Random(4)
+    junk = [" ".join("".join(rnd.choices(string.ascii_lowercase, k=rnd.randint(3, 9))) for _ in range(n)) for n in (30, 60, 200, 800)]
+    junk += [base64.b64encode(rnd.randbytes(n)).decode() for n in (150, 800, 5000)] + [rnd.randbytes(n).hex() for n in (100, 500)]
+    junk += [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神互相对待。",
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held_out = langid.is_held_out("doc_id")
+    model = langid.fit_languages(docs.where(~held_out))
+    assert all(model.predict(junk)[2])
+    texts = [r.text for r in docs.where(held_out).where("length(text) > 300").select("text").collect()]
+    for size in (20, 60, 150):
+        assert np.mean(model.predict([t[:size] for t in texts])[2]) < 0.03
+
+
 def test_ordinal_shares_weights_and_orders_thresholds():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 3))
