@@ -11,13 +11,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import langid, lines, mixing, pieces, simhash
+from gneiss.llm import langid, lines, mixing, near_docs, pieces
 from gneiss.llm.scratch import Scratch
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
-#: Five words a shingle for near-duplicates of documents; links as in the operator.
+#: Five words a shingle for near-duplicates of documents.
 SHINGLE_WORDS = 5
+LEAST_JACCARD = 0.8
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one with the smallest id stays."""
-    return simhash.drop_simhash_duplicates(docs, words_per_shingle=SHINGLE_WORDS)
+    """Of each group of near-duplicate documents the one with the smallest id stays.
+
+    Documents are linked within two bits of SimHash or from a Jaccard similarity of LEAST_JACCARD.
+    """
+    return near_docs.drop_near_documents(docs, SHINGLE_WORDS, LEAST_JACCARD)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ the same id are told apart by their text.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -121,15 +123,19 @@ class Signer:
         return (key * _MIX).view(np.int64)
 
     def keys(self, lines: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in lines]
         size = np.array([max(1, len(x) - self.width + 1) for x in lines])
+        return self.keys_of(size, lambda part: shingle_codes([lines[n] for n in part], self.width))
+
+    def keys_of(self, size: np.ndarray, codes) -> list[list[int]]:
+        """Band keys of things with so many shingles each; codes gives the codes and starts of those at some places."""
+        out: list[list[int]] = [[] for _ in size]
         ways = [(self.minima, size < self.SPLIT / self.least), (self.bins, size >= self.SPLIT * self.least)]
         for way, (sign, chosen) in enumerate(ways):
             at = np.flatnonzero(chosen)
             cuts = np.flatnonzero(np.diff(np.cumsum(size[at]) >> 15)) + 1  # about 32,768 shingles at once
             for part in np.split(at, cuts):
                 if len(part):
-                    found = self.banded(sign(*shingle_codes([lines[n] for n in part], self.width)), way)
+                    found = self.banded(sign(*codes(part)), way)
                     for n, row in zip(part.tolist(), found.tolist()):
                         out[n].extend(row)
         return out
@@ -254,13 +260,13 @@ def line_texts(known: DataFrame, places: DataFrame, width: int, broadcast_bytes:
     return found.select(F.explode("found").alias("x")).select("x.*").dropDuplicates(["class"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, make) -> DataFrame:
     """The pairs (a, b) of classes that are similar enough."""
     left = texts.select(F.col("class").alias("a"), F.col("normal").alias("ta"))
     right = texts.select(F.col("class").alias("b"), F.col("normal").alias("tb"))
 
     def run(batches):
-        verifier = Verifier(width)
+        verifier = make()
         for batch in batches:
             keep = [verifier.jaccard(x, y, least) >= least for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -297,6 +303,11 @@ def line_components(
     first = lines.select("class", "id", "h", "k").join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("id", "h", "k")).alias("at"))
     places = scratch.keep(first.select("class", "at.*"))
     texts = scratch.keep(line_texts(known, places, width, broadcast_bytes))
+    return similar_components(listed, texts, scratch, partial(Verifier, width), least, longest, rounds)
+
+
+def similar_components(listed: DataFrame, texts: DataFrame, scratch: Scratch, make, least: float = 0.8, longest: int = 40, rounds: int = 2) -> DataFrame:
+    """(class, root) of the classes that are linked to others; listed has (key, class), texts (class, normal, sketch); make() gives a Verifier."""
     listed = scratch.keep(listed.join(texts.select("class", "sketch").hint("merge"), "class"))
     counts = scratch.keep(listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > longest).select("key"))
     short = listed.join(counts, "key", "left_anti")
@@ -311,7 +322,7 @@ def line_components(
         more = pending.join(chosen.hint("merge"), "key").where("class <> pivot and root <> other").where(may_be_similar("sketch", "pivot_sketch", least))
         more = more.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
         tried = scratch.keep((pairs.union(more) if roots is None else more).distinct())
-        found = scratch.keep(_verified(tried, texts, least, width))
+        found = scratch.keep(_verified(tried, texts, least, make))
         links = found if roots is None else _united(roots, found)
         roots = scratch.keep(connected_components(links, scratch))
         pending = _split_lists(long, roots, scratch)
@@ -320,7 +331,7 @@ def line_components(
     left = pending.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
     right = pending.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
     rest = left.join(right.hint("merge"), "key").where("a < b and ra <> rb").where(may_be_similar("sa", "sb", least)).select("a", "b").distinct()
-    found = scratch.keep(_verified(scratch.keep(rest), texts, least, width))
+    found = scratch.keep(_verified(scratch.keep(rest), texts, least, make))
     if not found.isEmpty():
         roots = connected_components(_united(roots, found), scratch)
     return roots.select(F.col("node").alias("class"), "root")

@@ -38,9 +38,13 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK = 1 << 16
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+
+
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     """Signed 64-bit SimHash of a text; zero if it has no word."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+    words = words_of(text)
     if not words:
         return 0
     if len(words) < words_per_shingle:
