@@ -30,7 +30,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate lines one stays; n_chars follows the text."""
-    return lines.drop_duplicate_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return lines.drop_duplicate_lines(docs, width=lines.QUERY_WIDTH).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,10 @@ from gneiss.llm.texts import map_texts
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
+#: Characters a shingle in the queries.  At the least similarity of 0.8 a changed word
+#: is to be found in a line of about 17 words; nine characters need about 23.
+QUERY_WIDTH = 5
+
 
 def shingle_codes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit codes of the character shingles of all lines, repeats included, and where each line's begin.
