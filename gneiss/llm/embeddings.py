@@ -64,9 +64,13 @@ def _projection(dims: int, table: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 
 def cells(x: np.ndarray, table: int, scale: float, probes: int, seed: int) -> np.ndarray:
-    """Doubled lattice coordinates of the own cell and the probed ones: (rows, 1 + probes, 8)."""
+    """Doubled lattice coordinates of the own cell and the probed ones: (rows, 1 + probes, 8).
+
+    Eight of the dimensions hold 8 / dimensions of a squared distance on average, so the
+    default scale puts a pair at the threshold about 0.7 apart in a lattice of packing radius 0.71.
+    """
     basis, shift = _projection(x.shape[1], table, seed)
-    at = x @ basis * scale + shift
+    at = x @ basis * (scale / min(1.0, 8 / x.shape[1]) ** 0.5) + shift
     home = nearest_e8(at)
     roots = e8_roots()
     order = np.argpartition(-((at - home) @ roots.T), min(probes, 239), axis=1)[:, :probes]  # all roots have one length
@@ -107,8 +111,8 @@ def near_vectors(
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
-    if scale is None:  # at 64 dimensions a pair at the threshold lies about 0.7 apart in a lattice of packing radius 0.71
-        scale = 0.7 / max(1e-3, (2 - 2 * least) ** 0.5 * (8 / 64) ** 0.5)
+    if scale is None:
+        scale = 0.7 / max(1e-3, (2 - 2 * least) ** 0.5)
     scratch = Scratch(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(_usable(F.col("v")) & F.col("label").isNotNull(), F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))

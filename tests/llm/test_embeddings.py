@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import types as T
 
 from gneiss.llm import embeddings, registry
@@ -46,6 +47,20 @@ def test_recall_against_brute_force(spark):
     assert sum(got.values()) >= 0.97 * len(links) and sum(got.values()) <= len(links)
 
 
+@pytest.mark.parametrize("dims", [4, 8, 16, 32, 64, 256])
+def test_recall_in_other_dimensions(dims):
+    rng = np.random.default_rng(9)
+    v, w = rng.normal(size=(2, 500, dims))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    w -= (w * v).sum(axis=1, keepdims=True) * v
+    y = 0.98 * v + (1 - 0.98**2) ** 0.5 * w / np.linalg.norm(w, axis=1, keepdims=True)
+    scale, met = 0.7 / 0.04**0.5, np.zeros(500, bool)
+    for table in range(6):
+        a, b = (embeddings.cells(x, table, scale, 8, 11) for x in (v, y))
+        met |= (a == b[:, :1]).all(axis=2).any(axis=1) | (b == a[:, :1]).all(axis=2).any(axis=1)
+    assert met.mean() >= 0.97
+
+
 def test_edges(spark):
     a, b = [1.0, 0.0, 0.5], [1.0, 0.01, 0.5]
     rows = [(1, a, 1), (2, a, 1), (3, b, 1), (4, a, 2), (5, a, None), (6, None, 1), (7, [0.0] * 3, 1), (8, [1.0, None, 0.5], 1), (9, [float("nan"), 1.0, 1.0], 1), (10, [], 1), (11, a + [0.0], 1), (None, a, 1), (2, a, 1)]
