@@ -61,11 +61,15 @@ def ewma(df: DataFrame, series: list[str], order: str, value: str, weight: float
     return folded.select(*series, F.col(f"x.{order}").alias(order), F.col("x.__v").alias(value), F.col("x.__e").alias(out))
 
 
-def autocorrelation(df: DataFrame, series: list[str], order: str, value: str, most: int = 20) -> DataFrame:
-    """Lags 0 to ``most``: sum of products of deviations over n times the population variance."""
+def autocorrelation(df: DataFrame, series: list[str], order: str, value: str, most: int | None = 20) -> DataFrame:
+    """Lags 0 to ``most``: sum of products of deviations over n times the population variance.
+
+    Without ``most`` the lags of a series of n rows end at n / 2, at 48 at most.
+    """
     w = Window.partitionBy(*series)
-    rows = df.select(*series, F.row_number().over(_over(series, order)).alias("t"), (F.col(value) - F.avg(value).over(w)).alias("d"))
-    late = rows.select(*series, (F.explode(F.sequence(F.lit(0), F.lit(most)))).alias("lag"), "t", "d").withColumn("s", F.col("t") - F.col("lag"))
+    last = F.lit(most) if most is not None else F.least(F.lit(48), F.floor(F.count("*").over(w) / 2).cast("int"))
+    rows = df.select(*series, F.row_number().over(_over(series, order)).alias("t"), (F.col(value) - F.avg(value).over(w)).alias("d"), last.alias("last"))
+    late = rows.select(*series, (F.explode(F.sequence(F.lit(0), F.col("last")))).alias("lag"), "t", "d").withColumn("s", F.col("t") - F.col("lag"))
     early = rows.select(*series, F.col("t").alias("s"), F.col("d").alias("e"))
     sums = late.join(early, [*series, "s"]).groupBy(*series, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("c"))
     total = rows.groupBy(*series).agg(F.sum(F.col("d") * F.col("d")).alias("c0"))

@@ -335,7 +335,7 @@ def autocorrelation_monthly(spark, d):
 
 @query("seasonality_monthly")
 def seasonality_monthly(spark, d):
-    return timeseries.seasonality(timeseries.autocorrelation(_monthly(spark, d), ["o_orderstatus"], "month", "total"), ["o_orderstatus"])
+    return timeseries.seasonality(timeseries.autocorrelation(_monthly(spark, d), ["o_orderstatus"], "month", "total", most=None), ["o_orderstatus"])
 
 
 @query("unit_root_monthly", f"""WITH r AS (SELECT o_orderstatus, total - lag(total) OVER w AS dy, lag(total) OVER w AS y FROM {_MONTHLY} WINDOW w AS (PARTITION BY o_orderstatus ORDER BY month)), s AS (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import stats
 from gneiss.operators import clean, detect, graph, ml, profile, quality, regress, report, synthetic, text, timeseries
 from gneiss.operators.relational import Query
+from gneiss.plans import reference
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +98,15 @@ def test_forecasts(spark):
     assert timeseries.seasonality(timeseries.autocorrelation(df.withColumn("y", F.sin(F.col("t") * math.pi / 6)), ["k"], "t", "y"), ["k"]).first().period == 12
 
 
+def test_long_seasons_are_seen(spark, monkeypatch):
+    year = spark.range(120).select(F.lit("s").alias("o_orderstatus"), F.col("id").alias("month"), F.sin(F.col("id") * math.pi / 12).alias("total"))
+    both = year.union(year.where("month < 60").withColumns({"o_orderstatus": F.lit("short"), "total": F.sin(F.col("month") * math.pi / 6)}))
+    monkeypatch.setattr(reference, "_monthly", lambda spark, d: both)
+    assert {r.o_orderstatus: r.period for r in reference.seasonality_monthly(spark, "").collect()} == {"s": 24, "short": 12}
+    lags = timeseries.autocorrelation(both, ["o_orderstatus"], "month", "total", most=None).groupBy("o_orderstatus").agg(F.max("lag").alias("m")).collect()
+    assert {r.o_orderstatus: r.m for r in lags} == {"s": 48, "short": 30}
+
+
 def test_masks_and_sentiment(spark):
     df = spark.createDataFrame([(1, "ann@mail.org", "Not good, terrible"), (2, "x@y.z", "great great win"), (3, None, None)], "id int, mail string, body string")
     assert column(df.select("id", text.mask(F.col("mail"), "email").alias("m")), "m")[0] == "a***@mail.org"
