@@ -1,7 +1,8 @@
-"""Bloom filters of fixed size over 64-bit keys, for dropping most unwanted rows before a shuffle.
+"""Bloom filters over 64-bit keys, for dropping most unwanted rows before a shuffle.
 
-An exact join follows wherever one is used, so a full filter costs speed and
-nothing else.
+A filter has about sixteen bits a key up to MOST_WORDS words (16 MB); of more keys
+it lets more pass, and none is built where it would let nearly everything pass.
+An exact join follows wherever one is used, so it changes speed and nothing else.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+MOST_WORDS = 1 << 21
 
 
 def _words_of(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -22,9 +24,16 @@ def _words_of(keys: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     return ((mixed >> np.uint64(32)) % np.uint64(words)).astype(np.int64), mask
 
 
-def fixed_bloom(keys: DataFrame, words: int = 1 << 21) -> np.ndarray:
-    """A filter of ``words`` 64-bit words over the only column (long) of keys; the array comes to the driver."""
+def bloom_of(keys: DataFrame, most_words: int = MOST_WORDS) -> np.ndarray:
+    """A filter over the only column (long, not null) of keys; at most 8 * most_words bytes come to the driver.
+
+    The result is empty, which lets everything pass, if there are more than ten keys a word.
+    """
     name = keys.columns[0]
+    count = keys.count()
+    if count > 10 * most_words:
+        return np.zeros(0, np.uint64)
+    words = min(most_words, 1 << max(8, (count // 4).bit_length()))
 
     def run(batches):
         for batch in batches:
@@ -38,5 +47,7 @@ def fixed_bloom(keys: DataFrame, words: int = 1 << 21) -> np.ndarray:
 
 
 def passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    if not len(bits):
+        return np.ones(len(keys), bool)
     word, mask = _words_of(keys, len(bits))
     return (bits[word] & mask) == mask

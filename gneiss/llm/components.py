@@ -1,10 +1,11 @@
 """Connected components by distributed union-find.
 
-Each partition first folds its own links into a forest (union-find with path
-halving), which leaves at most one link per node and partition.  Rounds of
-large-star and small-star then hook the forests together: every round groups by
-node with partial aggregation and joins the minimum back, so a node with very
-many links is only a skewed join, which Spark splits.
+Each partition first folds its own links into forests (union-find with path
+halving, a bounded number of nodes at a time), which leaves about one link per
+node and partition.  Rounds of large-star and small-star then hook the forests
+together: every round groups by node with partial aggregation and joins the
+minimum back, so a node with very many links is only a skewed join, which Spark
+splits.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.scratch import Scratch
 
+#: Nodes of a forest that is held in memory.
+NODES = 500_000
+
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parent: dict = {}
@@ -28,15 +32,21 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = parent[x]
         return x
 
+    def told():
+        links = [(x, find(x)) for x in list(parent)]
+        links = [(x, r) for x, r in links if x != r]
+        for at in range(0, len(links), 50_000):
+            yield pd.DataFrame(links[at : at + 50_000], columns=["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    links = [(x, find(x)) for x in list(parent)]
-    links = [(x, r) for x, r in links if x != r]
-    for at in range(0, len(links), 50_000):
-        yield pd.DataFrame(links[at : at + 50_000], columns=["a", "b"])
+        if len(parent) > NODES:
+            yield from told()
+            parent.clear()
+    yield from told()
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -52,7 +62,7 @@ def _star(links: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of links (a, b); root is the smallest node reachable.
+    """(node, root) for every node of links (a, b) that is not a root; root is the smallest node reachable.
 
     Null ends and links of a node with itself are ignored; an empty table gives
     an empty result.  Nodes may have any ordered type.

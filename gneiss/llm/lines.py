@@ -1,29 +1,32 @@
 """Near-duplicate lines by MinHash (operator 2).
 
 Lines are the pieces between newlines that hold more than white space, compared
-lower-cased with runs of white space as one space.  Equal lines collapse to one
-class.  A class gets a MinHash signature of its character shingles; bands of the
-signature are its postings.  Classes that meet in a band are candidates, whose
-Jaccard similarity is verified on their whole shingle sets.  Linked classes form
-components by distributed union-find; of each component only the first line (by
-id, then position) stays.
-
-Each class in a list carries the number of its shingles and a parity sketch of
-them.  Two sketches differ in no more bits than the sets differ in shingles, so a
-pair whose sketches differ in too many bits is below the similarity for certain
-and is dropped inside the join; only the others meet their texts.
-
-A band list of at most ``longest`` classes is compared pair by pair.  A longer one
-may hold one large group, so rounds of pivots come first: every class of a list is
-compared with a few pivots of the list, others in each round, and what is similar
-is united.  Lists that have become one component are done.  What pairs remain
-between different components of a list are then compared in full, so no link
-between components is lost.
+lower-cased with runs of white space as one space.  Equal lines are one class,
+known by a 64-bit code.  A class gets a MinHash signature of its character
+shingles by one hash function whose values are dealt into bins; an empty bin
+borrows from others in a fixed random order.  Bands of bins are the postings of a
+class, and the lowest bits of some more bins are its sketch.
+
+Classes that meet in a band are candidates.  The classes of a list (of one band
+key) are compared with its smallest and its largest code first.  Pairs whose
+sketches differ in too many bits are dropped, the others are verified by the exact
+Jaccard similarity of their whole shingle sets, and what is similar is united by
+distributed union-find.  Of the lists that hold several components after that,
+all pairs of different components are compared: short lists pair by pair, long
+ones after a round of further pivots by an exact prefix join (two sets of that
+similarity share one of their rarest shingles), so no list makes all its pairs.
+
+Of each component only the first line (by id, then a hash of the text, then
+position) stays.
 
 Edge cases: a null text has no lines and stays null; blank lines stay where they
 are; a line shorter than a shingle is one shingle; a text all of whose lines go
 becomes empty; rows with a null id keep their text and take no part; rows with
-the same id are told apart by their text.
+the same id are told apart by their text, and of rows equal in both one keeps what
+the first may keep and the others lose all lines that are not blank.  Very long
+lines are signed in pieces.  Ties cannot occur, as the order is total.  An empty
+table gives an empty result.  Two different lines of one 64-bit code (one pair in
+10^19) stay apart: the lines that are not the first of the code stay.
 """
 
 from __future__ import annotations
@@ -33,19 +36,26 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.bloom import fixed_bloom, passing
+from gneiss.llm.bloom import bloom_of, passing
 from gneiss.llm.components import connected_components
 from gneiss.llm.scratch import Scratch
-from gneiss.llm.texts import map_texts
+from gneiss.llm.texts import bound_batches, free_name, map_texts, slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.int64(1 << 32)
 
-#: Characters a shingle in the queries.  At the least similarity of 0.8 a changed word
-#: is to be found in a line of about 17 words; nine characters need about 23.
-QUERY_WIDTH = 5
+#: Characters a shingle.  At the least similarity of 0.8 a changed word is found in a
+#: line of about 17 words; with nine characters it takes about 23.
+WIDTH = 5
+#: Shingles that are signed at once.
+CHUNK = 1 << 16
+#: Bits of a sketch that a pair may differ in: of 64, a pair at 0.8 differs in 6.4 on average.
+MOST_BITS = 16
+#: What str.split() takes for white space, as a Java pattern of a blank line (fixed values).
+BLANK = "^[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]*$"
 
 
 def shingle_codes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,74 +85,59 @@ def shingle_codes(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
 
 
 class Signer:
-    """Band keys of batches of lines.
+    """Band keys and sketches of sets of 64-bit codes, by one hash function dealt into bins."""
 
-    Lines of fewer than SPLIT shingles are signed by independent hash functions,
-    longer ones by one hash function whose values are dealt into as many bins
-    (one-permutation hashing).  Lines near the split are signed in both ways, so
-    any two lines of the least similarity have a way in common.
-    """
-
-    SPLIT = 400
-
-    def __init__(self, bands: int, rows: int, width: int, seed: int, least: float = 0.8):
+    def __init__(self, bands: int = 12, rows: int = 6, seed: int = 5, borrows: int = 6):
+        self.bands, self.rows, self.n = bands, rows, bands * rows + 64
         rng = np.random.default_rng(seed)
-        self.bands, self.rows, self.width, self.least = bands, rows, width, least
-        self.factors = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
-        self.terms = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-
-    def minima(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(lines, bands * rows) smallest values of each hash function."""
-        flat = (codes >> np.uint64(32)).astype(np.uint32)
-        out = np.empty((len(starts), len(self.factors)), np.uint32)
-        mixed, moved = np.empty_like(flat), np.empty_like(flat)
-        for k, (a, b) in enumerate(zip(self.factors, self.terms)):
-            np.multiply(flat, a, out=mixed)
-            np.add(mixed, b, out=mixed)
-            np.right_shift(mixed, np.uint32(15), out=moved)
-            np.bitwise_xor(mixed, moved, out=mixed)
-            out[:, k] = np.minimum.reduceat(mixed, starts)
-        return out
+        self.salt = rng.integers(0, 1 << 63, dtype=np.uint64) | np.uint64(1)
+        self.orders = [rng.permutation(self.n) for _ in range(borrows)]
 
     def bins(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """(lines, bands * rows) smallest value in each bin of one hash function; an empty bin takes the next one's."""
-        n = len(self.factors)
-        line = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(codes))))
-        value = (codes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-        place = line * np.uint64(n) + (codes >> np.uint64(48)) % np.uint64(n)
-        order = np.sort(place << np.uint64(32) | value)
-        first = np.append(True, (order[1:] >> np.uint64(32)) != (order[:-1] >> np.uint64(32)))
-        out = np.full(len(starts) * n, -1, np.int64)
-        out[(order[first] >> np.uint64(32)).astype(np.int64)] = (order[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out = out.reshape(len(starts), n)
-        while (out < 0).any():
-            out = np.where(out < 0, np.roll(out, -1, axis=1), out)
-        return out.astype(np.uint32)
-
-    def banded(self, signature: np.ndarray, way: int) -> np.ndarray:
-        sig = signature.astype(np.uint64).reshape(len(signature), self.bands, self.rows)
-        key = (np.arange(self.bands, dtype=np.uint64) + np.uint64(way * self.bands)) * _MIX + np.zeros((len(sig), 1), np.uint64)
+        """(sets, bins) smallest value in each bin, _EMPTY where there is none."""
+        codes = codes * self.salt
+        codes ^= codes >> np.uint64(29)
+        owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(codes))))
+        place = owner * np.uint64(self.n) + (((codes >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32))
+        order = np.sort((place << np.uint64(32)) | ((codes * _MIX) >> np.uint64(32)))
+        high = order >> np.uint64(32)
+        first = np.append(True, high[1:] != high[:-1])
+        out = np.full(len(starts) * self.n, _EMPTY)
+        out[high[first].astype(np.int64)] = (order[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return out.reshape(len(starts), self.n)
+
+    def close(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """((sets, bands) keys, (sets,) sketches) of bins, each set having some value."""
+        full = bins.copy()
+        for order in self.orders:
+            empty = full == _EMPTY
+            if not empty.any():
+                break
+            full = np.where(empty, bins[:, order], full)
+        if (full == _EMPTY).any():  # the next bin that is not empty, around the end
+            twice = np.concatenate([bins, bins], axis=1)
+            at = np.where(twice < _EMPTY, np.arange(2 * self.n), 2 * self.n)
+            after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, : self.n]
+            full = np.where(full == _EMPTY, np.take_along_axis(twice, after, axis=1), full)
+        sig = full[:, : self.bands * self.rows].astype(np.uint64).reshape(len(full), self.bands, self.rows)
+        key = np.arange(self.bands, dtype=np.uint64) * _MIX + np.zeros((len(sig), 1), np.uint64)
         for k in range(self.rows):
             key = (key ^ (key >> np.uint64(31))) * _MIX + sig[:, :, k]
-        return (key * _MIX).view(np.int64)
-
-    def keys(self, lines: list[str]) -> list[list[int]]:
-        size = np.array([max(1, len(x) - self.width + 1) for x in lines])
-        return self.keys_of(size, lambda part: shingle_codes([lines[n] for n in part], self.width))
-
-    def keys_of(self, size: np.ndarray, codes) -> list[list[int]]:
-        """Band keys of things with so many shingles each; codes gives the codes and starts of those at some places."""
-        out: list[list[int]] = [[] for _ in size]
-        ways = [(self.minima, size < self.SPLIT / self.least), (self.bins, size >= self.SPLIT * self.least)]
-        for way, (sign, chosen) in enumerate(ways):
-            at = np.flatnonzero(chosen)
-            cuts = np.flatnonzero(np.diff(np.cumsum(size[at]) >> 15)) + 1  # about 32,768 shingles at once
-            for part in np.split(at, cuts):
-                if len(part):
-                    found = self.banded(sign(*codes(part)), way)
-                    for n, row in zip(part.tolist(), found.tolist()):
-                        out[n].extend(row)
-        return out
+        low = (full[:, self.bands * self.rows :] & 1).astype(np.uint8)
+        return (key * _MIX).view(np.int64), np.packbits(low, axis=1, bitorder="little").view(np.int64).reshape(-1)
+
+    def sign(self, size: np.ndarray, codes) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and sketches of sets of so many codes; codes(chosen) gives parts (codes, starts) of those chosen, one set if it is cut."""
+        keys, sketches = np.empty((len(size), self.bands), np.int64), np.empty(len(size), np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // CHUNK)) + 1
+        for part in np.split(np.arange(len(size)), cuts):
+            if len(part):
+                bins = None
+                for some, starts in codes(part):
+                    found = self.bins(some, starts)
+                    bins = found if bins is None else np.minimum(bins, found)
+                keys[part], sketches[part] = self.close(bins)
+        return keys, sketches
 
 
 def normal_line(line: str) -> str:
@@ -156,18 +151,23 @@ def exact_jaccard(a: str, b: str, width: int) -> float:
 class Verifier:
     """Jaccard similarity of whole shingle sets; remembers the sets of recent lines, such as pivots."""
 
-    def __init__(self, width: int, remembered: int = 4000):
-        self.width, self.remembered, self.known = width, remembered, {}
+    def __init__(self, width: int, remembered: int = 300_000):
+        self.width, self.remembered, self.held, self.known = width, remembered, 0, {}
+
+    def codes(self, line) -> np.ndarray:
+        return np.unique(shingle_codes([line], self.width)[0])
 
-    def shingles(self, line: str) -> np.ndarray:
+    def shingles(self, line) -> np.ndarray:
         found = self.known.get(line)
         if found is None:
-            if len(self.known) >= self.remembered:
+            if self.held > self.remembered:
                 self.known.clear()
-            found = self.known[line] = np.unique(shingle_codes([line], self.width)[0])
+                self.held = 0
+            found = self.known[line] = self.codes(line)
+            self.held += len(found)
         return found
 
-    def jaccard(self, a: str, b: str, least: float = 0.0) -> float:
+    def jaccard(self, a, b, least: float = 0.0) -> float:
         """Exact, but 0 where the sizes of the sets already rule ``least`` out."""
         x, y = self.shingles(a), self.shingles(b)
         if min(len(x), len(y)) < least * max(len(x), len(y)):
@@ -177,227 +177,303 @@ class Verifier:
         return shared / (len(x) + len(y) - shared)
 
 
-def signed_lines(known: DataFrame, signer: Signer) -> DataFrame:
-    """(id, h, k, class, keys) of the lines that hold more than white space; known has (id, h, text), k counts from 0.
+def line_signer(signer: Signer, width: int, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.array([max(1, len(x) - width + 1) for x in lines])
+
+    def codes(part):
+        if len(part) > 1 or size[part[0]] <= 2 * CHUNK:
+            yield shingle_codes([lines[n] for n in part], width)
+        else:
+            line = lines[part[0]]
+            for at in range(0, len(line) - width + 1, CHUNK):
+                yield shingle_codes([line[at : at + CHUNK + width - 1]], width)
+
+    return signer.sign(size, codes)
+
+
+def signed_lines(known: DataFrame, signer: Signer, width: int = WIDTH, remembered: int = 100_000) -> DataFrame:
+    """(id, h, k, c, c2, s, keys) of the lines that hold more than white space; known has (id, h, text), k counts from 0.
 
-    The class is a 128-bit hash of the normalised line.  Band keys stand only with
-    the first line of a class in each task.
+    c and c2 are a hash of the normalised line.  Sketch s and band keys stand only
+    with the first line of a class among those a task has lately seen.
     """
+    bound_batches(known.sparkSession)
+    kind = known.schema["id"].dataType.simpleString()
 
-    def make():
+    def run(batches):
         seen: set = set()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own, place, digests, normals, fresh = [], [], [], [], []
+                if len(seen) > remembered:
+                    seen.clear()
+                for n, text in enumerate(part.column("text").to_pylist()):
+                    for k, line in enumerate((text or "").split("\n")):
+                        normal = normal_line(line)
+                        if normal:
+                            name = xxhash.xxh3_128_digest(normal)
+                            own.append(n)
+                            place.append(k)
+                            digests.append(name)
+                            if name not in seen:
+                                seen.add(name)
+                                fresh.append(len(own) - 1)
+                                normals.append(normal)
+                if not own:
+                    continue
+                keys, sketches = line_signer(signer, width, normals)
+                names = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                size, s = np.zeros(len(own) + 1, np.int32), np.zeros(len(own), np.int64)
+                size[1:][fresh] = signer.bands
+                s[fresh] = sketches
+                at = pa.array(own)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(keys.reshape(-1)))
+                columns = [part.column("id").take(at), part.column("h").take(at), pa.array(place, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(s), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "k", "c", "c2", "s", "keys"])
+
+    return known.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, k int, c long, c2 long, s long, keys array<long>")
+
+
+def candidate_lists(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, c, s, lo, hi): the band lists that hold more than one class, each class once, with the list's extreme codes."""
+    postings = signed.where(F.size("keys") > 0).select("keys", "c", "s")
+    lists = postings.select(F.explode("keys").alias("key"), "c").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    lists = scratch.keep(lists.where("lo < hi"))
+    bits = signed.sparkSession.sparkContext.broadcast(bloom_of(lists.select("key")))
 
-        def sign(texts: list) -> list[list]:
-            if len(seen) > 1_000_000:
-                seen.clear()
-            out, fresh, places = [], [], []
-            for text in texts:
-                rows = []
-                for k, line in enumerate((text or "").split("\n")):
-                    normal = normal_line(line)
-                    if normal:
-                        name = xxhash.xxh3_128_digest(normal)
-                        rows.append([k, name, None])
-                        if name not in seen:
-                            seen.add(name)
-                            fresh.append(normal)
-                            places.append(rows[-1])
-                out.append(rows)
-            for row, keys in zip(places, signer.keys(fresh) if fresh else []):
-                row[2] = keys
-            return [[[{"k": k, "class": c, "keys": keys} for k, c, keys in rows] for rows in out]]
+    def run(batches):
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, sizes = keys.flatten().to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy())
+            keep = passing(flat, bits.value)
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes)[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column("c").take(owner), batch.column("s").take(owner)], names=["key", "c", "s"])
 
-        return sign
+    found = postings.mapInArrow(run, "key long, c long, s long").join(lists.hint("merge"), "key").distinct()
+    members = scratch.keep(found.select("key", "c", "s", "lo", "hi"))
+    scratch.drop(lists)
+    return members
 
-    rows = map_texts(known, "text", "lines array<struct<k:int,class:binary,keys:array<long>>>", make)
-    return rows.select("id", "h", F.explode("lines").alias("x")).select("id", "h", "x.*")
 
+def _alike(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS
 
-#: 64-bit words of a parity sketch.
-SKETCH_WORDS = 16
 
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-def parity_sketch(shingles: np.ndarray) -> list[int]:
-    """Words of a bitmap with the parity of the number of distinct codes in each place."""
-    place = (shingles >> np.uint64(32)) % np.uint64(64 * SKETCH_WORDS)
-    odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
+def _verified(pairs: DataFrame, texts: DataFrame, least: float, make) -> DataFrame:
+    """The pairs (a, b) of classes that are similar enough."""
+    left = texts.select(F.col("c").alias("a"), F.col("normal").alias("ta"))
+    right = texts.select(F.col("c").alias("b"), F.col("normal").alias("tb"))
 
-def may_be_similar(x: str, y: str, least: float) -> Column:
-    """False only if the sketches of x and y rule a Jaccard similarity of least out.
+    def run(batches):
+        verifier = make()
+        for batch in batches:
+            for part in slices(batch, "ta"):
+                keep = [verifier.jaccard(x, y, least) >= least for x, y in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist())]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    Of sets with n shingles in all, of which d are in one set only, it is (n - d) / (n + d).
-    """
-    both = F.col(f"{x}.size") + F.col(f"{y}.size")
-    apart = F.abs(F.col(f"{x}.size") - F.col(f"{y}.size"))
-    bits = sum((F.bit_count(F.col(f"{x}.w{k}").bitwiseXOR(F.col(f"{y}.w{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
-    return F.greatest(bits, apart) <= both * F.lit((1 - least) / (1 + least) + 1e-9)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def line_texts(known: DataFrame, places: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
-    """(class, normal, sketch) of the lines at places (id, h, k, class); grouped by document, which bounds the lists."""
-    wanted = places.groupBy("id", "h").agg(F.collect_list(F.struct("k", "class")).alias("ks"))
-    size = places.count() * 64
-    wanted = wanted.withColumnsRenamed({"id": "__id", "h": "__h"})
-    wanted = F.broadcast(wanted) if size <= broadcast_bytes else wanted.hint("merge")
-    both = known.join(wanted, (F.col("id") == F.col("__id")) & (F.col("h") == F.col("__h"))).select(F.struct("text", "ks").alias("both"))
+def similar_components(members: DataFrame, texts_of, scratch: Scratch, make, least: float = 0.8, longest: int = 40, pivots: int = 4) -> DataFrame:
+    """(c, root) of the classes that are linked to others.
 
-    def make():
-        def pick(rows: list) -> list[list]:
-            out = []
-            for r in rows:
-                lines = r["text"].split("\n")
-                found = []
-                for x in r["ks"]:
-                    normal = normal_line(lines[x["k"]])
-                    shingles = np.unique(shingle_codes([normal], width)[0])
-                    sketch = {"size": len(shingles)} | {f"w{k}": w for k, w in enumerate(parity_sketch(shingles))}
-                    found.append({"class": x["class"], "normal": normal, "sketch": sketch})
-                out.append(found)
-            return [out]
+    members comes from candidate_lists; texts_of(classes) gives (c, normal) of
+    the classes in the column c; make() gives a Verifier of such texts.
+    """
+    sketches = scratch.keep(members.select("c", "s").distinct())
+    star = members.select(F.explode(F.array("lo", "hi")).alias("p"), "c").where("p <> c").select(*_pair("p", "c")).distinct()
+    near = star.join(sketches.select(F.col("c").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+    near = near.join(sketches.select(F.col("c").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+    near = scratch.keep(near.where(_alike("sa", "sb")).select("a", "b"))
+    # of three classes each has been compared with the two extreme ones
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 3")
+    lists = scratch.keep(members.join(sizes.hint("merge"), "key").select("key", "c", "s", "n"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("c")).union(lists.select("c")).distinct()
+    texts = scratch.keep(texts_of(scratch.keep(wanted)))
+    links = scratch.keep(_verified(near, texts, least, make))
+    roots = scratch.keep(connected_components(links, scratch))
+    pending = _open_lists(lists, roots, scratch)
+    if not pending.isEmpty():
+        roots = _united(roots, _verified(_pivot_pairs(pending, pivots), texts, least, make), scratch)
+        pending = _open_lists(lists, roots, scratch)
+    if not pending.isEmpty():
+        short = pending.where(F.col("n") <= longest)
+        other = short.select("key", *(F.col(x).alias(f"{x}2") for x in ("c", "s", "root")))
+        pairs = short.join(other.hint("merge"), "key").where("c < c2 and root <> root2").where(_alike("s", "s2")).select(*_pair("c", "c2"))
+        rest = pairs.union(_prefix_pairs(pending.where(F.col("n") > longest), texts, scratch, least, make)).distinct()
+        roots = _united(roots, _verified(scratch.keep(rest), texts, least, make), scratch)
+    nodes = roots.select(F.col("node").alias("c"), "root")
+    return nodes.union(nodes.select(F.col("root").alias("c"), "root").distinct())
+
+
+def _united(roots: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components of the found links (a, b) and those of roots, taken as stars."""
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
+    return scratch.keep(connected_components(scratch.keep(links), scratch))
+
+
+def _open_lists(lists: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, c, s, n, root) of the lists whose classes are not all of one component yet."""
+    fresh = lists.join(roots.hint("merge"), F.col("c") == F.col("node"), "left").select("key", "c", "s", "n", F.coalesce("root", "c").alias("root"))
+    fresh = scratch.keep(fresh)
+    parts = fresh.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return scratch.keep(fresh.join(parts.hint("merge"), "key"))
 
-        return pick
 
-    sketch = ",".join(["size:int", *(f"w{k}:long" for k in range(SKETCH_WORDS))])
-    found = map_texts(both, "both", f"found array<struct<class:binary,normal:string,sketch:struct<{sketch}>>>", make)
-    return found.select(F.explode("found").alias("x")).select("x.*").dropDuplicates(["class"])
+def _pivot_pairs(pending: DataFrame, count: int) -> DataFrame:
+    """Pairs (a, b) of the classes of each list with some of its classes of other components, chosen by hash."""
+    order = [F.xxhash64("c", F.lit(k)) for k in range(count)]
+    chosen = pending.groupBy("key").agg(*[F.min_by(F.struct("c", "s", "root"), o).alias(f"p{k}") for k, o in enumerate(order)])
+    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(count)]))).alias("p"))
+    chosen = chosen.select("key", F.col("p.c").alias("c2"), F.col("p.s").alias("s2"), F.col("p.root").alias("root2"))
+    pairs = pending.join(chosen.hint("merge"), "key").where("c <> c2 and root <> root2").where(_alike("s", "s2"))
+    return pairs.select(*_pair("c", "c2")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, make) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough."""
-    left = texts.select(F.col("class").alias("a"), F.col("normal").alias("ta"))
-    right = texts.select(F.col("class").alias("b"), F.col("normal").alias("tb"))
+def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least: float, make) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest shingles.
+
+    Of two sets of at least this similarity one of the ``size - ceil(least * size) + 1``
+    rarest shingles of each is shared, whatever the order of rarity, so none is missed.
+    """
 
     def run(batches):
         verifier = make()
         for batch in batches:
-            keep = [verifier.jaccard(x, y, least) >= least for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, "normal"):
+                sets = [verifier.codes(t) for t in part.column("normal").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                at = pa.array(np.repeat(np.arange(len(sets)), size))
+                columns = [part.column(x).take(at) for x in ("c", "s", "root")] + [pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["c", "s", "root", "size", "t"])
+
+    rows = pending.select("c", "s", "root").distinct().join(texts, "c")
+    tokens = scratch.keep(rows.mapInArrow(run, "c long, s long, root long, size long, t long"))
+    counted = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("docs")).hint("merge"), "t")
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("docs", "t"))
+    rare = counted.withColumn("r", rank).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
+    rare = scratch.keep(rare.where("docs > 1").select("t", "c", "s", "root", "size"))
+    other = rare.select("t", *(F.col(x).alias(f"{x}2") for x in ("c", "s", "root", "size")))
+    pairs = rare.join(other.hint("merge"), "t").where("c < c2 and root <> root2").where(_alike("s", "s2"))
+    return pairs.where(F.least("size", "size2") >= F.greatest("size", "size2") * (least - 1e-9)).select(*_pair("c", "c2")).distinct()
+
+
+def first_places(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, id, h, k, c2, n): the first row of each class, and how many it has."""
+    first = signed.groupBy("c").agg(F.min(F.struct("id", "h", "k", "c2")).alias("at"), F.count("*").alias("n"))
+    return scratch.keep(first.select("c", "at.*", "n"))
+
+
+def texts_at(known: DataFrame, places: DataFrame, scratch: Scratch, broadcast_bytes: int) -> DataFrame:
+    """(text, ks) of the documents with places (id, h, k, c); ks holds the document's (k, c).
+
+    The places are broadcast if their counted size is at most broadcast_bytes;
+    otherwise a Bloom filter of the texts' hashes picks the texts that are shuffled.
+    """
+    bound_batches(known.sparkSession)
+    wanted = scratch.keep(places.groupBy("id", "h").agg(F.collect_list(F.struct("k", "c")).alias("ks")))
+    size = wanted.agg(F.coalesce(F.sum(64 + 24 * F.size("ks")), F.lit(0))).first()[0]
+    wanted_as = wanted.withColumnsRenamed({"id": "id2", "h": "h2"})
+    if size <= broadcast_bytes:
+        some, wanted_as = known, F.broadcast(wanted_as)
+    else:
+        bits = known.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("h").distinct()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(passing(batch.column("h").to_numpy(zero_copy_only=False), bits.value)))
 
+        some, wanted_as = known.mapInArrow(run, known.schema), wanted_as.hint("merge")
+    return some.join(wanted_as, (F.col("id") == F.col("id2")) & (F.col("h") == F.col("h2"))).select("text", "ks")
 
-def candidate_lists(lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, class): the band lists that hold more than one class, each class once."""
-    postings = lines.where("keys is not null").select("class", "keys")
-    lists = scratch.keep(postings.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    bits = lines.sparkSession.sparkContext.broadcast(fixed_bloom(lists))
 
-    def run(batches):
-        for batch in batches:
-            keys = batch.column("keys")
-            flat, sizes = keys.flatten().to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy())
-            keep = passing(flat, bits.value)
-            owner = np.repeat(np.arange(len(sizes)), sizes)[keep]
-            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(owner)), pa.array(flat[keep])], names=["class", "key"])
+def line_texts(known: DataFrame, places: DataFrame, scratch: Scratch, broadcast_bytes: int) -> DataFrame:
+    """(c, normal) of the lines at places (id, h, k, c)."""
+    both = texts_at(known, places, scratch, broadcast_bytes).select(F.struct("text", "ks").alias("both"))
 
-    found = postings.mapInArrow(run, "class binary, key long").join(lists.hint("merge"), "key").distinct()
-    found = scratch.keep(found.select("key", "class"))
-    true = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return scratch.keep(found.join(true.hint("merge"), "key").select("key", "class"))
+    def make():
+        def pick(rows: list) -> list[list]:
+            out = []
+            for r in rows:
+                lines = r["text"].split("\n")
+                out.append([{"c": x["c"], "normal": normal_line(lines[x["k"]])} for x in r["ks"]])
+            return [out]
 
+        return pick
 
-def line_components(
-    known: DataFrame, lines: DataFrame, scratch: Scratch, least: float = 0.8, width: int = 9, longest: int = 40, rounds: int = 2, broadcast_bytes: int = 32 << 20
-) -> DataFrame:
-    """(class, root) of the classes that are linked to others; lines comes from signed_lines(known)."""
-    listed = candidate_lists(lines, scratch)
-    wanted = listed.select("class").distinct()
-    first = lines.select("class", "id", "h", "k").join(wanted.hint("merge"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("id", "h", "k")).alias("at"))
-    places = scratch.keep(first.select("class", "at.*"))
-    texts = scratch.keep(line_texts(known, places, width, broadcast_bytes))
-    return similar_components(listed, texts, scratch, partial(Verifier, width), least, longest, rounds)
-
-
-def similar_components(listed: DataFrame, texts: DataFrame, scratch: Scratch, make, least: float = 0.8, longest: int = 40, rounds: int = 2) -> DataFrame:
-    """(class, root) of the classes that are linked to others; listed has (key, class), texts (class, normal, sketch); make() gives a Verifier."""
-    listed = scratch.keep(listed.join(texts.select("class", "sketch").hint("merge"), "class"))
-    counts = scratch.keep(listed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > longest).select("key"))
-    short = listed.join(counts, "key", "left_anti")
-    left = short.select("key", F.col("class").alias("a"), F.col("sketch").alias("sa"))
-    right = short.select("key", F.col("class").alias("b"), F.col("sketch").alias("sb"))
-    pairs = left.join(right.hint("merge"), "key").where("a < b").where(may_be_similar("sa", "sb", least)).select("a", "b")
-    long = scratch.keep(listed.join(counts, "key", "left_semi").select("key", "class", "sketch"))
-    pending = long.withColumn("root", F.col("class"))
-    links = roots = None
-    for turn in range(rounds):
-        chosen = _pivots(pending, turn)
-        more = pending.join(chosen.hint("merge"), "key").where("class <> pivot and root <> other").where(may_be_similar("sketch", "pivot_sketch", least))
-        more = more.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
-        tried = scratch.keep((pairs.union(more) if roots is None else more).distinct())
-        found = scratch.keep(_verified(tried, texts, least, make))
-        links = found if roots is None else _united(roots, found)
-        roots = scratch.keep(connected_components(links, scratch))
-        pending = _split_lists(long, roots, scratch)
-        if pending.isEmpty():
-            return roots.select(F.col("node").alias("class"), "root")
-    left = pending.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"))
-    right = pending.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-    rest = left.join(right.hint("merge"), "key").where("a < b and ra <> rb").where(may_be_similar("sa", "sb", least)).select("a", "b").distinct()
-    found = scratch.keep(_verified(scratch.keep(rest), texts, least, make))
-    if not found.isEmpty():
-        roots = connected_components(_united(roots, found), scratch)
-    return roots.select(F.col("node").alias("class"), "root")
-
-
-def _united(roots: DataFrame, found: DataFrame) -> DataFrame:
-    """Links (a, b) with the components of roots, as stars, and the found links."""
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
-
-
-def _pivots(pending: DataFrame, turn: int, count: int = 4) -> DataFrame:
-    """(key, pivot, other, pivot_sketch): some classes of each list in a hash order of the turn, with their roots."""
-    order = [F.xxhash64("class", F.lit(count * turn + k)) for k in range(count)]
-    chosen = pending.groupBy("key").agg(*[F.min_by(F.struct("class", "root", "sketch"), o).alias(f"p{k}") for k, o in enumerate(order)])
-    chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(count)]))).alias("p"))
-    return chosen.select("key", F.col("p.class").alias("pivot"), F.col("p.root").alias("other"), F.col("p.sketch").alias("pivot_sketch"))
+    found = map_texts(both, "both", "found array<struct<c:long,normal:string>>", make)
+    return found.select(F.explode("found").alias("x")).select("x.*").dropDuplicates(["c"])
 
 
-def _split_lists(long: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, class, sketch, root) of the lists whose classes are not all of one component yet."""
-    fresh = long.join(roots.hint("merge"), F.col("class") == F.col("node"), "left").select("key", "class", "sketch", F.coalesce("root", "class").alias("root"))
-    fresh = scratch.keep(fresh)
-    parts = fresh.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-    return scratch.keep(fresh.join(parts.hint("merge"), "key"))
+def known_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text) of the rows with an id."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"), F.col(text_col).alias("text"))
+    return rows.where("id is not null")
 
 
 def duplicate_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, least: float = 0.8, width: int = 9, bands: int = 10, rows: int = 4, seed: int = 5, **how
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None, least: float = 0.8, width: int = WIDTH, signer: Signer | None = None,
+    longest: int = 40, broadcast_bytes: int = 32 << 20,
+) -> DataFrame:
     """(id, h, k): the lines to drop; h tells rows with the same id apart by their text."""
     scratch = scratch or Scratch(docs.sparkSession)
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    lines = scratch.keep(signed_lines(known, Signer(bands, rows, width, seed, least)))
-    roots = line_components(known, lines, scratch, least, width, **how)
-    places = lines.select("id", "h", "k", "class")
-    first = places.groupBy("class").agg(F.min(F.struct("id", "h", "k")).alias("at"), F.count("*").alias("n"))
-    grouped = first.join(roots.hint("merge"), "class", "left").select("class", "at", "n", F.coalesce("root", "class").alias("root"))
-    grouped = scratch.keep(grouped)
-    winner = grouped.groupBy("root").agg(F.min("at").alias("best"), F.sum("n").alias("total")).where("total > 1")
-    judged = scratch.keep(grouped.join(winner.hint("merge"), "root").select("class", "best"))
-    gone = places.join(judged.hint("merge"), "class").where(F.struct("id", "h", "k") != F.col("best"))
-    return gone.select("id", "h", "k")
+    known = known_texts(docs, id_col, text_col)
+    signed = scratch.keep(signed_lines(known, signer or Signer(), width))
+    classes = first_places(signed, scratch)
+    members = candidate_lists(signed, scratch)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return line_texts(known, classes.join(wanted.hint("merge"), "c").select("id", "h", "k", "c"), scratch, broadcast_bytes)
+
+    roots = similar_components(members, texts_of, scratch, partial(Verifier, width), least, longest)
+    grouped = classes.join(roots.hint("merge"), "c", "left").where("n > 1 or root is not null")
+    grouped = scratch.keep(grouped.select("c", "c2", F.struct("id", "h", "k").alias("at"), F.coalesce("root", "c").alias("root")))
+    best = grouped.groupBy("root").agg(F.min("at").alias("best"))
+    judged = grouped.join(best.hint("merge"), "root").select("c", F.col("c2").alias("first_c2"), "best")
+    judged = scratch.keep(judged)
+    gone = signed.select("id", "h", "k", "c", "c2").join(judged.hint("merge"), "c")
+    return gone.where((F.col("c2") == F.col("first_c2")) & (F.struct("id", "h", "k") != F.col("best"))).select("id", "h", "k")
 
 
 def drop_duplicate_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None, broadcast_bytes: int = 32 << 20, **how
 ) -> DataFrame:
-    """docs with the duplicate lines cut out of the text; dropped_col, if named, counts them.
+    """docs with the duplicate lines cut out of the text; dropped_col, if named, counts them and replaces a column of its name.
 
-    The lines to cut are broadcast if their measured size is at most
+    The lines to cut are broadcast if their counted size is at most
     broadcast_bytes, and joined by shuffle otherwise.
     """
     scratch = Scratch(docs.sparkSession)
     gone = duplicate_lines(docs, id_col, text_col, scratch, broadcast_bytes=broadcast_bytes, **how)
-    gone = gone.groupBy("id", "h").agg(F.collect_set("k").alias("__gone")).withColumnsRenamed({"id": "__id", "h": "__h"})
+    lines, own_id, own_h, copy = (free_name([*docs.columns, dropped_col or ""], x) for x in ("gone_lines", "gone_id", "gone_h", "copy_number"))
+    gone = gone.distinct().groupBy("id", "h").agg(F.collect_list("k").alias(lines)).withColumnsRenamed({"id": own_id, "h": own_h})
     gone = scratch.keep(gone)
-    size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size("__gone")), F.lit(0))).first()[0]
+    size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size(lines)), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if size <= broadcast_bytes else gone.hint("merge")
-    same = (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
-    joined = docs.join(gone, same, "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, k: ~F.array_contains("__gone", k))
-    out = {text_col: F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))}
+    h = F.coalesce(F.xxhash64(text_col), F.lit(0))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return rows.join(gone, (F.col(id_col) == F.col(own_id)) & (h == F.col(own_h)), "left").drop(own_id, own_h)
+
+    twice = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias(own_id), h.alias(own_h)).count().where("count > 1")
+    twice = scratch.keep(twice.drop("count"))
+    pieces = F.split(F.col(text_col), "\n")
+    if twice.isEmpty():
+        joined = cut(docs)
+    else:  # of rows equal in id and text one is cut like any other, the others keep blank lines only
+        same = (F.col(id_col) == F.col(own_id)) & (h == F.col(own_h))
+        copies = docs.join(twice.hint("merge"), same)
+        copies = copies.withColumn(copy, F.row_number().over(Window.partitionBy(own_id, own_h).orderBy(own_id))).drop(own_id, own_h)
+        at = F.transform(pieces, lambda x, k: F.when(~x.rlike(BLANK), k))
+        later = copies.where(F.col(copy) > 1).drop(copy).withColumn(lines, F.array_compact(at))
+        alone = docs.join(twice.hint("merge"), same, "left_anti")
+        joined = cut(alone).unionByName(cut(copies.where(F.col(copy) == 1).drop(copy))).unionByName(later)
+    kept = F.filter(pieces, lambda _, k: ~F.array_contains(F.col(lines), k))
+    out = {text_col: F.when(F.col(lines).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))}
     if dropped_col:
-        out[dropped_col] = F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0).cast("long")
-    return joined.withColumns(out).select(*docs.columns, *([dropped_col] if dropped_col else []))
+        out[dropped_col] = F.when(F.col(lines).isNotNull(), F.size(lines)).otherwise(0).cast("long")
+    return joined.withColumns(out).select(*[c for c in docs.columns if c.lower() != (dropped_col or "").lower()], *([dropped_col] if dropped_col else []))

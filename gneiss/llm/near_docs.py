@@ -1,16 +1,17 @@
-"""Near-duplicate documents by Jaccard similarity of their word shingles.
+"""Near-duplicate documents of the pipeline's SimHash stage.
 
-The pipeline's SimHash stage links fingerprints within two bits, which only nearly
-equal texts are.  Here all pairs of documents whose sets of word shingles have at
-least the given Jaccard similarity are linked as well: documents with equal words
-are one class, MinHash bands of the shingle sets give candidates (16 bands of four
-rows find a pair at 0.8 with a chance of 0.9998), parity sketches rule pairs out
-exactly, and the others are verified on their whole sets; long lists go by pivots
-(gneiss/llm/lines.py).
+Documents at a Jaccard similarity of 0.8 differ in about ten of 64 SimHash bits,
+where no index of positional bytes guarantees a match, so the SimHash operator
+(within two bits) finds only nearly equal texts.  The stage keeps its links and
+adds those of the pairs whose sets of word shingles have at least the given
+Jaccard similarity: documents with equal words are one class, MinHash bands of the
+shingle sets give candidates, and these are verified on their whole sets, as
+lines are (gneiss/llm/lines.py).
 
 Edge cases: words are those of the SimHash; a text of fewer words than a shingle is
 one shingle; a text without a word has no shingle and no Jaccard link; rows with a
-null id stay and take no part; an empty table gives an empty result.
+null id stay and take no part; rows with one id stay or go together; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from gneiss.llm import lines, simhash
 from gneiss.llm.components import connected_components
 from gneiss.llm.scratch import Scratch
-from gneiss.llm.texts import map_texts
+from gneiss.llm.texts import free_name, map_texts
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,80 +45,56 @@ def word_shingles(normal: bytes, words: int) -> np.ndarray:
 
 
 class DocVerifier(lines.Verifier):
-    """Verifier of plain texts; the sets it remembers hold about a million shingles."""
+    """Verifier of plain texts by their word shingles."""
 
-    held = 0
+    def codes(self, line) -> np.ndarray:
+        return word_shingles(line, self.width)
 
-    def shingles(self, line: str) -> np.ndarray:
-        found = self.known.get(line)
-        if found is None:
-            if self.held > 1_000_000:
-                self.known.clear()
-                self.held = 0
-            found = self.known[line] = word_shingles(line, self.width)
-            self.held += len(found)
-        return found
 
-
-def _signed(known: DataFrame, signer: lines.Signer) -> DataFrame:
-    """(id, h, class, keys) of the rows of known (id, h, text) that have a word."""
+def _signed(known: DataFrame, signer: lines.Signer, words: int) -> DataFrame:
+    """(id, h, k, c, c2, s, keys) of the rows of known (id, h, text) that have a word; k is 0."""
 
     def make():
         def sign(texts: list) -> list[list]:
             normals = [plain(t) for t in texts]
             at = [n for n, x in enumerate(normals) if x]
-            sets = [word_shingles(normals[n], signer.width) for n in at]
+            sets = [word_shingles(normals[n], words) for n in at]
             size = np.array([len(s) for s in sets], np.int64)
 
             def codes(part):
-                return np.concatenate([sets[n] for n in part]), np.cumsum(size[part]) - size[part]
-
-            out: list = [[None] * len(texts), [None] * len(texts)]
-            for n, keys in zip(at, signer.keys_of(size, codes) if at else []):
-                out[0][n], out[1][n] = xxhash.xxh3_128_digest(normals[n]), keys
+                yield np.concatenate([sets[n] for n in part]), np.cumsum(size[part]) - size[part]
+
+            keys, sketches = signer.sign(size, codes)
+            out: list = [[None] * len(texts) for _ in range(4)]
+            for n, row, s in zip(at, keys.tolist(), sketches.tolist()):
+                c, c2 = np.frombuffer(xxhash.xxh3_128_digest(normals[n]), np.int64).tolist()
+                for into, value in zip(out, (c, c2, s, row)):
+                    into[n] = value
             return out
 
         return sign
 
-    return map_texts(known, "text", "class binary, keys array<long>", make).where("class is not null")
-
-
-def _texts(known: DataFrame, places: DataFrame, words: int, broadcast_bytes: int) -> DataFrame:
-    """(class, normal, sketch) of the documents at places (class, id, h)."""
-    size = places.count() * 64
-    places = places.withColumnsRenamed({"id": "__id", "h": "__h"})
-    places = F.broadcast(places) if size <= broadcast_bytes else places.hint("merge")
-    both = known.join(places, (F.col("id") == F.col("__id")) & (F.col("h") == F.col("__h"))).select("class", "text").dropDuplicates(["class"])
-
-    def make():
-        def pick(texts: list) -> list[list]:
-            normals, sketches = [plain(t) for t in texts], []
-            for x in normals:
-                found = word_shingles(x, words)
-                sketches.append({"size": len(found)} | {f"w{k}": w for k, w in enumerate(lines.parity_sketch(found))})
-            return [normals, sketches]
-
-        return pick
-
-    sketch = ",".join(["size:int", *(f"w{k}:long" for k in range(lines.SKETCH_WORDS))])
-    return map_texts(both, "text", f"normal binary, sketch struct<{sketch}>", make)
+    return map_texts(known, "text", "c long, c2 long, s long, keys array<long>", make).where("c is not null").withColumn("k", F.lit(0))
 
 
 def jaccard_links(
-    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, bands: int = 16, rows: int = 4, seed: int = 11, broadcast_bytes: int = 32 << 20
+    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, signer: lines.Signer | None = None, broadcast_bytes: int = 32 << 20
 ) -> DataFrame:
     """Links (a, b) of ids that connect all documents of at least this similarity whose words are not the same."""
-    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    signed = scratch.keep(_signed(known, lines.Signer(bands, rows, words, seed, least)))
-    firsts = scratch.keep(signed.groupBy("class").agg(F.min(F.struct("id", "h")).alias("at"), F.min_by("keys", F.struct("id", "h")).alias("keys")))
-    listed = lines.candidate_lists(firsts, scratch)
-    wanted = listed.select("class").distinct()
-    places = scratch.keep(firsts.join(wanted.hint("merge"), "class", "left_semi").select("class", "at.id", "at.h"))
-    texts = scratch.keep(_texts(known, places, words, broadcast_bytes))
-    roots = scratch.keep(lines.similar_components(listed, texts, scratch, lambda: DocVerifier(words), least))
-    ids = places.select("class", "id")
-    named = roots.join(ids.withColumnRenamed("id", "a").hint("merge"), "class")
-    return named.join(ids.select(F.col("class").alias("root"), F.col("id").alias("b")).hint("merge"), "root").select("a", "b")
+    known = lines.known_texts(docs, id_col, text_col)
+    signed = scratch.keep(_signed(known, signer or lines.Signer(bands=16, rows=4, seed=11), words))
+    classes = lines.first_places(signed, scratch)
+    members = lines.candidate_lists(signed, scratch)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        places = classes.join(wanted.hint("merge"), "c").select("id", "h", "k", "c")
+        found = lines.texts_at(known, places, scratch, broadcast_bytes).select("text", F.col("ks")[0]["c"].alias("c"))
+        return map_texts(found.dropDuplicates(["c"]), "text", "normal binary", lambda: lambda texts: [[plain(t) for t in texts]])
+
+    roots = scratch.keep(lines.similar_components(members, texts_of, scratch, lambda: DocVerifier(words), least))
+    ids = classes.select("c", "id")
+    named = roots.where("c <> root").join(ids.withColumnRenamed("id", "a").hint("merge"), "c")
+    return named.join(ids.select(F.col("c").alias("root"), F.col("id").alias("b")).hint("merge"), "root").select("a", "b")
 
 
 def drop_near_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,5 +103,6 @@ def drop_near_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_
     alike = simhash.simhash_near_duplicates(docs, id_col, text_col, words_per_shingle=words)
     stars = alike.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
     links = stars.union(jaccard_links(docs, scratch, id_col, text_col, words, least))
-    gone = connected_components(links, scratch).where("node <> root").select(F.col("node").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = free_name(docs.columns, "gone_id")
+    gone = connected_components(links, scratch).where("node <> root").select(F.col("node").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.bloom import fixed_bloom, passing
+from gneiss.llm.bloom import bloom_of, passing
 from gneiss.llm.induced import Sorter
 from gneiss.llm.scratch import Scratch
 from gneiss.llm.texts import map_texts
@@ -156,7 +156,7 @@ def _segment_rows(length: int, bits):
     return make
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_blocks: int = 200, bloom_words: int = 1 << 21) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_blocks: int = 200) -> DataFrame:
     """(id, h, start, count): runs of window starts whose strings start elsewhere too; docs has (id, h, text)."""
     if length < GRAM + BLOCK:
         raise ValueError("the strings are too short for the anchors")
@@ -175,7 +175,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_
 
     every = map_texts(docs.select("text"), "text", "anchors array<long>", anchors).select(F.explode("anchors").alias("anchor"))
     repeated = scratch.keep(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    bits = spark.sparkContext.broadcast(fixed_bloom(repeated, bloom_words))
+    bits = spark.sparkContext.broadcast(bloom_of(repeated))
     kind = "array<struct<anchor:long,seg:long,off:int,count:int,places:array<int>,cores:array<long>>>"
     found = map_texts(docs.select("id", "h", "text"), "text", f"s {kind}", _segment_rows(length, bits))
     found = found.select("id", "h", F.explode("s").alias("s")).select("id", "h", "s.*")

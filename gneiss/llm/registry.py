@@ -121,9 +121,8 @@ FROM v JOIN low USING (vec_id) LEFT JOIN degree d USING (vec_id)
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = lines.drop_duplicate_lines(docs, dropped_col="n_dropped", width=lines.QUERY_WIDTH)
-    blank = r"^\s*$"
-    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~x.rlike(blank))).cast("long")
+    kept = lines.drop_duplicate_lines(docs, dropped_col="n_dropped")
+    left = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: ~x.rlike(lines.BLANK))).cast("long")
     return kept.select("doc_id", (left + F.col("n_dropped")).alias("n_lines"), "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session; only where that is unset
-(tests, local mode) a temporary folder of this machine takes its place.
+and the master is local (tests) a temporary folder of this machine takes its place.
 """
 
 from __future__ import annotations
@@ -15,13 +15,20 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Writes DataFrames as Parquet and reads them back, which cuts their lineage."""
+    """Writes DataFrames as Parquet and reads them back, which cuts their lineage.
+
+    drop() deletes a table that nothing needs any more.  What a returned
+    DataFrame still reads stays until the shared folder is emptied.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -36,6 +43,7 @@ class Scratch:
         kept._gneiss_path = path
         return kept
 
-    def drop(self, kept: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(kept._gneiss_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for kept in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(kept._gneiss_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
