@@ -1,9 +1,9 @@
 """Connected components by distributed union-find.
 
-Each partition first folds its own links into forests (union-find with path
-halving, a bounded number of nodes at a time), which leaves about one link per
-node and partition.  Rounds of large-star and small-star then hook the forests
-together: every round groups by node with partial aggregation and joins the
+The links are dealt into partitions of about LINKS, and each folds its own into
+forests (union-find with path halving, a bounded number of nodes at a time), which
+leaves about one link per node and partition.  Rounds of large-star and small-star
+then hook the forests of several partitions together: every round groups by node with partial aggregation and joins the
 minimum back, so a node with very many links is only a skewed join, which Spark
 splits.
 """
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.scratch import Scratch
 
-#: Nodes of a forest that is held in memory.
-NODES = 500_000
+#: Links of a partition, and nodes of a forest that is held in memory.
+LINKS = 250_000
+NODES = 1_000_000
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,10 +54,10 @@ def _star(links: DataFrame) -> DataFrame:
     """One large-star and one small-star over links (a, b) with b < a."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.where("a <> b").distinct()
     low = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(low.hint("merge"), "a")
+    small = large.join(low, "a")
     hooked = small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).where("a <> b")
     return hooked.union(low.select("a", F.col("m").alias("b"))).distinct()
 
@@ -69,7 +70,12 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     kind = links.schema["a"].dataType.simpleString()
     links = links.select("a", "b").where("a is not null and b is not null and a <> b")
-    now = scratch.keep(links.mapInPandas(_forest, f"a {kind}, b {kind}").distinct())
+    links = scratch.keep(links)
+    parts = -(-links.count() // LINKS) or 1
+    now = scratch.keep(links.coalesce(1).mapInPandas(_forest, f"a {kind}, b {kind}") if parts == 1 else links.repartition(parts).mapInPandas(_forest, f"a {kind}, b {kind}").distinct())
+    scratch.drop(links)
+    if parts == 1:  # one forest has all links
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = _state(now)
     while state[0]:
         after = scratch.keep(_star(now))

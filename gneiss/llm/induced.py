@@ -7,7 +7,9 @@ the larger (L) suffixes and those the smaller (S) ones.  Inducing goes through
 priority queues of suffix tuples (symbol, kind, turn, position, common prefix).
 A queue holds ``memory`` tuples and spills sorted runs to the task's own scratch
 folder; text, types and names beyond ``memory`` are memory-mapped files, so a
-shard may be far larger than memory.  The folder is removed at the end.
+shard may be far larger than memory.  Levels of the recursion that fit in
+``memory`` order their seeds by a plain sort of the pieces, larger ones by
+induction; both give the same order.  The folder is removed at the end.
 
 The common prefix of an induced suffix with its neighbour is one more than the
 smallest common prefix passed since the last suffix induced into the same
@@ -17,6 +19,7 @@ symbol; where kinds or seeds meet, it is read off the text.
 from __future__ import annotations
 
 import heapq
+import mmap
 import os
 import tempfile
 from bisect import bisect_left
@@ -42,11 +45,20 @@ class DiskQueue:
         if len(self.heap) > self.memory:
             self.spill()
 
+    def extend(self, rows: np.ndarray) -> None:
+        """All rows of a table, as sorted runs of at most ``memory`` rows."""
+        for at in range(0, len(rows), self.memory):
+            part = rows[at : at + self.memory]
+            self.write(part[np.lexsort(part.T[::-1])])
+
     def spill(self) -> None:
+        self.write(np.array(sorted(self.heap), np.int64))
+        self.heap = []
+
+    def write(self, rows: np.ndarray) -> None:
         number, path = tempfile.mkstemp(dir=self.folder)
         os.close(number)
-        np.array(sorted(self.heap), np.int64).tofile(path)
-        self.heap = []
+        rows.astype(np.int64).tofile(path)
         self.runs.append(_read(path, self.width))
         self.advance(len(self.runs) - 1)
 
@@ -194,13 +206,19 @@ def _common(text, a: int, b: int) -> int:
 class Sorter:
     def __init__(self, folder: str, memory: int = 1 << 20):
         self.folder, self.memory = folder, memory
+        self.spilled = 0  # levels that went to disk
 
-    def space(self, size: int):
+    def space(self, size: int, width: int = 8):
+        """Room for integers (width 8) or bytes (width 1); beyond ``memory`` it is a mapped file."""
         if size <= self.memory:
-            return [0] * size
+            return [0] * size if width == 8 else bytearray(size)
+        self.spilled += width == 8
         number, path = tempfile.mkstemp(dir=self.folder)
+        os.truncate(path, size * width)
+        view = memoryview(mmap.mmap(number, size * width))
         os.close(number)
-        return np.memmap(path, np.int64, "w+", shape=(size,))
+        os.unlink(path)
+        return view.cast("q") if width == 8 else view
 
     def suffixes(self, symbols: Iterable[int], size: int) -> Iterator[tuple[int, int]]:
         """(position, common prefix with the one before) of all suffixes, largest first.
@@ -212,32 +230,59 @@ class Sorter:
             text[n] = s
         return self._sorted(text, size)
 
-    def _sorted(self, text, size: int) -> Iterator[tuple[int, int]]:
-        small = self.space(size)  # 1: smaller than the suffix after it
+    def suffixes_of_file(self, path: str, size: int) -> Iterator[tuple[int, int]]:
+        """As suffixes, of a file of 64-bit integers, which is mapped."""
+        with open(path, "rb") as f:
+            view = memoryview(mmap.mmap(f.fileno(), size * 8, access=mmap.ACCESS_READ)).cast("q")
+        return self._sorted(view.tolist() if size <= self.memory else view, size)
+
+    def _types(self, text, size: int):
+        """1 for each suffix that is smaller than the one after it, else 0; block by block from the end."""
+        small, after = self.space(size, 1), 1
         small[size - 1] = 1
-        for i in range(size - 2, -1, -1):
-            small[i] = 1 if text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1]) else 0
+        for past in range(size - 1, 0, -self.memory):
+            low = max(0, past - self.memory)
+            step = np.diff(np.array(text[low : past + 1], np.int64))
+            at = np.where(step != 0, np.arange(len(step)), len(step))
+            at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where the symbol changes
+            found = np.append(step > 0, bool(after))[at].astype(np.uint8)
+            small[low:past] = found.tobytes()
+            after = int(found[0])
+        return small
+
+    def _seeds(self, text, small, size: int) -> Iterator[np.ndarray]:
+        """(symbol, position) of the seeds, by position."""
+        for low in range(1, size, self.memory):
+            past = min(size, low + self.memory)
+            kind = np.frombuffer(small[low - 1 : past], np.uint8)
+            at = np.flatnonzero((kind[1:] == 1) & (kind[:-1] == 0))
+            yield np.stack([np.array(text[low:past], np.int64)[at], at + low], axis=1)
+
+    def _sorted(self, text, size: int) -> Iterator[tuple[int, int]]:
+        small = self._types(text, size)
 
         def is_seed(i):
             return i > 0 and small[i] and not small[i - 1]
 
-        rough = DiskQueue(self.folder, self.memory, 2)
-        for i in range(1, size):
-            if is_seed(i):
-                rough.push((int(text[i]), i))
-        if rough.peek() is None:
+        found = (rows for rows in self._seeds(text, small, size) if len(rows))
+        rows = next(found, None)
+        if rows is None:
             seeds = DiskList(self.folder, self.memory, 2)
             seeds.append((size - 1, 0))
             yield from self._induce(text, small, seeds.read(), True)
             return
         order = DiskList(self.folder, self.memory, 1)  # largest first
         if size <= self.memory:
-            starts = [i for i in range(1, size) if small[i] and not small[i - 1]]
+            starts = rows[:, 1].tolist()
             # of two pieces one of which begins the other, the longer comes first
             ends = dict(zip(starts, [*starts[1:], size - 1]))
             for i in sorted(starts, key=lambda i: (*text[i : ends[i] + 1], float("inf")), reverse=True):
                 order.append((i,))
         else:
+            rough = DiskQueue(self.folder, self.memory, 2)
+            while rows is not None:
+                rough.extend(rows)
+                rows = next(found, None)
             for i, _ in self._induce(text, small, _drain(rough), False):
                 if is_seed(i):
                     order.append((i,))

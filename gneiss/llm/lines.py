@@ -45,7 +45,7 @@ from gneiss.llm.scratch import Scratch
 from gneiss.llm.texts import bound_batches, free_name, map_texts, slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_EMPTY = np.int64(1 << 32)
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 #: Characters a shingle.  At the least similarity of 0.8 a changed word is found in a
 #: line of about 17 words; with nine characters it takes about 23.
@@ -103,22 +103,26 @@ class Signer:
         high = order >> np.uint64(32)
         first = np.append(True, high[1:] != high[:-1])
         out = np.full(len(starts) * self.n, _EMPTY)
-        out[high[first].astype(np.int64)] = (order[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        out[high[first].astype(np.int64)] = order[first].astype(np.uint32)
         return out.reshape(len(starts), self.n)
 
     def close(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """((sets, bands) keys, (sets,) sketches) of bins, each set having some value."""
         full = bins.copy()
+        todo = np.flatnonzero((bins == _EMPTY).any(axis=1))
+        some = bins[todo]
+        filled = some.copy()
         for order in self.orders:
-            empty = full == _EMPTY
+            empty = filled == _EMPTY
             if not empty.any():
                 break
-            full = np.where(empty, bins[:, order], full)
-        if (full == _EMPTY).any():  # the next bin that is not empty, around the end
-            twice = np.concatenate([bins, bins], axis=1)
+            np.copyto(filled, some[:, order], where=empty)
+        if (filled == _EMPTY).any():  # the next bin that is not empty, around the end
+            twice = np.concatenate([some, some], axis=1)
             at = np.where(twice < _EMPTY, np.arange(2 * self.n), 2 * self.n)
             after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, : self.n]
-            full = np.where(full == _EMPTY, np.take_along_axis(twice, after, axis=1), full)
+            filled = np.where(filled == _EMPTY, np.take_along_axis(twice, after, axis=1), filled)
+        full[todo] = filled
         sig = full[:, : self.bands * self.rows].astype(np.uint64).reshape(len(full), self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64) * _MIX + np.zeros((len(sig), 1), np.uint64)
         for k in range(self.rows):
@@ -145,36 +149,38 @@ def normal_line(line: str) -> str:
 
 
 def exact_jaccard(a: str, b: str, width: int) -> float:
-    return Verifier(width).jaccard(a, b)
+    return float(Verifier(width).jaccards([a], [b])[0])
 
 
 class Verifier:
-    """Jaccard similarity of whole shingle sets; remembers the sets of recent lines, such as pivots."""
+    """Jaccard similarity of the whole shingle sets of pairs of lines, many pairs at once."""
 
-    def __init__(self, width: int, remembered: int = 300_000):
-        self.width, self.remembered, self.held, self.known = width, remembered, 0, {}
+    PAIRS, CHARS = 1 << 10, 1 << 18
+
+    def __init__(self, width: int):
+        self.width = width
 
     def codes(self, line) -> np.ndarray:
         return np.unique(shingle_codes([line], self.width)[0])
 
-    def shingles(self, line) -> np.ndarray:
-        found = self.known.get(line)
-        if found is None:
-            if self.held > self.remembered:
-                self.known.clear()
-                self.held = 0
-            found = self.known[line] = self.codes(line)
-            self.held += len(found)
-        return found
-
-    def jaccard(self, a, b, least: float = 0.0) -> float:
-        """Exact, but 0 where the sizes of the sets already rule ``least`` out."""
-        x, y = self.shingles(a), self.shingles(b)
-        if min(len(x), len(y)) < least * max(len(x), len(y)):
-            return 0.0
-        both = np.sort(np.concatenate([x, y]))
-        shared = int((both[1:] == both[:-1]).sum())
-        return shared / (len(x) + len(y) - shared)
+    def jaccards(self, xs: list, ys: list) -> np.ndarray:
+        out, at, size = [np.zeros(0)], 0, 0
+        for n, (x, y) in enumerate(zip(xs, ys), 1):
+            size += len(x) + len(y)
+            if size >= self.CHARS or n - at == self.PAIRS or n == len(xs):
+                out.append(self._some(xs[at:n], ys[at:n]))
+                at, size = n, 0
+        return np.concatenate(out)
+
+    def _some(self, xs: list, ys: list) -> np.ndarray:
+        codes, starts = shingle_codes(xs + ys, self.width)
+        pair = np.repeat(np.tile(np.arange(len(xs), dtype=np.uint64) << np.uint64(54), 2), np.diff(np.append(starts, len(codes))))
+        second = int(starts[len(xs)])
+        keys = pair | codes >> np.uint64(10)  # the pair in the highest ten bits, the first 54 of a code's bits below
+        left, right = (k[np.append(True, k[1:] != k[:-1])] for k in (np.sort(keys[:second]), np.sort(keys[second:])))
+        both = np.sort(np.concatenate([left, right]))
+        count = [np.bincount((k >> np.uint64(54)).astype(np.int64), minlength=len(xs)) for k in (left, right, both[1:][both[1:] == both[:-1]])]
+        return count[2] / (count[0] + count[1] - count[2])
 
 
 def line_signer(signer: Signer, width: int, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +255,7 @@ def candidate_lists(signed: DataFrame, scratch: Scratch) -> DataFrame:
             owner = pa.array(np.repeat(np.arange(len(sizes)), sizes)[keep])
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column("c").take(owner), batch.column("s").take(owner)], names=["key", "c", "s"])
 
-    found = postings.mapInArrow(run, "key long, c long, s long").join(lists.hint("merge"), "key").distinct()
+    found = postings.mapInArrow(run, "key long, c long, s long").join(lists, "key").distinct()
     members = scratch.keep(found.select("key", "c", "s", "lo", "hi"))
     scratch.drop(lists)
     return members
@@ -272,8 +278,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, make) -> DataFra
         verifier = make()
         for batch in batches:
             for part in slices(batch, "ta"):
-                keep = [verifier.jaccard(x, y, least) >= least for x, y in zip(part.column("ta").to_pylist(), part.column("tb").to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                keep = verifier.jaccards(part.column("ta").to_pylist(), part.column("tb").to_pylist()) >= least
+                yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -286,24 +292,25 @@ def similar_components(members: DataFrame, texts_of, scratch: Scratch, make, lea
     """
     sketches = scratch.keep(members.select("c", "s").distinct())
     star = members.select(F.explode(F.array("lo", "hi")).alias("p"), "c").where("p <> c").select(*_pair("p", "c")).distinct()
-    near = star.join(sketches.select(F.col("c").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
-    near = near.join(sketches.select(F.col("c").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
+    near = star.join(sketches.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a")
+    near = near.join(sketches.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     near = scratch.keep(near.where(_alike("sa", "sb")).select("a", "b"))
     # of three classes each has been compared with the two extreme ones
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 3")
-    lists = scratch.keep(members.join(sizes.hint("merge"), "key").select("key", "c", "s", "n"))
+    lists = scratch.keep(members.join(sizes, "key").select("key", "c", "s", "n"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("c")).union(lists.select("c")).distinct()
     texts = scratch.keep(texts_of(scratch.keep(wanted)))
     links = scratch.keep(_verified(near, texts, least, make))
     roots = scratch.keep(connected_components(links, scratch))
     pending = _open_lists(lists, roots, scratch)
-    if not pending.isEmpty():
-        roots = _united(roots, _verified(_pivot_pairs(pending, pivots), texts, least, make), scratch)
+    long = pending.where(F.col("n") > longest)
+    if not long.isEmpty():
+        roots = _united(roots, _verified(_pivot_pairs(long, pivots), texts, least, make), scratch)
         pending = _open_lists(lists, roots, scratch)
     if not pending.isEmpty():
         short = pending.where(F.col("n") <= longest)
         other = short.select("key", *(F.col(x).alias(f"{x}2") for x in ("c", "s", "root")))
-        pairs = short.join(other.hint("merge"), "key").where("c < c2 and root <> root2").where(_alike("s", "s2")).select(*_pair("c", "c2"))
+        pairs = short.join(other, "key").where("c < c2 and root <> root2").where(_alike("s", "s2")).select(*_pair("c", "c2"))
         rest = pairs.union(_prefix_pairs(pending.where(F.col("n") > longest), texts, scratch, least, make)).distinct()
         roots = _united(roots, _verified(scratch.keep(rest), texts, least, make), scratch)
     nodes = roots.select(F.col("node").alias("c"), "root")
@@ -318,10 +325,10 @@ def _united(roots: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _open_lists(lists: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, c, s, n, root) of the lists whose classes are not all of one component yet."""
-    fresh = lists.join(roots.hint("merge"), F.col("c") == F.col("node"), "left").select("key", "c", "s", "n", F.coalesce("root", "c").alias("root"))
+    fresh = lists.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "s", "n", F.coalesce("root", "c").alias("root"))
     fresh = scratch.keep(fresh)
     parts = fresh.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    return scratch.keep(fresh.join(parts.hint("merge"), "key"))
+    return scratch.keep(fresh.join(parts, "key"))
 
 
 def _pivot_pairs(pending: DataFrame, count: int) -> DataFrame:
@@ -330,36 +337,62 @@ def _pivot_pairs(pending: DataFrame, count: int) -> DataFrame:
     chosen = pending.groupBy("key").agg(*[F.min_by(F.struct("c", "s", "root"), o).alias(f"p{k}") for k, o in enumerate(order)])
     chosen = chosen.select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(count)]))).alias("p"))
     chosen = chosen.select("key", F.col("p.c").alias("c2"), F.col("p.s").alias("s2"), F.col("p.root").alias("root2"))
-    pairs = pending.join(chosen.hint("merge"), "key").where("c <> c2 and root <> root2").where(_alike("s", "s2"))
+    pairs = pending.join(chosen, "key").where("c <> c2 and root <> root2").where(_alike("s", "s2"))
     return pairs.select(*_pair("c", "c2")).distinct()
 
 
+#: Counters of shingles by hash, for an order of rarity.
+SLOTS = 1 << 20
+
+
 def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least: float, make) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles.
 
     Of two sets of at least this similarity one of the ``size - ceil(least * size) + 1``
-    rarest shingles of each is shared, whatever the order of rarity, so none is missed.
+    first shingles of each is shared, whatever the common order of all shingles, so none
+    is missed.  Here the order is that of counts in SLOTS counters of hashes, which puts
+    rare shingles first.  From the first shingle that two sets share on, no more can be
+    shared than follows in both; pairs are dropped where that is too little.
     """
+    rows = scratch.keep(pending.select("c", "s", "root").distinct().join(texts, "c"))
 
-    def run(batches):
+    def slots(codes: np.ndarray) -> np.ndarray:
+        return (codes >> np.uint64(44)).astype(np.int64)
+
+    def count(batches):
         verifier = make()
         for batch in batches:
             for part in slices(batch, "normal"):
-                sets = [verifier.codes(t) for t in part.column("normal").to_pylist()]
-                size = np.array([len(x) for x in sets])
-                at = pa.array(np.repeat(np.arange(len(sets)), size))
-                columns = [part.column(x).take(at) for x in ("c", "s", "root")] + [pa.array(np.repeat(size, size)), pa.array(np.concatenate(sets).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["c", "s", "root", "size", "t"])
-
-    rows = pending.select("c", "s", "root").distinct().join(texts, "c")
-    tokens = scratch.keep(rows.mapInArrow(run, "c long, s long, root long, size long, t long"))
-    counted = tokens.join(tokens.groupBy("t").agg(F.count("*").alias("docs")).hint("merge"), "t")
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("docs", "t"))
-    rare = counted.withColumn("r", rank).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)
-    rare = scratch.keep(rare.where("docs > 1").select("t", "c", "s", "root", "size"))
-    other = rare.select("t", *(F.col(x).alias(f"{x}2") for x in ("c", "s", "root", "size")))
-    pairs = rare.join(other.hint("merge"), "t").where("c < c2 and root <> root2").where(_alike("s", "s2"))
-    return pairs.where(F.least("size", "size2") >= F.greatest("size", "size2") * (least - 1e-9)).select(*_pair("c", "c2")).distinct()
+                slot, n = np.unique(np.concatenate([slots(verifier.codes(t)) for t in part.column("normal").to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
+
+    table = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    counts = np.zeros(SLOTS, np.int64)
+    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches):
+        verifier = make()
+        for batch in batches:
+            for part in slices(batch, "normal"):
+                out: list[list] = [[], [], [], []]
+                for n, text in enumerate(part.column("normal").to_pylist()):
+                    codes = verifier.codes(text)
+                    often = shared.value[slots(codes)]
+                    first = np.lexsort((codes, often))[: len(codes) - int(np.ceil(least * len(codes) - 1e-9)) + 1]
+                    known = np.flatnonzero(often[first] > 1)  # the others no other set has
+                    for into, values in zip(out, (np.full(len(known), n), codes[first[known]].view(np.int64), known + 1, np.full(len(known), len(codes)))):
+                        into.append(values)
+                at, t, r, size = (np.concatenate(x) for x in out)
+                columns = [part.column(x).take(pa.array(at)) for x in ("c", "s", "root")]
+                yield pa.RecordBatch.from_arrays([pa.array(t), *columns, pa.array(r), pa.array(size)], names=["t", "c", "s", "root", "r", "size"])
+
+    rare = scratch.keep(rows.mapInArrow(prefixes, "t long, c long, s long, root long, r long, size long"))
+    other = rare.select("t", *(F.col(x).alias(f"{x}2") for x in ("c", "s", "root", "r", "size")))
+    most = 1 + F.least(F.col("size") - F.col("r"), F.col("size2") - F.col("r2"))
+    enough = most >= (F.col("size") + F.col("size2")) * (least / (1 + least)) - 1e-6
+    pairs = rare.join(other, "t").where("c < c2 and root <> root2").where(enough).where(_alike("s", "s2"))
+    return pairs.select(*_pair("c", "c2")).distinct()
 
 
 def first_places(signed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -427,15 +460,15 @@ def duplicate_lines(
     members = candidate_lists(signed, scratch)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        return line_texts(known, classes.join(wanted.hint("merge"), "c").select("id", "h", "k", "c"), scratch, broadcast_bytes)
+        return line_texts(known, classes.join(wanted, "c").select("id", "h", "k", "c"), scratch, broadcast_bytes)
 
     roots = similar_components(members, texts_of, scratch, partial(Verifier, width), least, longest)
-    grouped = classes.join(roots.hint("merge"), "c", "left").where("n > 1 or root is not null")
+    grouped = classes.join(roots, "c", "left").where("n > 1 or root is not null")
     grouped = scratch.keep(grouped.select("c", "c2", F.struct("id", "h", "k").alias("at"), F.coalesce("root", "c").alias("root")))
     best = grouped.groupBy("root").agg(F.min("at").alias("best"))
-    judged = grouped.join(best.hint("merge"), "root").select("c", F.col("c2").alias("first_c2"), "best")
+    judged = grouped.join(best, "root").select("c", F.col("c2").alias("first_c2"), "best")
     judged = scratch.keep(judged)
-    gone = signed.select("id", "h", "k", "c", "c2").join(judged.hint("merge"), "c")
+    gone = signed.select("id", "h", "k", "c", "c2").join(judged, "c")
     return gone.where((F.col("c2") == F.col("first_c2")) & (F.struct("id", "h", "k") != F.col("best"))).select("id", "h", "k")
 
 
@@ -466,11 +499,11 @@ def drop_duplicate_lines(
         joined = cut(docs)
     else:  # of rows equal in id and text one is cut like any other, the others keep blank lines only
         same = (F.col(id_col) == F.col(own_id)) & (h == F.col(own_h))
-        copies = docs.join(twice.hint("merge"), same)
+        copies = docs.join(twice, same)
         copies = copies.withColumn(copy, F.row_number().over(Window.partitionBy(own_id, own_h).orderBy(own_id))).drop(own_id, own_h)
         at = F.transform(pieces, lambda x, k: F.when(~x.rlike(BLANK), k))
         later = copies.where(F.col(copy) > 1).drop(copy).withColumn(lines, F.array_compact(at))
-        alone = docs.join(twice.hint("merge"), same, "left_anti")
+        alone = docs.join(twice, same, "left_anti")
         joined = cut(alone).unionByName(cut(copies.where(F.col(copy) == 1).drop(copy))).unionByName(later)
     kept = F.filter(pieces, lambda _, k: ~F.array_contains(F.col(lines), k))
     out = {text_col: F.when(F.col(lines).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))}

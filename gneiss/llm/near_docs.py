@@ -45,10 +45,30 @@ def word_shingles(normal: bytes, words: int) -> np.ndarray:
 
 
 class DocVerifier(lines.Verifier):
-    """Verifier of plain texts by their word shingles."""
+    """Verifier of plain texts by their word shingles; remembers the sets of recent texts, such as pivots."""
+
+    def __init__(self, width: int, remembered: int = 500_000):
+        super().__init__(width)
+        self.remembered, self.held, self.known = remembered, 0, {}
 
     def codes(self, line) -> np.ndarray:
-        return word_shingles(line, self.width)
+        found = self.known.get(line)
+        if found is None:
+            if self.held > self.remembered:
+                self.known.clear()
+                self.held = 0
+            found = self.known[line] = word_shingles(line, self.width)
+            self.held += len(found)
+        return found
+
+    def jaccards(self, xs: list, ys: list) -> np.ndarray:
+        out = np.zeros(len(xs))
+        for n, (x, y) in enumerate(zip(xs, ys)):
+            x, y = self.codes(x), self.codes(y)
+            both = np.sort(np.concatenate([x, y]))
+            shared = int((both[1:] == both[:-1]).sum())
+            out[n] = shared / (len(x) + len(y) - shared)
+        return out
 
 
 def _signed(known: DataFrame, signer: lines.Signer, words: int) -> DataFrame:
@@ -87,14 +107,14 @@ def jaccard_links(
     members = lines.candidate_lists(signed, scratch)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        places = classes.join(wanted.hint("merge"), "c").select("id", "h", "k", "c")
+        places = classes.join(wanted, "c").select("id", "h", "k", "c")
         found = lines.texts_at(known, places, scratch, broadcast_bytes).select("text", F.col("ks")[0]["c"].alias("c"))
         return map_texts(found.dropDuplicates(["c"]), "text", "normal binary", lambda: lambda texts: [[plain(t) for t in texts]])
 
     roots = scratch.keep(lines.similar_components(members, texts_of, scratch, lambda: DocVerifier(words), least))
     ids = classes.select("c", "id")
-    named = roots.where("c <> root").join(ids.withColumnRenamed("id", "a").hint("merge"), "c")
-    return named.join(ids.select(F.col("c").alias("root"), F.col("id").alias("b")).hint("merge"), "root").select("a", "b")
+    named = roots.where("c <> root").join(ids.withColumnRenamed("id", "a"), "c")
+    return named.join(ids.select(F.col("c").alias("root"), F.col("id").alias("b")), "root").select("a", "b")
 
 
 def drop_near_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

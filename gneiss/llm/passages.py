@@ -16,10 +16,9 @@ is removed.  A string is known by the start of its window.
 5. Equal blocks are repeated as a whole. The different blocks of a core are
    sorted: the bytes left of the core, one symbol
    for the core, the bytes right of it, as one text per shard, by external
-   induced sorting with common prefixes.  Neighbours whose common prefix covers
-   a whole window are repeated.  A core with more than ``most_blocks`` different
-   blocks takes another exact way, a count of its window hashes, which spreads over
-   tasks.
+   induced sorting with common prefixes, whose queues and text go to disk beyond
+   ``memory`` entries.  Neighbours whose common prefix covers a whole window are
+   repeated.
 
 Hashes that stand for contents are at least 128 bits together with their anchor.
 Matches never cross documents.  Nothing but repeats is moved between tasks.
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.bloom import bloom_of, passing
 from gneiss.llm.induced import Sorter
 from gneiss.llm.scratch import Scratch
-from gneiss.llm.texts import map_texts
+from gneiss.llm.texts import free_name, map_texts, without
 
 GRAM = 32
 BLOCK = 8
@@ -156,7 +155,7 @@ def _segment_rows(length: int, bits):
     return make
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_blocks: int = 200) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, memory: int = 1 << 16, blocks_per_shard: int = 40_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(id, h, start, count): runs of window starts whose strings start elsewhere too; docs has (id, h, text)."""
     if length < GRAM + BLOCK:
         raise ValueError("the strings are too short for the anchors")
@@ -191,17 +190,16 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_
     wanted = blocks.join(shared.drop("open").hint("merge"), ["anchor", "core"])
     wanted = wanted.select("at.id", "at.h", F.struct("anchor", "seg", "core", "j", "n", "sharing", F.col("at.p").alias("p"), F.col("at.off").alias("off"), F.col("at.count").alias("count")).alias("w"))
     wanted = scratch.keep(wanted.groupBy("id", "h").agg(F.collect_list("w").alias("ws")))  # bounded by the document's own length
-    bytes_of = _block_bytes(docs, wanted, length)
+    bytes_of = _block_bytes(docs, wanted, length, broadcast_bytes)
     bytes_of = scratch.keep(bytes_of.withColumn("variant", F.xxhash64("core", "first", "left", "right")))
     key = ["anchor", "core", "variant"]
     variants = bytes_of.groupBy(*key).agg(F.count("*").alias("m"), F.min("first").alias("first"), F.min("left").alias("left"), F.min("right").alias("right"))
     variants = scratch.keep(variants)  # equal blocks are repeated as a whole and go on once
     kinds = variants.groupBy("anchor", "core").agg(F.count("*").alias("kinds"), F.min("m").alias("fewest")).where("kinds > 1 and fewest = 1")
     open_ones = scratch.keep(variants.join(kinds.drop("fewest").hint("merge"), ["anchor", "core"]))
-    sorted_runs = _sorted_repeats(open_ones.where(F.col("kinds") <= most_blocks), length)
-    hashed_runs = _hashed_repeats(open_ones.where(F.col("kinds") > most_blocks), length)
+    sorted_runs = _sorted_repeats(open_ones, memory, blocks_per_shard)
     equal = variants.where("m > 1").select(*key, F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + _last_start("left", "right")).cast("int"))).alias("off"))
-    told = sorted_runs.unionByName(hashed_runs).unionByName(equal).groupBy(*key).agg(F.collect_set("off").alias("offs"))
+    told = sorted_runs.unionByName(equal).groupBy(*key).agg(F.collect_set("off").alias("offs"))
     told = scratch.keep(told)  # at most BLOCK offsets each
     part = bytes_of.select("anchor", "seg", "core", "variant").join(told.hint("merge"), key)
     part = scratch.keep(part.groupBy("anchor", "seg").agg(F.array_distinct(F.flatten(F.collect_list("offs"))).alias("offs")))  # at most ``length`` offsets a segment
@@ -216,10 +214,27 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, most_
     return runs.union(some)
 
 
-def _block_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, seg, core, n, sharing, first, left, right): the bytes around the core of each wanted block."""
-    texts = docs.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "text").dropDuplicates(["__id", "__h"])
-    joined = wanted.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))).select("ws", "text")
+def _block_bytes(docs: DataFrame, wanted: DataFrame, length: int, broadcast_bytes: int) -> DataFrame:
+    """(anchor, seg, core, n, sharing, first, left, right): the bytes around the core of each wanted block.
+
+    The wanted places are broadcast if their counted size is at most broadcast_bytes;
+    otherwise a Bloom filter of the texts' hashes picks the texts that are shuffled.
+    Repeated rows of docs repeat their blocks, which are repeats then in any case.
+    """
+    size = wanted.agg(F.coalesce(F.sum(64 + 80 * F.size("ws")), F.lit(0))).first()[0]
+    places = wanted.withColumnsRenamed({"id": "id2", "h": "h2"})
+    texts = docs.select("id", "h", "text")
+    if size <= broadcast_bytes:
+        places = F.broadcast(places)
+    else:
+        bits = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted.select("h").distinct()))
+
+        def some(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(passing(batch.column("h").to_numpy(zero_copy_only=False), bits.value)))
+
+        texts, places = texts.mapInArrow(some, texts.schema), places.hint("merge")
+    joined = texts.join(places, F.col("id").eqNullSafe(F.col("id2")) & (F.col("h") == F.col("h2"))).select("ws", "text")
 
     def run(batches):
         for batch in batches:
@@ -248,33 +263,7 @@ def _last_start(left: str, right: str):
     return F.least(F.length(left), F.lit(1 - BLOCK) + F.length(left) + F.length(right))
 
 
-def _hashed_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """(anchor, core, variant, off) of repeated windows, by counting 128-bit hashes of what lies around the core."""
-
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for a, v, c, f, left, right in zip(*(batch.column(k).to_pylist() for k in ("anchor", "variant", "core", "first", "left", "right"))):
-                for x, need in _starts(left, right):
-                    digest = xxhash.xxh3_128_digest(bytes([x - len(left) + BLOCK]) + left[x:] + right[:need])
-                    for into, value in zip(out, (a, v, c, f + x, digest)):
-                        into.append(value)
-            yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.binary())], names=["anchor", "variant", "core", "off", "digest"])
-
-    windows = rows.mapInArrow(run, "anchor long, variant long, core long, off long, digest binary")
-    twice = windows.groupBy("anchor", "core", "digest").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return windows.join(twice.hint("merge"), ["anchor", "core", "digest"]).select("anchor", "core", "variant", F.col("off").cast("int").alias("off"))
-
-
-def _starts(left: bytes, right: bytes) -> list[tuple[int, int]]:
-    """(position in left, bytes needed of right) of each window of a block.
-
-    The window that starts right at the core needs BLOCK - 1 bytes of right, one fewer for each byte before it.
-    """
-    return [(x, need) for x in range(len(left) + 1) if 0 <= (need := BLOCK - 1 - (len(left) - x)) <= len(right)]
-
-
-def _sorted_repeats(rows: DataFrame, length: int, memory: int = 1 << 18, blocks_per_shard: int = 12_000) -> DataFrame:
+def _sorted_repeats(rows: DataFrame, memory: int = 1 << 16, blocks_per_shard: int = 40_000) -> DataFrame:
     """(anchor, core, variant, off) of repeated windows, by suffix sorting the blocks of each shard (a partition by core)."""
 
     def run(batches):
@@ -301,20 +290,15 @@ def _sort_shard(batches: Iterator[pa.RecordBatch], folder: str, memory: int) ->
                 np.array([a, c, v, f, symbols, len(left), len(right)], np.int64).tofile(info)
                 symbols += len(part)
                 blocks += 1
+        np.array([-2 - blocks], np.int64).tofile(text)
     if blocks < 2:
         return
     blocks_info = np.memmap(info_path, np.int64, "r").reshape(-1, 7)
     firsts = np.ascontiguousarray(blocks_info[:, 4])
 
-    def stream():
-        whole = np.memmap(text_path, np.int64, "r")
-        for at in range(0, symbols, 1 << 16):
-            yield from whole[at : at + (1 << 16)].tolist()
-        yield -2 - blocks
-
     out: list[tuple] = []
     last = None
-    for position, common in Sorter(folder, memory).suffixes(stream(), symbols + 1):
+    for position, common in Sorter(folder, memory).suffixes_of_file(text_path, symbols + 1):
         n = int(np.searchsorted(firsts, position, side="right")) - 1 if position < symbols else -1
         here = None
         if n >= 0:
@@ -337,42 +321,50 @@ def _offsets(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(i, pa.int64()) for i in ids), pa.array(offs, pa.int32())], names=["anchor", "core", "variant", "off"])
 
 
-def _cut(raw: bytes, runs: list | None, length: int) -> tuple[list, bytes]:
-    """Maximal removed spans and the bytes that stay."""
+def _spans(runs: list, length: int) -> list[dict]:
+    """Maximal removed spans of runs of window starts."""
     spans: list[list[int]] = []
-    for start, past in sorted((r["start"], r["start"] + r["count"] - 1 + length) for r in runs or []):
+    for start, past in sorted((r["start"], r["start"] + r["count"] - 1 + length) for r in runs):
         if spans and start <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], past)
         else:
             spans.append([start, past])
-    edges = [0, *(e for s in spans for e in s), len(raw)]
-    return [{"start": a, "end": b} for a, b in spans], b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+def _kept(raw: bytes, spans: list) -> bytes:
+    edges = [0, *(e for s in spans for e in (s["start"], s["end"])), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, broadcast_bytes: int = 32 << 20, **how) -> DataFrame:
     """docs without the text, with n_bytes, removed (array of start and end) and kept (the other bytes).
 
-    The runs to remove are broadcast if their measured size is at most
-    broadcast_bytes, and joined by shuffle otherwise.
+    These three replace columns of docs with their names.  The spans to remove are
+    broadcast if their counted size is at most broadcast_bytes, and joined by
+    shuffle otherwise.
     """
     scratch = Scratch(docs.sparkSession)
-    known = docs.select(F.col(id_col).alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("h"), F.col(text_col).alias("text"))
-    runs = repeated_windows(known, scratch, length, **how)
-    runs = runs.groupBy("id", "h").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("count").cast("int").alias("count"))).alias("__runs"))
-    runs = scratch.keep(runs.withColumnsRenamed({"id": "__id", "h": "__h"}))  # bounded by the document's own length
-    size = runs.agg(F.coalesce(F.sum(64 + 24 * F.size("__runs")), F.lit(0))).first()[0]
-    runs = F.broadcast(runs) if size <= broadcast_bytes else runs.hint("merge")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.coalesce(F.xxhash64(text_col), F.lit(0)) == F.col("__h"))
-    joined = docs.join(runs, same, "left").drop("__id", "__h")
-    kept = [c for c in docs.columns if c != text_col]
-    both = joined.select(*kept, F.struct(F.col(text_col).alias("text"), F.col("__runs").alias("runs")).alias("__both"))
+    h = F.coalesce(F.xxhash64(text_col), F.lit(0))
+    known = docs.select(F.col(id_col).alias("id"), h.alias("h"), F.col(text_col).alias("text"))
+    runs = repeated_windows(known, scratch, length, broadcast_bytes=broadcast_bytes, **how)
+    runs = runs.groupBy("id", "h").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("count").cast("int").alias("count"))).alias("runs"))
+    spans = map_texts(runs, "runs", "spans array<struct<start:int,end:int>>", lambda: lambda rows: [[_spans(r, length) for r in rows]])
+    own_id, own_h, both, cuts = (free_name(docs.columns, x) for x in ("span_id", "span_h", "text_and_spans", "spans"))
+    spans = scratch.keep(spans.withColumnsRenamed({"id": own_id, "h": own_h, "spans": cuts}))  # bounded by the document's own length
+    size = spans.agg(F.coalesce(F.sum(64 + 16 * F.size(cuts)), F.lit(0))).first()[0]
+    spans = F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge")
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (h == F.col(own_h))
+    made = ["n_bytes", "removed", "kept"]
+    kept = [c for c in without(docs.columns, made) if c != text_col]
+    rows = docs.join(spans, same, "left").select(*kept, F.struct(F.col(text_col).alias("text"), F.col(cuts).alias("spans")).alias(both))
 
     def make():
         def cut(rows: list) -> list[list]:
             raws = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in rows]
-            found = [_cut(raw, r["runs"], length) for raw, r in zip(raws, rows)]
-            return [[len(r) for r in raws], [f[0] for f in found], [f[1] for f in found]]
+            found = [r["spans"] or [] for r in rows]
+            return [[len(r) for r in raws], found, [_kept(raw, spans) for raw, spans in zip(raws, found)]]
 
         return cut
 
-    return map_texts(both, "__both", "n_bytes long, removed array<struct<start:int,end:int>>, kept binary", make)
+    return map_texts(rows, both, "n_bytes long, removed array<struct<start:int,end:int>>, kept binary", make)
