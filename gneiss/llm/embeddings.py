@@ -138,6 +138,7 @@ def near_vectors(
     told = scratch.keep(told.select("digest", "copies", "first", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "cid").alias("root")))
     least_id = scratch.keep(told.groupBy("root").agg(F.min("first").alias("component")))
     named = scratch.keep(told.join(least_id, "root").select("digest", (F.col("copies") - 1 + F.col("others")).alias("links"), "component"))
+    scratch.leave(rows, named)
     out = rows.select("id", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).cast("long")
     out = out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))

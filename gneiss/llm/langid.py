@@ -10,11 +10,14 @@ out of the centroids: the training texts are dealt into folds, the centroids of
 the other folds judge beginnings of several lengths of each, and a low quantile
 by language and length is the threshold, interpolated by the number of n-grams.
 
-Fitting uses about ``per_language`` labelled texts of each language (a bounded
-sample; there is one centroid set per distinct language).  Prediction reads
+Fitting uses at most ``per_language`` labelled texts of each language (a bounded
+sample, the first by a hash; there is one centroid set per distinct language).  Prediction reads
 whole texts.
 
-Edge cases: a null text or one without a letter is ``und`` with score 0 and
+Edge cases: equal cosines go to the first centroid, in the order of language names;
+repeated rows are judged alike; an empty table gives an empty result; the columns
+made replace columns of docs with their names; very long texts are read whole; a
+null text or one without a letter is ``und`` with score 0 and
 rejected; rows with null labels are predicted and never learned from; without
 any labelled row every prediction is ``und``.  Where a language has fewer than
 ``LEAST_TEXTS`` texts of a length, those of all languages give its threshold; no
@@ -26,7 +29,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.texts import map_texts
@@ -145,21 +148,22 @@ def fit_languages(
 ) -> LanguageModel:
     """A model learned from about per_language of the rows whose text and language are not null."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # one row per language
     nothing = LanguageModel([], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), [])
-    if not totals:
-        return nothing
-    names = sorted(totals)
-    share = F.lit(0.0)
-    for name in names:
-        share = F.when(F.col(lang_col) == F.lit(name), F.lit(min(1.0, per_language / totals[name]))).otherwise(share)
-    dice = F.pmod(F.xxhash64(F.lit(seed), id_col, F.col(text_col)), F.lit(1 << 20)) / float(1 << 20)
-    few = rows.where(dice < share).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, LENGTHS[-1]).alias("head"), F.col(text_col).alias("text"))
+    lang = F.col(lang_col).alias("lang")
+    dice = F.xxhash64(F.lit(seed), id_col, F.col(text_col))
+    totals = rows.groupBy(lang).agg(F.count("*").alias("total"))
+    # a coarse filter by the hash leaves a few times per_language texts, of which the first by the hash are taken
+    some = rows.select(lang, dice.alias("dice"), F.col(text_col).alias("text")).join(totals, "lang")
+    some = some.where(F.col("dice") / float(1 << 63) < F.lit(-1.0) + F.lit(8.0 * per_language) / F.col("total"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("dice", F.xxhash64("text")))
+    few = some.withColumn("place", order).where(F.col("place") <= per_language)
+    few = few.select("lang", F.substring("text", 1, LENGTHS[-1]).alias("head"), "text")
 
     def make():
         return lambda texts: [[np.minimum(gram_counts(t, dims), 65535).astype(np.uint16).tobytes() if has_letter(t) else None for t in texts]]
 
-    found = map_texts(few, "text", "grams binary", make).where("grams is not null").orderBy("lang", "grams", "head").collect()
+    found = map_texts(few, "text", "grams binary", make).where("grams is not null").collect()  # at most per_language rows a language
+    found.sort(key=lambda r: (r.lang, bytes(r.grams), r["head"]))
     names = sorted({r.lang for r in found})
     if not found:
         return nothing
@@ -170,10 +174,11 @@ def fit_languages(
     return model
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """docs without the text, with lang_pred, score and rejected."""
+def identify_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", made: tuple[str, str, str] = ("lang_pred", "score", "rejected"), keep_text: bool = False) -> DataFrame:
+    """docs, without the text unless keep_text, with the columns made: prediction, score and whether it is rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded: languages x clusters x dims
-    return map_texts(docs, text_col, "lang_pred string, score double, rejected boolean", lambda: LanguageModel(**shared.value).predict)
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in zip(made, ("string", "double", "boolean")))
+    return map_texts(docs, text_col, kinds, lambda: LanguageModel(**shared.value).predict, keep_text)
 
 
 def is_held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1):

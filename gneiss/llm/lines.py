@@ -485,6 +485,7 @@ def drop_duplicate_lines(
     lines, own_id, own_h, copy = (free_name([*docs.columns, dropped_col or ""], x) for x in ("gone_lines", "gone_id", "gone_h", "copy_number"))
     gone = gone.distinct().groupBy("id", "h").agg(F.collect_list("k").alias(lines)).withColumnsRenamed({"id": own_id, "h": own_h})
     gone = scratch.keep(gone)
+    scratch.leave(gone)
     size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size(lines)), F.lit(0))).first()[0]
     gone = F.broadcast(gone) if size <= broadcast_bytes else gone.hint("merge")
     h = F.coalesce(F.xxhash64(text_col), F.lit(0))

@@ -19,7 +19,11 @@ Edge cases: a null or empty text has no token, gets posteriors like any other
 and moves no total; an empty table gives an empty result; a domain without
 labelled text cannot be predicted and has no tokens, its target cannot be met;
 without any labelled text every rate is one.  Targets that the posteriors
-cannot reach with nonnegative rates are approached in ``rounds`` steps.
+cannot reach with nonnegative rates are approached in ``rounds`` steps, and a report
+shows what was reached.  Rates may pass one by a little; who draws documents by their
+rates takes those as one.  Repeated rows get equal rates; of several labels of one id
+the smallest counts; very long texts are read whole; the columns made replace columns
+of docs with their names.
 """
 
 from __future__ import annotations
@@ -71,7 +75,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     def make():
         return lambda texts: [[row.astype(np.float32).tobytes() for row in model.features(texts)]]
 
-    found = map_texts(sample, "text", "x binary", make).orderBy("__domain", "x").collect()  # bounded by most
+    found = map_texts(sample, "text", "x binary", make).collect()  # bounded by most
+    found.sort(key=lambda r: (r["__domain"], bytes(r.x)))
     if not found:
         return None
     x = np.stack([np.frombuffer(r.x, np.float32) for r in found]).astype(float)
@@ -89,15 +94,15 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     return model
 
 
-def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
-    """docs without the text, with n_tokens (runs without white space) and posterior (array, in the order of model.domains)."""
+def with_posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", made: tuple[str, str] = ("n_tokens", "posterior"), keep_text: bool = False) -> DataFrame:
+    """docs, without the text unless keep_text, with tokens (runs without white space) and posteriors (array, in the order of model.domains)."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # bounded by the vocabulary
 
     def make():
         domain_model = DomainModel(**shared.value)
         return lambda texts: [[len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts], domain_model.posteriors(texts).tolist()]
 
-    return map_texts(docs, text_col, "n_tokens long, posterior array<double>", make)
+    return map_texts(docs, text_col, f"`{made[0]}` long, `{made[1]}` array<double>", make, keep_text)
 
 
 def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
@@ -139,17 +144,30 @@ def fit_rates(rows: DataFrame, targets: list[float], budget: float | None = None
     return steps, wanted, reached
 
 
-def mix_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", **how) -> DataFrame:
-    """docs without the text, with n_tokens, posterior (map by domain) and rate."""
+def mix_to_targets(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain",
+    made: tuple[str, str, str] = ("n_tokens", "posterior", "rate"), keep_text: bool = False, report: list | None = None, **how,
+) -> DataFrame:
+    """docs, without the text unless keep_text, with tokens, posterior (map by domain) and rate, named as in made.
+
+    To report, if given, is added a dict for each domain with its natural tokens
+    and those wanted and reached: targets that rates cannot meet show there.
+    """
+    spark = docs.sparkSession
     model = fit_domains(docs, labelled, id_col, text_col, domain_col, **how)
+    tokens, posterior, rate = made
     if model is None:
-        tokens = map_texts(docs, text_col, "n_tokens long", lambda: lambda texts: [[len((t or "").split()) for t in texts]])
-        return tokens.withColumn("posterior", F.lit(None).cast("map<string,double>")).withColumn("rate", F.lit(1.0))
-    rows = Scratch(docs.sparkSession).keep(with_posteriors(docs, model, text_col))
-    steps, _, _ = fit_rates(rows.select("n_tokens", "posterior"), [targets.get(d, 0.0) for d in model.domains])
+        counted = map_texts(docs, text_col, f"`{tokens}` long", lambda: lambda texts: [[len((t or "").encode("utf-8", "surrogatepass").split()) for t in texts]], keep_text)
+        return counted.withColumn(posterior, F.lit(None).cast("map<string,double>")).withColumn(rate, F.lit(1.0))
+    rows = Scratch(spark).keep(with_posteriors(docs, model, text_col, (tokens, posterior), keep_text))
+    parts = rows.select(F.col(tokens).alias("n_tokens"), F.col(posterior).alias("posterior"))
+    steps, wanted, reached = fit_rates(parts, [targets.get(d, 0.0) for d in model.domains])
+    if report is not None:
+        natural = _totals(parts, F.lit(1.0), len(model.domains))
+        report += [{"domain": d, "natural": n, "wanted": w, "reached": r} for d, n, w, r in zip(model.domains, natural.tolist(), wanted.tolist(), reached.tolist())]
     names = F.array(*[F.lit(d) for d in model.domains])
-    rated = rows.withColumn("rate", rate_of(F.col("posterior"), steps))
-    return rated.withColumn("posterior", F.map_from_arrays(names, "posterior"))
+    rated = rows.withColumn(rate, rate_of(F.col(posterior), steps))
+    return rated.withColumn(posterior, F.map_from_arrays(names, F.col(posterior)))
 
 
 #: Domains of the queries, from the labels table, and the shares of tokens they are to have.

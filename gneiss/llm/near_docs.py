@@ -124,5 +124,6 @@ def drop_near_documents(docs: DataFrame, words: int = 5, least: float = 0.8, id_
     stars = alike.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("a"), F.col("component_id").alias("b"))
     links = stars.union(jaccard_links(docs, scratch, id_col, text_col, words, least))
     name = free_name(docs.columns, "gone_id")
-    gone = connected_components(links, scratch).where("node <> root").select(F.col("node").alias(name)).distinct()
+    gone = scratch.keep(connected_components(links, scratch).where("node <> root").select(F.col("node").alias(name)).distinct())
+    scratch.leave(gone)
     return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

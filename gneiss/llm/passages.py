@@ -25,7 +25,8 @@ Matches never cross documents.  Nothing but repeats is moved between tasks.
 
 Edge cases: a null text counts as empty; texts shorter than ``length`` keep all
 bytes; rows with a null id or the same id count as documents of their own (rows
-equal in id and text are copies of each other and lose the same bytes).
+equal in id and text are copies of each other and lose the same bytes); very long
+texts are cut into overlapping parts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -352,6 +353,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = map_texts(runs, "runs", "spans array<struct<start:int,end:int>>", lambda: lambda rows: [[_spans(r, length) for r in rows]])
     own_id, own_h, both, cuts = (free_name(docs.columns, x) for x in ("span_id", "span_h", "text_and_spans", "spans"))
     spans = scratch.keep(spans.withColumnsRenamed({"id": own_id, "h": own_h, "spans": cuts}))  # bounded by the document's own length
+    scratch.leave(spans)
     size = spans.agg(F.coalesce(F.sum(64 + 16 * F.size(cuts)), F.lit(0))).first()[0]
     spans = F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge")
     same = F.col(id_col).eqNullSafe(F.col(own_id)) & (h == F.col(own_h))

@@ -12,7 +12,9 @@ merging one pair at a time.  Words of more than ``LONG`` symbols with such pairs
 go through a heap of pairs instead, which keeps them near-linear.
 
 Edge cases: a null text counts as empty and has only the end id; unknown
-characters become byte pieces; undecodable bytes decode to U+FFFD each.
+characters become byte pieces; undecodable bytes decode to U+FFFD each; repeated rows
+are encoded alike; of equal ranks the leftmost pair merges; an empty table gives an
+empty result; the columns made replace columns of docs with their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gneiss.llm.texts import bound_batches, slices, without
+
 MARK = "▁"
 LONG = 400
 NONE = np.int32(2**31 - 1)
@@ -285,7 +289,7 @@ def _piece_ids(m: PieceModel, sym: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes batches of texts; remembers words up to a bound, then starts anew."""
 
-    def __init__(self, model: PieceModel, remembered: int = 400_000):
+    def __init__(self, model: PieceModel, remembered: int = 200_000):
         self.m, self.remembered = model, remembered
         self.forget()
 
@@ -354,17 +358,6 @@ def decode(m: PieceModel, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
     return out
 
 
-def _chunks(texts: list, most: int = 1 << 21):
-    at = size = 0
-    for n, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield texts[at : n + 1]
-            at, size = n + 1, 0
-    if at < len(texts):
-        yield texts[at:]
-
-
 def encode_decode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """docs without the text, with its ids (array<int>, end id last) and the text that they decode to."""
     return _mapped(docs, model_path, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(decoded_col, T.StringType())])
@@ -378,32 +371,32 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
 def _mapped(docs: DataFrame, model_path: str, text_col: str, fields: list) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     model = spark.sparkContext.broadcast(vars(load_model(model_path)))  # bounded by the vocabulary
-    kept = [c for c in docs.columns if c != text_col]
+    bound_batches(spark)
+    kept = [c for c in without(docs.columns, [f.name for f in fields]) if c != text_col]
     schema = T.StructType([docs.schema[c] for c in kept] + fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         encoder = Encoder(PieceModel(**model.value))
         for batch in batches:
-            at = 0
-            for part in _chunks(batch.column(text_col).to_pylist()):
-                ids, offsets = encoder.encode(part)
-                columns = [batch.column(c).slice(at, len(part)).cast(arrow.field(c).type) for c in kept]
+            for rows in slices(batch, text_col):
+                ids, offsets = encoder.encode(rows.column(text_col).to_pylist())
+                columns = [rows.column(c).cast(arrow.field(c).type) for c in kept]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 columns.append(lists.cast(arrow.field(len(kept)).type))
                 if len(fields) > 1:
                     columns.append(pa.array(decode(encoder.m, ids, offsets), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-                at += len(part)
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*kept, text_col).mapInArrow(run, schema)
 
 
 def digests(encoded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """Token count and SHA-256 of the ids and the decoded text in place of both."""
     joined = F.array_join(F.col(ids_col).cast("array<string>"), " ")
+    made = [ids_col, decoded_col, "n_tokens", "ids_sha256", "decoded_sha256"]
     return encoded.select(
-        *[c for c in encoded.columns if c not in (ids_col, decoded_col)],
+        *without(encoded.columns, made),
         F.size(ids_col).cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2(decoded_col, 256).alias("decoded_sha256"),

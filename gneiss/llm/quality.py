@@ -11,7 +11,10 @@ A document that fails the base rule is not kept; another is kept if the booster
 gives it a chance of at least ``least`` to be good.
 
 Edge cases: a null text counts as empty (no words, base_failed); rows with a null
-id are judged but never learned from; without labels of both kinds the booster
+id are judged but never learned from; of several labels of one id the smallest
+counts and equal texts are learned once; of equal gains the first feature and cut
+split; repeated rows are judged alike; an empty table gives an empty result; very
+long texts are read whole; the columns made replace columns of docs with their names; without labels of both kinds the booster
 gives every document an even chance, which keeps it.
 """
 
@@ -179,7 +182,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = labelled_sample(docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")), known, most, id_col)
     found = map_texts(
         sample.select("text", "__good"), "text", "features array<double>", lambda: lambda texts: [[statistics(t)[1] for t in texts]]
-    ).orderBy("features").collect()  # bounded by most
+    ).collect()  # bounded by most
+    found.sort(key=lambda r: (r.features, r["__good"]))
     y = np.array([r["__good"] for r in found], float)
     if len(set(y.tolist())) < 2:
         return EVEN

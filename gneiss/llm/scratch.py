@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Writes DataFrames as Parquet and reads them back, which cuts their lineage.
 
-    drop() deletes a table that nothing needs any more.  What a returned
+    drop() and leave() delete tables that nothing needs any more.  What a returned
     DataFrame still reads stays until the shared folder is emptied.
     """
 
@@ -45,5 +45,15 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for kept in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(kept._gneiss_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(kept._gneiss_path)
+
+    def leave(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        left = {t._gneiss_path for t in tables}
+        for n in range(self.count):
+            if f"{self.root}/{n}" not in left:
+                self._delete(f"{self.root}/{n}")
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,23 +1,23 @@
 """Near-duplicates by SimHash (operator 1).
 
 Documents get a 64-bit SimHash of their word shingles.  Equal fingerprints
-collapse before anything is compared.  The inverted index holds, for each
-distinct fingerprint, postings of positional bytes.  Two fingerprints that
-differ in at most two bits differ in at most two bytes, so they share at least
-six of eight positional bytes; among the four byte pairs (0,1) (2,3) (4,5)
-(6,7) at least two pairs are shared whole.  A posting key is therefore two byte
-pairs with their positions (six keys of 32 bits), which keeps the lists short.
-For each pair of one list the shared positional bytes are tallied, pairs under
-six are dropped, the rest are verified by their differing bits.
-
-A list longer than ``longest`` is not expanded into pairs.  Its fingerprints
-go an exact way instead: each emits itself and its 64 one-bit neighbours, and
-two fingerprints are within two bits if and only if they meet in one of these.
+collapse before anything is compared.  The inverted index holds bundles of
+positional bytes: a posting of a fingerprint is the bytes in two of its four byte
+pairs, with their positions.  Two fingerprints that differ in at most two bits
+differ in at most two bytes and so share at least two byte pairs whole, which is
+one bundle or more.  For each pair that meets in a list the different positional
+bytes of the bundles it shares are tallied, pairs under the guaranteed minimum of
+four are dropped, and the rest are verified by their differing bits.
+
+A list of more than ``longest`` fingerprints is split by adding two further
+positions to its bundle, in each of the six ways: of the other four bytes two are
+shared at least, so no pair is lost, and the guaranteed minimum is six.
 
 Edge cases: a null, empty or blank text has fingerprint zero and is linked like
 any other; rows with a null id keep their fingerprint, form no class and have
-component_id null; repeated rows give repeated rows; an empty table gives an
-empty result.
+component_id null; repeated rows give repeated rows; ties cannot occur (ids are
+ordered); very long texts are hashed in chunks; an empty table gives an empty
+result.  Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import connected_components
 from gneiss.llm.scratch import Scratch
-from gneiss.llm.texts import map_texts
+from gneiss.llm.texts import free_name, map_texts
 
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -68,48 +68,61 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, "text", "fp long", lambda: lambda texts: [[fingerprint(t, words_per_shingle) for t in texts]])
 
 
+#: Byte pairs of a bundle, and the two that it leaves out.
+BUNDLES = [((i, j), tuple(k for k in range(4) if k not in (i, j))) for i, j in combinations(range(4), 2)]
+
+
+def _bytes(fp: Column, places: tuple) -> Column:
+    """The bytes of a fingerprint at some places, side by side."""
+    found = F.lit(0).cast("long")
+    for k in places:
+        found = F.shiftleft(found, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(0xFF)))
+    return found
+
+
+def _posting(fp: Column, bundle: int, places: tuple) -> Column:
+    mask = sum(1 << k for k in places)
+    return F.struct(F.lit(bundle).alias("bundle"), _bytes(fp, places).alias("value"), F.lit(mask).alias("mask"))
+
+
+def _places(pairs: tuple) -> tuple:
+    return tuple(k for p in pairs for k in (2 * p, 2 * p + 1))
+
+
 def _postings(fps: DataFrame) -> DataFrame:
-    pair = [F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = [
-        F.lit(n << 32).bitwiseOR(F.shiftleft(pair[i], 16)).bitwiseOR(pair[j])
-        for n, (i, j) in enumerate(combinations(range(4), 2))
-    ]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    """(fp, bundle, value, mask): the bytes of each fingerprint in two of its four byte pairs."""
+    made = [_posting(F.col("fp"), n, _places(held)) for n, (held, _) in enumerate(BUNDLES)]
+    return fps.select("fp", F.explode(F.array(*made)).alias("p")).select("fp", "p.*")
+
+
+def _longer_postings(postings: DataFrame) -> DataFrame:
+    """Each posting with two of its other four bytes added to its bundle."""
+    made = []
+    for n, (held, other) in enumerate(BUNDLES):
+        more = [_posting(F.col("fp"), 100 + 6 * n + k, _places(held) + extra) for k, extra in enumerate(combinations(_places(other), 2))]
+        made.append(F.array(*more))
+    return postings.select("fp", F.explode(F.array(*made)[F.col("bundle")]).alias("p")).select("fp", "p.*")
 
 
-def _shared_bytes(a: str, b: str):
-    same = None
-    for k in range(8):
-        x = F.shiftrightunsigned(F.col(a).bitwiseXOR(F.col(b)), 8 * k).bitwiseAND(F.lit(0xFF))
-        one = F.when(x == 0, 1).otherwise(0)
-        same = one if same is None else same + one
-    return same
+def _tallied(postings: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of one list or more whose shared postings hold at least so many different positional bytes."""
+    left = postings.select("bundle", "value", "mask", F.col("fp").alias("a"))
+    right = postings.select("bundle", "value", F.col("fp").alias("b"))
+    met = left.join(right, ["bundle", "value"]).where("a < b")
+    return met.groupBy("a", "b").agg(F.bit_count(F.bit_or("mask")).alias("shared")).where(F.col("shared") >= least).select("a", "b")
 
 
 def fingerprint_links(fps: DataFrame, scratch: Scratch, max_bits: int = 2, longest: int = 64) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints within max_bits (at most 2) of each other."""
+    """Links (a, b) of all distinct fingerprints within max_bits (at most 2) of each other."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the index guarantees links of at most two bits")
     postings = scratch.keep(_postings(fps))
-    lists = scratch.keep(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    listed = postings.join(lists.hint("merge"), "key")
-    short, long = listed.where(F.col("n") <= longest), listed.where(F.col("n") > longest)
-    left = short.select("key", F.col("fp").alias("a"))
-    right = short.select("key", F.col("fp").alias("b"))
-    pairs = left.join(right, "key").where("a < b").where(_shared_bytes("a", "b") >= 8 - max_bits)
-    near = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
-    if max_bits < 2:  # one-bit neighbours meet at two bits
-        exact = long.select("fp").distinct()
-        flips = F.array(*[F.lit(0)] + [F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64 * max_bits)])
-        met = exact.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("b"))
-        known = exact.select(F.col("fp").alias("b"))
-        return near.union(met.join(known, "b").where("fp < b").select(F.col("fp").alias("a"), "b"))
-    exact = long.select("fp").distinct()
-    flips = F.array(*[F.lit(0)] + [F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)])
-    met = exact.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("meet"))
-    first = met.groupBy("meet").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-    star = met.join(first, "meet").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
-    return near.union(star)
+    lists = scratch.keep(postings.groupBy("bundle", "value").agg(F.count("*").alias("n")).where("n > 1"))
+    listed = postings.join(lists, ["bundle", "value"])
+    short = _tallied(listed.where(F.col("n") <= longest), 4)
+    long = _tallied(_longer_postings(listed.where(F.col("n") > longest)), 6)
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    return short.union(long).where(near).distinct()
 
 
 def simhash_near_duplicates(
@@ -125,6 +138,7 @@ def simhash_near_duplicates(
     rooted = scratch.keep(rooted)
     firsts = scratch.keep(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = scratch.keep(rooted.join(firsts.hint("merge"), "root").select("fp", "component_id"))
+    scratch.leave(prints, named)
     out = prints.join(named.hint("merge"), "fp", "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -139,5 +153,6 @@ def drop_simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Rows with a null id stay.  The ids decide, so repeated rows of a kept id stay together.
     """
     found = simhash_near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = free_name(docs.columns, "gone_id")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")

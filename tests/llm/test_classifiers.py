@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gneiss.llm import langid, registry, toxicity
-from gneiss.llm.samples import word_features
+from gneiss.llm.samples import SparseRows, word_features
 
 SF = "/root/testdata/sf0.01"
 
@@ -55,6 +55,9 @@ def test_ordinal_shares_weights_and_orders_thresholds():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(900, 3))
     grade = np.digitize(x @ [2.0, -1.0, 0.0] + rng.logistic(size=900) * 0.2, [0.5, 2.5])
+    dense, (row, column) = x, np.indices(x.shape).reshape(2, -1)
+    x = SparseRows(row, column, dense.reshape(-1), *dense.shape)
+    assert np.allclose(x.times(np.arange(3.0)), dense @ np.arange(3.0)) and np.allclose(x.transposed_times(grade), dense.T @ grade)
     w, cuts = toxicity.fit_ordinal(x, grade, 2, 1e-6)
     assert cuts[0] < cuts[1] and w[0] > 0 > w[1] and abs(w[2]) < 0.5 * abs(w[1])
     model = toxicity.OrdinalModel({}, w, cuts)
@@ -83,3 +86,63 @@ def test_toxicity_edges(spark):
     none = toxicity.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic").limit(0))
     assert {r.severity for r in toxicity.score_toxicity(docs.select("doc_id", "text"), none).collect()} == {0.0}
     assert word_features(None) == []
+
+
+def test_language_scores_match_a_plain_loop(spark):
+    """Cosines of every centroid by dictionaries of n-grams, with the fitted model given."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    model = langid.fit_languages(docs)
+    dims = len(model.idf)
+    got = {r.doc_id: r for r in langid.identify_language(docs.select("doc_id", "text"), model).collect()}
+    for r in docs.select("doc_id", "text").limit(25).collect():
+        counts = langid.gram_counts(r.text, dims)
+        held = {int(g): float(np.sqrt(counts[g])) * float(model.idf[g]) for g in np.flatnonzero(counts)}
+        norm = sum(v * v for v in held.values()) ** 0.5
+        cosines = [sum(v * float(c[g]) for g, v in held.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert got[r.doc_id].lang_pred == model.languages[model.owner[best]]
+        assert abs(got[r.doc_id].score - min(1.0, max(0.0, cosines[best]))) < 1e-4
+
+
+def test_ngrams_match_a_plain_count():
+    """Equal n-grams fall in equal slots: counts by slot are sums over plain counts of n-grams."""
+    text, dims = "Die Katze, die Maus 12 und é", 1 << 20
+    raw = b" die katze die maus und \xc3\xa9 "
+    plain = {}
+    for n in (2, 3, 4):
+        for k in range(len(raw) - n + 1):
+            plain[raw[k : k + n]] = plain.get(raw[k : k + n], 0) + 1
+    counts = langid.gram_counts(text, dims)
+    assert sorted(counts[counts > 0].tolist()) == sorted(plain.values())
+
+
+def test_severities_match_a_plain_loop(spark):
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    some = docs.where("doc_id % 10 = 0")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(some, model).collect()}
+    for r in some.collect():
+        count = Counter(w for w in word_features(r.text) if w in model.place)
+        z = sum(math.log1p(n) * model.weights[model.place[w]] for w, n in count.items())
+        over = [1 - 1 / (1 + math.exp(min(40, max(-40, z - t)))) for t in model.thresholds]
+        assert abs(got[r.doc_id].severity - sum(over)) < 1e-6 and got[r.doc_id].toxic == (over[0] >= 0.5)
+
+
+def test_samples_are_the_same_for_any_order(spark):
+    from gneiss.llm.samples import labelled_sample
+
+    docs = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other"), (3, "another"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (9, 1), (None, 0)], "doc_id long, y int")
+    for parts in (1, 3):
+        got = labelled_sample(docs.repartition(parts), labels.repartition(parts), 10).collect()
+        assert sorted((r.doc_id, r.text, r.y) for r in got) == [(1, "same", 0), (3, "another", 1)]
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, f"text number {i} of the language", "en") for i in range(300)] + [(1000 + i, f"eine zeile {i}", "de") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs, per_language=20, clusters=50)
+    assert model.languages == ["de", "en"] and list(np.bincount(model.owner)) == [5, 20]

@@ -40,10 +40,21 @@ def test_classifier_on_held_out_labels(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, "a b", 9), (2, None, 9), (None, "", 9), (1, "a b", 9)], "doc_id long, text string, rate int").drop("rate")
+    docs = spark.createDataFrame([(1, "a b", 9), (2, None, 9), (None, "", 9), (1, "a b", 9)], "doc_id long, text string, rate int")
     none = spark.createDataFrame([], "doc_id long, domain string")
     got = mixing.mix_to_targets(docs, none, {"x": 1.0}).collect()
     assert [r.rate for r in got] == [1.0] * 4 and sorted(r.n_tokens for r in got) == [0, 0, 2, 2]
     one = mixing.mix_to_targets(docs, spark.createDataFrame([(1, "x"), (2, "y"), (None, "x")], none.schema), {"x": 1.0, "z": 3.0}).collect()
     assert len(one) == 4 and all(r.rate >= 0 for r in one)
     assert mixing.mix_to_targets(docs.limit(0), none, {"x": 1.0}).count() == 0
+
+
+def test_report_tells_what_was_reached(spark):
+    docs = spark.createDataFrame([(i, "red red red apple" if i % 2 else "blue sky blue") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "case when doc_id % 2 = 1 then 'r' else 'b' end as domain")
+    report = []
+    rated = mixing.mix_to_targets(docs, labels, {"r": 0.5, "b": 0.5, "none": 0.2}, report=report).collect()
+    by = {r["domain"]: r for r in report}
+    assert set(by) == {"b", "r"} and all(abs(r["reached"] - r["wanted"]) <= 2e-3 * r["natural"] for r in report)
+    total = sum(r.rate * r.n_tokens * r.posterior["r"] for r in rated)
+    assert abs(total - by["r"]["reached"]) < 1e-6 * total

@@ -67,7 +67,7 @@ def test_query_and_held_out_accuracy(spark):
 
 def test_edges(spark):
     rows = [(1, None, 5), (2, "", 5), (None, "word " * 40, 5), (3, "a b c d e f g h i j k l m n o p q r s t u", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long").drop("n_words")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long")
     got = {r.doc_id: r for r in quality.judge_quality(docs, quality.EVEN).collect()}
     assert [got[k].base_failed for k in (1, 2, None, 3)] == [True, True, True, False] and got[3].kept
     assert quality.judge_quality(docs.limit(0), quality.EVEN).count() == 0
