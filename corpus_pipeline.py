@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each
 result as Parquet and rereads it as the next stage's docs.  The first four return
 the columns of documents, the last one row per document with ids and decoded text.
+
+Edge cases, by stage: language ID drops null texts and those without a letter, as they
+have no language; line dedup leaves texts without a line as they are and empties
+those whose lines all go; near-dedup keeps texts without a word once (they share
+fingerprint zero); mixing rates a text without a token like any other; rows with a null
+id pass all stages (mixing draws for them as one id); repeated rows count as copies of
+each other in line dedup, and stay or go together elsewhere; an empty table passes
+empty; extra columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -13,6 +21,7 @@ from pyspark.sql import functions as F
 
 from gneiss.llm import langid, lines, mixing, near_docs, pieces
 from gneiss.llm.scratch import Scratch
+from gneiss.llm.texts import free_name
 
 TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -24,8 +33,9 @@ LEAST_JACCARD = 0.8
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go; the others stay as they are."""
     model = langid.fit_languages(docs.where(F.col("doc_id").isNotNull()))
-    judged = langid.identify_language(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return judged.where("not rejected").select("row.*")
+    made = tuple(free_name(docs.columns, c) for c in ("lang_pred", "score", "rejected"))
+    judged = langid.identify_language(docs, model, made=made, keep_text=True)
+    return judged.where(~F.col(made[2])).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,14 +54,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document stays with the chance that its rate gives it; a rate of one or more keeps it."""
     labels = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = mixing.mix_to_targets(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), labels, mixing.TARGETS)
-    return rated.where(mixing.draw(F.col("doc_id")) < F.col("rate")).select("row.*")
+    made = tuple(free_name(docs.columns, c) for c in ("n_tokens", "posterior", "rate"))
+    rated = mixing.mix_to_targets(docs, labels, mixing.TARGETS, made=made, keep_text=True)
+    return rated.where(mixing.draw(F.col("doc_id")) < F.col(made[2])).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of each document, with its other columns."""
-    kept = docs.select(*[c for c in docs.columns if c not in ("ids", "decoded")])
-    return pieces.encode_decode(kept, TOKENIZER)
+    """Ids and decoded text of each document, with its other columns; ids and decoded replace columns of these names."""
+    return pieces.encode_decode(docs, TOKENIZER)
 
 
 STAGES = [
