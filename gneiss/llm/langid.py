@@ -32,6 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.llm.scratch import Scratch
 from gneiss.llm.texts import map_texts
 
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -150,13 +151,12 @@ def fit_languages(
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     nothing = LanguageModel([], np.zeros(0, int), np.zeros((0, dims), np.float32), np.ones(dims, np.float32), [])
     lang = F.col(lang_col).alias("lang")
-    dice = F.xxhash64(F.lit(seed), id_col, F.col(text_col))
-    totals = rows.groupBy(lang).agg(F.count("*").alias("total"))
-    # a coarse filter by the hash leaves a few times per_language texts, of which the first by the hash are taken
-    some = rows.select(lang, dice.alias("dice"), F.col(text_col).alias("text")).join(totals, "lang")
-    some = some.where(F.col("dice") / float(1 << 63) < F.lit(-1.0) + F.lit(8.0 * per_language) / F.col("total"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("dice", F.xxhash64("text")))
-    few = some.withColumn("place", order).where(F.col("place") <= per_language)
+    dice = F.xxhash64(F.lit(seed), id_col, F.col(text_col)).alias("dice")
+    # the first texts of each language by the hash; every task keeps per_language rows of a language before the shuffle
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("dice"))
+    chosen = rows.select(lang, dice).withColumn("place", order).where(F.col("place") <= per_language)
+    chosen = Scratch(docs.sparkSession).keep(chosen.select("lang", "dice").distinct())
+    few = rows.select(lang, dice, F.col(text_col).alias("text")).join(chosen, ["lang", "dice"]).dropDuplicates(["lang", "dice"])
     few = few.select("lang", F.substring("text", 1, LENGTHS[-1]).alias("head"), "text")
 
     def make():

@@ -341,8 +341,16 @@ def _pivot_pairs(pending: DataFrame, count: int) -> DataFrame:
     return pairs.select(*_pair("c", "c2")).distinct()
 
 
-#: Counters of shingles by hash, for an order of rarity.
+#: Counters of shingles by hash, for an order of rarity; 64-bit words of a parity sketch.
 SLOTS = 1 << 20
+PARITY_WORDS = 4
+
+
+def parity_words(codes: np.ndarray) -> np.ndarray:
+    """A bitmap with the parity of the number of distinct codes in each place."""
+    places = 64 * PARITY_WORDS
+    odd = np.bincount(((codes >> np.uint64(20)) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least: float, make) -> DataFrame:
@@ -352,7 +360,8 @@ def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least:
     first shingles of each is shared, whatever the common order of all shingles, so none
     is missed.  Here the order is that of counts in SLOTS counters of hashes, which puts
     rare shingles first.  From the first shingle that two sets share on, no more can be
-    shared than follows in both; pairs are dropped where that is too little.
+    shared than follows in both; pairs are dropped where that is too little, or where
+    parity sketches differ in more bits than the sets may differ in shingles.
     """
     rows = scratch.keep(pending.select("c", "s", "root").distinct().join(texts, "c"))
 
@@ -363,10 +372,17 @@ def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least:
         verifier = make()
         for batch in batches:
             for part in slices(batch, "normal"):
-                slot, n = np.unique(np.concatenate([slots(verifier.codes(t)) for t in part.column("normal").to_pylist()]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], names=["slot", "n"])
-
-    table = rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+                found = [slots(verifier.codes(t)) for t in part.column("normal").to_pylist()]
+                slot, roots = np.concatenate(found), np.repeat(part.column("root").to_numpy(), [len(x) for x in found])
+                order = np.argsort(slot, kind="stable")
+                slot, roots = slot[order], roots[order]
+                at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+                columns = [slot[at], np.diff(np.append(at, len(slot))), np.minimum.reduceat(roots, at), np.maximum.reduceat(roots, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["slot", "n", "low", "high"])
+
+    table = rows.mapInArrow(count, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # shingles of one component only link nothing; their counters are made negative.  At most SLOTS rows come to the driver
+    table = table.select("slot", F.when(F.col("low") < F.col("high"), F.col("n")).otherwise(-F.col("n")).alias("n")).toArrow()
     counts = np.zeros(SLOTS, np.int64)
     counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(counts)
@@ -376,22 +392,29 @@ def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least:
         for batch in batches:
             for part in slices(batch, "normal"):
                 out: list[list] = [[], [], [], []]
+                words = []
                 for n, text in enumerate(part.column("normal").to_pylist()):
                     codes = verifier.codes(text)
                     often = shared.value[slots(codes)]
-                    first = np.lexsort((codes, often))[: len(codes) - int(np.ceil(least * len(codes) - 1e-9)) + 1]
-                    known = np.flatnonzero(often[first] > 1)  # the others no other set has
+                    first = np.lexsort((codes, np.abs(often)))[: len(codes) - int(np.ceil(least * len(codes) - 1e-9)) + 1]
+                    known = np.flatnonzero(often[first] > 1)  # the others no set of another component has
+                    words.append(parity_words(codes))
                     for into, values in zip(out, (np.full(len(known), n), codes[first[known]].view(np.int64), known + 1, np.full(len(known), len(codes)))):
                         into.append(values)
                 at, t, r, size = (np.concatenate(x) for x in out)
-                columns = [part.column(x).take(pa.array(at)) for x in ("c", "s", "root")]
-                yield pa.RecordBatch.from_arrays([pa.array(t), *columns, pa.array(r), pa.array(size)], names=["t", "c", "s", "root", "r", "size"])
-
-    rare = scratch.keep(rows.mapInArrow(prefixes, "t long, c long, s long, root long, r long, size long"))
-    other = rare.select("t", *(F.col(x).alias(f"{x}2") for x in ("c", "s", "root", "r", "size")))
+                columns = [part.column(x).take(pa.array(at)) for x in ("c", "root")]
+                columns += [pa.array(r), pa.array(size), *(pa.array(w) for w in np.array(words)[at].T)]
+                yield pa.RecordBatch.from_arrays([pa.array(t), *columns], names=["t", *names])
+
+    parity = [f"w{k}" for k in range(PARITY_WORDS)]
+    names = ["c", "root", "r", "size", *parity]
+    rare = scratch.keep(rows.mapInArrow(prefixes, ", ".join(f"{x} long" for x in ("t", *names))))
+    other = rare.select("t", *(F.col(x).alias(f"{x}2") for x in names))
     most = 1 + F.least(F.col("size") - F.col("r"), F.col("size2") - F.col("r2"))
     enough = most >= (F.col("size") + F.col("size2")) * (least / (1 + least)) - 1e-6
-    pairs = rare.join(other, "t").where("c < c2 and root <> root2").where(enough).where(_alike("s", "s2"))
+    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in parity), F.lit(0))  # never more than shingles of one set only
+    near = apart <= (F.col("size") + F.col("size2")) * ((1 - least) / (1 + least)) + 1e-6
+    pairs = rare.join(other, "t").where("c < c2 and root <> root2").where(enough).where(near)
     return pairs.select(*_pair("c", "c2")).distinct()
 
 
