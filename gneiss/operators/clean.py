@@ -37,48 +37,58 @@ def drop_missing(df: DataFrame, columns: list[str] | None = None, how: str = "an
 
 
 def scale(df: DataFrame, columns: list[str], how: str = "standard") -> DataFrame:
-    """Adds ``<column>_scaled``: standard (population deviation), minmax, robust (median and quartiles) or log."""
-    out = df
-    for c in columns:
-        v = stats.number(F.col(c))
+    """Adds ``<column>_scaled``: standard (population deviation), minmax, robust (median and quartiles) or log.
+
+    One aggregate measures all columns.
+    """
+    bounds, new = {}, {}
+    for k, c in enumerate(columns):
+        v, a, b = stats.number(F.col(c)), F.col(f"__a{k}"), F.col(f"__b{k}")
         if how == "standard":
-            out = _stats_row(out, __a=F.avg(v), __b=F.stddev_pop(v))
-            new = F.when(F.col("__b") > 0, (v - F.col("__a")) / F.col("__b")).when(v.isNotNull(), 0.0)
+            bounds |= {f"__a{k}": F.avg(v), f"__b{k}": F.stddev_pop(v)}
+            value = F.when(b > 0, (v - a) / b).when(v.isNotNull(), 0.0)
         elif how == "minmax":
-            out = _stats_row(out, __a=F.min(v), __b=F.max(v))
-            new = F.when(F.col("__b") > F.col("__a"), (v - F.col("__a")) / (F.col("__b") - F.col("__a"))).when(v.isNotNull(), 0.5)
+            bounds |= {f"__a{k}": F.min(v), f"__b{k}": F.max(v)}
+            value = F.when(b > a, (v - a) / (b - a)).when(v.isNotNull(), 0.5)
         elif how == "robust":
-            out = _stats_row(out, __a=F.median(v), __b=F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25)))
-            new = F.when(F.col("__b") > 0, (v - F.col("__a")) / F.col("__b")).when(v.isNotNull(), 0.0)
+            bounds |= {f"__a{k}": F.median(v), f"__b{k}": F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))}
+            value = F.when(b > 0, (v - a) / b).when(v.isNotNull(), 0.0)
         else:
-            out = _stats_row(out, __a=F.min(v), __b=F.lit(0))
-            new = F.log1p(v + F.when(F.col("__a") <= 0, F.abs("__a") + 1).otherwise(0))
-        out = out.withColumn(f"{c}_scaled", new).drop("__a", "__b")
-    return out
+            bounds |= {f"__a{k}": F.min(v)}
+            value = F.log1p(v + F.when(a <= 0, F.abs(a) + 1).otherwise(0))
+        new[f"{c}_scaled"] = value
+    return _stats_row(df, **bounds).withColumns(new).drop(*bounds)
 
 
 def outliers(df: DataFrame, columns: list[str], method: str = "iqr", action: str = "cap", threshold: float | None = None) -> DataFrame:
     """Outliers by zscore (3, sample), iqr (1.5) or percentile (1 and 99), removed, capped or set to null.
 
-    Columns go in order; after a removal the later ones see the rows that are left.
+    One aggregate measures all columns, but for a removal: there columns go in order,
+    and the later ones see the rows that are left.
     """
-    out = df
-    for c in columns:
-        v = stats.number(F.col(c))
-        if method == "zscore":
-            out = _stats_row(out, __a=F.avg(v) - (threshold or 3.0) * F.stddev_samp(v), __b=F.avg(v) + (threshold or 3.0) * F.stddev_samp(v))
-        elif method == "iqr":
-            q1, q3 = F.percentile(v, F.lit(0.25)), F.percentile(v, F.lit(0.75))
-            out = _stats_row(out, __a=q1 - (threshold or 1.5) * (q3 - q1), __b=q3 + (threshold or 1.5) * (q3 - q1))
-        else:
-            out = _stats_row(out, __a=F.percentile(v, F.lit(0.01)), __b=F.percentile(v, F.lit(0.99)))
-        inside = F.coalesce(v.between(F.col("__a"), F.col("__b")), F.lit(True))
-        if action == "remove":
-            out = out.where(inside)
-        else:
-            out = out.withColumn(c, F.when(inside, v).when(F.lit(action == "cap"), F.greatest(F.least(v, F.col("__b")), F.col("__a"))))
-        out = out.drop("__a", "__b")
-    return out
+    if action == "remove":
+        for c in columns:
+            bounds, inside, _ = _outlier_rule(c, 0, method, threshold)
+            df = _stats_row(df, **bounds).where(inside).drop(*bounds)
+        return df
+    rules = [(c, *_outlier_rule(c, k, method, threshold)) for k, c in enumerate(columns)]
+    bounds = {name: v for _, b, _, _ in rules for name, v in b.items()}
+    new = {c: F.when(inside, stats.number(F.col(c))).when(F.lit(action == "cap"), capped) for c, _, inside, capped in rules}
+    return _stats_row(df, **bounds).withColumns(new).drop(*bounds)
+
+
+def _outlier_rule(column: str, k: int, method: str, threshold: float | None) -> tuple[dict[str, Column], Column, Column]:
+    """(aggregates of the bounds, whether a value is inside them, the value cut to them)."""
+    v, low, high = stats.number(F.col(column)), f"__a{k}", f"__b{k}"
+    if method == "zscore":
+        wide = (threshold or 3.0) * F.stddev_samp(v)
+        bounds = {low: F.avg(v) - wide, high: F.avg(v) + wide}
+    elif method == "iqr":
+        q1, q3 = F.percentile(v, F.lit(0.25)), F.percentile(v, F.lit(0.75))
+        bounds = {low: q1 - (threshold or 1.5) * (q3 - q1), high: q3 + (threshold or 1.5) * (q3 - q1)}
+    else:
+        bounds = {low: F.percentile(v, F.lit(0.01)), high: F.percentile(v, F.lit(0.99))}
+    return bounds, F.coalesce(v.between(F.col(low), F.col(high)), F.lit(True)), F.greatest(F.least(v, F.col(high)), F.col(low))
 
 
 def deduplicate(df: DataFrame, subset: list[str], order: list[str], keep: str = "first") -> DataFrame:

@@ -56,9 +56,11 @@ def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """The k most frequent values of each column with share in percent; ties by value."""
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")
     counts = pairs.where("value is not null and value <> ''").groupBy("column", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column")
-    ranked = counts.withColumn("pct", F.round(F.col("n") * 100 / F.sum("n").over(w), 4)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "value")))
-    return ranked.where(F.col("rank") <= k).select("column", "value", "n", "pct", "rank")
+    # every task keeps k values of a column before the shuffle; the totals have one row a column
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= k)
+    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
+    ranked = ranked.join(totals, "column").withColumn("pct", F.round(F.col("n") * 100 / F.col("total"), 4))
+    return ranked.select("column", "value", "n", "pct", "rank")
 
 
 def column_entropy(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -123,7 +123,7 @@ def granger(df: DataFrame, series: list[str], order: str, cause: str, effect: st
     b = (F.col("yu") * F.col("vv") - F.col("yv") * F.col("uv")) / det
     c = (F.col("yv") * F.col("uu") - F.col("yu") * F.col("uv")) / det
     full = F.col("yy") - b * F.col("yu") - c * F.col("yv")
-    stat = F.when((full > 0) & (F.col("n") > 3), (restricted - full) / (full / (F.col("n") - 3))).otherwise(0.0)
+    stat = F.when((full > 0) & (F.col("n") >= 4), (restricted - full) / (full / (F.col("n") - 3))).otherwise(0.0)
     return s.select(*series, "n", stat.alias("f"), (stat > critical).alias("causal"))
 
 

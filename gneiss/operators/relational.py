@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ AGGREGATES = {
 
 
 class Query:
-    """Collects clauses in any order; to_df() applies them in SQL's order."""
+    """Collects clauses in any order; to_df() applies them in SQL's order, set operations before order and limit."""
 
     def __init__(self, source: DataFrame, alias: str | None = None):
         self._source = source.alias(alias) if alias else source
@@ -22,6 +24,8 @@ class Query:
         self._joins: list[tuple] = []
         self._group: list[Column] = []
         self._having: list[Column] = []
+        self._grouping: str | None = None
+        self._sets: list[tuple[str, DataFrame]] = []
         self._order: list[Column] = []
         self._limit: int | None = None
         self._offset = 0
@@ -51,6 +55,16 @@ class Query:
     def where_between(self, column: str, low, high) -> Query:
         return self.where(F.col(column).between(low, high))
 
+    def where_any(self, *conditions: str) -> Query:
+        """Rows that meet one of the conditions."""
+        return self.where(reduce(lambda a, b: a | b, map(F.expr, conditions)))
+
+    def where_prefix(self, column: str, prefix: str) -> Query:
+        return self.where(F.col(column).startswith(prefix))
+
+    def where_contains(self, column: str, part: str) -> Query:
+        return self.where(F.col(column).contains(part))
+
     def join(self, other: DataFrame, on: str | None, how: str = "inner", alias: str | None = None) -> Query:
         """how: inner, left, right, full, cross, left_semi or left_anti."""
         if (on is None) != (how == "cross"):
@@ -62,6 +76,34 @@ class Query:
         self._group += [F.expr(c) for c in columns]
         return self
 
+    def rollup(self, *columns: str) -> Query:
+        self._grouping = "rollup"
+        return self.group_by(*columns)
+
+    def cube(self, *columns: str) -> Query:
+        self._grouping = "cube"
+        return self.group_by(*columns)
+
+    def grouping_sets(self, sets: list[list[str]]) -> Query:
+        """Groups by each set of columns; columns that a set leaves out are null in its rows."""
+        self._grouping = "sets"
+        self._group_sets = [[F.col(c) for c in one] for one in sets]
+        return self.group_by(*dict.fromkeys(c for one in sets for c in one))
+
+    def union(self, other: Query | DataFrame, distinct: bool = True) -> Query:
+        return self._combined("union" if distinct else "union_all", other)
+
+    def intersect(self, other: Query | DataFrame) -> Query:
+        return self._combined("intersect", other)
+
+    def difference(self, other: Query | DataFrame) -> Query:
+        """The distinct rows that other does not have."""
+        return self._combined("except", other)
+
+    def _combined(self, how: str, other: Query | DataFrame) -> Query:
+        self._sets.append((how, other.to_df() if isinstance(other, Query) else other))
+        return self
+
     def having(self, condition: str) -> Query:
         self._having.append(F.expr(condition))
         return self
@@ -85,13 +127,22 @@ class Query:
         for condition in self._where:
             df = df.where(condition)
         if self._aggregates:
-            df = df.groupBy(*self._group).agg(*self._aggregates)
+            if self._grouping == "sets":
+                grouped = df.groupingSets(self._group_sets, *self._group)
+            else:
+                grouped = getattr(df, self._grouping or "groupBy")(*self._group)
+            df = grouped.agg(*self._aggregates)
         elif self._group:
             df = df.select(*self._group).distinct()
         for condition in self._having:
             df = df.where(condition)
         if self._columns and not self._aggregates:
             df = df.select(*self._columns)
+        for how, other in self._sets:
+            if how == "union_all":
+                df = df.union(other)
+            else:
+                df = {"union": lambda a, b: a.union(b).distinct(), "intersect": DataFrame.intersect, "except": DataFrame.subtract}[how](df, other)
         if self._order:
             df = df.orderBy(*self._order)
         if self._offset:

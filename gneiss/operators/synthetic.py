@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,7 +22,8 @@ def sales_sample(spark: SparkSession, rows: int = 60, seed: int = 1) -> DataFram
 def synthesize(df: DataFrame, numeric: list[str], categorical: list[str], rows: int, seed: int = 1) -> DataFrame:
     """Rows with each numeric column normal around its mean and each categorical one by its frequencies.
 
-    Categories must be few: their cumulative shares are put into the plan.
+    A category is drawn by a join of a random number with the cumulative shares of
+    all categories, cut into steps, so their number is not bounded.
     """
     spark = df.sparkSession
     out = spark.range(rows)
@@ -29,20 +31,37 @@ def synthesize(df: DataFrame, numeric: list[str], categorical: list[str], rows:
         moments = df.agg(*[f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
         out = out.withColumns({c: F.lit(moments[f"m_{c}"]) + F.randn(seed + k) * F.lit(moments[f"s_{c}"] or 0.0) for k, c in enumerate(numeric)})
     for k, c in enumerate(categorical):
-        shares = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(c).limit(1000).collect()
-        total, edge, pick = sum(r["count"] for r in shares), 0.0, F.lit(None).cast("string")
-        draw = f"__u{k}"
-        out = out.withColumn(draw, F.rand(seed + 100 + k))
-        cases: list[tuple[float, str]] = []
-        for r in shares:
-            edge += r["count"] / total
-            cases.append((edge, str(r[c])))
-        for high, value in reversed(cases):
-            pick = F.when(F.col(draw) <= high, value).otherwise(pick)
-        out = out.withColumn(c, pick).drop(draw)
+        out = _drawn(out, df, c, seed + 100 + k)
     return out
 
 
+def _drawn(out: DataFrame, df: DataFrame, column: str, seed: int, steps: int = 1000) -> DataFrame:
+    """out with a column of values of df, each drawn with its share.
+
+    Values are put in order of a hash inside ``steps`` groups, whose sums are few; a
+    drawn number of rows falls into a group first and into a value of the group then.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("__v")).agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__g", F.pmod(F.xxhash64("__v"), F.lit(steps)))
+    inside = Window.partitionBy("__g").orderBy("__v")
+    counts = counts.withColumn("__past", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = counts.groupBy("__g").agg(F.sum("__n").alias("n")).orderBy("__g").collect()  # at most ``steps`` rows
+    edges = list(accumulate(r.n for r in groups))
+    if not edges:
+        return out.withColumn(column, F.lit(None).cast("string"))
+    past, names = F.array(*map(F.lit, edges)), F.array(*[F.lit(r["__g"]) for r in groups])
+    starts = F.array(F.lit(0), *map(F.lit, edges[:-1]))
+    drawn = out.withColumn("__at", F.floor(F.rand(seed) * edges[-1]).cast("long"))
+    drawn = drawn.withColumn("__k", F.size(F.filter(past, lambda e: e <= F.col("__at"))))
+    drawn = drawn.withColumns({"__group": names[F.col("__k")], "__rest": F.col("__at") - starts[F.col("__k")]})
+    # of the group's values, by falling sums, the last before the rest of the number
+    values = counts.select(F.col("__g").alias("__group"), F.col("__past").alias("__rest"), F.col("__v"))
+    both = drawn.drop("__at", "__k").unionByName(values, allowMissingColumns=True)
+    seen = Window.partitionBy("__group").orderBy(F.desc("__rest"), F.col("__v").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn(column, F.last("__v", True).over(seen)).where(F.col("__v").isNull())
+    return both.drop("__group", "__rest", "__v")
+
+
 def fake_value(kind: str, key: Column, seed: int = 1) -> Column:
     """A made-up value of a kind of personal data, fixed by the key."""
     h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(10**9)).cast("string")

@@ -91,7 +91,7 @@ def unit_root(df: DataFrame, series: list[str], order: str, value: str, critical
     rows = df.select(*series, (F.col(value) - F.lag(value).over(w)).alias("dy"), F.lag(value).over(w).alias("y")).where("dy is not null and y is not null")
     s = rows.groupBy(*series).agg(F.count("*").alias("n"), F.regr_slope("dy", "y").alias("slope"), F.regr_syy("dy", "y").alias("syy"), F.regr_sxy("dy", "y").alias("sxy"))
     se = F.sqrt(F.greatest((F.col("syy") - F.col("slope") * F.col("sxy")), F.lit(0.0)) / (F.col("n") - 2))
-    stat = F.when(se > 0, F.col("slope") / se).otherwise(0.0)
+    stat = F.when((se > 0) & (F.col("n") >= 9), F.col("slope") / se).otherwise(0.0)  # ten values have nine differences
     return s.select(*series, stat.alias("statistic"), (F.abs(stat) > critical).alias("stationary"))
 
 
@@ -104,19 +104,19 @@ def _smooth(y: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def _seasonal(y: np.ndarray, period: int, alpha: float, beta: float, gamma: float, updated: bool) -> tuple[np.ndarray, float, float, np.ndarray]:
-    """Additive Holt-Winters; with ``updated`` the fit uses the season after its update."""
+    """Additive Holt-Winters; the fit uses level and trend before each value, and with ``updated`` the season after it."""
     if updated:
         level, trend = y[:period].mean(), (y[period : 2 * period].mean() - y[:period].mean()) / period
     else:
         level, trend = y[0], y[:period].mean() - y[0]
-    season = y[:period] - (y[:period].mean() if updated else level)
+    season = y[:period] - y[:period].mean()
     fitted = np.zeros(len(y))
     for t, v in enumerate(y):
-        k, before, old = t % period, level, season[t % period]
+        k, before, slope, old = t % period, level, trend, season[t % period]
         level = alpha * (v - old) + (1 - alpha) * (level + trend)
         trend = beta * (level - before) + (1 - beta) * trend
         season[k] = gamma * (v - level) + (1 - gamma) * old
-        fitted[t] = level + trend + (season[k] if updated else old)
+        fitted[t] = before + slope + (season[k] if updated else old)
     return fitted, level, trend, season
 
 
@@ -125,7 +125,9 @@ def holt_winters(
 ) -> DataFrame:
     """(series, step, forecast, lower, upper, rmse) for ``horizon`` steps; smoothing alone below two periods.
 
-    Bounds are forecast +- 1.96 rmse sqrt(step).
+    Bounds are forecast +- 1.96 s sqrt(step), where s is the rmse of the fit or, in
+    the plain variant, the sample deviation of its residuals.  Smoothing alone is
+    fitted after each value in the updated variant and before it in the plain one.
     """
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series)
     schema = f"{fields}{', ' if series else ''}step int, forecast double, lower double, upper double, rmse double"
@@ -137,12 +139,13 @@ def holt_winters(
             return pd.DataFrame({}, columns=[*series, "step", "forecast", "lower", "upper", "rmse"])
         if len(y) < 2 * period:
             smooth = _smooth(y, alpha)
-            fitted, ahead = np.concatenate([[y[0]], smooth[:-1]]), np.full(horizon, smooth[-1])
+            fitted, ahead = smooth if variant == "updated" else np.concatenate([[y[0]], smooth[:-1]]), np.full(horizon, smooth[-1])
         else:
             fitted, level, trend, season = _seasonal(y, period, alpha, beta, gamma, variant == "updated")
             ahead = level + steps * trend + season[(len(y) + steps - 1) % period]
         rmse = float(np.sqrt(np.mean((y - fitted) ** 2)))
-        wide = 1.96 * rmse * np.sqrt(steps)
+        spread = rmse if variant == "updated" else float(np.std(y - fitted, ddof=1)) if len(y) > 1 else 0.0
+        wide = 1.96 * spread * np.sqrt(steps)
         out = pd.DataFrame({"step": steps, "forecast": ahead, "lower": ahead - wide, "upper": ahead + wide, "rmse": rmse})
         for name, part in zip(series, key):
             out.insert(0, name, part)
