@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from gneiss.llm.bloom import bloom_of, passing
 from gneiss.llm.induced import Sorter
 from gneiss.llm.scratch import Scratch
-from gneiss.llm.texts import free_name, map_texts, without
+from gneiss.llm.texts import bound_batches, free_name, map_texts, slices, without
 
 GRAM = 32
 BLOCK = 8
@@ -96,7 +96,7 @@ def segments(raws: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     return own, at - starts[own], count, anchor[at] - starts[own], grams[anchor[at]].view(np.int64)
 
 
-def _batches_of(raws: list[bytes], length: int, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes], list[int]]]:
+def _batches_of(raws: list[bytes], length: int, most: int = 1 << 16) -> Iterator[tuple[int, list[bytes], list[int]]]:
     """(number of the first text, parts, offset of each part) of bounded size; only very long texts are cut."""
     group: list[bytes] = []
     size = first = 0
@@ -130,33 +130,40 @@ def _blocks(off: int, count: int) -> range:
     return range(off // BLOCK, (off + count - 1) // BLOCK + 1)
 
 
-def _segment_rows(length: int, bits):
-    def make():
-        def rows(texts: list) -> list[list]:
-            out: list[list] = [[] for _ in texts]
-            for raws, own, at, count, place, anchor in _found(texts, length):
-                keep = passing(anchor, bits.value)
-                held: dict = {}
-                for n, a, c, p, h in zip(own[keep].tolist(), at[keep].tolist(), count[keep].tolist(), place[keep].tolist(), anchor[keep].tolist()):
-                    raw = raws[n]
-                    seg = xxhash.xxh3_64_intdigest(raw[a : a + c + length - 1], p - a) - (1 << 63)
-                    row = held.get((n, h, seg))
-                    if row is None:
-                        cores = [
-                            xxhash.xxh3_64_intdigest(raw[p + BLOCK * j + BLOCK - 1 : p + BLOCK * j + length], (h + 977 * j) & ((1 << 64) - 1)) - (1 << 63)
-                            for j in _blocks(a - p, c)
-                        ]
-                        row = held[n, h, seg] = (h, seg, a - p, c, [], cores)
-                        out[n].append(row)
-                    row[4].append(p)
-            return [out]
-
-        return rows
+def _segment_rows(docs: DataFrame, length: int, bits) -> DataFrame:
+    """(id, h, anchor, seg, off, count, places, cores): the segments of each text whose anchor passes the filter, equal ones once."""
+    bound_batches(docs.sparkSession)
+    kind = docs.schema["id"].dataType.simpleString()
+    low, most = 1 << 63, (1 << 64) - 1
 
-    return make
-
-
-def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, memory: int = 1 << 16, blocks_per_shard: int = 40_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    def run(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for part in slices(batch, "text"):
+                whose, anchors, segs, offs, counts, places, cores = made = [[] for _ in range(7)]
+                for raws, own, at, count, place, anchor in _found(part.column("text").to_pylist(), length):
+                    keep = np.flatnonzero(passing(anchor, bits.value))
+                    held: dict = {}
+                    for n, a, c, p, h in zip(*(x[keep].tolist() for x in (own, at, count, place, anchor))):
+                        raw = raws[n]
+                        seg = digest(raw[a : a + c + length - 1], p - a) - low
+                        seen = held.get((n, h, seg))
+                        if seen is not None:
+                            seen.append(p)
+                            continue
+                        for into, value in zip(made, (n, h, seg, a - p, c, [p])):
+                            into.append(value)
+                        held[n, h, seg] = places[-1]
+                        cores.append([digest(raw[p + BLOCK * j + BLOCK - 1 : p + BLOCK * j + length], (h + 977 * j) & most) - low for j in _blocks(a - p, c)])
+                at = pa.array(whose, pa.int64())
+                numbers = [pa.array(anchors, pa.int64()), pa.array(segs, pa.int64()), pa.array(offs, pa.int32()), pa.array(counts, pa.int32())]
+                lists = [pa.array(places, pa.list_(pa.int32())), pa.array(cores, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("h").take(at), *numbers, *lists], names=["id", "h", "anchor", "seg", "off", "count", "places", "cores"])
+
+    return docs.select("id", "h", "text").mapInArrow(run, f"id {kind}, h long, anchor long, seg long, off int, count int, places array<int>, cores array<long>")
+
+
+def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, memory: int = 1 << 18, blocks_per_shard: int = 40_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(id, h, start, count): runs of window starts whose strings start elsewhere too; docs has (id, h, text)."""
     if length < GRAM + BLOCK:
         raise ValueError("the strings are too short for the anchors")
@@ -176,9 +183,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, memor
     every = map_texts(docs.select("text"), "text", "anchors array<long>", anchors).select(F.explode("anchors").alias("anchor"))
     repeated = scratch.keep(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     bits = spark.sparkContext.broadcast(bloom_of(repeated))
-    kind = "array<struct<anchor:long,seg:long,off:int,count:int,places:array<int>,cores:array<long>>>"
-    found = map_texts(docs.select("id", "h", "text"), "text", f"s {kind}", _segment_rows(length, bits))
-    found = found.select("id", "h", F.explode("s").alias("s")).select("id", "h", "s.*")
+    found = _segment_rows(docs, length, bits)
     found = scratch.keep(found)
     distinct = found.groupBy("anchor", "seg").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("id", "h", F.col("places")[0].alias("p"), "off", "count")).alias("at"), F.min("cores").alias("cores"))
     distinct = scratch.keep(distinct)
@@ -239,7 +244,7 @@ def _block_bytes(docs: DataFrame, wanted: DataFrame, length: int, broadcast_byte
 
     def run(batches):
         for batch in batches:
-            rows = []
+            columns: list[list] = [[] for _ in schema]
             for ws, text in zip(batch.column("ws").to_pylist(), batch.column("text").to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 for w in ws:
@@ -248,8 +253,9 @@ def _block_bytes(docs: DataFrame, wanted: DataFrame, length: int, broadcast_byte
                     core = w["p"] + BLOCK * w["j"] + BLOCK - 1
                     left = raw[w["p"] + low : core]
                     right = raw[w["p"] + BLOCK * w["j"] + length : w["p"] + high - 1 + length]
-                    rows.append((w["anchor"], w["seg"], w["core"], w["n"], w["sharing"], low, left, right))
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+                    for into, value in zip(columns, (w["anchor"], w["seg"], w["core"], w["n"], w["sharing"], low, left, right)):
+                        into.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     long, binary = pa.int64(), pa.binary()
     schema = pa.schema([("anchor", long), ("seg", long), ("core", long), ("n", long), ("sharing", long), ("first", long), ("left", binary), ("right", binary)])
@@ -264,7 +270,7 @@ def _last_start(left: str, right: str):
     return F.least(F.length(left), F.lit(1 - BLOCK) + F.length(left) + F.length(right))
 
 
-def _sorted_repeats(rows: DataFrame, memory: int = 1 << 16, blocks_per_shard: int = 40_000) -> DataFrame:
+def _sorted_repeats(rows: DataFrame, memory: int = 1 << 18, blocks_per_shard: int = 40_000) -> DataFrame:
     """(anchor, core, variant, off) of repeated windows, by suffix sorting the blocks of each shard (a partition by core)."""
 
     def run(batches):
