@@ -368,17 +368,27 @@ def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least:
     def slots(codes: np.ndarray) -> np.ndarray:
         return (codes >> np.uint64(44)).astype(np.int64)
 
-    def count(batches):
-        verifier = make()
+    def summed(held: list) -> pa.RecordBatch:
+        slot, roots = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(slot, kind="stable")
+        slot, roots = slot[order], roots[order]
+        at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+        columns = [slot[at], np.diff(np.append(at, len(slot))), np.minimum.reduceat(roots, at), np.maximum.reduceat(roots, at)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["slot", "n", "low", "high"])
+
+    def count(batches):  # a task adds up what it reads, about SLOTS shingles at a time
+        verifier, held, size = make(), [], 0
         for batch in batches:
             for part in slices(batch, "normal"):
-                found = [slots(verifier.codes(t)) for t in part.column("normal").to_pylist()]
-                slot, roots = np.concatenate(found), np.repeat(part.column("root").to_numpy(), [len(x) for x in found])
-                order = np.argsort(slot, kind="stable")
-                slot, roots = slot[order], roots[order]
-                at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-                columns = [slot[at], np.diff(np.append(at, len(slot))), np.minimum.reduceat(roots, at), np.maximum.reduceat(roots, at)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["slot", "n", "low", "high"])
+                for text, root in zip(part.column("normal").to_pylist(), part.column("root").to_pylist()):
+                    found = slots(verifier.codes(text))
+                    held.append((found, np.full(len(found), root)))
+                    size += len(found)
+                if size > SLOTS:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
 
     table = rows.mapInArrow(count, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     # shingles of one component only link nothing; their counters are made negative.  At most SLOTS rows come to the driver
