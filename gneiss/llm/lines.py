@@ -99,30 +99,26 @@ class Signer:
         codes ^= codes >> np.uint64(29)
         owner = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(codes))))
         place = owner * np.uint64(self.n) + (((codes >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32))
-        order = np.sort((place << np.uint64(32)) | ((codes * _MIX) >> np.uint64(32)))
-        high = order >> np.uint64(32)
-        first = np.append(True, high[1:] != high[:-1])
         out = np.full(len(starts) * self.n, _EMPTY)
-        out[high[first].astype(np.int64)] = order[first].astype(np.uint32)
+        np.minimum.at(out, place.view(np.int64), ((codes * _MIX) >> np.uint64(32)).astype(np.uint32))
         return out.reshape(len(starts), self.n)
 
     def close(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """((sets, bands) keys, (sets,) sketches) of bins, each set having some value."""
         full = bins.copy()
-        todo = np.flatnonzero((bins == _EMPTY).any(axis=1))
-        some = bins[todo]
-        filled = some.copy()
+        row, bin_ = np.divmod(np.flatnonzero(bins.reshape(-1) == _EMPTY), self.n)
         for order in self.orders:
-            empty = filled == _EMPTY
-            if not empty.any():
+            lent = bins[row, order[bin_]]
+            full[row, bin_] = lent
+            row, bin_ = row[lent == _EMPTY], bin_[lent == _EMPTY]
+            if not len(row):
                 break
-            np.copyto(filled, some[:, order], where=empty)
-        if (filled == _EMPTY).any():  # the next bin that is not empty, around the end
-            twice = np.concatenate([some, some], axis=1)
+        if len(row):  # the next bin that is not empty, around the end
+            some, at_row = np.unique(row, return_inverse=True)
+            twice = np.concatenate([bins[some], bins[some]], axis=1)
             at = np.where(twice < _EMPTY, np.arange(2 * self.n), 2 * self.n)
-            after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, : self.n]
-            filled = np.where(filled == _EMPTY, np.take_along_axis(twice, after, axis=1), filled)
-        full[todo] = filled
+            after = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1]
+            full[row, bin_] = twice[at_row, after[at_row, bin_]]
         sig = full[:, : self.bands * self.rows].astype(np.uint64).reshape(len(full), self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64) * _MIX + np.zeros((len(sig), 1), np.uint64)
         for k in range(self.rows):
