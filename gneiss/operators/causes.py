@@ -64,3 +64,39 @@ def prepare(df: DataFrame, key: list[str], order: list[str], numeric: list[str],
 def tail(df: DataFrame, order: list[str], rows: int = 100) -> DataFrame:
     """The last rows in an order, first to last."""
     return df.orderBy(*[F.col(c).desc() for c in order]).limit(rows).orderBy(*order)
+
+
+def holdout_fit(df: DataFrame, y: str, x: str, held: Column) -> DataFrame:
+    """(n, r2, mae, baseline_mae, chosen) on the rows held out: a line fitted on the others against their mean."""
+    rows = df.select(F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"), held.alias("held")).where("y is not null and x is not null")
+    fit = rows.where("not held").agg(F.avg("y").alias("m"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    told = rows.where("held").crossJoin(F.broadcast(fit)).withColumn("p", F.col("a") + F.col("b") * F.col("x"))
+    rest = F.sum((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))
+    out = told.agg(F.count("y").alias("n"), (1 - F.try_divide(rest, F.var_pop("y") * F.count("y"))).alias("r2"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), F.avg(F.abs(F.col("y") - F.col("m"))).alias("baseline_mae"))
+    return out.withColumn("chosen", F.when(F.col("mae") < F.col("baseline_mae"), "line").otherwise("mean"))
+
+
+def alert_rules(df: DataFrame, series: list[str], order: str, value: str) -> DataFrame:
+    """(series, change, last_z, recent, low, high, drop, spike, outlier, shift): the rules on the end of each series.
+
+    change is that of the last step, recent that of the last three values against
+    the three before; low and high are two population deviations from the mean.
+    """
+    w = Window.partitionBy(*series).orderBy(F.desc(order))
+    rows = df.where(F.col(value).isNotNull()).select(*series, F.col(value).cast("double").alias("v"), F.row_number().over(w).alias("k"))
+
+    def mean_of(first: int, last: int) -> Column:
+        return F.avg(F.when(F.col("k").between(first, last), F.col("v")))
+
+    s = rows.groupBy(*series).agg(mean_of(1, 1).alias("v1"), mean_of(2, 2).alias("v2"), mean_of(1, 3).alias("late"), mean_of(4, 6).alias("early"), F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    change, recent = (F.try_divide(F.col(a) - F.col(b), F.abs(b)) for a, b in (("v1", "v2"), ("late", "early")))
+    z = F.coalesce(F.try_divide(F.abs(F.col("v1") - F.col("m")), F.col("sd")), F.lit(0.0))
+    # fixed values: the limits of the four rules
+    rules = {"drop": change < -0.15, "spike": change > 0.25, "outlier": z > 2.5, "shift": F.abs(recent) > 0.2}
+    return s.select(*series, change.alias("change"), z.alias("last_z"), recent.alias("recent"), (F.col("m") - 2 * F.col("sd")).alias("low"), (F.col("m") + 2 * F.col("sd")).alias("high"), *[F.coalesce(r, F.lit(False)).alias(n) for n, r in rules.items()])
+
+
+def blend(forecasts: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Weighted mean of forecasts; those that are null leave their weight to the others."""
+    total = sum((F.when(c.isNotNull(), F.lit(weights[n])).otherwise(0.0) for n, c in forecasts.items()), F.lit(0.0))
+    return F.try_divide(sum((F.coalesce(c * weights[n], F.lit(0.0)) for n, c in forecasts.items()), F.lit(0.0)), total)

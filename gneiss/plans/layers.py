@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import causes, joins, regress
+from gneiss.operators import causes, joins, regress, timeseries
 from gneiss.plans.catalog import query
 from gneiss.plans.reference import _EWMA, _MONTHLY, _monthly
 from gneiss.session import read_table
+from gneiss.streaming import events
 
 
 @query("asof_orders", """WITH r AS (SELECT o_custkey, o_orderdate, max(o_totalprice) AS paid FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), l AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'O')
@@ -96,3 +97,43 @@ def prepare_orders(spark, d):
 @query("tail_orders", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 100")
 def tail_orders(spark, d):
     return causes.tail(read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
+
+
+@query("metric_series_events", """SELECT 'value' AS name, '{"type":"' || event_type || '","user":"' || user_id % 5 || '"}' AS tags, count(value) AS points, arg_min(value, ts) AS first, arg_max(value, ts) AS last, min(value) AS low, max(value) AS high
+FROM events WHERE value IS NOT NULL GROUP BY event_type, user_id % 5""")
+def metric_series_events(spark, d):
+    tags = F.create_map(F.lit("user"), (F.col("user_id") % 5).cast("string"), F.lit("type"), F.col("event_type"))
+    e = read_table(spark, d, "events").where("value is not null").select(F.lit("value").alias("name"), tags.alias("tags"), "ts", "value")
+    return events.metric_series(e, "name", "tags", "ts", "value")
+
+
+@query("select_events_last", "SELECT event_id FROM events WHERE event_type = 'error' AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' ORDER BY ts DESC LIMIT 50")
+def select_events_last(spark, d):
+    return events.select_events(read_table(spark, d, "events"), "ts", {"event_type": "error"}, "2024-01-03", "2024-01-20", 50).select("event_id")
+
+
+@query("holdout_fit_lineitem", """WITH t AS (SELECT avg(l_extendedprice) AS m, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem WHERE l_orderkey % 5 <> 4),
+p AS (SELECT l_extendedprice AS y, a + b * l_quantity AS p, m FROM lineitem, t WHERE l_orderkey % 5 = 4),
+s AS (SELECT count(*) AS n, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2, avg(abs(y - p)) AS mae, avg(abs(y - m)) AS baseline_mae FROM p)
+SELECT n, round(r2, 6) AS r2, round(mae, 3) AS mae, round(baseline_mae, 3) AS baseline_mae, CASE WHEN mae < baseline_mae THEN 'line' ELSE 'mean' END AS chosen FROM s""")
+def holdout_fit_lineitem(spark, d):
+    r = causes.holdout_fit(read_table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", F.col("l_orderkey") % 5 == 4)
+    return r.withColumns({"r2": F.round("r2", 6), "mae": F.round("mae", 3), "baseline_mae": F.round("baseline_mae", 3)})
+
+
+@query("alert_rules_monthly", f"""WITH k AS (SELECT o_orderstatus, total AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY month DESC) AS k FROM {_MONTHLY}),
+s AS (SELECT o_orderstatus, max(v) FILTER (k = 1) AS v1, max(v) FILTER (k = 2) AS v2, avg(v) FILTER (k <= 3) AS late, avg(v) FILTER (k BETWEEN 4 AND 6) AS early, avg(v) AS m, stddev_pop(v) AS sd FROM k GROUP BY 1),
+c AS (SELECT *, (v1 - v2) / abs(v2) AS change, abs(v1 - m) / sd AS z, (late - early) / abs(early) AS recent FROM s)
+SELECT o_orderstatus, round(change, 5) AS change, round(z, 5) AS last_z, round(recent, 5) AS recent, round(m - 2 * sd, 2) AS low, round(m + 2 * sd, 2) AS high, change < -0.15 AS "drop", change > 0.25 AS spike, z > 2.5 AS outlier, abs(recent) > 0.2 AS shift FROM c""")
+def alert_rules_monthly(spark, d):
+    r = causes.alert_rules(_monthly(spark, d), ["o_orderstatus"], "month", "total")
+    return r.withColumns({c: F.round(c, 5) for c in ("change", "last_z", "recent")} | {c: F.round(c, 2) for c in ("low", "high")})
+
+
+@query("blend_monthly", f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY month DESC) AS k FROM {_MONTHLY}),
+b AS (SELECT o_orderstatus, avg(total) FILTER (k <= 7) AS flat, (arg_max(total, month) - arg_min(total, month)) / (count(*) - 1) AS drift FROM r GROUP BY 1)
+SELECT o_orderstatus, s.step::INTEGER AS step, round((0.3 * flat + 0.2 * (flat + drift * s.step)) / 0.5, 2) AS forecast FROM b, range(1, 7) s(step)""")
+def blend_monthly(spark, d):
+    r = timeseries.drift_forecast(_monthly(spark, d), ["o_orderstatus"], "month", "total")
+    mixed = causes.blend({"flat": F.col("flat"), "drifted": F.col("drifted")}, {"flat": 0.3, "drifted": 0.2})
+    return r.select("o_orderstatus", "step", F.round(mixed, 2).alias("forecast"))

@@ -88,3 +88,10 @@ def estimate_bytes(df: DataFrame) -> int:
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "modificationTime", "length")
+
+
+def json_rows(df: DataFrame, text: str, path: str, schema: str) -> DataFrame:
+    """Rows found in JSON texts at a dotted path ("" for the top): the elements of an array, or the one object there."""
+    found = F.get_json_object(text, "$." + path) if path else F.col(text)
+    listed = F.when(F.ltrim(found).startswith("["), found).when(found.isNotNull(), F.concat(F.lit("["), found, F.lit("]")))
+    return df.select(F.explode(F.from_json(listed, f"array<struct<{schema}>>")).alias("row")).select("row.*")

@@ -56,3 +56,22 @@ def run_once(df: DataFrame, table: str, checkpoint: str, mode: str = "append") -
     """Drains what is there into an in-memory table and stops; the checkpoint marks what was taken."""
     query = df.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def metric_series(df: DataFrame, name: str, tags: str, time: str, value: str) -> DataFrame:
+    """(name, tags, points, first, last, low, high): one row per metric and set of tags, whatever the order of the tags.
+
+    The points themselves stay rows of df; a series is summed up, not gathered.
+    """
+    key = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(tags))))
+    rows = df.select(F.col(name).alias("name"), key.alias("tags"), F.col(time).alias("t"), F.col(value).alias("v"))
+    return rows.groupBy("name", "tags").agg(F.count("v").alias("points"), F.min_by("v", "t").alias("first"), F.max_by("v", "t").alias("last"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def select_events(df: DataFrame, time: str, equal: dict, start=None, end=None, last: int | None = None) -> DataFrame:
+    """Events whose columns have the values asked for, between two times (both included), by time; the last ones if a number is given."""
+    for column, wanted in equal.items():
+        df = df.where(F.col(column) == wanted)
+    df = df if start is None else df.where(F.col(time) >= F.lit(start).cast("timestamp"))
+    df = df if end is None else df.where(F.col(time) <= F.lit(end).cast("timestamp"))
+    return (df if last is None else df.orderBy(F.col(time).desc()).limit(last)).orderBy(time)

@@ -70,3 +70,11 @@ def test_metric_filter(spark):
     df = spark.sql("SELECT 'm' AS name, 1.0D AS value, TIMESTAMP '2024-01-01' AS ts, map('host', 'a') AS tags UNION ALL SELECT 'm', 2.0D, TIMESTAMP '2024-01-02', map('host', 'b')")
     assert [r.value for r in events.filter_metrics(df, "m", {"host": "b"}).collect()] == [2.0]
     assert events.filter_metrics(df, "m", {"zone": "b"}).count() == 0
+
+
+def test_json_rows(spark):
+    texts = ['{"a": {"b": [{"x": 1}, {"x": 2}]}}', '{"a": {"b": {"x": 3}}}', '{"a": 4}', "not json", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(r.x for r in readers.json_rows(df, "text", "a.b", "x int").collect()) == [1, 2, 3]
+    top = spark.createDataFrame([('[{"x": 5}]',), ('{"x": 6}',)], "text string")
+    assert sorted(r.x for r in readers.json_rows(top, "text", "", "x int").collect()) == [5, 6]
