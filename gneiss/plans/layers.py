@@ -41,12 +41,14 @@ def residual_part(spark, d):
     return causes.residualise(read_table(spark, d, "part"), "p_retailprice", "p_size").select("p_partkey", F.round("residual", 4).alias("residual"))
 
 
-_LINKED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINKED = ["total", "n", "days"]
+_MONTHS = "(SELECT o_orderstatus, date_trunc('month', o_orderdate) AS month, sum(o_totalprice) AS total, count(*) AS n, count(DISTINCT o_orderdate) AS days FROM orders GROUP BY ALL)"
 
 
-@query("skeleton_lineitem", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for k, a in enumerate(_LINKED) for b in _LINKED[k + 1 :]) + ") WHERE abs(r) >= 0.3")
-def skeleton_lineitem(spark, d):
-    return causes.skeleton(read_table(spark, d, "lineitem"), _LINKED)
+@query("skeleton_monthly", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM {_MONTHS}" for k, a in enumerate(_LINKED) for b in _LINKED[k + 1 :]) + ") WHERE abs(r) >= 0.3")
+def skeleton_monthly(spark, d):
+    m = read_table(spark, d, "orders").groupBy("o_orderstatus", F.trunc("o_orderdate", "month"))
+    return causes.skeleton(m.agg(F.sum("o_totalprice").alias("total"), F.count("*").alias("n"), F.count_distinct("o_orderdate").alias("days")), _LINKED)
 
 
 _CAUSES = ("n", "buyers")
