@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, with SQL where SQL can express them."""
+"""Queries of the operators for training data over their whole tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm import embeddings, langid, lines, mixing, passages, pieces, quality, simhash, toxicity, urls
+from gneiss.llm import audit, embeddings, langid, licenses, lines, mixing, passages, phrases, pieces, quality, simhash, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +146,91 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_mixing"] = op9_mixing
+
+
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op11_phrases"] = op11_phrases
+ORACLES["op11_phrases"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT doc, lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i : i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase FROM words, (VALUES (1), (2), (3)) t(k)
+), counted AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE k = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, j.cut, string_split(c.phrase, ' ') AS w, array_to_string(w[: j.cut], ' ') AS head, array_to_string(w[j.cut + 1 :], ' ') AS tail
+  FROM counted c, (VALUES (1), (2)) j(cut) WHERE c.f >= 10 AND c.k > j.cut
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.k, c.phrase ORDER BY score, c.cut) AS weakest
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = c.head JOIN counted y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = c.tail
+), inner_parts AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + 1], ' ') AS phrase, f FROM counted, (VALUES (1), (2)) t(i) WHERE k = 3 AND f >= 10
+), longer AS (
+  SELECT lang, phrase, max(f) AS g FROM inner_parts GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN longer o ON s.k = 2 AND o.lang = s.lang AND o.phrase = s.phrase
+  WHERE weakest = 1 AND (o.g IS NULL OR 100 * o.g < 50 * s.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op12_audit"] = op12_audit
+ORACLES["op12_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents
+), marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), sets AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+      + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS bits
+  FROM docs LEFT JOIN marks USING (doc_id)
+), held AS (
+  SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM sets GROUP BY ALL
+), letters(x, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, s, l.bit, (SELECT coalesce(sum(e.bit), 0) FROM letters e WHERE position(e.x IN o) < s) AS before
+  FROM orders, range(1, 6) t(s), letters l WHERE l.x = substr(o, s::INT, 1)
+), counted AS (
+  SELECT part, o, s, bit,
+    sum(CASE WHEN bits & before = 0 AND bits & bit = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN bits & before = 0 AND bits & bit > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN bits & before > 0 AND bits & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN bits = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN bits & before = 0 AND bits & bit > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN bits & before = 0 AND bits & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM held, steps GROUP BY ALL
+)
+SELECT part, o AS filter_order, s::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+QUERIES["op13_licenses"] = op13_licenses
