@@ -152,6 +152,7 @@ def audit_filters(
     letters = "".join(sorted(filters or TEXT_FILTERS)) + DUPLICATE
     told = scratch.keep(failures(docs, id_col, text_col, part_col, filters))
     firsts = told.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m")
+    firsts = scratch.keep(firsts)  # a table of its own, so that the join can split a text with very many copies
     label = (F.max((F.col("quality") == 1).cast("int")), 2 * F.max((F.col("toxic") == 1).cast("int")))
     marks = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(sum((F.coalesce(x, F.lit(0)) for x in label), F.lit(0)).alias("label"))
     late = F.coalesce(F.col("id") > F.col("first"), F.lit(False)).cast("int")
