@@ -83,12 +83,12 @@ def alert_rules(df: DataFrame, series: list[str], order: str, value: str) -> Dat
     the three before; low and high are two population deviations from the mean.
     """
     w = Window.partitionBy(*series).orderBy(F.desc(order))
-    rows = df.where(F.col(value).isNotNull()).select(*series, F.col(value).cast("double").alias("v"), F.row_number().over(w).alias("k"))
+    rows = df.where(F.col(value).isNotNull()).select(*series, F.col(value).cast("double").alias("__v"), F.row_number().over(w).alias("__k"))
 
     def mean_of(first: int, last: int) -> Column:
-        return F.avg(F.when(F.col("k").between(first, last), F.col("v")))
+        return F.avg(F.when(F.col("__k").between(first, last), F.col("__v")))
 
-    s = rows.groupBy(*series).agg(mean_of(1, 1).alias("v1"), mean_of(2, 2).alias("v2"), mean_of(1, 3).alias("late"), mean_of(4, 6).alias("early"), F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    s = rows.groupBy(*series).agg(mean_of(1, 1).alias("v1"), mean_of(2, 2).alias("v2"), mean_of(1, 3).alias("late"), mean_of(4, 6).alias("early"), F.avg("__v").alias("m"), F.stddev_pop("__v").alias("sd"))
     change, recent = (F.try_divide(F.col(a) - F.col(b), F.abs(b)) for a, b in (("v1", "v2"), ("late", "early")))
     z = F.coalesce(F.try_divide(F.abs(F.col("v1") - F.col("m")), F.col("sd")), F.lit(0.0))
     # fixed values: the limits of the four rules

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats
+from gneiss.operators import ordered
+from gneiss.session import cut
 
 _NUMERIC = ("int", "bigint", "smallint", "tinyint", "float", "double")
 
@@ -38,18 +40,16 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None, digits: int
         return lambda c: fn(stats.number(F.col(f"`{c}`"))).cast("bigint")
 
     measures = {
-        "count": whole(F.count), "nulls": whole(lambda x: F.count_if(x.isNull())), "distinct": whole(F.count_distinct),
-        "mean": of(stats.mean), "median": of(F.median), "stdev": of(stats.stdev), "variance": of(stats.variance),
-        "min": of(F.min), "max": of(F.max), "range": of(lambda x: F.max(x) - F.min(x)), "q1": of(lambda x: stats.quantile(x, 0.25)), "q3": of(lambda x: stats.quantile(x, 0.75)),
-        "iqr": of(lambda x: stats.quantile(x, 0.75) - stats.quantile(x, 0.25)), "skewness": of(stats.skewness), "kurtosis": of(stats.kurtosis),
+        "count": whole(F.count), "nulls": whole(lambda x: F.count_if(x.isNull())), "mean": of(stats.mean), "stdev": of(stats.stdev), "variance": of(stats.variance),
+        "min": of(F.min), "max": of(F.max), "range": of(lambda x: F.max(x) - F.min(x)), "skewness": of(stats.skewness), "kurtosis": of(stats.kurtosis),
     }
-    distinct = ["distinct"]
-    cheap = {k: v for k, v in measures.items() if k not in distinct}
-    base = _one_pass(df, columns, cheap)
-    # distinct counts come from one grouped pass over (column, value), which does not expand the wide aggregate
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), stats.number(F.col(f"`{c}`")).alias("v")) for c in columns])).alias("x"))
-    counts = pairs.select("x.*").where("v is not null").distinct().groupBy("column").agg(F.count("*").alias("distinct"))
-    return base.join(F.broadcast(counts), "column", "left").select("column", *["distinct" if k == "distinct" else k for k in measures]).fillna(0, ["distinct"])
+    base = _one_pass(df, columns, measures)
+    # distinct counts and quartiles come from the counts of (column, value)
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), stats.number(F.col(f"`{c}`")).alias("v")) for c in columns])).alias("x")).select("x.*")
+    found = ordered.quantiles(pairs, ["column"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    spread = found.select("column", "distinct", *[F.round(x, digits).alias(n) for n, x in {"median": F.col("median"), "q1": F.col("q1"), "q3": F.col("q3"), "iqr": F.col("q3") - F.col("q1")}.items()])
+    names = ["column", "count", "nulls", "distinct", "mean", "median", "stdev", "variance", "min", "max", "range", "q1", "q3", "iqr", "skewness", "kurtosis"]
+    return base.join(F.broadcast(spread), "column", "left").select(*names).fillna(0, ["distinct"])  # a row a column
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
@@ -171,14 +171,10 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
-    """Five numbers per group by floor index, without interpolation, from ranks."""
-    w = Window.partitionBy(group)
-    ranked = df.where(F.col(column).isNotNull()).select(group, F.col(column).cast("double").alias("v"), (F.row_number().over(w.orderBy(column)) - 1).alias("k"), F.count("*").over(w).alias("n"))
-
-    def pick(p):
-        return F.max(F.when(F.col("k") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("v")))
-
-    return ranked.groupBy(group).agg(F.min("v").alias("min"), pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"), F.max("v").alias("max"))
+    """Five numbers per group by floor index, without interpolation."""
+    counts = cut(ordered.running_counts(df, [group], column))
+    places = {name: F.least(F.floor(F.col("size") * p), F.col("size") - 1) for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    return ordered.at_places(counts, [group], places).select(f"`{group}`", F.col("low").alias("min"), "q1", "median", "q3", F.col("high").alias("max"))
 
 
 def pivot_matrix(df: DataFrame, row: str, column: str, values: list, value: Column) -> DataFrame:

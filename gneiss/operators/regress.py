@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import ordered
 from gneiss.operators.timeseries import _over
 
 
@@ -22,16 +23,8 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("a", "b", "r", strength.alias("strength"), (F.abs("r") > 0.8).alias("collinear"))
 
 
-def average_rank(df: DataFrame, column: str, group: list[str], out: str) -> DataFrame:
-    """1-based ranks within the group; ties share their mean rank."""
-    w = Window.partitionBy(*group)
-    return df.withColumn(out, F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(*group, column)) - 1) / 2)
-
-
 def spearman(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_rank(average_rank(rows, a, group, "__ra"), b, group, "__rb")
-    return ranked.groupBy(*group).agg(F.coalesce(F.corr("__ra", "__rb"), F.lit(0.0)).alias("rho"))
+    return ordered.spearman(df, a, b, group)
 
 
 def simple_ols(df: DataFrame, y: str, x: str, group: list[str] | None = None) -> DataFrame:

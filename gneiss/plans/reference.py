@@ -529,14 +529,16 @@ def graph_density(spark, d):
     return graph.density(_edges(spark, d)).withColumn("density", F.round("density", 9))
 
 
-@query("graph_distances")
+@query("graph_distances", """WITH RECURSIVE e AS (SELECT DISTINCT 'user_id:' || user_id AS s, 'event_type:' || event_type AS t FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL), around AS (SELECT s, t FROM e UNION SELECT t, s FROM e),
+b(node, hops) USING KEY (node) AS (SELECT 'event_type:purchase', 0 UNION SELECT x.t, b.hops + 1 FROM b JOIN around x ON x.s = b.node WHERE x.t NOT IN (SELECT node FROM recurring.b))
+SELECT node, hops FROM b""")
 def graph_distances(spark, d):
     return graph.distances(_edges(spark, d), "event_type:purchase")
 
 
 @query("graph_communities")
 def graph_communities(spark, d):
-    return graph.label_propagation(_edges(spark, d), 3)
+    return graph.label_propagation(_edges(spark, d))
 
 
 @query("value_share_segment", "SELECT coalesce(c_mktsegment, 'Unknown') AS value, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 4)::DOUBLE AS pct FROM customer GROUP BY 1 ORDER BY n DESC, value LIMIT 10")

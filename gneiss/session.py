@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +34,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ntz = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of intermediate tables, spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="gneiss-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, which cuts its lineage and fixes its partitions' contents."""
+    path = new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,15 +23,17 @@ def coerce_token(token: Column) -> dict[str, Column]:
     }
 
 
-def coerce_columns(df: DataFrame) -> DataFrame:
-    """Text columns in the narrowest type that reads all their tokens, decided in one pass."""
-    found = {c: coerce_token(F.col(f"`{c}`")) for c in df.columns}
-    votes = df.agg(*[F.count(x).alias(f"{n}_{kind}") for n, c in enumerate(df.columns) for kind, x in found[c].items()]).first()
+def coerce_columns(df: DataFrame, kinds: tuple[str, ...] = ("bigint", "double", "boolean"), keep: Iterable[str] = ()) -> DataFrame:
+    """Text columns in the narrowest of some types that reads all their tokens, decided in one pass; those to keep stay."""
+    found = {c: coerce_token(F.col(f"`{c}`")) for c in df.columns if c not in keep}
+    if not found:
+        return df
+    votes = df.agg(*[F.count(x).alias(f"{n}_{kind}") for n, c in enumerate(found) for kind, x in found[c].items()]).first()
     out = {}
-    for n, c in enumerate(df.columns):
-        kinds = [k for k in ("bigint", "double", "boolean") if votes[f"{n}_{k}"] == votes[f"{n}_string"] > 0]
-        out[c] = found[c][kinds[0] if kinds else "string"]
-    return df.select(*[x.alias(c) for c, x in out.items()])
+    for n, c in enumerate(found):
+        fit = [k for k in kinds if votes[f"{n}_{k}"] == votes[f"{n}_string"] > 0]
+        out[c] = found[c][fit[0] if fit else "string"]
+    return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
 
 
 def read_delimited(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
