@@ -54,6 +54,13 @@ def quantile(col: Column, q: float) -> Column:
     return F.percentile(col, F.lit(q))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows that have both; null where one of them does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def entropy(count: Column, total: Column) -> Column:
     """One value's share of the Shannon entropy in bits; sum it over the values."""
     p = count / total

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import stats
 from gneiss.operators import ordered
 from gneiss.operators.timeseries import _over
 
@@ -16,7 +17,7 @@ from gneiss.operators.timeseries import _over
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each pair over pairwise complete rows, with strength and collinearity; one pass."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.coalesce(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.coalesce(stats.correlation(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
     cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{k}", 6).alias("r")) for k, (a, b) in enumerate(pairs)])
     out = row.select(F.explode(cells).alias("x")).select("x.*")
     strength = F.when(F.abs("r") > 0.7, "strong").when(F.abs("r") > 0.4, "moderate").when(F.abs("r") > 0.3, "weak").otherwise("none")

@@ -8,8 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gneiss.operators import ordered
+from gneiss.session import cut
 
 
 def _over(series: list[str], order: str):
@@ -49,32 +54,52 @@ def changes(df: DataFrame, series: list[str], order: str, value: str) -> DataFra
 
 
 def ewma(df: DataFrame, series: list[str], order: str, value: str, weight: float = 0.3, out: str = "ewma") -> DataFrame:
-    """e0 = x0, then weight * x + (1 - weight) * e; one fold over each series' ordered values."""
-    packed = df.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("__v")))).alias("__s"))
-    start = F.array(F.struct(F.element_at("__s", 1)[order].alias(order), F.element_at("__s", 1)["__v"].alias("__v"), F.element_at("__s", 1)["__v"].alias("__e")))
+    """e0 = x0, then weight * x + (1 - weight) * e, of the rows that have a value.
+
+    A series is folded range by range: each range starts from zero, and what its
+    first row would have carried in is added once the ends of the ranges before are
+    known, as the recursion is linear.  So a long series is not the work of one task.
+    """
+    rows = df.select(*series, order, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    dealt = cut(rows.repartitionByRange(*series, order).withColumn("__range", F.spark_partition_id()))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        start = np.concatenate([[0.0], table.column(value).to_numpy()])
+        local = pd.Series(start).ewm(alpha=weight, adjust=False).mean().to_numpy()[1:]
+        return table.append_column("__local", pa.array(local)).append_column("__k", pa.array(np.arange(1, len(local) + 1)))
+
+    local = cut(dealt.groupBy(*series, "__range").applyInArrow(fold, T.StructType([*dealt.schema.fields, T.StructField("__local", T.DoubleType()), T.StructField("__k", T.LongType())])))
+    ends = local.groupBy(*series, "__range").agg(F.max_by("__local", "__k").alias("__end"), F.max("__k").alias("__n"), F.min_by(value, "__k").alias("__first"))
 
-    def step(seen: Column, x: Column) -> Column:
-        e = F.lit(weight) * x["__v"] + F.lit(1 - weight) * F.element_at(seen, -1)["__e"]
-        return F.concat(seen, F.array(F.struct(x[order].alias(order), x["__v"].alias("__v"), e.alias("__e"))))
+    def carry(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__range")
+        held, carried = table.column("__first")[0].as_py(), []
+        for end, n in zip(table.column("__end").to_pylist(), table.column("__n").to_pylist()):
+            carried.append(held)
+            held = end + (1 - weight) ** n * held
+        return table.drop_columns(["__end", "__n", "__first"]).append_column("__carry", pa.array(carried, pa.float64()))
 
-    folded = packed.select(*series, F.explode(F.aggregate(F.slice("__s", 2, F.size("__s")), start, step)).alias("x"))
-    return folded.select(*series, F.col(f"x.{order}").alias(order), F.col("x.__v").alias(value), F.col("x.__e").alias(out))
+    into = ends.groupBy(*series).applyInArrow(carry, T.StructType([*[ends.schema[c] for c in (*series, "__range")], T.StructField("__carry", T.DoubleType())]))
+    joined = ordered.match(local, into, [*series, "__range"])
+    return joined.select(*series, order, value, (F.col("__local") + F.pow(F.lit(1 - weight), F.col("__k")) * F.col("__carry")).alias(out))
 
 
 def autocorrelation(df: DataFrame, series: list[str], order: str, value: str, most: int | None = 20) -> DataFrame:
     """Lags 0 to ``most``: sum of products of deviations over n times the population variance.
 
-    Without ``most`` the lags of a series of n rows end at n / 2, at 48 at most.
+    Without ``most`` the lags of a series of n rows end at n / 2, at 48 at most.  All
+    lags come from one sorted window.
     """
+    highest = 48 if most is None else most
     w = Window.partitionBy(*series)
-    last = F.lit(most) if most is not None else F.least(F.lit(48), F.floor(F.count("*").over(w) / 2).cast("int"))
-    rows = df.select(*series, F.row_number().over(_over(series, order)).alias("t"), (F.col(value) - F.avg(value).over(w)).alias("d"), last.alias("last"))
-    late = rows.select(*series, (F.explode(F.sequence(F.lit(0), F.col("last")))).alias("lag"), "t", "d").withColumn("s", F.col("t") - F.col("lag"))
-    early = rows.select(*series, F.col("t").alias("s"), F.col("d").alias("e"))
-    sums = late.join(early, [*series, "s"]).groupBy(*series, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("c"))
-    total = rows.groupBy(*series).agg(F.sum(F.col("d") * F.col("d")).alias("c0"))
-    both = sums.join(total, series) if series else sums.crossJoin(total)  # total has one row
-    return both.select(*series, "lag", F.when(F.col("c0") > 0, F.col("c") / F.col("c0")).otherwise(0.0).alias("acf"))
+    rows = df.select(*series, F.col(order).alias("__t"), (F.col(value) - F.avg(value).over(w)).alias("d"))
+    back = rows.select(*series, "d", *[F.lag("d", k).over(_over(series, "__t")).alias(f"d{k}") for k in range(1, highest + 1)]).withColumn("d0", F.col("d"))
+    sums = back.groupBy(*series).agg(F.count("*").alias("n"), *[F.sum(F.col("d") * F.col(f"d{k}")).alias(f"c{k}") for k in range(highest + 1)])
+    last = F.lit(highest) if most is not None else F.least(F.lit(highest), F.floor(F.col("n") / 2).cast("int"))
+    lags = F.posexplode(F.array(*[f"c{k}" for k in range(highest + 1)])).alias("lag", "c")
+    found = sums.select(*series, "n", "c0", last.alias("last"), lags).where("lag <= last and lag < n")
+    return found.select(*series, "lag", F.when(F.col("c0") > 0, F.col("c") / F.col("c0")).otherwise(0.0).alias("acf"))
 
 
 def seasonality(acf: DataFrame, series: list[str], least: float = 0.2, default: int = 12) -> DataFrame:

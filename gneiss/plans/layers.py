@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gneiss.functions import stats
 from gneiss.operators import causes, joins, regress, timeseries
 from gneiss.plans.catalog import query
 from gneiss.plans.reference import _EWMA, _MONTHLY, _monthly
@@ -31,7 +32,7 @@ def range_join_accounts(spark, d):
 SELECT p_brand, round(r, 6) AS r, round(slope, 6) AS slope FROM b WHERE r > 0 AND slope < 0""")
 def contradictions_parts(spark, d):
     p = read_table(spark, d, "part").groupBy("p_brand")
-    found = joins.contradictions(p.agg(F.corr("p_retailprice", "p_partkey").alias("r")), p.agg(F.regr_slope("p_retailprice", "p_size").alias("slope")), "p_brand", "r", "slope", 0.0)
+    found = joins.contradictions(p.agg(stats.correlation(F.col("p_retailprice"), F.col("p_partkey")).alias("r")), p.agg(F.regr_slope("p_retailprice", "p_size").alias("slope")), "p_brand", "r", "slope", 0.0)
     return found.select("p_brand", F.round("r", 6).alias("r"), F.round("slope", 6).alias("slope"))
 
 
@@ -70,7 +71,7 @@ def causes_monthly(spark, d):
     long = m.select("o_orderstatus", "month", "total", F.explode(cells).alias("x")).select("o_orderstatus", "month", "total", "x.*")
     keys = ["o_orderstatus", "cause"]
     f = regress.granger(long, keys, "month", "v", "total").select(*keys, "f")
-    found = long.groupBy(*keys).agg(F.corr("total", "v").alias("r")).join(f, keys)
+    found = long.groupBy(*keys).agg(stats.correlation(F.col("total"), F.col("v")).alias("r")).join(f, keys)
     return causes.rank_causes(found, "r", "f", ["o_orderstatus"]).select(*keys, F.round("score", 5).alias("score"), "place")
 
 
