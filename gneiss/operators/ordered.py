@@ -90,3 +90,14 @@ def spearman(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     told = match(told, whole, keys).select(*parts, "c", (F.col("rx") - middle).alias("dx"), (F.col("ry") - middle).alias("dy"))
     sums = told.groupBy(*parts).agg(*[F.sum(F.col("c") * F.col(p) * F.col(q)).alias(f"{p}{q}") for p, q in (("dx", "dx"), ("dy", "dy"), ("dx", "dy"))])
     return sums.select(*parts, F.coalesce(F.try_divide(F.col("dxdy"), F.sqrt(F.col("dxdx") * F.col("dydy"))), F.lit(0.0)).alias("rho"))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """df with the number (from 0) of each row in its group; equal rows in no particular order."""
+    parts = [f"`{c}`" for c in keys]
+    dealt = cut(df.repartitionByRange(*parts, *[f"`{c}`" for c in order]).withColumn("__range", F.spark_partition_id()))
+    ahead = Window.partitionBy(*parts).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*parts, "__range").agg(F.count(F.lit(1)).alias("m")).select(*parts, "__range", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("__ahead"))
+    within = Window.partitionBy(*parts, "__range").orderBy(*[f"`{c}`" for c in order])
+    told = match(dealt, starts, [*keys, "__range"]).withColumn(out, F.col("__ahead") + F.row_number().over(within) - 1)
+    return told.drop("__range", "__ahead")

@@ -1,6 +1,6 @@
 import pytest
 
-from gneiss.plans import ahead, feeds, layers, more, reference  # noqa: F401
+from gneiss.plans import ahead, feeds, layers, more, networks, reference  # noqa: F401
 from gneiss.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare
 
