@@ -85,27 +85,35 @@ def dbscan(df: DataFrame, id_col: str, columns: list[str], eps: float = 0.5, lea
     return named.select(F.col("id").alias(id_col), F.coalesce("cluster", "near").alias("cluster"))
 
 
-def isolation_forest(df: DataFrame, id_col: str, columns: list[str], trees: int = 50, sample: int = 256, share: float = 0.05, seed: int = 1) -> DataFrame:
-    """(id, score, anomaly): mean isolation depth as the usual score; trees grow on one bounded sample, all rows are scored."""
-    rows = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)]).dropna()
-    base = rows.orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample * 4).toPandas().drop(columns="id").to_numpy()
-    rng = np.random.default_rng(seed)
-    if not len(base):
-        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("anomaly"))
+def average_path(n: int) -> float:
+    """Mean depth of a search that fails among n values."""
+    return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
-    def average(n: int) -> float:
-        return 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+def plant(base: np.ndarray, trees: int = 50, sample: int = 256, seed: int = 1) -> list:
+    """Isolation trees over rows of a bounded sample: a node is (feature, threshold, below, above), a leaf the depth that its rows add."""
+    rng = np.random.default_rng(seed)
 
     def grow(x: np.ndarray, depth: int):
         spread = x.max(axis=0) - x.min(axis=0)
         if depth == 0 or len(x) < 2 or not spread.any():
-            return average(len(x))
+            return average_path(len(x))
         f = int(rng.choice(np.flatnonzero(spread)))
         at = float(rng.uniform(x[:, f].min(), x[:, f].max()))
         return f, at, grow(x[x[:, f] < at], depth - 1), grow(x[x[:, f] >= at], depth - 1)
 
     size = min(sample, len(base))
-    forest = [grow(base[rng.choice(len(base), size, replace=False)], math.ceil(math.log2(max(2, size)))) for _ in range(trees)]
+    return [grow(base[rng.choice(len(base), size, replace=False)], math.ceil(math.log2(max(2, size)))) for _ in range(trees)]
+
+
+def isolation_forest(df: DataFrame, id_col: str, columns: list[str], trees: int = 50, sample: int = 256, share: float = 0.05, seed: int = 1) -> DataFrame:
+    """(id, score, anomaly): mean isolation depth as the usual score; trees grow on one bounded sample, all rows are scored."""
+    rows = df.select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)]).dropna()
+    base = rows.orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample * 4).toPandas().drop(columns="id").to_numpy()
+    if not len(base):
+        return rows.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("anomaly"))
+    size = min(sample, len(base))
+    forest = plant(base, trees, sample, seed)
 
     def depth_of(x: np.ndarray, node) -> np.ndarray:
         if not isinstance(node, tuple):
@@ -119,9 +127,9 @@ def isolation_forest(df: DataFrame, id_col: str, columns: list[str], trees: int
         for pdf in batches:
             x = pdf.drop(columns="id").to_numpy()
             depth = np.mean([depth_of(x, t) for t in forest], axis=0) if len(x) else np.zeros(0)
-            pdf["score"] = 2 ** (-depth / max(average(size), 1e-9))
+            pdf["score"] = 2 ** (-depth / max(average_path(size), 1e-9))
             yield pdf[["id", "score"]]
 
-    scored = rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    scored = cut(rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, score double"))
     limit = scored.agg(F.percentile_approx("score", 1 - share, 10_000).alias("__cut"))
     return scored.crossJoin(F.broadcast(limit)).select(F.col("id").alias(id_col), "score", (F.col("score") >= F.col("__cut")).alias("anomaly"))
