@@ -348,7 +348,8 @@ def unit_root_monthly(spark, d):
 
 @query("holt_winters_monthly")
 def holt_winters_monthly(spark, d):
-    return timeseries.holt_winters(_monthly(spark, d), ["o_orderstatus"], "month", "total")
+    r = timeseries.holt_winters(_monthly(spark, d), ["o_orderstatus"], "month", "total")
+    return r.withColumns({c: F.round(c, 2) for c in ("forecast", "lower", "upper", "rmse")})
 
 
 @query("ar1_monthly")
@@ -435,12 +436,14 @@ def ols_simple(spark, d):
 
 @query("ols_multiple")
 def ols_multiple(spark, d):
-    return regress.ols(read_table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    r = regress.ols(read_table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return r.withColumns({"coefficient": F.round("coefficient", 2), "r2": F.round("r2", 6)})
 
 
 @query("linear_shap")
 def linear_shap(spark, d):
-    return regress.linear_shap(read_table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    r = regress.linear_shap(read_table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return r.withColumn("importance", F.round("importance", 2))
 
 
 @query("welch_test_status", """WITH s AS (SELECT count(*) FILTER (o_orderstatus = 'O') AS n0, count(*) FILTER (o_orderstatus = 'F') AS n1, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS m0, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS m1,
@@ -455,7 +458,7 @@ def welch_test_status(spark, d):
 @query("granger_monthly")
 def granger_monthly(spark, d):
     o = read_table(spark, d, "orders").groupBy("o_orderstatus", F.trunc("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("total"), F.count("*").cast("double").alias("n"))
-    return regress.granger(o, ["o_orderstatus"], "month", "n", "total")
+    return regress.granger(o, ["o_orderstatus"], "month", "n", "total").withColumn("f", F.round("f", 6))
 
 
 @query("what_if_lineitem", " UNION ALL ".join(f"SELECT '{c}' AS cause, round(regr_slope(l_extendedprice, {c}) * avg({c}) * 0.1, 4) AS effect, round(regr_slope(l_extendedprice, {c}) * avg({c}) * 0.1 / avg(l_extendedprice) * 100, 6) AS effect_pct FROM lineitem" for c in ("l_quantity", "l_discount")))
@@ -466,7 +469,7 @@ def what_if_lineitem(spark, d):
 
 @query("partial_correlations")
 def partial_correlations(spark, d):
-    return regress.partial_correlations(read_table(spark, d, "lineitem"), _NUM)
+    return regress.partial_correlations(read_table(spark, d, "lineitem"), _NUM).withColumn("partial", F.round("partial", 5))
 
 
 @query("sentiment_conversations")
@@ -570,8 +573,17 @@ def question_orders(spark, d):
 
 @query("insights_lineitem")
 def insights_lineitem(spark, d):
-    rows = read_table(spark, d, "lineitem")
-    return report.insights(profile.numeric_profile(rows, _NUM), profile.missing_values(rows, _NUM), regress.correlation_matrix(rows, _NUM))
+    """Columns of lineitem of which some are made so that each rule has a case."""
+    rows = read_table(spark, d, "lineitem").select(
+        F.col("l_extendedprice").alias("price"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"),
+        F.when(F.col("l_linenumber") < 3, F.col("l_tax")).alias("late_tax"),
+        F.lit(1.0).alias("one"),
+        F.when(F.col("l_orderkey") % 500 == 0, F.col("l_quantity") * 100).otherwise(F.col("l_quantity")).alias("spiked"),
+    )
+    columns = rows.columns
+    r = report.insights(profile.numeric_profile(rows, columns), profile.missing_values(rows, columns), regress.correlation_matrix(rows, columns))
+    return r.withColumn("detail", F.round("detail", 3))
 
 
 @query("window_metrics_events", """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL""")
@@ -683,7 +695,7 @@ def quality_overall(spark, d):
     o = _gappy(read_table(spark, d, "orders"))
     parts = profile.quality_score(o).select(F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).cast("double").alias("score")) for k in ("completeness", "uniqueness")])).alias("x")).select("x.*")
     more = quality.accuracy(o, ["price"]).select(F.lit("accuracy").alias("dimension"), "score")
-    return quality.overall(parts.union(more))
+    return quality.overall(parts.union(more)).withColumn("score", F.round("score", 4))
 
 
 @query("sentiment_negated_conversations")
