@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats
 from gneiss.operators import clean, timeseries
-from gneiss.operators.regress import correlation_matrix
+from gneiss.operators.regress import correlation_matrix, ols
+from gneiss.session import cut
 
 
-def residualise(df: DataFrame, value: str, covariate: str, out: str = "residual") -> DataFrame:
-    """What is left of a value after its straight line on a covariate; slope 0 where the covariate does not vary."""
+def residualise(df: DataFrame, value: str, covariate: str | list[str], out: str = "residual") -> DataFrame:
+    """What is left of a value after its least-squares fit on one or more covariates; slope 0 where a covariate does not vary.
+
+    Rows that miss a value have no residual.
+    """
+    if not isinstance(covariate, str):
+        fit = {r.term: r.coefficient for r in ols(df, value, covariate).collect()}
+        line = sum((F.lit(fit[c]) * F.col(c).cast("double") for c in covariate), F.lit(fit["intercept"]))
+        return df.withColumn(out, F.col(value).cast("double") - line)
     y, x = F.col(value).cast("double"), F.col(covariate).cast("double")
     whole = y.isNotNull() & x.isNotNull()
     fit = df.where(whole).agg(F.avg(y).alias("__my"), F.avg(x).alias("__mx"), F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("__slope"))
@@ -23,6 +33,34 @@ def skeleton(df: DataFrame, columns: list[str], least: float = 0.3) -> DataFrame
     return correlation_matrix(df, columns).where(F.abs("r") >= least).select("a", "b", "r")
 
 
+def partial_links(df: DataFrame, keys: list[str], target: str, causes: list[str]) -> DataFrame:
+    """(keys, cause, r, partial): correlation of each cause with the target, plain and given all other causes, over complete rows.
+
+    One aggregate gathers the correlations of all pairs; what follows is an inverse
+    of one small matrix a key.  A column that does not vary is linked with nothing.
+    """
+    columns = [target, *causes]
+    whole = df.dropna("any", subset=columns)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    found = whole.groupBy(*keys).agg(*[F.coalesce(stats.correlation(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")), F.lit(0.0)).alias(f"__r{n}") for n, (i, j) in enumerate(pairs)])
+
+    @F.pandas_udf("array<double>")
+    def given_the_others(rows: pd.Series) -> pd.Series:
+        told = []
+        for row in rows:
+            m = np.eye(len(columns))
+            for r, (i, j) in zip(row, pairs):
+                m[i, j] = m[j, i] = r
+            inverse = np.linalg.pinv(m)
+            told.append([float(-inverse[0, k] / np.sqrt(max(inverse[0, 0] * inverse[k, k], 1e-300))) for k in range(1, len(columns))])
+        return pd.Series(told)
+
+    row = found.withColumn("__p", given_the_others(F.array(*[f"__r{n}" for n in range(len(pairs))])))
+    plain = [f"__r{n}" for n, (i, j) in enumerate(pairs) if j == 0]
+    cells = F.array(*[F.struct(F.lit(c).alias("cause"), F.col(r).alias("r"), F.col("__p")[k].alias("partial")) for k, (c, r) in enumerate(zip(causes, plain))])
+    return row.select(*keys, F.explode(cells).alias("x")).select(*keys, "x.*")
+
+
 def rank_causes(found: DataFrame, partial: str, f: str, by: list[str]) -> DataFrame:
     """Adds score (0.6 of the partial correlation, 0.4 of F up to 20 as a share) and its rank within the columns by."""
     score = 0.6 * F.abs(F.col(partial)) + 0.4 * F.least(F.col(f) / 20, F.lit(1.0))
@@ -54,10 +92,13 @@ def readiness(df: DataFrame) -> DataFrame:
 
 def prepare(df: DataFrame, key: list[str], order: list[str], numeric: list[str], fill: str = "mean", transforms: dict[str, str] | None = None) -> DataFrame:
     """Duplicates of the key go, missing numbers are filled, then columns are transformed by log1p, sqrt, standard or minmax."""
-    out = clean.impute(clean.deduplicate(df, key, order), numeric, fill)
+    out = clean.impute(cut(clean.deduplicate(df, key, order)), numeric, fill)
     plain = {"log1p": lambda c: F.when(F.col(c) > -1, F.log1p(c)), "sqrt": lambda c: F.when(F.col(c) >= 0, F.sqrt(c))}
+    by: dict[str, list[str]] = {}
     for c, how in (transforms or {}).items():
-        out = out.withColumn(c, plain[how](c)) if how in plain else clean.scale(out, [c], how)
+        by.setdefault(how, []).append(c)
+    for how, columns in by.items():  # each step reads a table that is written, and measures all its columns at once
+        out = out.withColumns({c: plain[how](c) for c in columns}) if how in plain else clean.scale(cut(out), columns, how)
     return out
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats
+from gneiss.operators import ordered
+from gneiss.session import cut
 
 
 def _stats_row(df: DataFrame, **aggregates: Column) -> DataFrame:
@@ -25,8 +27,8 @@ def impute(df: DataFrame, columns: list[str], how: str = "median", constant=None
         best = counts.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v"))
         row = best.groupBy().agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"__{c}") for c in columns])
     else:
-        fn = {"median": F.median, "mean": F.avg}[how]
-        row = df.agg(*[fn(stats.number(F.col(c))).alias(f"__{c}") for c in columns])
+        found = _quantile_row(df, columns, {"__m": 0.5}) if how == "median" else df.agg(*[F.avg(stats.number(F.col(c))).alias(f"__m{k}") for k, c in enumerate(columns)])
+        row = found.select(*[F.col(f"__m{k}").alias(f"__{c}") for k, c in enumerate(columns)])
     joined = df.crossJoin(F.broadcast(row))
     return joined.withColumns({c: F.when(stats.is_missing(F.col(c)), F.col(f"__{c}").try_cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in columns}).drop(*[f"__{c}" for c in columns])
 
@@ -42,6 +44,12 @@ def scale(df: DataFrame, columns: list[str], how: str = "standard") -> DataFrame
     One aggregate measures all columns.
     """
     bounds, new = {}, {}
+    if how == "robust":
+        rows = df.crossJoin(F.broadcast(_quantile_row(df, columns, {"__m": 0.5, "__a": 0.25, "__b": 0.75})))  # the right side has one row
+        for k, c in enumerate(columns):
+            v, spread = stats.number(F.col(c)), F.col(f"__b{k}") - F.col(f"__a{k}")
+            new[f"{c}_scaled"] = F.when(spread > 0, (v - F.col(f"__m{k}")) / spread).when(v.isNotNull(), 0.0)
+        return rows.withColumns(new).drop(*[f"__{x}{k}" for x in "mab" for k in range(len(columns))])
     for k, c in enumerate(columns):
         v, a, b = stats.number(F.col(c)), F.col(f"__a{k}"), F.col(f"__b{k}")
         if how == "standard":
@@ -50,9 +58,6 @@ def scale(df: DataFrame, columns: list[str], how: str = "standard") -> DataFrame
         elif how == "minmax":
             bounds |= {f"__a{k}": F.min(v), f"__b{k}": F.max(v)}
             value = F.when(b > a, (v - a) / (b - a)).when(v.isNotNull(), 0.5)
-        elif how == "robust":
-            bounds |= {f"__a{k}": F.median(v), f"__b{k}": F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))}
-            value = F.when(b > 0, (v - a) / b).when(v.isNotNull(), 0.0)
         else:
             bounds |= {f"__a{k}": F.min(v)}
             value = F.log1p(v + F.when(a <= 0, F.abs(a) + 1).otherwise(0))
@@ -68,27 +73,42 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr", action: str
     """
     if action == "remove":
         for c in columns:
-            bounds, inside, _ = _outlier_rule(c, 0, method, threshold)
-            df = _stats_row(df, **bounds).where(inside).drop(*bounds)
+            inside, _ = _outlier_rule(c, 0)
+            df = cut(_bounded(df, [c], method, threshold).where(inside).drop("__a0", "__b0"))
         return df
-    rules = [(c, *_outlier_rule(c, k, method, threshold)) for k, c in enumerate(columns)]
-    bounds = {name: v for _, b, _, _ in rules for name, v in b.items()}
-    new = {c: F.when(inside, stats.number(F.col(c))).when(F.lit(action == "cap"), capped) for c, _, inside, capped in rules}
-    return _stats_row(df, **bounds).withColumns(new).drop(*bounds)
+    rules = [(c, *_outlier_rule(c, k)) for k, c in enumerate(columns)]
+    new = {c: F.when(inside, stats.number(F.col(c))).when(F.lit(action == "cap"), capped) for c, inside, capped in rules}
+    return _bounded(df, columns, method, threshold).withColumns(new).drop(*[f"__{x}{k}" for x in "ab" for k in range(len(columns))])
+
 
+def _quantile_row(df: DataFrame, columns: list[str], shares: dict[str, float]) -> DataFrame:
+    """One row with ``<name><number of the column>`` for each share: exact quantiles of all columns by running counts."""
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), stats.number(F.col(c)).alias("v")) for k, c in enumerate(columns)])
+    found = ordered.quantiles(df.select(F.explode(cells).alias("x")).select("x.*"), ["k"], "v", shares)
+    return found.agg(*[F.max(F.when(F.col("k") == k, F.col(name))).alias(f"{name}{k}") for name in shares for k in range(len(columns))])
 
-def _outlier_rule(column: str, k: int, method: str, threshold: float | None) -> tuple[dict[str, Column], Column, Column]:
-    """(aggregates of the bounds, whether a value is inside them, the value cut to them)."""
-    v, low, high = stats.number(F.col(column)), f"__a{k}", f"__b{k}"
+
+def _bounded(df: DataFrame, columns: list[str], method: str, threshold: float | None) -> DataFrame:
+    """df with the ends of what is usual in each column, ``__a<k>`` and ``__b<k>``."""
     if method == "zscore":
-        wide = (threshold or 3.0) * F.stddev_samp(v)
-        bounds = {low: F.avg(v) - wide, high: F.avg(v) + wide}
-    elif method == "iqr":
-        q1, q3 = F.percentile(v, F.lit(0.25)), F.percentile(v, F.lit(0.75))
-        bounds = {low: q1 - (threshold or 1.5) * (q3 - q1), high: q3 + (threshold or 1.5) * (q3 - q1)}
-    else:
-        bounds = {low: F.percentile(v, F.lit(0.01)), high: F.percentile(v, F.lit(0.99))}
-    return bounds, F.coalesce(v.between(F.col(low), F.col(high)), F.lit(True)), F.greatest(F.least(v, F.col(high)), F.col(low))
+        bounds = {}
+        for k, c in enumerate(columns):
+            v = stats.number(F.col(c))
+            wide = (threshold or 3.0) * F.stddev_samp(v)
+            bounds |= {f"__a{k}": F.avg(v) - wide, f"__b{k}": F.avg(v) + wide}
+        return _stats_row(df, **bounds)
+    shares = {"__a": 0.25, "__b": 0.75} if method == "iqr" else {"__a": 0.01, "__b": 0.99}
+    row = _quantile_row(df, columns, shares)
+    if method == "iqr":
+        wide = {k: (threshold or 1.5) * (F.col(f"__b{k}") - F.col(f"__a{k}")) for k in range(len(columns))}
+        row = row.select(*[(F.col(f"__a{k}") - w).alias(f"__a{k}") for k, w in wide.items()], *[(F.col(f"__b{k}") + w).alias(f"__b{k}") for k, w in wide.items()])
+    return df.crossJoin(F.broadcast(row))  # the right side has one row
+
+
+def _outlier_rule(column: str, k: int) -> tuple[Column, Column]:
+    """(whether a value is inside its bounds, the value cut to them)."""
+    v, low, high = stats.number(F.col(column)), F.col(f"__a{k}"), F.col(f"__b{k}")
+    return F.coalesce(v.between(low, high), F.lit(True)), F.greatest(F.least(v, high), low)
 
 
 def deduplicate(df: DataFrame, subset: list[str], order: list[str], keep: str = "first") -> DataFrame:
@@ -151,7 +171,7 @@ def one_hot(df: DataFrame, column: str, values: list[str], drop_first: bool = Fa
 def label_encode(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
     """Codes from 0 in order of first appearance."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("__first"))
-    codes = first.select(column, (F.row_number().over(Window.orderBy("__first", column)) - 1).alias(out))  # one row per category
+    codes = ordered.numbered(first, [], ["__first", column], out).select(column, F.col(out).cast("int").alias(out))
     return df.join(codes, column, "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats
+from gneiss.operators import ordered
 from gneiss.operators.timeseries import ewma
 
 
@@ -25,18 +26,22 @@ def zscore(df: DataFrame, value: str, threshold: float = 3.0, sample: bool = Tru
 def iqr(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
     """Rows outside the quartiles by ``factor`` times their distance, with the side."""
     v = stats.number(F.col(value))
-    rows = _with_stats(df, __q=F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))))
-    wide = F.lit(factor) * (F.col("__q")[1] - F.col("__q")[0])
-    side = F.when(v < F.col("__q")[0] - wide, "low").when(v > F.col("__q")[1] + wide, "high")
-    return rows.withColumn("side", side).where("side is not null").drop("__q")
+    q = ordered.quantiles(df, [], value, {"q1": 0.25, "q3": 0.75}).first()
+    if q is None:
+        return df.withColumn("side", F.lit("low")).where("false")
+    wide = factor * (q.q3 - q.q1)
+    side = F.when(v < q.q1 - wide, "low").when(v > q.q3 + wide, "high")
+    return df.withColumn("side", side).where("side is not null")
 
 
 def modified_zscore(df: DataFrame, value: str, threshold: float = 3.5) -> DataFrame:
     """Rows whose 0.6745 |x - median| / MAD exceeds the threshold."""
     v = stats.number(F.col(value))
-    centred = _with_stats(df, __m=F.median(v)).withColumn("__d", F.abs(v - F.col("__m")))
-    rows = _with_stats(centred, __mad=F.median("__d")).withColumn("modified_z", F.when(F.col("__mad") > 0, F.lit(0.6745) * F.col("__d") / F.col("__mad")).otherwise(0.0))
-    return rows.where(F.col("modified_z") > threshold).drop("__m", "__d", "__mad")
+    middle = ordered.quantiles(df, [], value, {"m": 0.5}).first()
+    away = F.abs(v - F.lit(middle.m if middle else 0.0))
+    mad = ordered.quantiles(df.select(away.alias("__d")), [], "__d", {"m": 0.5}).first()
+    score = F.lit(0.6745) * away / mad.m if mad and mad.m > 0 else F.lit(0.0)
+    return df.withColumn("modified_z", score).where(F.col("modified_z") > threshold)
 
 
 def ensemble(df: DataFrame, series: list[str], order: str, value: str) -> DataFrame:

@@ -2,39 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators import ordered
+from gneiss.session import cut
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
     """left with the values of the right row of its keys whose time is the last not after its own; null where there is none.
 
-    Both sides are stacked and sorted once by keys and time, so no pair of rows is
-    made.  Of right rows of equal keys and time the greatest values count; a null
-    time matches nothing.
+    Both sides are stacked and dealt into ranges of keys and time, so no pair of rows is
+    made and the rows of one key may fill many ranges; a range carries the last right
+    row it holds into the next ones.  Of right rows of equal keys and time the greatest
+    values count; a null time, and a null key, matches nothing.
     """
-    found = right.where(F.col(time).isNotNull()).groupBy(*keys, time).agg(F.max(F.struct(*values)).alias("__found"))
+    matched = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, time)])
+    found = right.where(matched).groupBy(*keys, time).agg(F.max(F.struct(*values)).alias("__found"))
     kind = found.schema["__found"].dataType
     rows = left.withColumns({"__found": F.lit(None).cast(kind), "__left": F.lit(1)})
     both = rows.unionByName(found.withColumn("__left", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_first(), "__left").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__found", F.last("__found", ignorenulls=True).over(w)).where("__left = 1")
-    return both.select(*left.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
+    dealt = cut(both.repartitionByRange(*keys, time, "__left").withColumn("__range", F.spark_partition_id()))
+    w = Window.partitionBy(*keys, "__range").orderBy(F.col(time).asc_nulls_first(), "__left").rowsBetween(Window.unboundedPreceding, 0)
+    told = dealt.withColumn("__found", F.last("__found", ignorenulls=True).over(w))
+    ends = dealt.where("__left = 0").groupBy(*keys, "__range").agg(F.max_by("__found", time).alias("__end"))
+    marks = dealt.select(*keys, "__range").distinct().join(ends, [*keys, "__range"], "left")
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.select(*keys, "__range", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    joined = ordered.match(told.where("__left = 1"), carried, [*keys, "__range"], "left")
+    best = F.when(F.col(time).isNotNull(), F.coalesce("__found", "__carried"))
+    return joined.withColumn("__found", best).select(*left.columns, *[F.col(f"__found.{v}").alias(v) for v in values])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Inner join of points and the ranges [low, high] that hold them, by buckets of a width.
+    """Inner join of points and the ranges [low, high] that hold them, by buckets.
 
-    A range is posted in each bucket it touches, a point in its own, so a pair meets
-    once.  The width should be near the usual length of a range: postings are the
-    ranges' lengths over the width.
+    A range has the level at which buckets, each 16 times as wide as those of the level
+    before, are at least as long as it is, so that it touches one or two of them; a
+    point is posted once at every level there is.  A pair meets once.  ``width`` is
+    that of the narrowest buckets, near the length of a short range.
     """
-    def bucket(column: str):
-        return F.floor(F.col(column) / width)
+    ratio = (F.col(high) - F.col(low)) / F.lit(float(width))
+    level = F.when(ratio > 1, F.ceil(F.log(ratio) / F.lit(math.log(16)))).otherwise(0).cast("int")
+    usable = ranges.where(F.col(low) <= F.col(high)).withColumn("__level", level)
+    levels = [r[0] for r in usable.select("__level").distinct().collect()]  # few, as each is 16 times as wide
+
+    def bucket(column: Column):
+        return F.floor(column / (F.lit(float(width)) * F.pow(F.lit(16.0), F.col("__level"))))
 
-    posted = ranges.where(F.col(low) <= F.col(high)).withColumn("__bucket", F.explode(F.sequence(bucket(low), bucket(high))))
-    placed = points.where(F.col(point).isNotNull()).withColumn("__bucket", bucket(point))
-    return placed.join(posted, "__bucket").where(F.col(point).between(F.col(low), F.col(high))).drop("__bucket")
+    posted = usable.withColumn("__bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+    at = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+    placed = points.where(F.col(point).isNotNull()).withColumn("__level", F.explode(at)).withColumn("__bucket", bucket(F.col(point)))
+    return placed.join(posted, ["__level", "__bucket"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bucket")
 
 
 def contradictions(causes: DataFrame, effects: DataFrame, key: str, correlation: str, coefficient: str, least: float = 0.7) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats
+from gneiss.operators import ordered
 
 # Value classes, weights of the dimensions, and name rules.
 CLASSES = {
@@ -52,9 +53,9 @@ def accuracy(df: DataFrame, columns: list[str]) -> DataFrame:
     out = []
     for c in columns:
         v = stats.number(F.col(c))
-        q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-        wide = 3 * (F.col("q")[1] - F.col("q")[0])
-        row = df.select(v.alias("v")).crossJoin(F.broadcast(q)).agg(F.count_if((F.col("v") < F.col("q")[0] - wide) | (F.col("v") > F.col("q")[1] + wide)).alias("extreme"), F.count("v").alias("n"))
+        q = ordered.quantiles(df, [], c, {"q1": 0.25, "q3": 0.75}).select("q1", "q3")
+        wide = 3 * (F.col("q3") - F.col("q1"))
+        row = df.select(v.alias("v")).crossJoin(F.broadcast(q)).agg(F.count_if((F.col("v") < F.col("q1") - wide) | (F.col("v") > F.col("q3") + wide)).alias("extreme"), F.count("v").alias("n"))
         out.append(row.select(F.lit(c).alias("column"), "extreme", F.greatest(F.lit(0.0), 100 - 500 * F.col("extreme") / F.col("n")).alias("score")))
     done = out[0]
     for more in out[1:]:

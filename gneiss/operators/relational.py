@@ -126,18 +126,20 @@ class Query:
             df = df.crossJoin(other) if how == "cross" else df.join(other, F.expr(on), how)
         for condition in self._where:
             df = df.where(condition)
-        if self._aggregates:
+        if self._aggregates or self._grouping:
             if self._grouping == "sets":
                 grouped = df.groupingSets(self._group_sets, *self._group)
             else:
                 grouped = getattr(df, self._grouping or "groupBy")(*self._group)
-            df = grouped.agg(*self._aggregates)
+            # a grouping without an aggregate still has a row for each of its groups
+            df = grouped.agg(*self._aggregates) if self._aggregates else grouped.agg(F.count(F.lit(1)).alias("__n")).drop("__n")
         elif self._group:
             df = df.select(*self._group).distinct()
         for condition in self._having:
             df = df.where(condition)
-        if self._columns and not self._aggregates:
-            df = df.select(*self._columns)
+        if self._columns:  # beside aggregates these are columns of the groups
+            made = df.columns[len(self._group) :] if self._aggregates else []
+            df = df.select(*self._columns, *[F.col(f"`{c}`") for c in made])
         for how, other in self._sets:
             if how == "union_all":
                 df = df.union(other)

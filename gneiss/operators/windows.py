@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.functions import stats
+
 
 def ranks(df: DataFrame, groups: list[str], order: str, tiles: int = 4, nth: int = 2) -> DataFrame:
     """Adds row_number, rank, dense_rank, ntile, percent_rank, cume_dist and nth_value of order within the groups."""
@@ -73,13 +75,28 @@ def percentile_band(value: Column, benchmark: dict[int, float]) -> Column:
 
 
 def column_cards(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, rows, missing, missing_pct, distinct) of each column, in one aggregate."""
-    cells = []
-    for c in columns:
-        text = F.col(f"`{c}`").cast("string")
-        missing = F.count_if(text.isNull() | (text == ""))
-        cells.append(F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), missing.alias("missing"), (missing * 100 / F.count(F.lit(1))).alias("missing_pct"), F.count_distinct(F.when(text != "", text)).alias("distinct")))
-    return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("x")).select("x.*")
+    """(column, type, rows, missing, missing_pct, distinct) of each column, from one pass and the counts of its values.
+
+    type is numeric or boolean if 85 percent of the present values read as such, datetime
+    from 70 percent on, empty without any, else categorical.
+    """
+    texts = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    shares, cells = {}, []
+    for k, c in enumerate(columns):
+        present = F.when(texts[c] != "", texts[c])
+        shares |= {
+            f"n{k}": F.count(present), f"x{k}": F.count(present.try_cast("double")), f"b{k}": F.count_if(F.lower(present).isin("true", "false", "yes", "no")),
+            f"d{k}": F.count_if(present.rlike(r"\d{4}-\d{2}-\d{2}") & F.try_to_timestamp(present).isNotNull()),
+        }
+        n, numeric, boolean, dated = (F.col(f"{x}{k}") for x in "nxbd")
+        # fixed values: the shares from which a type holds
+        kind = F.when(n == 0, "empty").when(numeric / n > 0.85, "numeric").when(boolean / n > 0.85, "boolean").when(dated / n > 0.7, "datetime").otherwise("categorical")
+        missing = F.col("rows") - n
+        cells.append(F.struct(F.lit(c).alias("column"), kind.alias("type"), F.col("rows"), missing.alias("missing"), (missing * 100 / F.col("rows")).alias("missing_pct")))
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in shares.items()])
+    cards = row.where("rows > 0").select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), t.alias("value")) for c, t in texts.items()])).alias("x")).select("x.*").where("value <> ''").distinct()
+    return cards.join(values.groupBy("column").agg(F.count("*").alias("distinct")), "column", "left").fillna(0, ["distinct"])
 
 
 def group_variance(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -91,10 +108,20 @@ def group_variance(df: DataFrame, group: str, value: str) -> DataFrame:
     return total.select("k", "n", f.alias("f"))
 
 
-def target_column(df: DataFrame, columns: list[str], words: tuple[str, ...] = ("target", "label", "price", "sales", "revenue")) -> DataFrame:
-    """(column, reason): the first column whose name holds one of the words, else the one of the largest deviation."""
-    named = [c for w in words for c in columns if w in c.lower()]
-    if named:
-        return df.sparkSession.range(1).select(F.lit(named[0]).alias("column"), F.lit("name").alias("reason"))
-    cells = [F.struct(F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("s"), F.lit(c).alias("column")) for c in columns]
-    return df.agg(F.greatest(*cells).alias("x")).select("x.column", F.lit("deviation").alias("reason"))
+def target_column(df: DataFrame, columns: list[str], words: tuple[str, ...] = ("target", "label", "outcome", "price", "sales", "revenue", "churn")) -> DataFrame:
+    """(column, reason, deviation): the first column that varies and whose name holds one of the words, else the one of the largest deviation.
+
+    A column of a single value is no target, whatever its name; none is told where nothing varies.
+    """
+    cells = [F.struct(F.lit(k).alias("k"), F.lit(c).alias("column"), F.coalesce(F.stddev_samp(stats.number(F.col(f"`{c}`"))), F.lit(0.0)).alias("s")) for k, c in enumerate(columns)]
+    varied = df.agg(F.filter(F.array(*cells), lambda x: x["s"] > 0).alias("all"))
+    named = F.coalesce(*[F.get(F.filter("all", _names(w)), F.lit(0)) for w in words])
+    widest = F.array_max(F.transform("all", lambda x: F.struct(x["s"].alias("s"), (-x["k"]).alias("back"), x["column"].alias("column"))))
+    chosen = F.when(named.isNotNull(), F.struct(named["column"].alias("column"), F.lit("name").alias("reason"), named["s"].alias("deviation"))).otherwise(
+        F.struct(widest["column"].alias("column"), F.lit("deviation").alias("reason"), widest["s"].alias("deviation"))
+    )
+    return varied.where(F.size("all") > 0).select(chosen.alias("x")).select("x.*")
+
+
+def _names(word: str):
+    return lambda x: F.contains(F.lower(x["column"]), F.lit(word))

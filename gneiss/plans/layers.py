@@ -58,7 +58,8 @@ _SUMS = ", ".join(f"covar_pop({a}, {b}) * count(*) AS {a}{b}" for a, b in ("yy",
 
 @query("causes_monthly", f"""WITH m AS (SELECT o_orderstatus, date_trunc('month', o_orderdate) AS month, sum(o_totalprice)::DOUBLE AS total, count(*)::DOUBLE AS n, count(DISTINCT o_custkey)::DOUBLE AS buyers FROM orders GROUP BY ALL),
 c AS (SELECT o_orderstatus, month, total, unnest([{{'cause': 'n', 'v': n}}, {{'cause': 'buyers', 'v': buyers}}], recursive := true) FROM m),
-p AS (SELECT o_orderstatus, cause, corr(total, v) AS r FROM c GROUP BY ALL),
+w AS (SELECT o_orderstatus, corr(total, n) AS tn, corr(total, buyers) AS tb, corr(n, buyers) AS nb FROM m GROUP BY 1),
+p AS (SELECT o_orderstatus, 'n' AS cause, (tn - tb * nb) / sqrt((1 - tb * tb) * (1 - nb * nb)) AS r FROM w UNION ALL SELECT o_orderstatus, 'buyers', (tb - tn * nb) / sqrt((1 - tn * tn) * (1 - nb * nb)) FROM w),
 l AS (SELECT o_orderstatus, cause, total AS y, lag(total) OVER w AS u, lag(v) OVER w AS v FROM c WINDOW w AS (PARTITION BY o_orderstatus, cause ORDER BY month)),
 s AS (SELECT o_orderstatus, cause, count(*) AS k, {_SUMS} FROM l WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY ALL),
 e AS (SELECT *, uu * vv - uv * uv AS det FROM s), g AS (SELECT *, yy - (yu * vv - yv * uv) / det * yu - (yv * uu - yu * uv) / det * yv AS rest FROM e),
@@ -71,8 +72,8 @@ def causes_monthly(spark, d):
     long = m.select("o_orderstatus", "month", "total", F.explode(cells).alias("x")).select("o_orderstatus", "month", "total", "x.*")
     keys = ["o_orderstatus", "cause"]
     f = regress.granger(long, keys, "month", "v", "total").select(*keys, "f")
-    found = long.groupBy(*keys).agg(stats.correlation(F.col("total"), F.col("v")).alias("r")).join(f, keys)
-    return causes.rank_causes(found, "r", "f", ["o_orderstatus"]).select(*keys, F.round("score", 5).alias("score"), "place")
+    found = causes.partial_links(m, ["o_orderstatus"], "total", list(_CAUSES)).join(f, keys)
+    return causes.rank_causes(found, "partial", "f", ["o_orderstatus"]).select(*keys, F.round("score", 5).alias("score"), "place")
 
 
 @query("mean_deviations_monthly", f"""WITH RECURSIVE {_EWMA}, s AS (SELECT o_orderstatus, stddev_pop(total) AS spread FROM {_MONTHLY} GROUP BY 1)

@@ -105,7 +105,7 @@ def percentile_band_customers(spark, d):
 _CARDS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 
 
-@query("column_cards_orders", " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS rows, count_if({c} IS NULL OR {c}::VARCHAR = '') AS missing, count_if({c} IS NULL OR {c}::VARCHAR = '') * 100.0 / count(*) AS missing_pct, count(DISTINCT {c}) AS "distinct" FROM orders""" for c in _CARDS))
+@query("column_cards_orders", " UNION ALL ".join(f"""SELECT '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'empty' WHEN count(TRY_CAST({c}::VARCHAR AS DOUBLE)) > 0.85 * count({c}) THEN 'numeric' WHEN count(TRY_CAST({c}::VARCHAR AS DATE)) > 0.7 * count({c}) THEN 'datetime' ELSE 'categorical' END AS type, count(*) AS rows, count_if({c} IS NULL OR {c}::VARCHAR = '') AS missing, count_if({c} IS NULL OR {c}::VARCHAR = '') * 100.0 / count(*) AS missing_pct, count(DISTINCT {c}) AS "distinct" FROM orders""" for c in _CARDS))
 def column_cards_orders(spark, d):
     return windows.column_cards(read_table(spark, d, "orders"), _CARDS)
 
@@ -116,9 +116,18 @@ def group_variance_orders(spark, d):
     return windows.group_variance(read_table(spark, d, "orders"), "o_orderpriority", "o_totalprice").withColumn("f", F.round("f", 4))
 
 
-@query("target_column_lineitem", "SELECT 'l_extendedprice' AS \"column\", 'name' AS reason")
+@query("target_column_lineitem", """WITH d AS (SELECT unnest([{'column': 'l_quantity', 's': stddev_samp(l_quantity)}, {'column': 'l_extendedprice', 's': stddev_samp(l_extendedprice)}, {'column': 'l_discount', 's': stddev_samp(l_discount)}], recursive := true) FROM lineitem)
+SELECT "column", 'name' AS reason, round(s, 4) AS deviation FROM d WHERE "column" LIKE '%price%' AND s > 0""")
 def target_column_lineitem(spark, d):
-    return windows.target_column(read_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    r = windows.target_column(read_table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return r.withColumn("deviation", F.round("deviation", 4))
+
+
+@query("target_column_widest", """WITH d AS (SELECT unnest([{'column': 'l_quantity', 's': stddev_samp(l_quantity)}, {'column': 'l_tax', 's': stddev_samp(l_tax)}, {'column': 'l_discount', 's': stddev_samp(l_discount)}], recursive := true) FROM lineitem)
+SELECT arg_max("column", s) AS "column", 'deviation' AS reason, round(max(s), 4) AS deviation FROM d""")
+def target_column_widest(spark, d):
+    r = windows.target_column(read_table(spark, d, "lineitem"), ["l_tax", "l_quantity", "l_discount"])
+    return r.withColumn("deviation", F.round("deviation", 4))
 
 
 @query("vector_products", """WITH o AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT label, arg_min(e, vec_id) AS g FROM o GROUP BY 1)

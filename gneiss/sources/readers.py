@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,7 +86,14 @@ def sql_table(spark: SparkSession, query: str, **params) -> DataFrame:
 
 def estimate_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a query that has not run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    view = f"gneiss_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    try:
+        plan = df.sparkSession.sql(f"EXPLAIN COST SELECT * FROM {view}").first().plan
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
+    number, unit = re.search(r"sizeInBytes=([\d.E+]+) (\w+)", plan).groups()
+    return int(float(number) * 1024 ** ("B KiB MiB GiB TiB PiB EiB".split().index(unit)))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

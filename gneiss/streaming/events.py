@@ -16,7 +16,7 @@ def decode_messages(df: DataFrame, schema: str, value: str = "value") -> DataFra
     """JSON messages as columns; what does not parse keeps its text, base64 encoded, in ``undecoded``."""
     parsed = F.from_json(F.col(value).cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
     out = df.withColumn("__m", parsed)
-    bad = F.col("__m").isNull() | F.forall(F.array(*[F.col(f"__m.{f.name}").isNull() for f in T._parse_datatype_string(schema).fields]), lambda x: x)
+    bad = F.col("__m").isNull() | F.forall(F.array(*[F.col(f"__m.{f.name}").isNull() for f in T.StructType.fromDDL(schema).fields]), lambda x: x)
     return out.select(*df.columns, "__m.*", F.when(bad, F.base64(F.col(value).cast("binary"))).alias("undecoded")).drop("__m")
 
 
