@@ -17,7 +17,10 @@ Only equal labels are compared and a null label never is.  A vector that is
 null, zero, or holds null or non-finite components links with nothing; so do
 vectors of different lengths.  Repeated ids keep their rows: each row counts as
 a vector of its own for n_links.  A null id gives component_id null and kept
-true, and its links count for the others.
+true, and its links count for the others.  An empty table gives an empty result;
+a cosine of exactly the threshold links, and ties cannot occur otherwise (ids are
+ordered); a vector of many dimensions is projected like any other, its scale follows
+from its length; only id, label and vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -501,6 +501,12 @@ def duplicate_lines(
     return gone.where((F.col("c2") == F.col("first_c2")) & (F.struct("id", "h", "k") != F.col("best"))).select("id", "h", "k")
 
 
+def _by_content(docs: DataFrame) -> list:
+    """An order of rows by a hash of all columns that can be hashed, so that it does not depend on where rows lie."""
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return [F.xxhash64(*hashed)]
+
+
 def drop_duplicate_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None, broadcast_bytes: int = 32 << 20, **how
 ) -> DataFrame:
@@ -530,7 +536,7 @@ def drop_duplicate_lines(
     else:  # of rows equal in id and text one is cut like any other, the others keep blank lines only
         same = (F.col(id_col) == F.col(own_id)) & (h == F.col(own_h))
         copies = docs.join(twice, same)
-        copies = copies.withColumn(copy, F.row_number().over(Window.partitionBy(own_id, own_h).orderBy(own_id))).drop(own_id, own_h)
+        copies = copies.withColumn(copy, F.row_number().over(Window.partitionBy(own_id, own_h).orderBy(*_by_content(docs)))).drop(own_id, own_h)
         at = F.transform(pieces, lambda x, k: F.when(~x.rlike(BLANK), k))
         later = copies.where(F.col(copy) > 1).drop(copy).withColumn(lines, F.array_compact(at))
         alone = docs.join(twice, same, "left_anti")

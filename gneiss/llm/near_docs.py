@@ -10,7 +10,10 @@ lines are (gneiss/llm/lines.py).
 
 Edge cases: words are those of the SimHash; a text of fewer words than a shingle is
 one shingle; a text without a word has no shingle and no Jaccard link; rows with a
-null id stay and take no part; rows with one id stay or go together; an empty table
+null id stay and take no part; rows with one id stay or go together, so repeated rows
+of a kept id stay repeated; a very long text is one set of shingles, made alone in its
+batch; a similarity of exactly the threshold links, and of a group the smallest id
+stays, so ties cannot occur; inner names give way to columns of docs; an empty table
 gives an empty result.
 """
 

@@ -13,8 +13,9 @@ go through a heap of pairs instead, which keeps them near-linear.
 
 Edge cases: a null text counts as empty and has only the end id; unknown
 characters become byte pieces; undecodable bytes decode to U+FFFD each; repeated rows
-are encoded alike; of equal ranks the leftmost pair merges; an empty table gives an
-empty result; the columns made replace columns of docs with their names.
+are encoded alike; of equal ranks the leftmost pair merges; very long texts are encoded
+whole, one a batch; an empty table gives an empty result; the columns made replace
+columns of docs with their names.
 """
 
 from __future__ import annotations

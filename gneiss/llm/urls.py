@@ -13,7 +13,9 @@ its final slash; scheme, port of the scheme, query and fragment do not count.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, fits no
 rule, is on no list and is allowed; repeated rows give repeated rows; an empty
-list blocks nothing.
+list blocks nothing, an empty table gives an empty result; of fitting rules of one
+length the first in the list wins; very long URLs are matched whole; columns made here
+replace those of pages with their names.
 """
 
 from __future__ import annotations
