@@ -208,12 +208,13 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = 200, memor
     told = sorted_runs.unionByName(equal).groupBy(*key).agg(F.collect_set("off").alias("offs"))
     told = scratch.keep(told)  # at most BLOCK offsets each
     part = bytes_of.select("anchor", "seg", "core", "variant").join(told.hint("merge"), key)
-    part = scratch.keep(part.groupBy("anchor", "seg").agg(F.array_distinct(F.flatten(F.collect_list("offs"))).alias("offs")))  # at most ``length`` offsets a segment
+    part = scratch.keep(part.groupBy("anchor", "seg").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("offs")))).alias("offs")))  # at most ``length`` offsets a segment
     places = found.select("anchor", "seg", "id", "h", "off", "count", "places")
     runs = places.join(whole.hint("merge"), ["anchor", "seg"]).select("id", "h", F.explode("places").alias("p"), "off", "count")
     runs = runs.select("id", "h", (F.col("p") + F.col("off")).alias("start"), "count")
-    firsts = F.array_sort(F.filter("offs", lambda x: ~F.array_contains("offs", x - 1)))
-    lasts = F.array_sort(F.filter("offs", lambda x: ~F.array_contains("offs", x + 1)))
+    # each run begins where the offset before is missing and ends where the next one is
+    firsts = F.filter("offs", lambda x, k: (k == 0) | (F.get("offs", k - 1) != x - 1))
+    lasts = F.filter("offs", lambda x, k: (k == F.size("offs") - 1) | (F.get("offs", k + 1) != x + 1))
     part = part.select("anchor", "seg", F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("off"), (b - a + 1).alias("count"))).alias("runs"))
     some = places.drop("off", "count").join(part.hint("merge"), ["anchor", "seg"]).select("id", "h", "places", F.explode("runs").alias("run"))
     some = some.select("id", "h", F.explode("places").alias("p"), "run").select("id", "h", (F.col("p") + F.col("run.off")).alias("start"), "run.count")
