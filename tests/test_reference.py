@@ -1,6 +1,6 @@
 import pytest
 
-from gneiss.plans import ahead, feeds, fitted, layers, more, networks, oracles, reference, told  # noqa: F401
+from gneiss.plans import ahead, assessed, feeds, fitted, layers, more, networks, oracles, reference, told  # noqa: F401
 from gneiss.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare
 
