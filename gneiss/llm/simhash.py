@@ -1,17 +1,16 @@
 """Near-duplicates by SimHash (operator 1).
 
 Documents get a 64-bit SimHash of their word shingles.  Equal fingerprints
-collapse before anything is compared.  The inverted index holds bundles of
-positional bytes: a posting of a fingerprint is the bytes in two of its four byte
-pairs, with their positions.  Two fingerprints that differ in at most two bits
-differ in at most two bytes and so share at least two byte pairs whole, which is
-one bundle or more.  For each pair that meets in a list the different positional
-bytes of the bundles it shares are tallied, pairs under the guaranteed minimum of
-four are dropped, and the rest are verified by their differing bits.
-
-A list of more than ``longest`` fingerprints is split by adding two further
-positions to its bundle, in each of the six ways: of the other four bytes two are
-shared at least, so no pair is lost, and the guaranteed minimum is six.
+collapse before anything is compared.  The inverted index holds bundles of five
+positional bytes: a fingerprint has 56 postings, one for each five of its eight
+bytes.  Two fingerprints that differ in at most two bits differ in at most two bytes,
+so they share six bytes or more and with them six bundles.  The bundles that a pair
+shares are tallied; pairs under this guaranteed minimum, which share five bytes only,
+are dropped, and the rest are verified by their differing bits.
+
+A list of more than ``longest`` fingerprints is split by each of the three bytes that
+its bundle leaves out: a pair to be found shares one of them at least, so it still
+meets in that list and the bundle counts once for it.
 
 Edge cases: a null, empty or blank text has fingerprint zero and is linked like
 any other; rows with a null id keep their fingerprint, form no class and have
@@ -23,6 +22,7 @@ result.  Only id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import xxhash
@@ -68,61 +68,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(rows, "text", "fp long", lambda: lambda texts: [[fingerprint(t, words_per_shingle) for t in texts]])
 
 
-#: Byte pairs of a bundle, and the two that it leaves out.
-BUNDLES = [((i, j), tuple(k for k in range(4) if k not in (i, j))) for i, j in combinations(range(4), 2)]
-
-
-def _bytes(fp: Column, places: tuple) -> Column:
-    """The bytes of a fingerprint at some places, side by side."""
-    found = F.lit(0).cast("long")
-    for k in places:
-        found = F.shiftleft(found, 8).bitwiseOR(F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(0xFF)))
-    return found
-
-
-def _posting(fp: Column, bundle: int, places: tuple) -> Column:
-    mask = sum(1 << k for k in places)
-    return F.struct(F.lit(bundle).alias("bundle"), _bytes(fp, places).alias("value"), F.lit(mask).alias("mask"))
+#: Bytes of a bundle; masks of all bundles and of single bytes, as signed longs.
+SHARED = 5
+BUNDLES, BYTES = ([int(np.array(sum(0xFF << 8 * k for k in places), np.uint64).view(np.int64)) for places in combinations(range(8), n)] for n in (SHARED, 1))
 
 
-def _places(pairs: tuple) -> tuple:
-    return tuple(k for p in pairs for k in (2 * p, 2 * p + 1))
+def _literals(masks: list[int]) -> Column:
+    return F.array(*[F.lit(m).cast("long") for m in masks])
 
 
 def _postings(fps: DataFrame) -> DataFrame:
-    """(fp, bundle, value, mask): the bytes of each fingerprint in two of its four byte pairs."""
-    made = [_posting(F.col("fp"), n, _places(held)) for n, (held, _) in enumerate(BUNDLES)]
-    return fps.select("fp", F.explode(F.array(*made)).alias("p")).select("fp", "p.*")
+    """(fp, bundle, value): the bytes of each fingerprint in each bundle."""
+    return fps.select("fp", F.explode(_literals(BUNDLES)).alias("bundle")).withColumn("value", F.col("fp").bitwiseAND(F.col("bundle")))
 
 
 def _longer_postings(postings: DataFrame) -> DataFrame:
-    """Each posting with two of its other four bytes added to its bundle."""
-    made = []
-    for n, (held, other) in enumerate(BUNDLES):
-        more = [_posting(F.col("fp"), 100 + 6 * n + k, _places(held) + extra) for k, extra in enumerate(combinations(_places(other), 2))]
-        made.append(F.array(*more))
-    return postings.select("fp", F.explode(F.array(*made)[F.col("bundle")]).alias("p")).select("fp", "p.*")
+    """(fp, bundle, more, value): each posting with one of the three bytes that its bundle leaves out."""
+    left_out = F.filter(_literals(BYTES), lambda b: b.bitwiseAND(F.col("bundle")) == 0)
+    return postings.select("fp", "bundle", F.explode(left_out).alias("more")).withColumn("value", F.col("fp").bitwiseAND(F.col("bundle").bitwiseOR(F.col("more"))))
 
 
-def _tallied(postings: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of one list or more whose shared postings hold at least so many different positional bytes."""
-    left = postings.select("bundle", "value", "mask", F.col("fp").alias("a"))
-    right = postings.select("bundle", "value", F.col("fp").alias("b"))
-    met = left.join(right, ["bundle", "value"]).where("a < b")
-    return met.groupBy("a", "b").agg(F.bit_count(F.bit_or("mask")).alias("shared")).where(F.col("shared") >= least).select("a", "b")
+def _met(postings: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b, bundle): pairs of one list."""
+    left, right = postings.select(*keys, F.col("fp").alias("a")), postings.select(*keys, F.col("fp").alias("b"))
+    return left.join(right, keys).where("a < b").select("a", "b", "bundle")
+
+
+def tallied_pairs(fps: DataFrame, scratch: Scratch, max_bits: int = 2, longest: int = 64) -> DataFrame:
+    """(a, b): pairs that share as many bundles as fingerprints within max_bits do at least."""
+    postings = _postings(fps)
+    lists = scratch.keep(postings.groupBy("bundle", "value").agg(F.count("*").alias("n")).where("n > 1"))
+    listed = scratch.keep(postings.join(lists, ["bundle", "value"]))
+    short = _met(listed.where(F.col("n") <= longest), ["bundle", "value"])
+    long = _met(_longer_postings(listed.where(F.col("n") > longest)), ["bundle", "more", "value"]).distinct()
+    tally = short.union(long).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return tally.where(F.col("shared") >= comb(8 - max_bits, SHARED)).select("a", "b")
 
 
 def fingerprint_links(fps: DataFrame, scratch: Scratch, max_bits: int = 2, longest: int = 64) -> DataFrame:
     """Links (a, b) of all distinct fingerprints within max_bits (at most 2) of each other."""
     if not 0 <= max_bits <= 2:
         raise ValueError("the index guarantees links of at most two bits")
-    postings = scratch.keep(_postings(fps))
-    lists = scratch.keep(postings.groupBy("bundle", "value").agg(F.count("*").alias("n")).where("n > 1"))
-    listed = postings.join(lists, ["bundle", "value"])
-    short = _tallied(listed.where(F.col("n") <= longest), 4)
-    long = _tallied(_longer_postings(listed.where(F.col("n") > longest)), 6)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
-    return short.union(long).where(near).distinct()
+    return tallied_pairs(fps, scratch, max_bits, longest).where(near)
 
 
 def simhash_near_duplicates(

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from gneiss.llm.components import connected_components
 from gneiss.llm.scratch import Scratch
-from gneiss.llm.simhash import drop_simhash_duplicates, fingerprint, fingerprint_links, simhash_near_duplicates
+from gneiss.llm.simhash import BUNDLES, _met, _postings, drop_simhash_duplicates, fingerprint, fingerprint_links, simhash_near_duplicates, tallied_pairs
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType())])
 
@@ -68,6 +68,36 @@ def test_links_of_given_fingerprints(spark, longest, bits):
     assert {p: roots.get(p, p) for p in signed} == want
 
 
+@pytest.mark.parametrize("longest", [2, 1000])
+def test_the_tally_drops_pairs_that_meet(spark, longest):
+    import random
+
+    rnd = random.Random(11)
+    base = rnd.getrandbits(64)
+    prints = {base} | {base ^ sum(rnd.randrange(1, 256) << 8 * k for k in rnd.sample(range(8), n)) for n in (1, 2, 3, 4) for _ in range(25)}
+    signed = sorted(p - 2**64 if p >= 2**63 else p for p in prints)
+    fps = spark.createDataFrame([(p,) for p in signed], "fp long")
+
+    def shared(a, b):
+        return sum((a ^ b) >> 8 * k & 0xFF == 0 for k in range(8))
+
+    met = {(r.a, r.b) for r in _met(_postings(fps), ["bundle", "value"]).collect()}
+    kept = {(r.a, r.b) for r in tallied_pairs(fps, Scratch(spark), longest=longest).collect()}
+    pairs = list(combinations(signed, 2))
+    assert len(BUNDLES) == 56
+    assert met == {p for p in pairs if shared(*p) >= 5} and kept == {p for p in pairs if shared(*p) >= 6}
+    assert len(met) > len(kept) > 0
+
+
+def test_very_long_texts_and_the_empty_table(spark, monkeypatch):
+    from gneiss.llm import simhash
+
+    long = " ".join(f"w{k % 7919}x{k % 13}" for k in range(200_000))
+    assert fingerprint(long) % 2**64 == slow_fingerprint(long)  # more shingles than a chunk holds
+    assert len(long.split()) > 2 * simhash._CHUNK
+    assert drop_simhash_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
 def test_nulls_repeats_and_empty(spark):
     rows = [(1, "a b c d", "x"), (1, "a b c d", "x"), (None, "a b c d", "x"), (2, "A B C D", None)]
     got = sorted((r.doc_id or 0, r.component_id) for r in simhash_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
