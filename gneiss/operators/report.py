@@ -98,6 +98,39 @@ def ask(df: DataFrame, question: str) -> DataFrame:
     return query.to_df()
 
 
+# What a question about stored results asks for, in the order in which the patterns are tried.
+RESULT_INTENTS = [
+    ("overview", r"what.*overview|summar|describe|explain"),
+    ("findings", r"key finding|finding"),
+    ("recommendations", r"recommend|suggest|next step|what should"),
+    ("quality", r"quality|clean|missing|duplicate"),
+    ("anomalies", r"anomal|outlier|unusual"),
+    ("forecast", r"forecast|predict|future|trend"),
+    ("causes", r"causal|cause|driver|affect|impact"),
+    ("size", r"how many|count|size|rows"),
+]
+
+
+def result_intent(question: str) -> str | None:
+    """The first kind of result whose pattern a question fits."""
+    return next((kind for kind, pattern in RESULT_INTENTS if re.search(pattern, question.lower())), None)
+
+
+def ask_results(results: dict[str, tuple[DataFrame, list[Column], int | None]], question: str) -> DataFrame:
+    """Answers a question from stored results: by kind a table, its order and how many rows of it to tell.
+
+    A question that fits no kind, or one of which there is no result, is answered
+    by the kinds that can be asked for, (kind, columns).
+    """
+    found = results.get(result_intent(question) or "")
+    if found is None:
+        spark = next(iter(results.values()))[0].sparkSession if results else SparkSession.getActiveSession()
+        return spark.createDataFrame([(k, ",".join(df.columns)) for k, (df, _, _) in results.items()], "kind string, columns string")
+    table, order, rows = found
+    table = table.orderBy(*order) if order else table
+    return table if rows is None else table.limit(rows)
+
+
 def insights(profile: DataFrame, missing: DataFrame, correlations: DataFrame) -> DataFrame:
     """(kind, subject, detail, impact) from a numeric profile, missing values and correlations, by fixed rules."""
     skewed = profile.where(F.abs("skewness") > 2).select(F.lit("skewed").alias("kind"), F.col("column").alias("subject"), F.round("skewness", 4).alias("detail"), F.lit("medium").alias("impact"))

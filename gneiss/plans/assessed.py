@@ -6,7 +6,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
-from gneiss.operators import assess, findings
+from gneiss.operators import assess, findings, report
 from gneiss.plans.catalog import query
 from gneiss.plans.reference import _SPIKED, _spiked
 from gneiss.session import read_table
@@ -152,3 +152,24 @@ def correlation_cells_lineitem(spark, d):
 SELECT * FROM n UNION ALL SELECT 'distinct', count(DISTINCT o_orderpriority)::DOUBLE FROM orders""")
 def distribution_orders(spark, d):
     return assess.distribution(read_table(spark, d, "orders"), "o_orderpriority")
+
+
+def _stored(spark, d):
+    o = _gaps(spark, d)
+    return {
+        "size": (assess.table_profile(o).select("rows", "columns", "quality"), [], None),
+        "anomalies": (assess.row_anomalies(_spiked(spark, d), ["o_orderkey"], ["price"]), [F.desc("score"), F.desc("value"), F.asc("o_orderkey")], 5),
+    }
+
+
+@query("ask_size_orders", f"WITH {_COUNTED} SELECT rows, columns, round(100 * (0.6 * (1 - missing / cells) + 0.4 * (1 - duplicates / rows)))::INTEGER AS quality FROM f")
+def ask_size_orders(spark, d):
+    return report.ask_results(_stored(spark, d), "How many rows are there?")
+
+
+@query("ask_anomalies_orders", f"""WITH s AS (SELECT avg(price) AS m, stddev_pop(price) AS sd, quantile_cont(price, 0.25) AS q1, median(price) AS q2, quantile_cont(price, 0.75) AS q3 FROM {_SPIKED}), a AS (SELECT median(abs(price - q2)) AS mad FROM {_SPIKED}, s),
+t AS (SELECT o_orderkey, price, greatest(abs(price - m) / sd / 2.5, CASE WHEN price < q1 - 1.8 * (q3 - q1) OR price > q3 + 1.8 * (q3 - q1) THEN abs(price - q2) / (q3 - q1) / 1.8 END, 0.6745 * abs(price - q2) / mad / 2.5) AS score FROM {_SPIKED}, s, a)
+SELECT o_orderkey, round(price, 2) AS value, round(least(3, score), 5) AS score FROM t WHERE score > 1 ORDER BY least(3, t.score) DESC, price DESC, o_orderkey LIMIT 5""")
+def ask_anomalies_orders(spark, d):
+    r = report.ask_results(_stored(spark, d), "Which values are unusual?")
+    return r.select("o_orderkey", F.round("value", 2).alias("value"), F.round("score", 5).alias("score"))

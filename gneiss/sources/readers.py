@@ -54,8 +54,18 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def read_jdbc(spark: SparkSession, url: str, query: str, split: tuple[str, object, object, int] | None = None, **options: str) -> DataFrame:
+    """Rows of a query of a database, with its types.
+
+    ``split`` is a numeric or date column with the bounds and the number of ranges in
+    which tasks read side by side; rows beyond the bounds and those with a null are in
+    the first and last range, none is left out.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if split is None:
+        return reader.option("query", query).load()
+    column, low, high, parts = split
+    return reader.options(dbtable=f"({query}) asked", partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=parts).load()
 
 
 SOURCES: dict[str, Callable[..., DataFrame]] = {

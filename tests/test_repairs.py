@@ -187,3 +187,32 @@ def test_texts_and_made_up_values(spark):
     assert all(all(r) for r in made.collect())
     once, again = (spark.range(5).select(synthetic.fake_value("email", F.col("id")).alias("e")).collect() for _ in range(2))
     assert once == again and len({r.e for r in once}) == 5
+
+
+def test_a_database_is_read_in_ranges(spark):
+    """Derby comes with Spark; a database in the memory of the JVM stands for any that speaks JDBC."""
+    url = "jdbc:derby:memory:gneiss;create=true"
+    rows = [(k, f"name {k}", k / 4, None if k % 5 else 1) for k in range(50)]
+    spark.createDataFrame(rows, "id int, word string, price double, gap int").write.format("jdbc").options(url=url, dbtable="things").mode("overwrite").save()
+    query = 'SELECT "id", "word", "price", "gap" FROM things WHERE "id" >= 10'
+    whole = readers.read_jdbc(spark, url, query)
+    assert whole.dtypes == [("id", "int"), ("word", "string"), ("price", "double"), ("gap", "int")]
+    assert sorted(map(tuple, whole.collect()), key=lambda r: r[0]) == rows[10:]
+    split = readers.read_jdbc(spark, url, query, split=("id", 20, 40, 4))
+    assert split.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, split.collect()), key=lambda r: r[0]) == rows[10:]
+    assert sorted(map(tuple, readers.read_jdbc(spark, url, query, split=("gap", 0, 9, 3)).collect()), key=lambda r: r[0]) == rows[10:]
+    assert readers.read(spark, url, "jdbc", query="SELECT COUNT(*) AS n FROM things").first()[0] == 50
+
+
+def test_questions_about_stored_results(spark):
+    from gneiss.operators import report
+
+    table = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, 0.7)], "row int, score double")
+    results = {"anomalies": (table, [F.desc("score")], 2), "size": (table.selectExpr("count(*) AS rows"), [], None)}
+    asked = {"Any outliers?": "anomalies", "Please summarize": "overview", "What should I do?": "recommendations", "How many rows": "size", "What is the trend?": "forecast", "What drives it? The driver!": "causes", "missing cells": "quality", "key findings": "findings", "hello": None}
+    assert {q: report.result_intent(q) for q in asked} == asked
+    assert [r.row for r in report.ask_results(results, "Any outliers?").collect()] == [2, 3]
+    assert report.ask_results(results, "how many rows?").first().rows == 3
+    assert sorted(map(tuple, report.ask_results(results, "hello").collect())) == [("anomalies", "row,score"), ("size", "rows")]
+    assert report.ask_results(results, "the forecast?").count() == 2
