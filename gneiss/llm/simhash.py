@@ -98,7 +98,7 @@ def tallied_pairs(fps: DataFrame, scratch: Scratch, max_bits: int = 2, longest:
     """(a, b): pairs that share as many bundles as fingerprints within max_bits do at least."""
     postings = _postings(fps)
     lists = scratch.keep(postings.groupBy("bundle", "value").agg(F.count("*").alias("n")).where("n > 1"))
-    listed = scratch.keep(postings.join(lists, ["bundle", "value"]))
+    listed = scratch.keep(postings.join(lists.hint("merge"), ["bundle", "value"]))
     short = _met(listed.where(F.col("n") <= longest), ["bundle", "value"])
     long = _met(_longer_postings(listed.where(F.col("n") > longest)), ["bundle", "more", "value"]).distinct()
     tally = short.union(long).groupBy("a", "b").agg(F.count("*").alias("shared"))
