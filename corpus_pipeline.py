@@ -9,8 +9,10 @@ have no language; line dedup leaves texts without a line as they are and empties
 those whose lines all go; near-dedup keeps texts without a word once (they share
 fingerprint zero); mixing rates a text without a token like any other; rows with a null
 id pass all stages (mixing draws for them as one id); repeated rows count as copies of
-each other in line dedup, and stay or go together elsewhere; an empty table passes
-empty; extra columns pass unchanged.
+each other in line dedup, and stay or go together elsewhere; very long texts pass every
+stage whole; of equal choices the smallest id stays (line dedup: the first line of it),
+so ties do not depend on partitions; an empty table passes empty; extra columns pass
+unchanged.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicate documents the one with the smallest id stays.
 
     Documents are linked within two bits of SimHash or from a Jaccard similarity of LEAST_JACCARD.
+    At that similarity about ten of 64 bits differ, where no positional byte is guaranteed
+    to be shared, so most of these links come from MinHash bands and exact verification.
     """
     return near_docs.drop_near_documents(docs, SHINGLE_WORDS, LEAST_JACCARD)
 
