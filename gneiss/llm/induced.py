@@ -6,8 +6,9 @@ names repeat, by sorting the string of names in the same way; seeds then induce
 the larger (L) suffixes and those the smaller (S) ones.  Inducing goes through
 priority queues of suffix tuples (symbol, kind, turn, position, common prefix).
 A queue holds ``memory`` tuples and spills sorted runs to the task's own scratch
-folder; text, types and names beyond ``memory`` are memory-mapped files, so a
-shard may be far larger than memory.  Levels of the recursion that fit in
+folder, merging them when there are RUNS; text, types, names and the last turn of
+each symbol beyond ``memory`` are memory-mapped files, so a shard may be far larger
+than memory.  Levels of the recursion that fit in
 ``memory`` order their seeds by a plain sort of the pieces, larger ones by
 induction; both give the same order.  The folder is removed at the end.
 
@@ -25,10 +26,13 @@ import tempfile
 from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 
 BLOCK = 4096
+#: Runs of a queue that are open at once.
+RUNS = 64
 
 
 class DiskQueue:
@@ -56,12 +60,23 @@ class DiskQueue:
         self.heap = []
 
     def write(self, rows: np.ndarray) -> None:
-        number, path = tempfile.mkstemp(dir=self.folder)
-        os.close(number)
-        rows.astype(np.int64).tofile(path)
-        self.runs.append(_read(path, self.width))
+        self.open(_written(self.folder, [rows.astype(np.int64)]))
+        if len(self.runs) >= RUNS:
+            path = _written(self.folder, _tables(self.merged()))
+            self.runs, self.heads = [], []
+            self.open(path)
+
+    def open(self, path: str) -> None:
+        self.runs.append(_read(path, self.width, block=max(16, self.memory // RUNS)))
         self.advance(len(self.runs) - 1)
 
+    def merged(self) -> Iterator[tuple]:
+        """What is left of all runs, in order."""
+        while self.heads:
+            item, run = heapq.heappop(self.heads)
+            self.advance(run)
+            yield item
+
     def advance(self, run: int) -> None:
         item = next(self.runs[run], None)
         if item is not None:
@@ -106,14 +121,25 @@ class BucketQueue:
             self.spill()
 
     def spill(self) -> None:
-        number, path = tempfile.mkstemp(dir=self.folder)
-        os.close(number)
         rows = [(s, p, c) for s in sorted(self.queues) for p, c in self.queues[s]]
-        np.array(rows, np.int64).tofile(path)
         self.queues, self.symbols, self.held = {}, [], 0
-        self.runs.append(_read(path, 3))
+        self.open(_written(self.folder, [np.array(rows, np.int64)]))
+        if len(self.runs) >= RUNS:
+            path = _written(self.folder, _tables(self.merged()))
+            self.runs, self.heads = [], []
+            self.open(path)
+
+    def open(self, path: str) -> None:
+        self.runs.append(_read(path, 3, block=max(16, self.memory // RUNS)))
         self.advance(len(self.runs) - 1)
 
+    def merged(self) -> Iterator[tuple]:
+        """What is left of all runs, by symbol and then by run."""
+        while self.heads:
+            symbol, run, position, common = heapq.heappop(self.heads)
+            self.advance(run)
+            yield symbol, position, common
+
     def advance(self, run: int) -> None:
         item = next(self.runs[run], None)
         if item is not None:
@@ -138,14 +164,28 @@ class BucketQueue:
         return item
 
 
-def _read(path: str, width: int, backwards: bool = False) -> Iterator[tuple]:
+def _written(folder: str, tables: Iterable[np.ndarray]) -> str:
+    """A new file with the rows of some tables."""
+    number, path = tempfile.mkstemp(dir=folder)
+    with os.fdopen(number, "wb") as f:
+        for table in tables:
+            table.tofile(f)
+    return path
+
+
+def _tables(rows: Iterator[tuple]) -> Iterator[np.ndarray]:
+    while block := list(islice(rows, BLOCK)):
+        yield np.array(block, np.int64)
+
+
+def _read(path: str, width: int, backwards: bool = False, block: int = BLOCK) -> Iterator[tuple]:
     rows = os.path.getsize(path) // (8 * width)
-    starts = range(0, rows, BLOCK)
+    starts = range(0, rows, block)
     with open(path, "rb") as f:
         for at in reversed(starts) if backwards else starts:
             f.seek(at * 8 * width)
-            block = np.fromfile(f, np.int64, min(BLOCK, rows - at) * width).reshape(-1, width)
-            yield from map(tuple, (block[::-1] if backwards else block).tolist())
+            part = np.fromfile(f, np.int64, min(block, rows - at) * width).reshape(-1, width)
+            yield from map(tuple, (part[::-1] if backwards else part).tolist())
     os.unlink(path)
 
 
@@ -203,6 +243,21 @@ def _common(text, a: int, b: int) -> int:
     return n
 
 
+class _LastTurns:
+    """The turn in which each symbol was last induced into, from 1; symbols below zero stand once and have none."""
+
+    def __init__(self, space):
+        self.space = space
+
+    def replaced(self, symbol: int, turn: int) -> int:
+        """The turn before, 0 if there was none."""
+        if symbol < 0:
+            return 0
+        before = self.space[symbol]
+        self.space[symbol] = turn
+        return before
+
+
 class Sorter:
     def __init__(self, folder: str, memory: int = 1 << 20):
         self.folder, self.memory = folder, memory
@@ -329,6 +384,10 @@ class Sorter:
                 return bool(is_seed(a + n) and is_seed(b + n))
             n += 1
 
+    def _last_turns(self, text, prefixes: bool) -> _LastTurns:
+        highest = max((max(text[low : low + self.memory]) for low in range(0, len(text), self.memory)), default=0) if prefixes else 0
+        return _LastTurns(self.space(max(0, int(highest)) + 1))
+
     def _induce(self, text, small, seeds: Iterator[tuple[int, int]], prefixes: bool) -> Iterator[tuple[int, int]]:
         larger = DiskList(self.folder, self.memory, 2)
         self._pass(text, small, seeds, prefixes, larger)
@@ -336,7 +395,7 @@ class Sorter:
 
     def _pass(self, text, small, seeds, prefixes: bool, larger: DiskList) -> None:
         queue = BucketQueue(self.folder, self.memory)
-        passed, last_into = _Passed(), {}
+        passed, last_into = _Passed(), self._last_turns(text, prefixes)
         turn, before, seed = 0, None, next(seeds, None)
         while True:
             top = queue.first()
@@ -361,13 +420,13 @@ class Sorter:
                 into = int(text[i - 1])
                 shared = 0
                 if prefixes:
-                    shared = 1 + passed.least_since(last_into[into]) if into in last_into else 0
-                    last_into[into] = turn
+                    earlier = last_into.replaced(into, turn)
+                    shared = 1 + passed.least_since(earlier) if earlier else 0
                 queue.push(into, i - 1, shared)
 
     def _back(self, text, small, larger, prefixes: bool) -> Iterator[tuple[int, int]]:
         queue = BucketQueue(self.folder, self.memory)  # of negated symbols: the largest first
-        passed, last_into = _Passed(), {}
+        passed, last_into = _Passed(), self._last_turns(text, prefixes)
         turn, before, item = 0, None, next(larger, None)
         first = len(text) - 1  # the last suffix induces from nothing
         if small[first]:
@@ -396,8 +455,8 @@ class Sorter:
                 into = int(text[i - 1])
                 shared = 0
                 if prefixes:
-                    shared = 1 + passed.least_since(last_into[into]) if into in last_into else 0
-                    last_into[into] = turn
+                    earlier = last_into.replaced(into, turn)
+                    shared = 1 + passed.least_since(earlier) if earlier else 0
                 queue.push(-into, i - 1, shared)
 
 

@@ -279,30 +279,32 @@ def _sorted_repeats(rows: DataFrame, memory: int = 1 << 18, blocks_per_shard: in
             yield from _sort_shard(batches, folder, memory)
 
     shards = -(-rows.count() // blocks_per_shard) or 1
-    dealt = rows.repartition(shards, "anchor", "core").select("anchor", "variant", "core", "first", "left", "right")
+    dealt = rows.repartition(shards, "anchor", "core").select("anchor", "variant", "core", "first", "left", "right").sortWithinPartitions("anchor", "core")
     return dealt.mapInArrow(run, "anchor long, core long, variant long, off int")
 
 
 def _sort_shard(batches: Iterator[pa.RecordBatch], folder: str, memory: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows of the blocks that stream in; the text and what belongs to it wait on disk."""
-    cores: dict = {}
-    info_path, text_path = f"{folder}/blocks", f"{folder}/text"
+    info_path, text_path, first_path = f"{folder}/blocks", f"{folder}/text", f"{folder}/firsts"
     blocks = symbols = 0
-    with open(info_path, "wb") as info, open(text_path, "wb") as text:
+    number, core = 255, None
+    with open(info_path, "wb") as info, open(text_path, "wb") as text, open(first_path, "wb") as starts:
         for batch in batches:
             for a, v, c, f, left, right in zip(*(batch.column(k).to_pylist() for k in ("anchor", "variant", "core", "first", "left", "right"))):
-                number = cores.setdefault((a, c), len(cores))
+                if (a, c) != core:  # blocks come in the order of their cores
+                    number, core = number + 1, (a, c)
                 # a block reads: a mark of its own (negative), left, the core, right
-                part = [-2 - blocks, *left, 256 + number, *right]
+                part = [-2 - blocks, *left, number, *right]
                 np.array(part, np.int64).tofile(text)
                 np.array([a, c, v, f, symbols, len(left), len(right)], np.int64).tofile(info)
+                np.array([symbols], np.int64).tofile(starts)
                 symbols += len(part)
                 blocks += 1
         np.array([-2 - blocks], np.int64).tofile(text)
     if blocks < 2:
         return
     blocks_info = np.memmap(info_path, np.int64, "r").reshape(-1, 7)
-    firsts = np.ascontiguousarray(blocks_info[:, 4])
+    firsts = np.memmap(first_path, np.int64, "r")
 
     out: list[tuple] = []
     last = None

@@ -1,6 +1,7 @@
 import random
 import tempfile
 
+import numpy as np
 import pytest
 
 from gneiss.llm.induced import DiskQueue, Sorter
@@ -55,3 +56,43 @@ def test_default_shards_are_larger_than_memory(tmp_path):
     sorter, small = Sorter(str(tmp_path), len(text) // 4), Sorter(str(tmp_path), len(text))
     assert list(sorter.suffixes(text, len(text))) == list(small.suffixes(text, len(text)))
     assert sorter.spilled > 0 and small.spilled == 0
+
+
+def test_runs_are_merged(tmp_path, monkeypatch):
+    from gneiss.llm import induced
+
+    monkeypatch.setattr(induced, "RUNS", 4)
+    rnd = random.Random(9)
+    plain, buckets = DiskQueue(str(tmp_path), 5, 2), induced.BucketQueue(str(tmp_path), 5)
+    items = [(rnd.randrange(20), n) for n in range(400)]
+    for s, n in items:
+        plain.push((s, n))
+        buckets.push(s, n, -n)
+    assert len(plain.runs) < 4 and len(buckets.runs) < 4
+    assert [plain.pop() for _ in items] == sorted(items)
+    assert [buckets.pop()[0] for _ in items] == [n for _, n in sorted(items)]  # first in first out within a symbol
+
+
+def test_memory_does_not_grow_with_the_symbols(tmp_path, monkeypatch):
+    """Four times the blocks, each with a mark and a core of its own, at the same memory and as many open runs."""
+    import tracemalloc
+
+    from gneiss.llm import induced
+
+    monkeypatch.setattr(induced, "RUNS", 8)
+
+    def peak(blocks):
+        rnd = random.Random(blocks)
+        text = [x for k in range(blocks) for x in (-2 - k, *(rnd.randrange(256) for _ in range(5)), 256 + k // 2, *(rnd.randrange(256) for _ in range(5)))] + [-2 - blocks]
+        np.array(text, np.int64).tofile(tmp_path / "text")
+        size = len(text)
+        del text
+        tracemalloc.start()
+        count = sum(1 for _ in Sorter(str(tmp_path), 500).suffixes_of_file(str(tmp_path / "text"), size))
+        high = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert count == size
+        return high
+
+    small, large = peak(1500), peak(6000)
+    assert large < 1.5 * small
