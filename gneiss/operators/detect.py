@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gneiss.functions import stats
 from gneiss.operators import ordered
 from gneiss.operators.timeseries import ewma
+from gneiss.session import cut
 
 
 def _with_stats(df: DataFrame, **aggregates) -> DataFrame:
@@ -46,15 +47,15 @@ def modified_zscore(df: DataFrame, value: str, threshold: float = 3.5) -> DataFr
 
 def ensemble(df: DataFrame, series: list[str], order: str, value: str) -> DataFrame:
     """Votes of z-score (population, 3), quartiles (1.5) and EWMA residual (3 deviations of the EWMA); rows with one vote or more."""
-    smooth = ewma(df, series, order, value, 0.3)
-    w = Window.partitionBy(*series)
-    n, sd = F.count(value).over(w), F.stddev_pop(value).over(w)
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).over(w)
-    rows = smooth.withColumns({"__n": n, "__z": F.when(sd > 0, F.abs(F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0), "__q": q, "__e": F.stddev_samp("ewma").over(w)})
-    wide = 1.5 * (F.col("__q")[1] - F.col("__q")[0])
+    smooth = cut(ewma(df, series, order, value, 0.3))
+    spread = smooth.groupBy(*series).agg(F.count(value).alias("__n"), F.avg(value).alias("__m"), F.stddev_pop(value).alias("__sd"), F.stddev_samp("ewma").alias("__e"))
+    quartiles = ordered.quantiles(smooth, series, value, {"__q1": 0.25, "__q3": 0.75}).select(*series, "__q1", "__q3")
+    rows = ordered.match(ordered.match(smooth, spread, series), quartiles, series)
+    rows = rows.withColumn("__z", F.when(F.col("__sd") > 0, F.abs(F.col(value) - F.col("__m")) / F.col("__sd")).otherwise(0.0))
+    wide = 1.5 * (F.col("__q3") - F.col("__q1"))
     flags = {
         "z_flag": F.col("__z") > 3,
-        "iqr_flag": (F.col(value) < F.col("__q")[0] - wide) | (F.col(value) > F.col("__q")[1] + wide),
+        "iqr_flag": (F.col(value) < F.col("__q1") - wide) | (F.col(value) > F.col("__q3") + wide),
         "ewma_flag": F.abs(F.col(value) - F.col("ewma")) > 3 * F.coalesce("__e", F.lit(0.0)),
     }
     rows = rows.where(F.col("__n") >= 4).withColumns(flags)

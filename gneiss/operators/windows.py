@@ -6,16 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import stats
+from gneiss.operators import ordered
+from gneiss.session import cut
 
 
 def ranks(df: DataFrame, groups: list[str], order: str, tiles: int = 4, nth: int = 2) -> DataFrame:
-    """Adds row_number, rank, dense_rank, ntile, percent_rank, cume_dist and nth_value of order within the groups."""
-    w = Window.partitionBy(*groups).orderBy(order)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumns({
-        "rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w), "ntile": F.ntile(tiles).over(w), "percent_rank": F.percent_rank().over(w),
-        "cume_dist": F.cume_dist().over(w), "nth_value": F.nth_value(order, nth).over(whole),
+    """Adds rank, dense_rank, ntile, percent_rank, cume_dist and nth_value of order within the groups.
+
+    Rows are dealt into ranges of (groups, order), where equal values stay together; what
+    ranges hold tells the later ones where they begin, so no task sorts a whole group.
+    Nulls come first and count as a value; a group shorter than ``nth`` has no nth value.
+    """
+    parts = [f"`{c}`" for c in groups]
+    dealt = cut(df.repartitionByRange(*parts, f"`{order}`").withColumn("__range", F.spark_partition_id()))
+    kinds = F.count_distinct(f"`{order}`") + F.max(F.col(f"`{order}`").isNull().cast("int"))
+    held = dealt.groupBy(*parts, "__range").agg(F.count(F.lit(1)).alias("__m"), kinds.alias("__d"))
+    before, whole = Window.partitionBy(*parts).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*parts)
+    starts = held.select(*parts, "__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(a) for c, a in (("__m", "__rows"), ("__d", "__kinds"))], F.sum("__m").over(whole).alias("__n"))
+    within = Window.partitionBy(*parts, "__range").orderBy(f"`{order}`")
+    known = {
+        "__k": F.col("__rows") + F.row_number().over(within), "rank": F.col("__rows") + F.rank().over(within), "dense_rank": F.col("__kinds") + F.dense_rank().over(within),
+        "__upto": F.col("__rows") + F.count(F.lit(1)).over(within.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+    }
+    told = cut(ordered.match(dealt, starts, [*groups, "__range"]).withColumns(known))
+    small, more, k = F.floor(F.col("__n") / tiles), F.col("__n") % tiles, F.col("__k")
+    ntile = F.when(k <= more * (small + 1), F.ceil(k / (small + 1))).otherwise(more + F.ceil((k - more * (small + 1)) / F.greatest(small, F.lit(1))))
+    chosen = told.where(k == nth).select(*parts, F.col(f"`{order}`").alias("nth_value"))
+    out = told.withColumns({
+        "rank": F.col("rank").cast("int"), "dense_rank": F.col("dense_rank").cast("int"), "ntile": ntile.cast("int"), "percent_rank": F.when(F.col("__n") > 1, (F.col("rank") - 1) / (F.col("__n") - 1)).otherwise(0.0),
+        "cume_dist": F.col("__upto") / F.col("__n"),
     })
+    joined = ordered.match(out, chosen, groups, "left") if groups else out.join(F.broadcast(chosen), F.lit(True), "left")  # chosen is a row
+    return joined.drop("__range", "__rows", "__kinds", "__n", "__k", "__upto")
 
 
 def range_sum(df: DataFrame, groups: list[str], order: str, value: str, before: float, after: float = 0, out: str = "range_sum") -> DataFrame:

@@ -93,9 +93,9 @@ def rate_moves_monthly(spark, d):
 
 
 @query("calendar_pattern_orders", """WITH m AS (SELECT o_orderpriority, month(o_orderdate)::INTEGER AS month, avg(o_totalprice) AS mean, count(*) AS n FROM orders GROUP BY ALL), w AS (SELECT o_orderpriority, avg(mean) AS m FROM m GROUP BY 1)
-SELECT o_orderpriority, month, round(mean, 4) AS mean, n, abs(mean - m) > m * 0.03 AS seasonal, mean = max(mean) OVER (PARTITION BY o_orderpriority) AS peak, mean = min(mean) OVER (PARTITION BY o_orderpriority) AS low FROM m JOIN w USING (o_orderpriority)""")
+SELECT o_orderpriority, month, round(mean, 2) AS mean, n, abs(mean - m) > m * 0.03 AS seasonal, mean = max(mean) OVER (PARTITION BY o_orderpriority) AS peak, mean = min(mean) OVER (PARTITION BY o_orderpriority) AS low FROM m JOIN w USING (o_orderpriority)""")
 def calendar_pattern_orders(spark, d):
-    return findings.calendar_pattern(read_table(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", 0.03).withColumn("mean", F.round("mean", 4))
+    return findings.calendar_pattern(read_table(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice", 0.03).withColumn("mean", F.round("mean", 2))
 
 
 @query("array_rules_embeddings", """SELECT vec_id, list_transform(embedding[3:5], lambda x: round(x::DOUBLE, 5)) AS middle, list_transform(embedding[-2:], lambda x: round(x::DOUBLE, 5)) AS ending, len(embedding) * 2 AS flat_size, label IN (1, 3) AS listed, list_transform(list_zip(embedding[1:2], [label, vec_id]), lambda p: round(p[1]::DOUBLE, 5) + p[2]) AS pairs FROM embeddings""")

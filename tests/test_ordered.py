@@ -74,6 +74,31 @@ def test_no_range_holds_a_hot_group(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_ranks_equal_plain_windows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from gneiss.operators import windows
+
+    r = random.Random(9)
+    rows = [(k, r.choice(["a", "b", None]), r.choice([None, *range(40)])) for k in range(400)] + [(400, "alone", 3), (401, "nulls", None), (402, "nulls", None)]
+    df = spark.createDataFrame(rows, "id int, g string, v int").repartition(5)
+    w = Window.partitionBy("g").orderBy("v")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    want = df.withColumns({"rank": F.rank().over(w), "dense_rank": F.dense_rank().over(w), "percent_rank": F.percent_rank().over(w), "cume_dist": F.cume_dist().over(w), "nth_value": F.nth_value("v", 2).over(whole)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = windows.ranks(df, ["g"], "v")
+        assert sorted(got.columns) == sorted([*want.columns, "ntile"])
+        assert {r.id: (r["rank"], r.dense_rank, r.percent_rank, r.cume_dist, r.nth_value) for r in got.collect()} == {r.id: (r["rank"], r.dense_rank, r.percent_rank, r.cume_dist, r.nth_value) for r in want.collect()}
+        sizes = {(r.g, r.ntile): r.n for r in got.groupBy("g", "ntile").agg(F.count("*").alias("n")).collect()}
+        plain = df.withColumn("ntile", F.ntile(4).over(w)).groupBy("g", "ntile").agg(F.count("*").alias("n"))
+        assert sizes == {(r.g, r.ntile): r.n for r in plain.collect()}
+        assert windows.ranks(df, [], "id").where("rank = 403").first().cume_dist == 1.0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_box_stats_of_repeated_values(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 1, 1, 2, 9)] + [("b", None)], "g string, v double")
     assert [tuple(r) for r in profile.box_stats(df, "g", "v").collect()] == [("a", 1.0, 1.0, 1.0, 2.0, 9.0)]
