@@ -22,9 +22,9 @@ def learned(spark):
 
 
 def frame(spark, names="lang_pred int, rejected string, severity string, grade string, base_failed int, posterior int"):
-    clash = ", ".join(f"cast(null AS {x.split()[1]}) AS {x.split()[0]}" for x in names.split(", "))
+    clash = [f"cast(null AS {x.split()[1]}) AS {x.split()[0]}" for x in names.split(", ")]
     rows = [(1, LONG), (2, "the quick brown fox " * 3), (2, "the quick brown fox " * 3), (None, "the quick brown fox"), (3, None), (4, "")]
-    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", clash)
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *clash)
 
 
 def test_language(spark, learned):
