@@ -162,7 +162,7 @@ def series_slope(t: pa.Array, v: pa.Array) -> float:
     return float((d * y).sum() / (d * d).sum()) if len(x) > 1 and (d * d).sum() > 0 else None
 
 
-series_slope = F.arrow_udf(series_slope, T.DoubleType(), F.ArrowUDFType.GROUPED_AGG)
+series_slope = F.arrow_udf(series_slope, T.DoubleType())  # its type hints make it an aggregate
 
 
 def register(spark: SparkSession) -> None:
