@@ -414,7 +414,8 @@ def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least:
 
     parity = [f"w{k}" for k in range(PARITY_WORDS)]
     names = ["c", "root", "r", "size", *parity]
-    rare = scratch.keep(rows.mapInArrow(prefixes, ", ".join(f"{x} long" for x in ("t", *names))))
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c")  # long texts make many rows: classes are dealt evenly
+    rare = scratch.keep(spread.mapInArrow(prefixes, ", ".join(f"{x} long" for x in ("t", *names))))
     other = rare.select("t", *(F.col(x).alias(f"{x}2") for x in names))
     most = 1 + F.least(F.col("size") - F.col("r"), F.col("size2") - F.col("r2"))
     enough = most >= (F.col("size") + F.col("size2")) * (least / (1 + least)) - 1e-6
