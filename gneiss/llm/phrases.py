@@ -193,7 +193,8 @@ def _pair_entries(chunks: pa.Table, told: pa.Table, buckets: tuple[int, ...]) ->
     if chunks.num_rows and told.num_rows:
         at = _unpacked(chunks.column("seq")[0].as_py())
         of = np.zeros(at.max(initial=0) + 1, np.int64)
-        names = list(zip(*(told.column(c).to_pylist() for c in ("level", "bucket", "at", "id"))))
+        # each level numbers its pairs by the order of these rows, and the next one must find the same, whatever order they arrive in
+        names = sorted(zip(*(told.column(c).to_pylist() for c in ("level", "bucket", "at", "id"))))
         for level in range(1, len(buckets) + 1):
             own = [(b, _unpacked(places), _unpacked(ids)) for k, b, places, ids in names if k == level]
             if level > 1:  # places are told within the bucket

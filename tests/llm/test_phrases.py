@@ -1,6 +1,9 @@
+import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from gneiss.llm import phrases
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -76,3 +79,20 @@ def test_scores_pass_64_bits(spark):
     level = spark.createDataFrame([(1, 2, 3, "en", "a b", "b", big, [big + 1], [big + 7])], "id long, left long, right long, lang string, phrase string, last string, f long, firsts array<long>, lasts array<long>")
     row = phrases._scored(level, None, 2, 50).first()
     assert row.score == 1_000_000 * big * big // ((big + 1) * (big + 7))
+
+
+def test_pairs_do_not_depend_on_the_order_in_which_ids_arrive():
+    """Ids of one chunk come from several buckets in any order, and another one at each level."""
+    rng = np.random.default_rng(1)
+    seq, buckets = rng.integers(0, 60, 4000), 4
+    chunk = phrases._rows([{"chunk": 7, "seq": phrases._packed(seq)}], phrases._CHUNKS)
+    words = [{"level": 1, "bucket": b, "chunk": 7, "at": phrases._packed(np.arange(1 + b, 60, buckets)), "id": phrases._packed(np.arange(1 + b, 60, buckets))} for b in range(buckets)]
+    pairs = phrases._pair_entries(chunk, phrases._rows(words, phrases._NAMED), (buckets,))
+    both = [(b, phrases._unpacked(x), phrases._unpacked(y)) for b, x, y in zip(*(pairs.column(c).to_pylist() for c in ("bucket", "left", "right")))]
+    named = [{"level": 2, "bucket": b, "chunk": 7, "at": phrases._packed(np.arange(len(x))), "id": phrases._packed(x * 100 + y)} for b, x, y in both]
+    want = Counter((100 * a + b, 100 * b + c) for a, b, c in zip(seq.tolist(), seq[1:].tolist(), seq[2:].tolist()) if a and b and c)
+    for k in range(4):
+        rows = random.Random(k).sample(words + named, len(words + named))
+        found = phrases._pair_entries(chunk, phrases._rows(rows, phrases._NAMED), (buckets, buckets))
+        got = [np.concatenate([phrases._unpacked(x) for x in found.column(c).to_pylist()]).tolist() for c in ("left", "right", "n")]
+        assert {(a, b): n for a, b, n in zip(*got)} == want
