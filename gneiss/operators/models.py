@@ -29,6 +29,8 @@ from gneiss.operators import ml, ordered, regress
 from gneiss.session import cut
 
 _SAVED = "kind string, columns array<string>, arrays map<string, array<double>>, rows long, digest string"
+#: Numbers that a batch of Shapley values lays before the model at once.
+_AT_ONCE = 1 << 18
 
 
 @dataclass
@@ -234,6 +236,22 @@ def explain_fit(df: DataFrame, y: str, xs: list[str], id_cols: list[str], top: i
     return found.withColumns({"direction": F.when(F.col("coefficient") > 0, "up").otherwise("down"), "magnitude": F.when(size < 0.1, "small").when(size < 1, "moderate").otherwise("large")})
 
 
+def _shares(predict: Callable[[np.ndarray], np.ndarray], x: np.ndarray, base: np.ndarray, orders: list[np.ndarray], known: float) -> np.ndarray:
+    """What each column of some rows adds, averaged over orders; a set of columns is predicted once, however many orders pass it."""
+    values, means = np.zeros(x.shape), {}
+    for order in orders:
+        before: float | np.ndarray = known
+        for k, c in enumerate(order):
+            taken = sorted(order[: k + 1].tolist())
+            if (key := tuple(taken)) not in means:
+                now = np.repeat(base[None], len(x), axis=0)
+                now[:, :, taken] = x[:, None, taken]
+                means[key] = predict(now.reshape(-1, base.shape[1])).reshape(len(x), len(base)).mean(axis=1)
+            values[:, c] += means[key] - before
+            before = means[key]
+    return values / len(orders)
+
+
 def shapley_values(df: DataFrame, model: Model, background: DataFrame, permutations: int = 8, most: int = 64, seed: int = 1, out: str = "shapley") -> DataFrame:
     """df with an array of what each column adds to the prediction, against at most ``most`` rows of a background, and base, its mean prediction.
 
@@ -248,6 +266,7 @@ def shapley_values(df: DataFrame, model: Model, background: DataFrame, permutati
     half = [rng.permutation(len(model.columns)) for _ in range((permutations + 1) // 2)]
     orders = [o for p in half for o in (p, p[::-1])]
     known = float(predictor(model)(base).mean())
+    step = max(1, _AT_ONCE // base.size)
     kept = [c for c in df.columns if c not in (out, "base")]
     rows = df.select(*kept, F.array(*[F.col(f"`{c}`").cast("double") for c in model.columns]).alias("__x"))
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, T.ArrayType(T.DoubleType())), T.StructField("base", T.DoubleType())])
@@ -255,21 +274,13 @@ def shapley_values(df: DataFrame, model: Model, background: DataFrame, permutati
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = predictor(model)
         for batch in batches:
-            told = []
-            for x in batch.column("__x").to_pylist():
-                if any(v is None for v in x):
-                    told.append(None)
-                    continue
-                values, x = np.zeros(len(x)), np.array(x)
-                for order in orders:
-                    now = base.copy()
-                    before = known
-                    for c in order:
-                        now[:, c] = x[c]
-                        after = float(predict(now).mean())
-                        values[c] += after - before
-                        before = after
-                told.append((values / len(orders)).tolist())
+            column = batch.column("__x").to_pylist()
+            whole = [k for k, x in enumerate(column) if not any(v is None for v in x)]
+            told: list[list[float] | None] = [None] * len(column)
+            for at in range(0, len(whole), step):
+                own = whole[at : at + step]
+                for k, values in zip(own, _shares(predict, np.array([column[k] for k in own], float), base, orders, known).tolist()):
+                    told[k] = values
             arrays = [batch.column(c) for c in kept] + [pa.array(told, pa.list_(pa.float64())), pa.array([known] * len(told), pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, out, "base"])
 

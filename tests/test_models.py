@@ -94,3 +94,26 @@ def test_shapley_values_add_up(spark, table):
     m = mean.first()
     for r in models.shapley_values(table.where("id < 5"), linear, mean).collect():
         assert r.shapley == pytest.approx([w * (v - u) for w, v, u in zip(linear.arrays["coefficients"], (r.a, r.b, r.c), m)])
+
+
+def test_shapley_values_are_predicted_for_many_rows_at_once():
+    rng, calls = np.random.default_rng(4), []
+    x, base = rng.normal(size=(500, 3)), rng.normal(size=(7, 3))
+
+    def predict(rows):
+        calls.append(len(rows))
+        return rows[:, 0] * rows[:, 1] + rows[:, 2]
+
+    orders = [np.array(o) for o in ([0, 1, 2], [2, 1, 0], [1, 0, 2], [2, 0, 1])]
+    known = predict(base).mean()
+    want = np.zeros(x.shape)
+    for row, told in zip(x, want):
+        for order in orders:
+            now, before = base.copy(), known
+            for c in order:
+                now[:, c] = row[c]
+                told[c] += (predict(now).mean() - before) / len(orders)
+                before = predict(now).mean()
+    calls.clear()
+    assert models._shares(predict, x, base, orders, known) == pytest.approx(want)
+    assert len(calls) <= 2**3
