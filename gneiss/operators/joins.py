@@ -12,6 +12,10 @@ from gneiss.operators import ordered
 from gneiss.session import cut
 
 
+#: Pairs of a point and a range that a task compares, about.
+_PAIRS = 20_000_000
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
     """left with the values of the right row of its keys whose time is the last not after its own; null where there is none.
 
@@ -42,7 +46,9 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 
     A range has the level at which buckets, each 16 times as wide as those of the level
     before, are at least as long as it is, so that it touches one or two of them; a
-    point is posted once at every level there is.  A pair meets once.  ``width`` is
+    point is posted once at every level there is.  A pair meets once.  A bucket of many
+    pairs is cut into pieces by the points, each with all its ranges, and there are as
+    many tasks as the pairs ask for, so that no task is long (equal points share a piece).  ``width`` is
     that of the narrowest buckets, near the length of a short range.
     """
     ratio = (F.col(high) - F.col(low)) / F.lit(float(width))
@@ -56,7 +62,16 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     posted = usable.withColumn("__bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
     at = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
     placed = points.where(F.col(point).isNotNull()).withColumn("__level", F.explode(at)).withColumn("__bucket", bucket(F.col(point)))
-    return placed.join(posted, ["__level", "__bucket"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bucket")
+    place = ["__level", "__bucket"]
+    met = cut(placed.groupBy(*place).agg(F.count("*").alias("__p")).join(posted.groupBy(*place).agg(F.count("*").alias("__q")), place))
+    cutting = met.select(*place, F.ceil(F.col("__p") * F.col("__q") / F.lit(float(_PAIRS))).alias("__pieces")).where("__pieces > 1")
+    tasks = met.agg(F.ceil(F.sum(F.col("__p") * F.col("__q") / F.lit(float(_PAIRS)))).alias("n")).first().n or 1
+    pieces = F.coalesce("__pieces", F.lit(1))
+    placed = placed.join(cutting, place, "left").withColumn("__piece", F.pmod(F.xxhash64(*points.columns), pieces)).drop("__pieces")
+    posted = posted.join(cutting, place, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("__pieces")
+    tasks = max(tasks, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed, posted = (side.repartition(tasks, *place, "__piece") for side in (placed, posted))
+    return placed.join(posted, [*place, "__piece"]).where(F.col(point).between(F.col(low), F.col(high))).drop(*place, "__piece")
 
 
 def contradictions(causes: DataFrame, effects: DataFrame, key: str, correlation: str, coefficient: str, least: float = 0.7) -> DataFrame:

@@ -21,3 +21,14 @@ def test_blend_leaves_out_nulls(spark):
     df = spark.createDataFrame([(1.0, 3.0), (None, 3.0), (None, None)], "a double, b double")
     got = [r[0] for r in df.select(causes.blend({"a": F.col("a"), "b": F.col("b")}, {"a": 0.5, "b": 1.5})).collect()]
     assert got == [2.5, 3.0, None]
+
+
+def test_a_bucket_of_many_pairs_is_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(joins, "_PAIRS", 500)
+    p = spark.range(300).selectExpr("id AS p", "CAST(id % 10 AS DOUBLE) AS x")
+    q = spark.range(40).selectExpr("id AS q", "CAST(id % 7 AS DOUBLE) AS low", "CAST(id % 7 + 3 AS DOUBLE) AS high")
+    found = joins.range_join(p, q, "x", "low", "high", 100.0)  # one bucket holds all
+    got = sorted((r.p, r.q) for r in found.collect())
+    assert got == sorted((a, b) for a in range(300) for b in range(40) if b % 7 <= a % 10 <= b % 7 + 3)
+    held = [n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(held) > 8 and max(held) < len(got) / 4
