@@ -7,8 +7,8 @@ next one (``nextPageToken`` or ``pageToken``); the last names none.  Three layou
 ``fields``  {"schema": {"fields": [{"name", "type"}]}, "rows": [{"f": [{"v": text}]}]}.
 ``records`` any JSON; the rows are the array at a dotted path (the one value there if it is no array).
 
-The source is Spark's own Python data source ``paged``: one partition a page (or
-``pagesPerPartition``), pages read by executors, the driver lists names and opens the
+The source is Spark's own Python data source ``paged``: one partition a page, many
+pages a partition where there are more than 256 (or ``pagesPerPartition``), pages read by executors, the driver lists names and opens the
 first page for the columns.  As a stream its offset is the name of the last page
 taken.  As a sink each task writes its pages under names of its attempt, and the
 commit renames them, so that repeated or failed tasks leave nothing behind.
@@ -51,6 +51,8 @@ _PARSE = {"bigint": int, "int": int, "double": float, "boolean": lambda v: v ==
 _POSITION = [T.StructField("_page", T.StringType()), T.StructField("_row", T.LongType())]
 #: Rows of a record batch.
 _BATCH = 10_000
+#: Partitions of a read that does not say its pages a partition: starting a task costs more than reading a page.
+_PARTITIONS = 256
 
 
 def _folder(path: str) -> tuple[fs.FileSystem, str]:
@@ -105,11 +107,12 @@ class _Reading:
     def __init__(self, options: Mapping[str, str], schema: T.StructType):
         self.path, self.layout, self.rows_path = options["path"], options.get("layout", "records"), options.get("rows", "")
         self.positions = options.get("positions", "false").lower() == "true"
-        self.each = max(1, int(options.get("pagesPerPartition", "1")))
+        self.each = int(options.get("pagesPerPartition", "0"))
         self.schema = schema
 
     def split(self, names: list[str], first: str | None) -> list[Pages]:
-        return [Pages(names[k : k + self.each], first) for k in range(0, len(names), self.each)]
+        each = self.each if self.each > 0 else -(-len(names) // _PARTITIONS) or 1
+        return [Pages(names[k : k + each], first) for k in range(0, len(names), each)]
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(self.schema)

@@ -131,3 +131,9 @@ def test_router_knows_the_layouts(spark, tmp_path):
     paged.register(spark)
     path = put(tmp_path / "r", [[{"a": 1}]])
     assert rows(readers.read(spark, path, "rest")) == [(1,)]
+
+
+def test_many_pages_share_a_partition(spark, tmp_path):
+    path = put(tmp_path / "p", [[{"k": n}] for n in range(600)])
+    df = paged.read_rest(spark, path)
+    assert df.rdd.getNumPartitions() == 200 and sorted(r.k for r in df.collect()) == list(range(600))
