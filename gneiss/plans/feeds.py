@@ -92,7 +92,7 @@ def sql_slopes_orders(spark, d):
 
 def _timed_pages(spark, df, time: str) -> str:
     """A table as pages in the order of a time, as they would arrive."""
-    return _pages(spark, df.repartitionByRange(8, time).sortWithinPartitions(time), "fields", rowsPerPage="4000")
+    return _pages(spark, df.repartitionByRange(time).sortWithinPartitions(time), "fields", rowsPerPage="4000")
 
 
 @query("delivered_events", "SELECT event_id, user_id, round(2 * value, 4) AS doubled FROM events WHERE event_type = 'purchase'")
@@ -100,7 +100,7 @@ def delivered_events(spark, d):
     """Events as messages, every tenth twice, to a callback that keeps purchases."""
     e = read_table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("sent"))
     path = _timed_pages(spark, e.union(e.where("event_id % 10 = 0")), "sent")
-    messages = paged.stream_pages(spark, path, "fields", pagesPerTrigger="3").withColumn("at", F.to_timestamp("sent"))
+    messages = paged.stream_pages(spark, path, "fields", pagesPerTrigger="3", mostTriggers="12").withColumn("at", F.to_timestamp("sent"))
     folder = new_folder(spark, "delivered")
 
     def callback(batch, batch_id):
@@ -114,7 +114,7 @@ def delivered_events(spark, d):
 def alerts_stream_orders(spark, d):
     """The orders of the monthly series as a stream in the order of their dates."""
     o = read_table(spark, d, "orders").select("o_orderstatus", F.col("o_orderdate").cast("string").alias("day"), "o_totalprice")
-    stream = paged.stream_pages(spark, _timed_pages(spark, o, "day"), "fields", pagesPerTrigger="4").withColumn("at", F.to_timestamp("day"))
+    stream = paged.stream_pages(spark, _timed_pages(spark, o, "day"), "fields", pagesPerTrigger="4", mostTriggers="12").withColumn("at", F.to_timestamp("day"))
     folder = new_folder(spark, "alerts")
     found = alerts.alert_stream(stream, "o_orderstatus", "at", "o_totalprice", late="40 days")
     delivery.pull(found, lambda batch, n: batch, folder, "update")

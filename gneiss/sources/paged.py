@@ -148,14 +148,17 @@ class PagedStreamReader(_Reading, DataSourceStreamReader):
     def __init__(self, options: Mapping[str, str], schema: T.StructType):
         super().__init__(options, schema)
         self.most = int(options.get("pagesPerTrigger", "0"))
+        self.triggers = int(options.get("mostTriggers", "0"))
         self.told = ""
 
     def initialOffset(self) -> dict:
         return {"page": ""}
 
     def latestOffset(self) -> dict:
-        ahead = [n for n in page_names(self.path) if n > self.told]
-        ahead = ahead[: self.most] if self.most else ahead
+        names = page_names(self.path)
+        ahead = [n for n in names if n > self.told]
+        most = max(self.most, -(-len(names) // self.triggers)) if self.triggers else self.most  # of all pages, as a share of those ahead would shrink
+        ahead = ahead[:most] if self.most else ahead
         self.told = ahead[-1] if ahead else self.told
         return {"page": self.told}
 
@@ -304,7 +307,11 @@ def read_pages(spark: SparkSession, path: str, layout: str = "records", schema:
 
 
 def stream_pages(spark: SparkSession, path: str, layout: str = "records", schema: str | None = None, **options: str) -> DataFrame:
-    """The same as an unbounded table, of at most ``pagesPerTrigger`` pages a batch."""
+    """The same as an unbounded table, of at most ``pagesPerTrigger`` pages a batch.
+
+    With ``mostTriggers``, batches grow beyond that where a backlog would take more
+    batches than so many: each batch costs seconds of its own, however few rows it has.
+    """
     register(spark)
     reader = spark.readStream.format("paged").options(path=path, layout=layout, **options)
     return (reader.schema(schema) if schema else reader).load()

@@ -133,6 +133,15 @@ def test_router_knows_the_layouts(spark, tmp_path):
     assert rows(readers.read(spark, path, "rest")) == [(1,)]
 
 
+def test_a_backlog_takes_a_bounded_number_of_batches(spark, tmp_path):
+    path, sizes = put(tmp_path / "p", [[{"k": n}] for n in range(40)]), []
+    stream = paged.stream_pages(spark, path, pagesPerTrigger="2", mostTriggers="4")
+    query = stream.writeStream.foreachBatch(lambda b, n: sizes.append(b.count())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert [n for n in sizes if n] == [10] * 4
+
+
 def test_many_pages_share_a_partition(spark, tmp_path):
     path = put(tmp_path / "p", [[{"k": n}] for n in range(600)])
     df = paged.read_rest(spark, path)
