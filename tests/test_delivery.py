@@ -133,3 +133,18 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     told = delivery.delivered(spark, str(tmp_path / "d"), ", ".join(f"`{c}` {t}" for c, t in found.dtypes))
     last = delivery.latest(told, ["k"]).where("k = 'a'").first()
     assert last.change is None and last.low == last.high == 10.0
+
+
+def test_state_has_a_partition_a_core_at_most(spark, tmp_path):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "11")
+    try:
+        query = delivery.subscribe(delivery.once(feed(spark, tmp_path, BATCHES), ["id"], "at", "1 day"), doubled, str(tmp_path / "d"))
+        query.processAllAvailable()
+        told = [p.stateOperators[0].numShufflePartitions for p in query.recentProgress if p.stateOperators]
+        query.stop()
+        assert told and max(told) <= spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert out(spark, tmp_path / "d") == WANT
