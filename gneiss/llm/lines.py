@@ -337,9 +337,10 @@ def _pivot_pairs(pending: DataFrame, count: int) -> DataFrame:
     return pairs.select(*_pair("c", "c2")).distinct()
 
 
-#: Counters of shingles by hash, for an order of rarity; 64-bit words of a parity sketch.
+#: Counters of shingles by hash, for an order of rarity; 64-bit words of a parity sketch,
+#: which tells sets apart as long as they may differ in fewer shingles than half its bits.
 SLOTS = 1 << 20
-PARITY_WORDS = 4
+PARITY_WORDS = 16
 
 
 def parity_words(codes: np.ndarray) -> np.ndarray:
@@ -412,7 +413,7 @@ def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least:
                 columns += [pa.array(r), pa.array(size), *(pa.array(w) for w in np.array(words)[at].T)]
                 yield pa.RecordBatch.from_arrays([pa.array(t), *columns], names=["t", *names])
 
-    parity = [f"w{k}" for k in range(PARITY_WORDS)]
+    parity = [f"w{k}_" for k in range(PARITY_WORDS)]
     names = ["c", "root", "r", "size", *parity]
     spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c")  # long texts make many rows: classes are dealt evenly
     rare = scratch.keep(spread.mapInArrow(prefixes, ", ".join(f"{x} long" for x in ("t", *names))))

@@ -137,6 +137,23 @@ def test_prefix_join_misses_no_pair(spark):
     assert want <= got and len(got) < 0.5 * len(made) ** 2 / 2
 
 
+def test_prefix_join_tells_long_lines_apart(spark):
+    """Long lines that share rare shingles but are not similar are no candidates."""
+    from gneiss.llm.scratch import Scratch
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    body, choices = " ".join(word() for _ in range(90)), [[word() for _ in range(4)] for _ in range(60)]
+    made = [body + " " + " ".join(rnd.choice(c) for c in choices) for _ in range(60)]
+    made += [made[n].replace(choices[0][0], word()).replace(body[:6], word()) for n in range(5)]
+    pending = spark.createDataFrame([(0, n, 0, len(made), n) for n in range(len(made))], "key long, c long, s long, n long, root long")
+    texts = spark.createDataFrame(list(enumerate(made)), "c long, normal string")
+    got = {(r.a, r.b) for r in lines._prefix_pairs(pending, texts, Scratch(spark), 0.8, lambda: lines.Verifier(5)).collect()}
+    want = {(a, b) for a in range(len(made)) for b in range(a + 1, len(made)) if lines.exact_jaccard(made[a], made[b], 5) >= 0.8}
+    assert len(want) >= 5 and want <= got
+    assert len(got) < 2 * len(want)
+
+
 def test_bins_estimate_similarity():
     rnd = random.Random(1)
     signer = lines.Signer(100, 4, 1)
