@@ -13,8 +13,8 @@ sketches differ in too many bits are dropped, the others are verified by the exa
 Jaccard similarity of their whole shingle sets, and what is similar is united by
 distributed union-find.  Of the lists that hold several components after that,
 all pairs of different components are compared: short lists pair by pair, long
-ones after a round of further pivots by an exact prefix join (two sets of that
-similarity share one of their rarest shingles), so no list makes all its pairs.
+ones after a round of further pivots block by block, by sizes and parity sketches
+of whole sets, which bound the similarity exactly; what is left is verified.
 
 Of each component only the first line (by id, then a hash of the text, then
 position) stays.
@@ -337,10 +337,12 @@ def _pivot_pairs(pending: DataFrame, count: int) -> DataFrame:
     return pairs.select(*_pair("c", "c2")).distinct()
 
 
-#: Counters of shingles by hash, for an order of rarity; 64-bit words of a parity sketch,
-#: which tells sets apart as long as they may differ in fewer shingles than half its bits.
-SLOTS = 1 << 20
-PARITY_WORDS = 16
+#: Classes of a list that are compared with as many others at once; 64-bit words of a parity
+#: sketch, which tells sets apart as long as they may differ in fewer shingles than half its
+#: bits, and of the folded sketch that is looked at first.
+BLOCK = 1024
+PARITY_WORDS = 32
+FOLDED_WORDS = 8
 
 
 def parity_words(codes: np.ndarray) -> np.ndarray:
@@ -350,80 +352,67 @@ def parity_words(codes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least: float, make) -> DataFrame:
-    """Pairs (a, b) of different components that share one of their rarest shingles.
-
-    Of two sets of at least this similarity one of the ``size - ceil(least * size) + 1``
-    first shingles of each is shared, whatever the common order of all shingles, so none
-    is missed.  Here the order is that of counts in SLOTS counters of hashes, which puts
-    rare shingles first.  From the first shingle that two sets share on, no more can be
-    shared than follows in both; pairs are dropped where that is too little, or where
-    parity sketches differ in more bits than the sets may differ in shingles.
-    """
-    rows = scratch.keep(pending.select("c", "s", "root").distinct().join(texts, "c"))
+class Block:
+    """Some classes of a list: codes, roots, sizes of their shingle sets and parity sketches."""
 
-    def slots(codes: np.ndarray) -> np.ndarray:
-        return (codes >> np.uint64(44)).astype(np.int64)
+    def __init__(self, table: pa.Table):
+        self.c, self.root, self.size = (table.column(x).to_numpy() for x in ("c", "root", "size"))
+        self.words = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
+        self.folded = np.bitwise_xor.reduce(self.words.reshape(len(self.words), -1, FOLDED_WORDS), axis=1)  # parities of fewer places
 
-    def summed(held: list) -> pa.RecordBatch:
-        slot, roots = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(slot, kind="stable")
-        slot, roots = slot[order], roots[order]
-        at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-        columns = [slot[at], np.diff(np.append(at, len(slot))), np.minimum.reduceat(roots, at), np.maximum.reduceat(roots, at)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["slot", "n", "low", "high"])
+    def near(self, other: Block, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of different components may be similar enough: no set differs in fewer shingles than its sketch in bits."""
+        found = [np.zeros((2, 0), np.int64)]
+        step = max(1, (1 << 18) // max(1, len(other.c)))
+        for at in range(0, len(self.c), step):
+            own = slice(at, at + step)
+            small, large = np.minimum(self.size[own, None], other.size), np.maximum(self.size[own, None], other.size)
+            i, j = np.nonzero((self.root[own, None] != other.root) & (small >= least * large - 1e-6))
+            i += at
+            for words in ("folded", "words"):
+                apart = np.bitwise_count(getattr(self, words)[i] ^ getattr(other, words)[j]).sum(axis=1, dtype=np.int64)
+                keep = apart <= (self.size[i] + other.size[j]) * ((1 - least) / (1 + least)) + 1e-6
+                i, j = i[keep], j[keep]
+            found.append(np.array([i, j]))
+        return tuple(np.concatenate(found, axis=1))
 
-    def count(batches):  # a task adds up what it reads, about SLOTS shingles at a time
-        verifier, held, size = make(), [], 0
-        for batch in batches:
-            for part in slices(batch, "normal"):
-                for text, root in zip(part.column("normal").to_pylist(), part.column("root").to_pylist()):
-                    found = slots(verifier.codes(text))
-                    held.append((found, np.full(len(found), root)))
-                    size += len(found)
-                if size > SLOTS:
-                    yield summed(held)
-                    held, size = [], 0
-        if held:
-            yield summed(held)
-
-    table = rows.mapInArrow(count, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # shingles of one component only link nothing; their counters are made negative.  At most SLOTS rows come to the driver
-    table = table.select("slot", F.when(F.col("low") < F.col("high"), F.col("n")).otherwise(-F.col("n")).alias("n")).toArrow()
-    counts = np.zeros(SLOTS, np.int64)
-    counts[table.column("slot").to_numpy()] = table.column("n").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(counts)
-
-    def prefixes(batches):
+
+def _prefix_pairs(pending: DataFrame, texts: DataFrame, scratch: Scratch, least: float, make) -> DataFrame:
+    """Pairs (a, b) of different components of a list that may be similar enough, none missed.
+
+    Every class of a list meets every other in one task, which holds two blocks of it at
+    most.  Only sizes and parity sketches are sent and compared; pairs are dropped where
+    the sizes tell that the sets are not similar, or where sketches differ in more bits
+    than the sets may differ in shingles.
+    """
+    rows = scratch.keep(pending.select("c").distinct().join(texts, "c"))
+
+    def sketch(batches):
         verifier = make()
         for batch in batches:
             for part in slices(batch, "normal"):
-                out: list[list] = [[], [], [], []]
-                words = []
-                for n, text in enumerate(part.column("normal").to_pylist()):
-                    codes = verifier.codes(text)
-                    often = shared.value[slots(codes)]
-                    first = np.lexsort((codes, np.abs(often)))[: len(codes) - int(np.ceil(least * len(codes) - 1e-9)) + 1]
-                    known = np.flatnonzero(often[first] > 1)  # the others no set of another component has
-                    words.append(parity_words(codes))
-                    for into, values in zip(out, (np.full(len(known), n), codes[first[known]].view(np.int64), known + 1, np.full(len(known), len(codes)))):
-                        into.append(values)
-                at, t, r, size = (np.concatenate(x) for x in out)
-                columns = [part.column(x).take(pa.array(at)) for x in ("c", "root")]
-                columns += [pa.array(r), pa.array(size), *(pa.array(w) for w in np.array(words)[at].T)]
-                yield pa.RecordBatch.from_arrays([pa.array(t), *columns], names=["t", *names])
-
-    parity = [f"w{k}_" for k in range(PARITY_WORDS)]
-    names = ["c", "root", "r", "size", *parity]
-    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c")  # long texts make many rows: classes are dealt evenly
-    rare = scratch.keep(spread.mapInArrow(prefixes, ", ".join(f"{x} long" for x in ("t", *names))))
-    other = rare.select("t", *(F.col(x).alias(f"{x}2") for x in names))
-    most = 1 + F.least(F.col("size") - F.col("r"), F.col("size2") - F.col("r2"))
-    enough = most >= (F.col("size") + F.col("size2")) * (least / (1 + least)) - 1e-6
-    apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}2"))) for w in parity), F.lit(0))  # never more than shingles of one set only
-    near = apart <= (F.col("size") + F.col("size2")) * ((1 - least) / (1 + least)) + 1e-6
-    pairs = rare.join(other, "t").where("c < c2 and root <> root2").where(enough).where(near)
-    return pairs.select(*_pair("c", "c2")).distinct()
+                codes = [verifier.codes(text) for text in part.column("normal").to_pylist()]
+                columns = [part.column("c"), pa.array([len(x) for x in codes], pa.int64()), pa.array([parity_words(x).tobytes() for x in codes], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["c", "size", "parity"])
+
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "c")
+    sketched = scratch.keep(spread.mapInArrow(sketch, "c long, size long, parity binary"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = pending.select("key", "c", "root", F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"), blocks.alias("blocks")).join(sketched, "c")
+    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "c", "root", "size", "parity")
+
+    def compare(key, table):
+        x, y = (k.as_py() for k in key[1:])
+        own = table.column("own").to_numpy()
+        first, second = Block(table.filter(pa.array(own == x))), Block(table.filter(pa.array(own == y)))
+        i, j = first.near(second, least)
+        one, two = first.c[i], second.c[j]
+        fresh = one < two if x == y else one != two  # a block with itself has each pair twice
+        one, two = one[fresh], two[fresh]
+        return pa.table([np.minimum(one, two), np.maximum(one, two)], names=["a", "b"])
+
+    return met.groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").distinct()
 
 
 def first_places(signed: DataFrame, scratch: Scratch) -> DataFrame:

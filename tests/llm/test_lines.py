@@ -154,6 +154,25 @@ def test_prefix_join_tells_long_lines_apart(spark):
     assert len(got) < 2 * len(want)
 
 
+@pytest.mark.parametrize("block", [7, 1024])
+def test_pairs_are_made_within_lists_alone(spark, monkeypatch, block):
+    """The work follows the lists: what only shares shingles with classes of other lists is not compared."""
+    from gneiss.llm.scratch import Scratch
+
+    monkeypatch.setattr(lines, "BLOCK", block, raising=False)
+    rnd = random.Random(6)
+    base = " ".join("".join(rnd.choices("abcdefghij", k=6)) for _ in range(40))
+    made = [" ".join("".join(rnd.choices("abcdefghij", k=6)) if rnd.random() < 0.06 else w for w in base.split()) for _ in range(90)]
+    of = [n % 3 for n in range(90)]  # the list of each
+    root = [n - n % 2 for n in range(90)]
+    pending = spark.createDataFrame([(of[n], n, 0, 30, root[n]) for n in range(90)] + [(9, n, 0, 2, root[n]) for n in (0, 4)], "key long, c long, s long, n long, root long")
+    texts = spark.createDataFrame(list(enumerate(made)), "c long, normal string")
+    got = [(r.a, r.b) for r in lines._prefix_pairs(pending, texts, Scratch(spark), 0.8, lambda: lines.Verifier(5)).collect()]
+    inside = {(a, b) for a in range(90) for b in range(a + 1, 90) if root[a] != root[b] and (of[a] == of[b] or (a, b) == (0, 4))}
+    want = {(a, b) for a, b in inside if lines.exact_jaccard(made[a], made[b], 5) >= 0.8}
+    assert len(got) == len(set(got)) and want and want <= set(got) <= inside
+
+
 def test_bins_estimate_similarity():
     rnd = random.Random(1)
     signer = lines.Signer(100, 4, 1)
